@@ -12,7 +12,7 @@ def _col(c: Column | str) -> Column:
 
 def to_date_or_null(c: Column | str) -> Column:
     """ISO date text -> date; empty or malformed text -> null (never raises)."""
-    return F.try_to_date(F.nullif(F.trim(_col(c).cast("string")), F.lit("")), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.nullif(F.trim(_col(c).cast("string")), F.lit("")), "yyyy-MM-dd")
 
 
 def to_utc_timestamp_ntz(c: Column | str) -> Column:

@@ -1,20 +1,34 @@
 """Registered queries over the driver's tables (one per operator key).
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame.
+Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame over the
+whole tables. Queries that exercise a reader or writer first write the
+observations in that format under the shared checkpoint folder, then read
+them back through the operator.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sightline.functions.calendar import week_start
+from sightline.operators import audit, by_species, calendar, events, first_seen, ingest, series, yoy
 from sightline.operators import period_metrics as pm
+from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
+from sightline.session import scratch_path
+from sightline.sources import api_pages, catalog, metrics_io, observations_csv
 from sightline.sources import driver_tables as dt
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+CAL = dict(as_of=dt.AS_OF, start=dt.CAL_START, end=dt.CAL_END)
+RAW_COLS = [f.name for f in RAW_OBSERVATION.fields]
+OBS_COLS = RAW_COLS + ["quality_grade"]
+
 
 def register(name: str):
     def deco(fn: Query) -> Query:
@@ -24,13 +38,17 @@ def register(name: str):
     return deco
 
 
-CAL = dict(as_of=dt.AS_OF, start=dt.CAL_START, end=dt.CAL_END)
-
-
 def _obs(spark, sf_dir, names=False, source=False):
     return dt.observations(spark, sf_dir, with_names=names, with_source=source)
 
 
+def _raw(spark, sf_dir):
+    return _obs(spark, sf_dir, names=True).select(*RAW_COLS)
+
+
+# ---------------------------------------------------------------- metrics
+
+
 def _metric(metric: str, grain: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pm.period_metrics(_obs(spark, sf_dir), metric, grain, **CAL)
@@ -41,3 +59,490 @@ def _metric(metric: str, grain: str) -> Query:
 for _grain, _prefix in (("week", "weekly"), ("day", "daily")):
     for _metric_name in ("users", "species", "observations"):
         register(f"{_prefix}_{_metric_name}")(_metric(_metric_name, _grain))
+
+
+def _weekly_three(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    return tuple(pm.period_metrics(obs, m, "week", **CAL) for m in ("users", "species", "observations"))
+
+
+def _by_species(spark, sf_dir):
+    return by_species.weekly_by_species(_obs(spark, sf_dir, names=True), dt.TRACKED_NAMES, **CAL)
+
+
+@register("weekly_by_species")
+def q_weekly_by_species(spark, sf_dir):
+    return _by_species(spark, sf_dir)
+
+
+@register("observation_fact")
+def q_observation_fact(spark, sf_dir):
+    return first_seen.observation_fact(_obs(spark, sf_dir, names=True))
+
+
+@register("count_audit")
+def q_count_audit(spark, sf_dir):
+    return audit.count_audit(_obs(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sources
+
+
+def _csv_roundtrip(spark, df, name="export"):
+    path = scratch_path(spark, name)
+    observations_csv.write_observations_csv(df, path)
+    return path
+
+
+@register("read_observations_csv")
+def q_read_observations_csv(spark, sf_dir):
+    path = _csv_roundtrip(spark, _raw(spark, sf_dir))
+    return observations_csv.read_observations_csv(spark, path).drop("source_file")
+
+
+@register("project_required")
+def q_project_required(spark, sf_dir):
+    return observations_csv.project_required(_obs(spark, sf_dir, names=True))
+
+
+@register("validate_columns")
+def q_validate_columns(spark, sf_dir):
+    obs = observations_csv.validate_columns(_obs(spark, sf_dir, names=True), REQUIRED_EXPORT_COLUMNS)
+    return observations_csv.project_required(obs)
+
+
+@register("union_files")
+def q_union_files(spark, sf_dir):
+    raw = _raw(spark, sf_dir)
+    early = _csv_roundtrip(spark, raw.where(F.col("observed_on") < F.lit("1999-01-01").cast("date")), "early")
+    late = _csv_roundtrip(spark, raw.where(F.col("observed_on") >= F.lit("1998-01-01").cast("date")), "late")
+    frames = [observations_csv.read_observations_csv(spark, p).drop("source_file") for p in (early, late)]
+    return observations_csv.union_files(frames)
+
+
+@register("load_audit")
+def q_load_audit(spark, sf_dir):
+    return observations_csv.load_audit(_obs(spark, sf_dir, source=True))
+
+
+@register("write_metrics")
+def q_write_metrics(spark, sf_dir):
+    users, species, observations = _weekly_three(spark, sf_dir)
+    root = scratch_path(spark, "metrics")
+    metrics_io.write_metrics(
+        {"users": users, "species": species, "observations": observations, "by_species": _by_species(spark, sf_dir)},
+        root,
+        "weekly",
+        fmt="csv",
+    )
+    return metrics_io.read_metrics(spark, root, "weekly", names=("observations",), fmt="csv")["observations"]
+
+
+@register("read_metrics")
+def q_read_metrics(spark, sf_dir):
+    root = scratch_path(spark, "metrics")
+    metrics_io.write_metrics({"by_species": _by_species(spark, sf_dir)}, root, "weekly")
+    return metrics_io.read_metrics(spark, root, "weekly", names=("by_species",))["by_species"]
+
+
+def _saved_table(spark, sf_dir):
+    name = f"sightline_obs_{uuid.uuid4().hex[:12]}"
+    catalog.save_table(_raw(spark, sf_dir), name, path=scratch_path(spark, name))
+    return name
+
+
+@register("save_table")
+def q_save_table(spark, sf_dir):
+    return spark.table(_saved_table(spark, sf_dir))
+
+
+@register("table_or_empty")
+def q_table_or_empty(spark, sf_dir):
+    name = _saved_table(spark, sf_dir)
+    missing = catalog.table_or_empty(spark, f"{name}_absent", RAW_OBSERVATION)
+    return catalog.table_or_empty(spark, name, RAW_OBSERVATION).unionByName(missing)
+
+
+def _landed_pages(spark, sf_dir):
+    path = scratch_path(spark, "pages")
+    api_pages.write_api_pages(dt.api_records(spark, sf_dir), path)
+    return path
+
+
+@register("read_api_pages")
+def q_read_api_pages(spark, sf_dir):
+    recs = api_pages.read_api_pages(spark, _landed_pages(spark, sf_dir))
+    return recs.select(
+        "page",
+        F.col("record.id").alias("id"),
+        F.col("record.observed_on").alias("observed_on"),
+        F.col("record.user.id").alias("user_id"),
+        F.col("record.taxon.id").alias("taxon_id"),
+    )
+
+
+# ------------------------------------------------------ projections, filters
+
+
+@register("rename_date")
+def q_rename_date(spark, sf_dir):
+    return _obs(spark, sf_dir).withColumnRenamed("observed_on", "observed_date").select(
+        "id", "observed_date", "user_id", "taxon_id"
+    )
+
+
+@register("week_of")
+def q_week_of(spark, sf_dir):
+    return _obs(spark, sf_dir).select(
+        "id", F.col("observed_on").alias("observed_date"), week_start("observed_on").alias("observed_week")
+    )
+
+
+@register("observed_at_fill")
+def q_observed_at_fill(spark, sf_dir):
+    return first_seen.observation_fact(_obs(spark, sf_dir, names=True)).select("id", "observed_date", "time_observed_at")
+
+
+@register("name_in_list")
+def q_name_in_list(spark, sf_dir):
+    return by_species.name_in_list(_obs(spark, sf_dir, names=True), dt.TRACKED_NAMES).select(
+        "id", "taxon_id", "scientific_name", "observed_on"
+    )
+
+
+@register("as_of_filter")
+def q_as_of_filter(spark, sf_dir):
+    cal = dict(CAL, as_of="1999-06-30")
+    return pm.period_metrics(_obs(spark, sf_dir), "observations", "week", **cal)
+
+
+@register("min_year_filter")
+def q_min_year_filter(spark, sf_dir):
+    return series.min_year_filter(yoy.yoy_metrics(*_weekly_three(spark, sf_dir)), 1998)
+
+
+@register("single_name_filter")
+def q_single_name_filter(spark, sf_dir):
+    return by_species.name_in_list(yoy.yoy_species(_by_species(spark, sf_dir)), ["small widget"])
+
+
+@register("typed_metrics")
+def q_typed_metrics(spark, sf_dir):
+    users = pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL)
+    path = scratch_path(spark, "text-metrics")
+    users.coalesce(1).write.option("header", True).csv(path)
+    text = spark.read.option("header", True).csv(path)  # every column a string
+    return metrics_io.typed_metrics(text, "week", "users")
+
+
+@register("zero_fill")
+def q_zero_fill(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    cal = calendar.week_calendar(calendar.literal_bounds(spark, dt.CAL_START, dt.CAL_END), dt.AS_OF)
+    uniq = pm.unique_per_period(obs, ["users"], "week")
+    return cal.join(uniq, "week", "left").select(
+        "week", F.coalesce(F.col("unique_users"), F.lit(0)).alias("unique_users")
+    )
+
+
+def _flat_records(spark, sf_dir):
+    return api_pages.flatten_records(api_pages.read_api_pages(spark, _landed_pages(spark, sf_dir)))
+
+
+@register("flatten_record")
+def q_flatten_record(spark, sf_dir):
+    return _flat_records(spark, sf_dir).drop("page", "source_file", "geojson", "created_at_details")
+
+
+@register("year_of_date")
+def q_year_of_date(spark, sf_dir):
+    return _obs(spark, sf_dir).select("id", F.col("observed_on").alias("observed_date"), F.year("observed_on").alias("year"))
+
+
+@register("subtract_baseline")
+def q_subtract_baseline(spark, sf_dir):
+    wo = pm.period_metrics(_obs(spark, sf_dir), "observations", "week", **CAL)
+    wo = yoy.year_start_value(wo, "cumulative_observations", "starting_cumulative_observations")
+    wo = yoy.subtract_baseline(
+        wo, "cumulative_observations", "starting_cumulative_observations", "year_adjusted_cumulative_observations"
+    )
+    return wo.select(
+        "week",
+        "year",
+        "cumulative_observations",
+        "starting_cumulative_observations",
+        "year_adjusted_cumulative_observations",
+    )
+
+
+@register("drop_helper")
+def q_drop_helper(spark, sf_dir):
+    combined = yoy.combine_metrics(*_weekly_three(spark, sf_dir))
+    return combined.selectExpr(
+        "week",
+        "year",
+        "week_number",
+        "start_of_year",
+        "cast(new_users as int) as new_users",
+        "cast(unique_users as int) as unique_users",
+        "cast(cumulative_users as int) as cumulative_users",
+        "cast(new_species as int) as new_species",
+        "cast(unique_species as int) as unique_species",
+        "cast(cumulative_species as int) as cumulative_species",
+        "cast(unique_observations as int) as unique_observations",
+        "cast(cumulative_observations as int) as cumulative_observations",
+    )
+
+
+# ------------------------------------------------------------------ joins
+
+
+@register("attach_first_seen")
+def q_attach_first_seen(spark, sf_dir):
+    return first_seen.attach_first_seen(_obs(spark, sf_dir)).select(
+        "id",
+        "user_id",
+        "taxon_id",
+        "observed_on",
+        "first_user_date",
+        "first_user_week",
+        "first_taxon_date",
+        "first_taxon_week",
+    )
+
+
+@register("densify_calendar")
+def q_densify_calendar(spark, sf_dir):
+    cal = calendar.week_calendar(calendar.literal_bounds(spark, dt.CAL_START, dt.CAL_END), dt.AS_OF)
+    return cal.join(pm.unique_per_period(_obs(spark, sf_dir), ["observations"], "week"), "week", "left")
+
+
+@register("attach_unique")
+def q_attach_unique(spark, sf_dir):
+    return pm.period_metrics(_obs(spark, sf_dir), "species", "week", **CAL).select(
+        "week", "new_species", "cumulative_species", "unique_species"
+    )
+
+
+@register("combine_metrics")
+def q_combine_metrics(spark, sf_dir):
+    return yoy.combine_metrics(*_weekly_three(spark, sf_dir))
+
+
+def _existing(spark, sf_dir):
+    obs = _obs(spark, sf_dir, names=True)
+    return obs.where(F.col("created_at") < F.lit(dt.INGEST_CUT).cast("timestamp_ntz")), obs
+
+
+def _increment(spark, sf_dir):
+    existing, obs = _existing(spark, sf_dir)
+    return existing, ingest.select_increment(obs, ingest.incremental_start(existing))
+
+
+@register("anti_new")
+def q_anti_new(spark, sf_dir):
+    existing, batch = _increment(spark, sf_dir)
+    return ingest.anti_new(batch, existing)
+
+
+@register("event_band")
+def q_event_band(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    wo = pm.period_metrics(obs, "observations", "week", **CAL)
+    return events.event_band(wo, events.events_for_data_years(obs)).select(
+        "event", "band_start", "band_end", "week", "unique_observations"
+    )
+
+
+# ----------------------------------------------------------- aggregations
+
+
+@register("first_seen")
+def q_first_seen(spark, sf_dir):
+    return first_seen.first_seen_all(_obs(spark, sf_dir))
+
+
+@register("new_per_period")
+def q_new_per_period(spark, sf_dir):
+    return pm.new_per_period(_obs(spark, sf_dir), ["users", "species"], "week")
+
+
+@register("unique_per_period")
+def q_unique_per_period(spark, sf_dir):
+    return pm.unique_per_period(_obs(spark, sf_dir), ["users", "species"], "week")
+
+
+@register("observations_per_period")
+def q_observations_per_period(spark, sf_dir):
+    return pm.unique_per_period(_obs(spark, sf_dir), ["observations"], "week")
+
+
+@register("observations_per_period_species")
+def q_observations_per_period_species(spark, sf_dir):
+    return by_species.observations_per_period_species(_obs(spark, sf_dir, names=True), dt.TRACKED_NAMES)
+
+
+@register("total_vs_distinct")
+def q_total_vs_distinct(spark, sf_dir):
+    return audit.total_vs_distinct(_obs(spark, sf_dir))
+
+
+@register("yearly_total_vs_distinct")
+def q_yearly_total_vs_distinct(spark, sf_dir):
+    return audit.yearly_total_vs_distinct(_obs(spark, sf_dir))
+
+
+@register("high_watermark")
+def q_high_watermark(spark, sf_dir):
+    existing, _ = _existing(spark, sf_dir)
+    return ingest.high_watermark(existing)
+
+
+@register("page_stats")
+def q_page_stats(spark, sf_dir):
+    return ingest.page_stats(_flat_records(spark, sf_dir))
+
+
+@register("distinct_rows")
+def q_distinct_rows(spark, sf_dir):
+    return audit.distinct_rows(_obs(spark, sf_dir).select(week_start("observed_on").alias("observed_week"), "user_id"))
+
+
+# ---------------------------------------------------------------- windows
+
+
+@register("running_total")
+def q_running_total(spark, sf_dir):
+    counts = pm.unique_per_period(_obs(spark, sf_dir), ["observations"], "week")
+    return pm.running_total(counts, "unique_observations", "week", "cumulative_observations")
+
+
+@register("running_total_by_key")
+def q_running_total_by_key(spark, sf_dir):
+    return _by_species(spark, sf_dir).select(
+        "taxon_id", "scientific_name", "week", "observations", "cumulative_observations"
+    )
+
+
+@register("year_start_value")
+def q_year_start_value(spark, sf_dir):
+    wu = pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL)
+    return yoy.year_start_value(wu, "cumulative_users", "starting_cumulative_users").select(
+        "week", "year", "cumulative_users", "starting_cumulative_users"
+    )
+
+
+@register("keep_first_per_label")
+def q_keep_first_per_label(spark, sf_dir):
+    iso_labels = dict(CAL, reconcile_years=())
+    wo = pm.period_metrics(_obs(spark, sf_dir), "observations", "week", **iso_labels)
+    return yoy.keep_first_per_label(wo, "week_number", ("year",), "week")
+
+
+# --------------------------------------------------------------- calendar
+
+
+def _data_bounds(spark, sf_dir):
+    return calendar.date_bounds(_obs(spark, sf_dir))
+
+
+@register("calendar")
+def q_calendar(spark, sf_dir):
+    return calendar.calendar_days(_data_bounds(spark, sf_dir))
+
+
+@register("week_calendar")
+def q_week_calendar(spark, sf_dir):
+    return calendar.week_calendar(_data_bounds(spark, sf_dir), dt.AS_OF)
+
+
+@register("day_calendar")
+def q_day_calendar(spark, sf_dir):
+    return calendar.day_calendar(_data_bounds(spark, sf_dir), dt.AS_OF)
+
+
+@register("week_bounds")
+def q_week_bounds(spark, sf_dir):
+    return calendar.week_bounds(_obs(spark, sf_dir))
+
+
+@register("event_calendar")
+def q_event_calendar(spark, sf_dir):
+    return events.events_for_data_years(_obs(spark, sf_dir))
+
+
+# ----------------------------------------------------- sorts, limits, sets
+
+
+@register("sort_by_period")
+def q_sort_by_period(spark, sf_dir):
+    return pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL).orderBy("week")
+
+
+@register("sort_desc")
+def q_sort_desc(spark, sf_dir):
+    return audit.count_audit(_obs(spark, sf_dir)).orderBy(F.col("year").desc_nulls_last())
+
+
+@register("preview_limit")
+def q_preview_limit(spark, sf_dir):
+    return audit.preview(pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL), ["week"], 5)
+
+
+@register("union_by_name")
+def q_union_by_name(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    cut = F.lit(dt.INGEST_CUT).cast("timestamp_ntz")
+    old = obs.where(F.col("created_at") < cut).select("id", "user_id", "taxon_id", "observed_on", "created_at")
+    new = obs.where(F.col("created_at") >= cut).select("created_at", "observed_on", "taxon_id", "user_id", "id")
+    return old.unionByName(new)
+
+
+# ------------------------------------------------ year over year, series
+
+
+@register("yoy_metrics")
+def q_yoy_metrics(spark, sf_dir):
+    return yoy.yoy_metrics(*_weekly_three(spark, sf_dir))
+
+
+@register("yoy_species")
+def q_yoy_species(spark, sf_dir):
+    return yoy.yoy_species(_by_species(spark, sf_dir))
+
+
+@register("metric_series")
+def q_metric_series(spark, sf_dir):
+    return series.metric_series(yoy.yoy_metrics(*_weekly_three(spark, sf_dir)), dt.MIN_CHART_YEAR)
+
+
+@register("series_by_year")
+def q_series_by_year(spark, sf_dir):
+    yoy_table = yoy.yoy_metrics(*_weekly_three(spark, sf_dir))
+    return series.series_by_year(yoy_table, "week_number", "year_adjusted_cumulative_users", years=None)
+
+
+@register("species_series")
+def q_species_series(spark, sf_dir):
+    return series.species_series(yoy.yoy_species(_by_species(spark, sf_dir)), dt.TRACKED_NAMES, dt.MIN_CHART_YEAR)
+
+
+# ------------------------------------------------------------------ ingest
+
+
+@register("incremental_start")
+def q_incremental_start(spark, sf_dir):
+    existing, _ = _existing(spark, sf_dir)
+    return ingest.incremental_start(existing)
+
+
+@register("select_increment")
+def q_select_increment(spark, sf_dir):
+    _, batch = _increment(spark, sf_dir)
+    return batch
+
+
+@register("merge_insert_only")
+def q_merge_insert_only(spark, sf_dir):
+    existing, batch = _increment(spark, sf_dir)
+    return ingest.merge_insert_only(existing, batch)

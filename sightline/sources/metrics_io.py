@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.schema import METRIC_SCHEMAS
 
@@ -51,3 +52,10 @@ def read_metrics(
         else:
             out[name] = spark.read.schema(schema).format(fmt).load(path)
     return out
+
+
+def typed_metrics(df: DataFrame, grain: str, name: str) -> DataFrame:
+    """Text metric columns (e.g. a CSV read without a schema) -> declared
+    types; unreadable values become null instead of failing the job."""
+    schema = METRIC_SCHEMAS[(_PERIOD_NAMES.get(grain, grain), name)]
+    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -415,3 +415,12 @@ SELECT {OBSCOLS} FROM dedup d WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e
 
 
 ORACLE.update(more())
+
+
+STREAM_ORDER = ", ".join(
+    f"{c} DESC NULLS LAST"
+    for c in ["created_at", "observed_on", "time_observed_at", "taxon_id", "user_id", "common_name",
+              "scientific_name", "taxon_kingdom_name", "quality_grade"]
+)
+ORACLE["stream_ingest"] = with_obs(f"""SELECT id, observed_on, user_id, taxon_id, created_at, scientific_name, quality_grade
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {STREAM_ORDER}) AS rn FROM obs) WHERE rn = 1""")

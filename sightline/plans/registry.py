@@ -19,6 +19,7 @@ from sightline.operators import audit, by_species, calendar, events, first_seen,
 from sightline.operators import period_metrics as pm
 from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
 from sightline.session import scratch_path
+from sightline.streaming import ingest_stream
 from sightline.sources import api_pages, catalog, metrics_io, observations_csv
 from sightline.sources import driver_tables as dt
 
@@ -546,3 +547,17 @@ def q_select_increment(spark, sf_dir):
 def q_merge_insert_only(spark, sf_dir):
     existing, batch = _increment(spark, sf_dir)
     return ingest.merge_insert_only(existing, batch)
+
+
+# --------------------------------------------------------------- streaming
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    pages = scratch_path(spark, "stream-pages")
+    api_pages.write_api_pages(dt.api_records(spark, sf_dir), pages, files=4)
+    table = scratch_path(spark, "stream-table")
+    ingest_stream.run_ingest_stream(spark, pages, table, max_files_per_trigger=1)
+    return spark.read.parquet(table).select(
+        "id", "observed_on", "user_id", "taxon_id", "created_at", "scientific_name", "quality_grade"
+    )

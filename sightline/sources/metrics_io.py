@@ -22,13 +22,14 @@ def write_metrics(
     """Write each metric table to ``{root}/{period}_{name}``.
 
     ``fmt='csv'`` writes with a header (the interchange form); parquet is the
-    default at rest. Metric tables are calendar-sized, so each is coalesced to
-    one file.
+    default at rest. Tables with one row per calendar period are coalesced to
+    one file; the per-species table grows with the tracked taxa and keeps its
+    partitioning.
     """
     paths = {}
     for name, df in tables.items():
         path = metric_path(root, period, name)
-        writer = df.coalesce(1).write.mode(mode)
+        writer = (df if name == "by_species" else df.coalesce(1)).write.mode(mode)
         if fmt == "csv":
             writer.option("header", True).csv(path)
         else:

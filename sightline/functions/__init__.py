@@ -4,6 +4,7 @@ from sightline.functions.calendar import (  # noqa: F401
     GRAINS,
     PERIOD_COLUMNS,
     day_label,
+    period_end,
     period_label,
     period_start,
     period_step,

@@ -62,6 +62,18 @@ def period_start(c: Column | str, grain: str) -> Column:
     return F.date_trunc(grain, _col(c)).cast("date")
 
 
+def period_end(c: Column | str, grain: str) -> Column:
+    """Last day of the ``grain`` period containing ``c``."""
+    check_grain(grain)
+    if grain == "day":
+        return _col(c).cast("date")
+    if grain == "week":
+        return F.date_add(week_start(c), 6)
+    if grain == "month":
+        return F.last_day(_col(c))
+    return F.date_sub(F.add_months(period_start(c, "quarter"), 3), 1)
+
+
 def period_step(grain: str) -> Column:
     """Interval between consecutive period starts, for ``sequence``."""
     return F.expr(_STEPS[check_grain(grain)])

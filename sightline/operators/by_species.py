@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.calendar import period_start, week_label, year_start
 from sightline.functions.text import name_key
 from sightline.operators.calendar import DateLike, as_date_col
+from sightline.operators.period_metrics import upto_cutoff
 
 # Above this many names the membership test becomes a broadcast semi join
 # (the broadcast side is the name list itself, so its size is known here).
@@ -17,13 +18,19 @@ INLINE_NAME_LIMIT = 1000
 
 
 def name_in_list(df: DataFrame, names: Iterable[str], col: str = "scientific_name") -> DataFrame:
-    """Rows whose ``col`` matches one of ``names``, ignoring case."""
+    """Rows whose ``col`` matches one of ``names``, ignoring case.
+
+    When the table stores the lower-cased name (``<col>_key``, written by the
+    metric build) the test is on that plain column, so it reaches the
+    parquet scan as a pushed filter.
+    """
     keys = sorted({n.lower() for n in names})
+    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
     if len(keys) <= INLINE_NAME_LIMIT:
-        return df.where(name_key(col).isin(keys))
+        return df.where(key.isin(keys))
     spark = df.sparkSession
     wanted = spark.createDataFrame([(k,) for k in keys], "_name_key string")
-    return df.join(F.broadcast(wanted), name_key(col) == F.col("_name_key"), "left_semi")
+    return df.join(F.broadcast(wanted), key == F.col("_name_key"), "left_semi")
 
 
 def observations_per_period_species(
@@ -63,7 +70,7 @@ def weekly_by_species(
     partitioned by species and runs over that species' weeks only, so a
     popular species costs one small partition, never a fact-sized one.
     """
-    counts = observations_per_period_species(obs, names, "week", date_col)
+    counts = observations_per_period_species(upto_cutoff(obs, "week", as_of, end, date_col), names, "week", date_col)
     cutoff = as_date_col(as_of) if as_of is not None else F.current_date()
     counts = counts.where(F.col("week") <= cutoff)
     if start is not None:

@@ -22,9 +22,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.calendar import PERIOD_COLUMNS, check_grain, period_start
+from sightline.functions.calendar import PERIOD_COLUMNS, check_grain, period_end, period_start
 from sightline.operators.calendar import (
     DateLike,
+    as_date_col,
     date_bounds,
     literal_bounds,
     override_bounds,
@@ -117,6 +118,27 @@ def new_per_period(
     return new_from_pairs(entity_period_pairs(obs, metrics, grain, date_col), metrics, pcol)
 
 
+def upto_cutoff(
+    obs: DataFrame, grain: str, as_of: DateLike = None, end: DateLike = None, date_col: str = "observed_on"
+) -> DataFrame:
+    """Drop observations after the last period the output can show.
+
+    Rows after the period containing ``min(as_of, end)`` change no reported
+    count: a later period is cut from the calendar, and an entity first seen
+    after it is never "new" in the output. Filtering them before the shuffle
+    lets the scan skip them (partition pruning, row-group statistics).
+    Earlier rows are kept: they decide who is new.
+    """
+    cut = as_date_col(as_of) if as_of is not None else F.current_date()
+    if end is not None:
+        cut = F.least(cut, as_date_col(end))
+    last_day = period_end(cut, grain)
+    kept = obs.where(F.col(date_col) <= last_day)
+    if "observed_year" in obs.columns:  # the fact's partition column: prune folders
+        kept = kept.where(F.col("observed_year") <= F.year(last_day))
+    return kept
+
+
 def period_summary(
     obs: DataFrame,
     metrics: Iterable[str] = ("users", "species", "observations"),
@@ -143,7 +165,7 @@ def period_summary(
     else:
         bounds = override_bounds(date_bounds(obs, date_col), start, end)
 
-    pairs = entity_period_pairs(obs, metrics, grain, date_col)
+    pairs = entity_period_pairs(upto_cutoff(obs, grain, as_of, end, date_col), metrics, grain, date_col)
     out = period_calendar(bounds, grain, as_of, reconcile_years).join(
         unique_from_pairs(pairs, metrics, pcol), pcol, "left"
     )

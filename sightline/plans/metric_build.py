@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.text import name_key
 from sightline.operators.by_species import weekly_by_species
 from sightline.operators.period_metrics import period_summary
 from sightline.sources.metrics_io import write_metrics
@@ -27,10 +28,16 @@ _SPLIT = {
 
 
 def write_fact(raw: DataFrame, path: str) -> DataFrame:
-    """Persist the raw observations as the fact table and return it re-read."""
-    raw.withColumn("observed_year", F.year("observed_on")).write.mode("overwrite").partitionBy(
-        "observed_year"
-    ).parquet(path)
+    """Persist the raw observations as the fact table and return it re-read.
+
+    Partitioned by observation year (date filters prune whole folders) and
+    carrying the lower-cased scientific name, so name filters are pushed to
+    the scan instead of evaluating ``lower()`` on every row.
+    """
+    fact = raw.withColumn("observed_year", F.year("observed_on"))
+    if "scientific_name" in raw.columns:
+        fact = fact.withColumn("scientific_name_key", name_key("scientific_name"))
+    fact.write.mode("overwrite").partitionBy("observed_year").parquet(path)
     return raw.sparkSession.read.parquet(path)
 
 

@@ -213,3 +213,15 @@ def weekly_observations(obs: DataFrame, **kw) -> DataFrame:
 
 def daily_observations(obs: DataFrame, **kw) -> DataFrame:
     return period_metrics(obs, "observations", "day", **kw)
+
+
+def split_summary(summary: DataFrame, grain: str = "week") -> dict[str, DataFrame]:
+    """Per-metric tables (the metric build's outputs) from a combined summary."""
+    pcol, label = PERIOD_COLUMNS[check_grain(grain)]
+    head = [pcol, "year", "start_of_year", label]
+    out = {}
+    for m, (_, has_new) in METRICS.items():
+        cols = ([f"new_{m}"] if has_new else []) + [f"unique_{m}", f"cumulative_{m}"]
+        if all(c in summary.columns for c in cols):
+            out[m] = summary.select(*head, *cols)
+    return out

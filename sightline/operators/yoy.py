@@ -78,6 +78,15 @@ _MAIN = {
 }
 
 
+def yoy_summary(
+    combined: DataFrame, period_col: str = "week", label_col: str = "week_number", baseline: str = "first"
+) -> DataFrame:
+    """Year-over-year columns on an already combined per-period table (e.g.
+    ``period_summary`` of users, species and observations: no joins)."""
+    adjusted = year_adjusted(combined, _MAIN, period_col, ("year",), baseline)
+    return keep_first_per_label(adjusted, label_col, ("year",), period_col)
+
+
 def yoy_metrics(
     users: DataFrame,
     species: DataFrame,
@@ -88,9 +97,7 @@ def yoy_metrics(
 ) -> DataFrame:
     """Combined users/species/observations with starting_* and
     year_adjusted_* columns, one row per (label, year)."""
-    combined = combine_metrics(users, species, observations, period_col)
-    adjusted = year_adjusted(combined, _MAIN, period_col, ("year",), baseline)
-    return keep_first_per_label(adjusted, label_col, ("year",), period_col)
+    return yoy_summary(combine_metrics(users, species, observations, period_col), period_col, label_col, baseline)
 
 
 def yoy_species(

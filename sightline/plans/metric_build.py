@@ -16,15 +16,11 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import name_key
 from sightline.operators.by_species import weekly_by_species
-from sightline.operators.period_metrics import period_summary
+from sightline.operators.period_metrics import period_summary, split_summary
 from sightline.sources.metrics_io import write_metrics
 
 _PERIOD_NAMES = {"week": "weekly", "day": "daily"}
-_SPLIT = {
-    "users": ["new_users", "unique_users", "cumulative_users"],
-    "species": ["new_species", "unique_species", "cumulative_species"],
-    "observations": ["unique_observations", "cumulative_observations"],
-}
+_METRICS = ("users", "species", "observations")
 
 
 def write_fact(raw: DataFrame, path: str) -> DataFrame:
@@ -74,12 +70,10 @@ def build_metrics(
     for grain in grains:
         period = _PERIOD_NAMES[grain]
         summary_path = f"{out_root}/{period}_summary"
-        period_summary(fact, list(_SPLIT), grain, as_of=as_of, start=start, end=end).write.mode(
+        period_summary(fact, _METRICS, grain, as_of=as_of, start=start, end=end).write.mode(
             "overwrite"
         ).parquet(summary_path)
-        summary = spark.read.parquet(summary_path)
-        head = summary.columns[:4]
-        tables = {name: summary.select(*head, *cols) for name, cols in _SPLIT.items()}
+        tables = split_summary(spark.read.parquet(summary_path), grain)
         if grain == "week":
             tables["by_species"] = weekly_by_species(fact, tracked_names, as_of=as_of, start=start, end=end)
         for name, path in write_metrics(tables, out_root, period, fmt=fmt).items():

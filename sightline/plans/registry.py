@@ -62,9 +62,14 @@ for _grain, _prefix in (("week", "weekly"), ("day", "daily")):
         register(f"{_prefix}_{_metric_name}")(_metric(_metric_name, _grain))
 
 
+def _weekly_summary(spark, sf_dir):
+    """Users, species and observations per week from one fact pass."""
+    return pm.period_summary(_obs(spark, sf_dir), ("users", "species", "observations"), "week", **CAL)
+
+
 def _weekly_three(spark, sf_dir):
-    obs = _obs(spark, sf_dir)
-    return tuple(pm.period_metrics(obs, m, "week", **CAL) for m in ("users", "species", "observations"))
+    parts = pm.split_summary(_weekly_summary(spark, sf_dir))
+    return parts["users"], parts["species"], parts["observations"]
 
 
 def _by_species(spark, sf_dir):
@@ -219,7 +224,7 @@ def q_as_of_filter(spark, sf_dir):
 
 @register("min_year_filter")
 def q_min_year_filter(spark, sf_dir):
-    return series.min_year_filter(yoy.yoy_metrics(*_weekly_three(spark, sf_dir)), 1998)
+    return series.min_year_filter(yoy.yoy_summary(_weekly_summary(spark, sf_dir)), 1998)
 
 
 @register("single_name_filter")
@@ -278,8 +283,7 @@ def q_subtract_baseline(spark, sf_dir):
 
 @register("drop_helper")
 def q_drop_helper(spark, sf_dir):
-    combined = yoy.combine_metrics(*_weekly_three(spark, sf_dir))
-    return combined.selectExpr(
+    return _weekly_summary(spark, sf_dir).selectExpr(
         "week",
         "year",
         "week_number",
@@ -504,7 +508,7 @@ def q_union_by_name(spark, sf_dir):
 
 @register("yoy_metrics")
 def q_yoy_metrics(spark, sf_dir):
-    return yoy.yoy_metrics(*_weekly_three(spark, sf_dir))
+    return yoy.yoy_summary(_weekly_summary(spark, sf_dir))
 
 
 @register("yoy_species")
@@ -514,12 +518,12 @@ def q_yoy_species(spark, sf_dir):
 
 @register("metric_series")
 def q_metric_series(spark, sf_dir):
-    return series.metric_series(yoy.yoy_metrics(*_weekly_three(spark, sf_dir)), dt.MIN_CHART_YEAR)
+    return series.metric_series(yoy.yoy_summary(_weekly_summary(spark, sf_dir)), dt.MIN_CHART_YEAR)
 
 
 @register("series_by_year")
 def q_series_by_year(spark, sf_dir):
-    yoy_table = yoy.yoy_metrics(*_weekly_three(spark, sf_dir))
+    yoy_table = yoy.yoy_summary(_weekly_summary(spark, sf_dir))
     return series.series_by_year(yoy_table, "week_number", "year_adjusted_cumulative_users", years=None)
 
 

@@ -28,7 +28,6 @@ QUERIES: dict[str, Query] = {}
 
 CAL = dict(as_of=dt.AS_OF, start=dt.CAL_START, end=dt.CAL_END)
 RAW_COLS = [f.name for f in RAW_OBSERVATION.fields]
-OBS_COLS = RAW_COLS + ["quality_grade"]
 
 
 def register(name: str):

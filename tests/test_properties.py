@@ -29,14 +29,30 @@ def monday(d):
     return d - dt.timedelta(days=d.weekday())
 
 
+PERIOD = {
+    "day": lambda d: d,
+    "week": monday,
+    "month": lambda d: d.replace(day=1),
+    "quarter": lambda d: dt.date(d.year, 3 * ((d.month - 1) // 3) + 1, 1),
+}
+PCOL = {"day": "date", "week": "week", "month": "month", "quarter": "quarter"}
+
+
+def next_period(p, grain):
+    if grain in ("day", "week"):
+        return p + dt.timedelta(days=1 if grain == "day" else 7)
+    months = 1 if grain == "month" else 3
+    m = p.month - 1 + months
+    return dt.date(p.year + m // 12, m % 12 + 1, 1)
+
+
 def brute_force(data, grain, as_of):
-    period = monday if grain == "week" else (lambda d: d)
-    step = dt.timedelta(days=7 if grain == "week" else 1)
+    period = PERIOD[grain]
     cal, p = [], period(START)
     while p <= period(END):
         if p <= as_of:
             cal.append(p)
-        p += step
+        p = next_period(p, grain)
     dated = [r for r in data if r[1] is not None]
     first = {}
     for kind, idx in (("users", 2), ("species", 3)):
@@ -61,14 +77,18 @@ def brute_force(data, grain, as_of):
     return out
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(data=rows, grain=st.sampled_from(["week", "day"]), as_of=st.dates(dt.date(2019, 6, 1), dt.date(2021, 12, 31)))
+@settings(max_examples=16, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    data=rows,
+    grain=st.sampled_from(["week", "day", "month", "quarter"]),
+    as_of=st.dates(dt.date(2019, 6, 1), dt.date(2021, 12, 31)),
+)
 def test_period_summary_matches_brute_force(spark, data, grain, as_of):
     records = [(i, None, d, None, u, None, None, None, t, None, None) for i, d, u, t in data]
     obs = spark.createDataFrame(records, RAW_OBSERVATION)
     got = pm.period_summary(obs, grain=grain, as_of=as_of, start=START, end=END).collect()
     expected = brute_force(data, grain, as_of)
-    pcol = "week" if grain == "week" else "date"
+    pcol = PCOL[grain]
     assert sorted(r[pcol] for r in got) == sorted(expected)
     for r in got:
         want = expected[r[pcol]]

@@ -19,7 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import PERIOD_COLUMNS, check_grain, period_end, period_start
@@ -32,6 +34,11 @@ from sightline.operators.calendar import (
     period_calendar,
 )
 
+# Per-period aggregates are broadcast onto the calendar when the calendar is
+# known to have at most this many periods (they hold at most one row per
+# calendar period once restricted to it); otherwise AQE decides at runtime.
+BROADCAST_PERIOD_LIMIT = 1_000_000
+
 # metric name -> (entity column, whether "new" is defined)
 METRICS = {
     "users": ("user_id", True),
@@ -118,6 +125,19 @@ def new_per_period(
     return new_from_pairs(entity_period_pairs(obs, metrics, grain, date_col), metrics, pcol)
 
 
+def literal_period_count(start: DateLike, end: DateLike, grain: str) -> int | None:
+    """Number of calendar periods between literal bounds (None if either
+    bound is a column or missing)."""
+    if start is None or end is None or isinstance(start, Column) or isinstance(end, Column):
+        return None
+    lo, hi = dt.date.fromisoformat(str(start)), dt.date.fromisoformat(str(end))
+    days = (hi - lo).days
+    if days < 0:
+        return 0
+    per = {"day": 1, "week": 7, "month": 28, "quarter": 90}[grain]
+    return days // per + 2
+
+
 def upto_cutoff(
     obs: DataFrame, grain: str, as_of: DateLike = None, end: DateLike = None, date_col: str = "observed_on"
 ) -> DataFrame:
@@ -166,11 +186,17 @@ def period_summary(
         bounds = override_bounds(date_bounds(obs, date_col), start, end)
 
     pairs = entity_period_pairs(upto_cutoff(obs, grain, as_of, end, date_col), metrics, grain, date_col)
-    out = period_calendar(bounds, grain, as_of, reconcile_years).join(
-        unique_from_pairs(pairs, metrics, pcol), pcol, "left"
-    )
+    aggregates = [unique_from_pairs(pairs, metrics, pcol)]
     if any(METRICS[m][1] for m in metrics):
-        out = out.join(new_from_pairs(pairs, metrics, pcol), pcol, "left")
+        aggregates.append(new_from_pairs(pairs, metrics, pcol))
+
+    n_periods = literal_period_count(start, end, grain)
+    out = period_calendar(bounds, grain, as_of, reconcile_years)
+    for agg in aggregates:
+        if n_periods is not None and n_periods <= BROADCAST_PERIOD_LIMIT:
+            # restricted to the calendar, the aggregate has <= n_periods rows
+            agg = F.broadcast(agg.where(F.col(pcol) >= period_start(as_date_col(start), grain)))
+        out = out.join(agg, pcol, "left")
 
     w = Window.orderBy(pcol).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cols = [F.col(pcol), F.col("year"), F.col("start_of_year"), F.col(label)]

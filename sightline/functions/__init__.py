@@ -15,6 +15,7 @@ from sightline.functions.calendar import (  # noqa: F401
 )
 from sightline.functions.text import (  # noqa: F401
     name_key,
+    ntz_literal,
     to_date_or_null,
     to_utc_timestamp_ntz,
 )

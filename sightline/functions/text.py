@@ -30,3 +30,10 @@ def to_utc_timestamp_ntz(c: Column | str) -> Column:
 def name_key(c: Column | str) -> Column:
     """Case-insensitive key for scientific names."""
     return F.lower(_col(c))
+
+
+def ntz_literal(value) -> Column:
+    """A zone-free timestamp literal (``datetime`` or ISO text). Built from
+    text so the session time zone cannot shift it."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import week_start
+from sightline.functions.text import ntz_literal
 from sightline.operators import audit, by_species, calendar, events, first_seen, ingest, series, yoy
 from sightline.operators import period_metrics as pm
 from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
@@ -335,7 +336,7 @@ def q_combine_metrics(spark, sf_dir):
 
 def _existing(spark, sf_dir):
     obs = _obs(spark, sf_dir, names=True)
-    return obs.where(F.col("created_at") < F.lit(dt.INGEST_CUT).cast("timestamp_ntz")), obs
+    return obs.where(F.col("created_at") < ntz_literal(dt.INGEST_CUT)), obs
 
 
 def _increment(spark, sf_dir):
@@ -496,7 +497,7 @@ def q_preview_limit(spark, sf_dir):
 @register("union_by_name")
 def q_union_by_name(spark, sf_dir):
     obs = _obs(spark, sf_dir)
-    cut = F.lit(dt.INGEST_CUT).cast("timestamp_ntz")
+    cut = ntz_literal(dt.INGEST_CUT)
     old = obs.where(F.col("created_at") < cut).select("id", "user_id", "taxon_id", "observed_on", "created_at")
     new = obs.where(F.col("created_at") >= cut).select("created_at", "observed_on", "taxon_id", "user_id", "id")
     return old.unionByName(new)

@@ -63,12 +63,19 @@ def weekly_by_species(
     end: DateLike = None,
     reconcile_years=None,
     date_col: str = "observed_on",
+    densify: bool = False,
 ) -> DataFrame:
     """Weekly distinct observations per tracked species and their running total.
 
-    Sparse: only weeks in which the species was seen. The running total is
-    partitioned by species and runs over that species' weeks only, so a
-    popular species costs one small partition, never a fact-sized one.
+    Sparse by default: only weeks in which the species was seen. With
+    ``densify`` every species gets every calendar week from ``start`` to
+    ``min(end, as_of)`` (zero when unseen); each species row expands into its
+    own week sequence, so this is a per-row generator, not a cross join, and
+    its output is exactly the dense table asked for.
+
+    The running total is partitioned by species and runs over that species'
+    weeks only, so a popular species costs one small partition, never a
+    fact-sized one.
     """
     counts = observations_per_period_species(upto_cutoff(obs, "week", as_of, end, date_col), names, "week", date_col)
     cutoff = as_date_col(as_of) if as_of is not None else F.current_date()
@@ -77,6 +84,26 @@ def weekly_by_species(
         counts = counts.where(F.col("week") >= period_start(as_date_col(start), "week"))
     if end is not None:
         counts = counts.where(F.col("week") <= as_date_col(end))
+    if densify:
+        if start is None or end is None:
+            raise ValueError("densify needs explicit start and end")
+        last = F.least(as_date_col(end), cutoff)
+        species = counts.groupBy("taxon_id", "scientific_name").agg(F.min("common_name").alias("_name"))
+        grid = species.select(
+            "taxon_id",
+            "scientific_name",
+            "_name",
+            F.explode(
+                F.sequence(period_start(as_date_col(start), "week"), period_start(last, "week"), F.expr("INTERVAL 7 DAYS"))
+            ).alias("week"),
+        )
+        counts = grid.join(counts, ["taxon_id", "scientific_name", "week"], "left").select(
+            "taxon_id",
+            "scientific_name",
+            F.coalesce("common_name", "_name").alias("common_name"),
+            "week",
+            F.coalesce("observations", F.lit(0)).cast("bigint").alias("observations"),
+        )
     w = (
         Window.partitionBy("taxon_id", "scientific_name")
         .orderBy("week")

@@ -82,3 +82,22 @@ def test_series_long_form(spark):
     assert long.count() == 16 * weeks_2019_plus
     pts = series.series_by_year(table, "week_number", "cumulative_users", years=[2020]).collect()
     assert {p.series_year for p in pts} == {2020} and isinstance(pts[0].week_number, int)
+
+
+def test_densify_gives_every_species_every_week(spark):
+    obs = make_obs(spark, BOUNDARY)
+    cal = dict(as_of="2020-12-31", start="2018-01-01", end="2026-12-31")
+    sparse = by_species.weekly_by_species(obs, ["red plate", "old rod"], **cal)
+    dense = by_species.weekly_by_species(obs, ["red plate", "old rod"], densify=True, **cal).collect()
+    n_weeks = len({r.week for r in dense})
+    assert n_weeks == (dt.date(2020, 12, 28) - dt.date(2018, 1, 1)).days // 7 + 1
+    sparse_rows = sparse.collect()
+    keys = {(r.taxon_id, r.scientific_name) for r in sparse_rows}
+    assert len(keys) == 3  # 'old rod' is seen under two taxa
+    assert len(dense) == len(keys) * n_weeks
+    seen = {(r.taxon_id, r.scientific_name, r.week): r for r in sparse_rows}
+    for r in dense:
+        hit = seen.get((r.taxon_id, r.scientific_name, r.week))
+        assert r.observations == (hit.observations if hit else 0)
+    last = max((r for r in dense if r.taxon_id == 100), key=lambda r: r.week)
+    assert last.cumulative_observations == sum(h.observations for (t, _, _), h in seen.items() if t == 100)

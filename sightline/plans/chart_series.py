@@ -9,13 +9,14 @@ from pyspark.sql import SparkSession
 from sightline.operators.series import DEFAULT_MIN_YEAR, metric_series, species_series
 from sightline.operators.yoy import yoy_metrics, yoy_species
 from sightline.sources.metrics_io import read_metrics
+from sightline.tracked_species import ALL_TRACKED
 
 
 def build_series(
     spark: SparkSession,
     metrics_root: str,
     out_root: str,
-    tracked_names: Iterable[str] | None = None,
+    tracked_names: Iterable[str] | None = ALL_TRACKED,
     min_year: int | None = DEFAULT_MIN_YEAR,
     fmt: str = "parquet",
 ) -> dict[str, str]:

@@ -18,6 +18,7 @@ from sightline.functions.text import name_key
 from sightline.operators.by_species import weekly_by_species
 from sightline.operators.period_metrics import period_summary, split_summary
 from sightline.sources.metrics_io import write_metrics
+from sightline.tracked_species import ALL_TRACKED
 
 _PERIOD_NAMES = {"week": "weekly", "day": "daily"}
 _METRICS = ("users", "species", "observations")
@@ -49,7 +50,7 @@ def build_metrics(
     spark: SparkSession,
     raw: DataFrame,
     out_root: str,
-    tracked_names: Iterable[str],
+    tracked_names: Iterable[str] = ALL_TRACKED,
     *,
     as_of=None,
     start=None,

@@ -1,27 +1,27 @@
 """New / unique / cumulative counts per calendar period.
 
 One generic operator covers users, species (taxa) and observations at any
-grain. The fact is read and shuffled once: it is reduced to the distinct
-``(period, metric, entity)`` triples, and both per-period aggregates come
-from that one table (Spark reuses its shuffle for the two branches):
+grain. The fact is stacked once into ``(period, metric, entity)`` rows, and
+two small aggregates are taken from them, never a fact-sized join:
 
-* unique_X(p)  = triples of X in p
-* new_X(p)     = X whose earliest triple is in p (min period per entity)
+* unique_X(p)  = distinct (p, X) pairs of the metric    (one distinct
+                 aggregation for all metrics: shuffle on (period, m, entity))
+* new_X(p)     = entities whose minimum period is p       (one min
+                 aggregation per (m, entity), then a count per period)
 * cumulative_X = running sum of new_X (of unique_X for observations)
 
-A hot user or taxon collapses to one triple per period before the shuffle.
-Both aggregates have at most one row per period; they are joined onto the
-calendar (one row per period up to ``as_of``), zero-filled, and the running
-sum is a window over that calendar, never over facts.
+Both aggregations combine map-side first, so a user or taxon holding a third
+of all rows collapses to one row per task (per period for the distinct)
+before any shuffle. Each aggregate has at most one row per period; they are
+joined onto the calendar (one row per period up to ``as_of``), zero-filled,
+and the running sum is a window over that calendar, never over facts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-import datetime as dt
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import PERIOD_COLUMNS, check_grain, period_end, period_start
@@ -34,11 +34,6 @@ from sightline.operators.calendar import (
     period_calendar,
 )
 
-# Per-period aggregates are broadcast onto the calendar when the calendar is
-# known to have at most this many periods (they hold at most one row per
-# calendar period once restricted to it); otherwise AQE decides at runtime.
-BROADCAST_PERIOD_LIMIT = 1_000_000
-
 # metric name -> (entity column, whether "new" is defined)
 METRICS = {
     "users": ("user_id", True),
@@ -68,12 +63,12 @@ def running_total(
     return df.withColumn(out_col, F.sum(value_col).over(w))
 
 
-def entity_period_pairs(
+def entity_rows(
     obs: DataFrame, metrics: Sequence[str], grain: str = "week", date_col: str = "observed_on"
 ) -> DataFrame:
-    """Distinct ``(period, m, value)``: entity ``value`` of metric number ``m``
-    (index into ``metrics``) was observed in ``period``. Null dates and null
-    entities take no part, as in a distinct count."""
+    """``(period, m, value)`` per observation and metric: entity ``value`` of
+    metric number ``m`` (index into ``metrics``) was observed in ``period``.
+    Null dates and null entities take no part, as in a distinct count."""
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
     args = ", ".join(f"{i}, `{METRICS[m][0]}`" for i, m in enumerate(metrics))
     d = F.col(date_col)
@@ -81,28 +76,28 @@ def entity_period_pairs(
         obs.where(d.isNotNull())
         .select(period_start(d, grain).alias(pcol), F.expr(f"stack({len(metrics)}, {args}) AS (m, value)"))
         .where(F.col("value").isNotNull())
-        .distinct()
     )
 
 
+def entity_period_pairs(
+    obs: DataFrame, metrics: Sequence[str], grain: str = "week", date_col: str = "observed_on"
+) -> DataFrame:
+    """Distinct ``(period, m, value)``."""
+    return entity_rows(obs, metrics, grain, date_col).distinct()
+
+
 def unique_from_pairs(pairs: DataFrame, metrics: Sequence[str], pcol: str) -> DataFrame:
     return pairs.groupBy(pcol).agg(
         *[F.count_if(F.col("m") == i).alias(f"unique_{m}") for i, m in enumerate(metrics)]
     )
 
 
-def new_from_pairs(pairs: DataFrame, metrics: Sequence[str], pcol: str) -> DataFrame:
+def new_from_rows(rows: DataFrame, metrics: Sequence[str], pcol: str) -> DataFrame:
+    """First period per (metric, entity), counted per period. ``rows`` may
+    repeat: a minimum ignores duplicates."""
     with_new = [i for i, m in enumerate(metrics) if METRICS[m][1]]
-    keyed = pairs
-    if len(with_new) < len(metrics):
-        # Entities of metrics without "new" collapse to one null key each. A
-        # projection, not a filter: a filter would be pushed below the shared
-        # distinct and stop Spark from reusing its shuffle.
-        keyed = pairs.select(pcol, "m", F.when(F.col("m").isin(with_new), F.col("value")).alias("value"))
-    firsts = keyed.groupBy("m", "value").agg(F.min(pcol).alias(pcol))
-    return firsts.groupBy(pcol).agg(
-        *[F.count_if((F.col("m") == i) & F.col("value").isNotNull()).alias(f"new_{metrics[i]}") for i in with_new]
-    )
+    firsts = rows.where(F.col("m").isin(with_new)).groupBy("m", "value").agg(F.min(pcol).alias(pcol))
+    return firsts.groupBy(pcol).agg(*[F.count_if(F.col("m") == i).alias(f"new_{metrics[i]}") for i in with_new])
 
 
 def unique_per_period(
@@ -122,20 +117,7 @@ def new_per_period(
     if not metrics:
         raise ValueError("'new' is defined for users and species only")
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    return new_from_pairs(entity_period_pairs(obs, metrics, grain, date_col), metrics, pcol)
-
-
-def literal_period_count(start: DateLike, end: DateLike, grain: str) -> int | None:
-    """Number of calendar periods between literal bounds (None if either
-    bound is a column or missing)."""
-    if start is None or end is None or isinstance(start, Column) or isinstance(end, Column):
-        return None
-    lo, hi = dt.date.fromisoformat(str(start)), dt.date.fromisoformat(str(end))
-    days = (hi - lo).days
-    if days < 0:
-        return 0
-    per = {"day": 1, "week": 7, "month": 28, "quarter": 90}[grain]
-    return days // per + 2
+    return new_from_rows(entity_rows(obs, metrics, grain, date_col), metrics, pcol)
 
 
 def upto_cutoff(
@@ -185,17 +167,15 @@ def period_summary(
     else:
         bounds = override_bounds(date_bounds(obs, date_col), start, end)
 
-    pairs = entity_period_pairs(upto_cutoff(obs, grain, as_of, end, date_col), metrics, grain, date_col)
-    aggregates = [unique_from_pairs(pairs, metrics, pcol)]
+    rows = entity_rows(upto_cutoff(obs, grain, as_of, end, date_col), metrics, grain, date_col)
+    aggregates = [unique_from_pairs(rows.distinct(), metrics, pcol)]
     if any(METRICS[m][1] for m in metrics):
-        aggregates.append(new_from_pairs(pairs, metrics, pcol))
+        aggregates.append(new_from_rows(rows, metrics, pcol))
 
-    n_periods = literal_period_count(start, end, grain)
+    # Both aggregates have at most one row per period seen; AQE broadcasts
+    # them onto the calendar from their measured size.
     out = period_calendar(bounds, grain, as_of, reconcile_years)
     for agg in aggregates:
-        if n_periods is not None and n_periods <= BROADCAST_PERIOD_LIMIT:
-            # restricted to the calendar, the aggregate has <= n_periods rows
-            agg = F.broadcast(agg.where(F.col(pcol) >= period_start(as_date_col(start), grain)))
         out = out.join(agg, pcol, "left")
 
     w = Window.orderBy(pcol).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -67,11 +67,6 @@ def _weekly_summary(spark, sf_dir):
     return pm.period_summary(_obs(spark, sf_dir), ("users", "species", "observations"), "week", **CAL)
 
 
-def _weekly_three(spark, sf_dir):
-    parts = pm.split_summary(_weekly_summary(spark, sf_dir))
-    return parts["users"], parts["species"], parts["observations"]
-
-
 def _by_species(spark, sf_dir):
     return by_species.weekly_by_species(_obs(spark, sf_dir, names=True), dt.TRACKED_NAMES, **CAL)
 
@@ -133,14 +128,7 @@ def q_load_audit(spark, sf_dir):
 
 @register("write_metrics")
 def q_write_metrics(spark, sf_dir):
-    users, species, observations = _weekly_three(spark, sf_dir)
-    root = scratch_path(spark, "metrics")
-    metrics_io.write_metrics(
-        {"users": users, "species": species, "observations": observations, "by_species": _by_species(spark, sf_dir)},
-        root,
-        "weekly",
-        fmt="csv",
-    )
+    root = _store_weekly(spark, sf_dir, fmt="csv", with_species=True)
     return metrics_io.read_metrics(spark, root, "weekly", names=("observations",), fmt="csv")["observations"]
 
 
@@ -329,14 +317,40 @@ def q_attach_unique(spark, sf_dir):
     )
 
 
+def _store_weekly(spark, sf_dir, fmt="parquet", with_species=False):
+    """Write the weekly metric tables as a metric build does: the combined
+    summary once, then each table split from it (no recomputation)."""
+    root = scratch_path(spark, "metrics")
+    summary_path = f"{root}/weekly_summary"
+    _weekly_summary(spark, sf_dir).write.parquet(summary_path)
+    tables = pm.split_summary(spark.read.parquet(summary_path))
+    if with_species:
+        tables["by_species"] = _by_species(spark, sf_dir)
+    metrics_io.write_metrics(tables, root, "weekly", fmt=fmt)
+    return root
+
+
+def _stored_weekly_three(spark, sf_dir):
+    """The stored weekly users / species / observations tables, read back:
+    the inputs the combine step works on."""
+    m = metrics_io.read_metrics(
+        spark, _store_weekly(spark, sf_dir), "weekly", names=("users", "species", "observations")
+    )
+    return m["users"], m["species"], m["observations"]
+
+
 @register("combine_metrics")
 def q_combine_metrics(spark, sf_dir):
-    return yoy.combine_metrics(*_weekly_three(spark, sf_dir))
+    return yoy.combine_metrics(*_stored_weekly_three(spark, sf_dir))
 
 
 def _existing(spark, sf_dir):
+    """The already-ingested table (records created before the cut), stored
+    once like the observation table it stands for, and all records."""
     obs = _obs(spark, sf_dir, names=True)
-    return obs.where(F.col("created_at") < ntz_literal(dt.INGEST_CUT)), obs
+    path = scratch_path(spark, "existing")
+    obs.where(F.col("created_at") < ntz_literal(dt.INGEST_CUT)).write.parquet(path)
+    return spark.read.parquet(path), obs
 
 
 def _increment(spark, sf_dir):

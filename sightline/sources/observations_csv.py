@@ -54,16 +54,20 @@ def type_export(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_observations_csv(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+def read_observations_csv(
+    spark: SparkSession, path: str, glob: str = "*.csv", multi_line: bool = True
+) -> DataFrame:
     """All export files under ``path`` in one scan -> typed raw observations.
 
     Columns are taken by header name (an export may carry many more columns,
-    in any order; every file of one export shares the layout). The scan is
-    split by Spark across files and blocks; nothing is listed on the driver.
+    in any order; every file of one export shares the layout). Nothing is
+    listed on the driver. ``multi_line`` accepts quoted line breaks in free
+    text columns but reads each file in one task; exports without them can
+    turn it off so large files are split into blocks.
     """
     reader = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
         .option("pathGlobFilter", glob)
     )

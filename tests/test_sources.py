@@ -56,8 +56,20 @@ def test_csv_round_trip(spark, tmp_dir):
     obs = make_obs(spark, BOUNDARY)
     out = os.path.join(tmp_dir, "export")
     observations_csv.write_observations_csv(obs, out)
-    back = observations_csv.read_observations_csv(spark, out).drop("source_file")
-    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, obs.collect()), key=repr)
+    for multi_line in (True, False):
+        back = observations_csv.read_observations_csv(spark, out, multi_line=multi_line).drop("source_file")
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, obs.collect()), key=repr)
+
+
+def test_quoted_line_break_in_free_text(spark, tmp_dir):
+    _write(tmp_dir, "a.csv", [
+        HEADER + ",description",
+        '1,u1,2019-04-26,,5,,Red Plate,plate,9,Plantae,Red Plate,51.0,"first line',
+        'second line"',
+        "2,u2,2019-04-27,,6,,old rod,,10,Plantae,,51.1,plain",
+    ])
+    df = observations_csv.read_observations_csv(spark, tmp_dir)
+    assert sorted(r.id for r in df.collect()) == [1, 2]
 
 
 def test_metric_tables_round_trip_csv_and_parquet(spark, tmp_dir):

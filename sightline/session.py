@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every sightline job relies on. Time zone is pinned so that date
@@ -26,13 +27,16 @@ def build_session(
 ) -> SparkSession:
     """Create (or reuse) a session with sightline's defaults.
 
-    On a cluster leave ``master`` unset and size ``shuffle_partitions`` to the
-    data (roughly input bytes / 128 MiB); locally use the core count.
+    Settings the cluster already gives (spark-submit, spark-defaults) win
+    over sightline's defaults; explicit arguments win over both. On a
+    cluster leave ``master`` unset and size ``shuffle_partitions`` to the data
+    (roughly shuffled bytes / 128 MiB, AQE coalesces); locally use the cores.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    conf = dict(DEFAULT_CONF)
+    given = SparkConf()
+    conf = {k: v for k, v in DEFAULT_CONF.items() if not given.contains(k)}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra_conf or {})

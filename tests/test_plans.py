@@ -44,3 +44,21 @@ def test_metric_build_then_series(spark, tmp_dir):
     overall = [r for r in audit_rows if r.scope == "all"][0]
     assert overall.total_count == 6000 and overall.distinct_id_count == 4599
     assert len(previews["users"]) == 5
+
+
+def test_command_line_jobs(spark, tmp_dir, capsys):
+    from sightline.__main__ import main
+    from sightline.sources.observations_csv import write_observations_csv
+
+    export = os.path.join(tmp_dir, "export")
+    write_observations_csv(dt.observations(spark, SMOKE_DIR, with_names=True).drop("quality_grade"), export)
+    out = os.path.join(tmp_dir, "metrics")
+    main(["build-metrics", export, out, "--as-of", "2002-12-31"])
+    main(["build-charts", out, os.path.join(tmp_dir, "charts"), "--min-year", "1996"])
+    main(["check-counts", export, "--metrics", out])
+    printed = capsys.readouterr().out
+    assert "weekly_users" in printed and "'distinct_id_count': 4599" in printed
+    users = read_metrics(spark, out, "weekly", names=("users",))["users"]
+    assert _same(users, pm.weekly_users(dt.observations(spark, SMOKE_DIR), as_of=dt.AS_OF,
+                                        start=dt.CAL_START, end=dt.CAL_END))
+    assert not spark.sparkContext._jsc.sc().isStopped()

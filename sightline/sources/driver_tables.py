@@ -86,3 +86,23 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("taxon_kingdom_name").alias("iconic_taxon_name"),
         ).alias("taxon"),
     )
+
+
+def event_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as observations: one per event, the event type as
+    the taxon (its CRC-32 as the id, the type as the name). A dense, short
+    range (about a month): the daily-metrics case."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        F.col("event_id").alias("id"),
+        F.lit(None).cast("string").alias("uuid"),
+        F.col("ts").cast("date").alias("observed_on"),
+        F.col("ts").alias("time_observed_at"),
+        F.col("user_id"),
+        F.col("ts").alias("created_at"),
+        F.col("event_type").alias("scientific_name"),
+        F.lit(None).cast("string").alias("common_name"),
+        F.crc32(F.col("event_type").cast("binary")).alias("taxon_id"),
+        F.lit(None).cast("string").alias("taxon_kingdom_name"),
+        F.col("event_type").alias("taxon_species_name"),
+    )

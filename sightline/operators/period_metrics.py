@@ -151,6 +151,8 @@ def period_summary(
     end: DateLike = None,
     reconcile_years: Iterable[int] | None = None,
     date_col: str = "observed_on",
+    approx: bool = False,
+    rsd: float = 0.01,
 ) -> DataFrame:
     """Gap-free per-period metrics for one or more of users/species/observations.
 
@@ -158,6 +160,11 @@ def period_summary(
     from the data (whole years, one extra on each side), which costs one
     min/max pass over the date column. It stops at ``as_of`` (today when
     omitted).
+
+    ``approx=True`` estimates the unique counts with HyperLogLog++ sketches
+    (relative standard deviation ``rsd``): each task sends one small sketch
+    per period instead of its distinct (period, entity) pairs. New and
+    cumulative counts stay exact; cumulative observations then sum estimates.
     """
     metrics = _check(metrics)
     pcol, label = PERIOD_COLUMNS[check_grain(grain)]
@@ -167,8 +174,17 @@ def period_summary(
     else:
         bounds = override_bounds(date_bounds(obs, date_col), start, end)
 
-    rows = entity_rows(upto_cutoff(obs, grain, as_of, end, date_col), metrics, grain, date_col)
-    aggregates = [unique_from_pairs(rows.distinct(), metrics, pcol)]
+    kept = upto_cutoff(obs, grain, as_of, end, date_col)
+    rows = entity_rows(kept, metrics, grain, date_col)
+    if approx:
+        unique = (
+            kept.where(F.col(date_col).isNotNull())
+            .groupBy(period_start(date_col, grain).alias(pcol))
+            .agg(*[F.approx_count_distinct(METRICS[m][0], rsd).alias(f"unique_{m}") for m in metrics])
+        )
+    else:
+        unique = unique_from_pairs(rows.distinct(), metrics, pcol)
+    aggregates = [unique]
     if any(METRICS[m][1] for m in metrics):
         aggregates.append(new_from_rows(rows, metrics, pcol))
 

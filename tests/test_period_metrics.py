@@ -79,3 +79,19 @@ def test_metric_set_costs_two_fact_aggregations(spark):
         final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert final.count("FileScan parquet [l_orderkey") == 2, metrics
         assert "SortMergeJoin" not in final
+
+
+def test_approx_unique_counts_close_and_new_exact(spark):
+    from sightline.sources import driver_tables
+    from tests.conftest import SMOKE_DIR
+
+    obs = driver_tables.observations(spark, SMOKE_DIR)
+    cal = dict(as_of="2002-12-31", start="1994-01-01", end="2002-12-31")
+    exact = {r.week: r for r in pm.period_summary(obs, **cal).collect()}
+    approx = {r.week: r for r in pm.period_summary(obs, approx=True, rsd=0.01, **cal).collect()}
+    assert exact.keys() == approx.keys()
+    for week, e in exact.items():
+        a = approx[week]
+        assert (a.new_users, a.cumulative_users, a.new_species) == (e.new_users, e.cumulative_users, e.new_species)
+        for col in ("unique_users", "unique_species", "unique_observations"):
+            assert abs(a[col] - e[col]) <= max(2, 0.05 * e[col]), (week, col)

@@ -1,20 +1,24 @@
 """New / unique / cumulative counts per calendar period.
 
 One generic operator covers users, species (taxa) and observations at any
-grain. The fact is stacked once into ``(period, metric, entity)`` rows, and
-two small aggregates are taken from them, never a fact-sized join:
+grain. Every count comes from one pass over the fact and one fact-sized
+aggregation, never a fact-sized join:
 
-* unique_X(p)  = distinct (p, X) pairs of the metric    (one distinct
-                 aggregation for all metrics: shuffle on (period, m, entity))
-* new_X(p)     = entities whose minimum period is p       (one min
-                 aggregation per (m, entity), then a count per period)
+* unique_X(p)  = distinct (p, X) pairs of the metric
+* new_X(p)     = entities whose minimum period is p
 * cumulative_X = running sum of new_X (of unique_X for observations)
 
-Both aggregations combine map-side first, so a user or taxon holding a third
-of all rows collapses to one row per task (per period for the distinct)
-before any shuffle. Each aggregate has at most one row per period; they are
-joined onto the calendar (one row per period up to ``as_of``), zero-filled,
-and the running sum is a window over that calendar, never over facts.
+Each observation is expanded into one "active" row per metric and one
+"first" row per metric that has a "new" count. A single aggregation keyed by
+(kind, metric, entity, period of active rows) yields the distinct pairs and
+each entity's first period side by side; a second, period-keyed aggregation
+over that result counts both. The first aggregation combines map-side, so a
+user or taxon holding a third of all rows collapses to one row per task (per
+period for active rows) before the shuffle, and its active rows are spread
+over the periods. The per-period result has at most one row per period; it
+is joined onto the calendar (one row per period up to ``as_of``),
+zero-filled, and the running sum is a window over that calendar, never over
+facts.
 """
 
 from __future__ import annotations
@@ -120,6 +124,43 @@ def new_per_period(
     return new_from_rows(entity_rows(obs, metrics, grain, date_col), metrics, pcol)
 
 
+def period_counts(
+    obs: DataFrame, metrics: Iterable[str], grain: str = "week", date_col: str = "observed_on"
+) -> DataFrame:
+    """``unique_X`` (and ``new_X`` for users and species) per period, sparse,
+    from one scan of ``obs``.
+
+    Kind 0 rows are grouped by (metric, entity, period): the distinct pairs.
+    Kind 1 rows are grouped by (metric, entity) only, keeping the minimum
+    period: the first-seen period. Both kinds go through the same
+    aggregation and the same shuffle, so the fact is read once.
+    """
+    metrics = _check(metrics)
+    pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
+    items = []
+    for i, m in enumerate(metrics):
+        col, has_new = METRICS[m]
+        items.append(f"0, {i}, `{col}`")
+        if has_new:
+            items.append(f"1, {i}, `{col}`")
+    d = F.col(date_col)
+    rows = (
+        obs.where(d.isNotNull())
+        .select(period_start(d, grain).alias(pcol), F.expr(f"stack({len(items)}, {', '.join(items)}) AS (k, m, value)"))
+        .where(F.col("value").isNotNull())
+    )
+    keyed = rows.groupBy("k", "m", "value", F.when(F.col("k") == 0, F.col(pcol)).alias("active")).agg(
+        F.min(pcol).alias(pcol)
+    )
+    k, m_ = F.col("k"), F.col("m")
+    counts = []
+    for i, m in enumerate(metrics):
+        if METRICS[m][1]:
+            counts.append(F.count_if((k == 1) & (m_ == i)).alias(f"new_{m}"))
+        counts.append(F.count_if((k == 0) & (m_ == i)).alias(f"unique_{m}"))
+    return keyed.groupBy(pcol).agg(*counts)
+
+
 def upto_cutoff(
     obs: DataFrame, grain: str, as_of: DateLike = None, end: DateLike = None, date_col: str = "observed_on"
 ) -> DataFrame:
@@ -175,21 +216,20 @@ def period_summary(
         bounds = override_bounds(date_bounds(obs, date_col), start, end)
 
     kept = upto_cutoff(obs, grain, as_of, end, date_col)
-    rows = entity_rows(kept, metrics, grain, date_col)
     if approx:
         unique = (
             kept.where(F.col(date_col).isNotNull())
             .groupBy(period_start(date_col, grain).alias(pcol))
             .agg(*[F.approx_count_distinct(METRICS[m][0], rsd).alias(f"unique_{m}") for m in metrics])
         )
+        aggregates = [unique]
+        if any(METRICS[m][1] for m in metrics):
+            aggregates.append(new_from_rows(entity_rows(kept, metrics, grain, date_col), metrics, pcol))
     else:
-        unique = unique_from_pairs(rows.distinct(), metrics, pcol)
-    aggregates = [unique]
-    if any(METRICS[m][1] for m in metrics):
-        aggregates.append(new_from_rows(rows, metrics, pcol))
+        aggregates = [period_counts(kept, metrics, grain, date_col)]
 
-    # Both aggregates have at most one row per period seen; AQE broadcasts
-    # them onto the calendar from their measured size.
+    # Each aggregate has at most one row per period seen; AQE broadcasts
+    # it onto the calendar from its measured size.
     out = period_calendar(bounds, grain, as_of, reconcile_years)
     for agg in aggregates:
         out = out.join(agg, pcol, "left")

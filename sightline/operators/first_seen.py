@@ -26,14 +26,21 @@ def first_seen(obs: DataFrame, key: str, date_col: str = "observed_on") -> DataF
 
 
 def first_seen_all(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
-    """Users and taxa in one table: ``(entity, entity_id, first_date, first_week)``."""
-    parts = [
-        first_seen(obs, key, date_col).select(
-            F.lit(name).alias("entity"), F.col(key).alias("entity_id"), "first_date", "first_week"
-        )
-        for name, key in _ENTITIES.items()
-    ]
-    return parts[0].unionByName(parts[1])
+    """Users and taxa in one table: ``(entity, entity_id, first_date, first_week)``.
+
+    One scan and one aggregation for both: each observation yields a
+    ``(user, user_id)`` and a ``(taxon, taxon_id)`` row, grouped by
+    (entity, id).
+    """
+    pairs = ", ".join(f"'{name}', `{key}`" for name, key in _ENTITIES.items())
+    return (
+        obs.where(F.col(date_col).isNotNull())
+        .select(F.col(date_col), F.expr(f"stack({len(_ENTITIES)}, {pairs}) AS (entity, entity_id)"))
+        .where(F.col("entity_id").isNotNull())
+        .groupBy("entity", "entity_id")
+        .agg(F.min(date_col).alias("first_date"))
+        .withColumn("first_week", week_start("first_date"))
+    )
 
 
 def attach_first_seen(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:

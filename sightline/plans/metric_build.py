@@ -24,16 +24,26 @@ _PERIOD_NAMES = {"week": "weekly", "day": "daily"}
 _METRICS = ("users", "species", "observations")
 
 
-def write_fact(raw: DataFrame, path: str) -> DataFrame:
+def write_fact(raw: DataFrame, path: str, rebalance: bool = True) -> DataFrame:
     """Persist the raw observations as the fact table and return it re-read.
 
     Partitioned by observation year (date filters prune whole folders) and
     carrying the lower-cased scientific name, so name filters are pushed to
     the scan instead of evaluating ``lower()`` on every row.
+
+    Written straight from the scan, every input task would write one file
+    per year it touches (input tasks x years files). ``rebalance`` shuffles
+    the rows by year first and lets AQE cut each year into partitions of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes``: right-sized files,
+    and a year holding most of the data is split over many tasks rather than
+    given to one. Rows within a file are sorted by date, so the row-group
+    statistics make date filters (``as_of``) skip row groups too.
     """
     fact = raw.withColumn("observed_year", F.year("observed_on"))
     if "scientific_name" in raw.columns:
         fact = fact.withColumn("scientific_name_key", name_key("scientific_name"))
+    if rebalance:
+        fact = fact.hint("rebalance", "observed_year").sortWithinPartitions("observed_year", "observed_on")
     fact.write.mode("overwrite").partitionBy("observed_year").parquet(path)
     return raw.sparkSession.read.parquet(path)
 

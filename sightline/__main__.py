@@ -1,6 +1,6 @@
 """Command line for the four jobs.
 
-    python -m sightline build-metrics EXPORT_DIR OUT_ROOT [--as-of D] [--csv]
+    python -m sightline build-metrics EXPORT_DIR OUT_ROOT [--as-of D] [--csv] [--single-line]
     python -m sightline build-charts  OUT_ROOT CHART_ROOT [--min-year Y]
     python -m sightline check-counts  EXPORT_DIR [--metrics OUT_ROOT]
     python -m sightline ingest        PAGES_DIR TABLE [--path P] [--backfill]
@@ -28,6 +28,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("out_root")
     p.add_argument("--as-of", default=None)
     p.add_argument("--csv", action="store_true", help="write metric tables as CSV with header")
+    p.add_argument(
+        "--single-line",
+        action="store_true",
+        help="exports have no quoted line breaks: split large files into blocks instead of one task per file",
+    )
 
     p = sub.add_parser("build-charts", help="metric tables -> long-form chart series")
     p.add_argument("metrics_root")
@@ -52,7 +57,7 @@ def main(argv: list[str] | None = None) -> None:
         from sightline.plans.metric_build import build_metrics
         from sightline.sources.observations_csv import read_observations_csv
 
-        raw = read_observations_csv(spark, args.export_dir)
+        raw = read_observations_csv(spark, args.export_dir, multi_line=not args.single_line)
         paths = build_metrics(spark, raw, args.out_root, as_of=args.as_of, fmt="csv" if args.csv else "parquet")
         print(json.dumps(paths, indent=2))
     elif args.cmd == "build-charts":

@@ -97,3 +97,33 @@ def test_approx_unique_counts_close_and_new_exact(spark):
         assert (a.new_users, a.cumulative_users, a.new_species) == (e.new_users, e.cumulative_users, e.new_species)
         for col in ("unique_users", "unique_species", "unique_observations"):
             assert abs(a[col] - e[col]) <= max(2, 0.05 * e[col]), (week, col)
+
+
+def test_hot_user_exact_and_combined_map_side(spark):
+    """One user holds 40% of all rows, spread over every input partition:
+    counts stay exact, and the keyed aggregation combines per task before
+    its shuffle (partial_min below the exchange)."""
+    n = 4000
+    obs = (
+        spark.range(n, numPartitions=16)
+        .select(
+            F.col("id"),
+            F.date_add(F.lit("2019-01-01").cast("date"), (F.col("id") % 700).cast("int")).alias("observed_on"),
+            F.when(F.col("id") % 5 < 2, F.lit(7)).otherwise(F.col("id") % 300 + 100).alias("user_id"),
+            (F.col("id") % 37).alias("taxon_id"),
+        )
+    )
+    cal = dict(as_of="2021-12-31", start="2019-01-01", end="2021-12-31")
+    df = pm.period_summary(obs, grain="week", **cal)
+    table = df.collect()
+    rows = obs.collect()
+    assert sum(r.user_id == 7 for r in rows) * 5 == 2 * n
+    last = table[-1]
+    assert last.cumulative_users == len({r.user_id for r in rows})
+    assert last.cumulative_species == len({r.taxon_id for r in rows})
+    assert last.cumulative_observations == n
+    for r in table:
+        in_week = [x for x in rows if x.observed_on - dt.timedelta(days=x.observed_on.weekday()) == r.week]
+        assert r.unique_users == len({x.user_id for x in in_week}), r.week
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.index("partial_min(") > plan.index("Exchange hashpartitioning(k")

@@ -40,15 +40,19 @@ def ingest_pages(
     else:
         start = incremental_start(None, backfill=True, default=backfill_start)
     records = flatten_records(read_api_pages(spark, pages_path)).select(*INGEST_COLUMNS)
-    batch = select_increment(records, start)
-    new = new_rows_for_append(existing, batch) if exists else dedupe_by_id(batch)
-
-    seen = Observation("appended")
-    writer = new.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet")
-    if exists:
-        writer.mode("append").saveAsTable(table)
-    else:
-        if table_path:
-            writer = writer.option("path", table_path)
-        writer.mode("overwrite").saveAsTable(table)
+    # The increment is read once: the id statistics of the append and the
+    # write both use it (a lost cached block is recomputed from the pages).
+    batch = select_increment(records, start).persist()
+    try:
+        new = new_rows_for_append(existing, batch) if exists else dedupe_by_id(batch)
+        seen = Observation("appended")
+        writer = new.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet")
+        if exists:
+            writer.mode("append").saveAsTable(table)
+        else:
+            if table_path:
+                writer = writer.option("path", table_path)
+            writer.mode("overwrite").saveAsTable(table)
+    finally:
+        batch.unpersist()
     return int(seen.get.get("rows", 0))

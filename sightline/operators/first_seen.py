@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import week_start
+from sightline.session import scratch_path
 
 _ENTITIES = {"user": "user_id", "taxon": "taxon_id"}
+# First-seen tables with at most this many keys are broadcast to the fact
+# (their row count is measured first); larger ones use a shuffle join.
+BROADCAST_KEY_LIMIT = 2_000_000
 
 
 def first_seen(obs: DataFrame, key: str, date_col: str = "observed_on") -> DataFrame:
@@ -32,7 +36,7 @@ def first_seen_all(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
     ``(user, user_id)`` and a ``(taxon, taxon_id)`` row, grouped by
     (entity, id).
     """
-    pairs = ", ".join(f"'{name}', `{key}`" for name, key in _ENTITIES.items())
+    pairs = ", ".join(f"'{name}', CAST(`{key}` AS BIGINT)" for name, key in _ENTITIES.items())
     return (
         obs.where(F.col(date_col).isNotNull())
         .select(F.col(date_col), F.expr(f"stack({len(_ENTITIES)}, {pairs}) AS (entity, entity_id)"))
@@ -43,20 +47,35 @@ def first_seen_all(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
     )
 
 
-def attach_first_seen(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
+def attach_first_seen(
+    obs: DataFrame, date_col: str = "observed_on", broadcast_limit: int = BROADCAST_KEY_LIMIT
+) -> DataFrame:
     """Left-join the first-seen date and week per user and per taxon.
 
-    Two joins (the week comes with the date). The first-seen tables are
-    per-key aggregates: AQE broadcasts them when their measured size allows
-    and otherwise sort-merges, splitting a skewed fact partition.
+    Both per-key tables come from one aggregation over the fact, written
+    once to the shared checkpoint folder (partitioned by entity); their row
+    counts are then read back (a small job). A table within
+    ``broadcast_limit`` keys is broadcast, so the fact is read once more and
+    never shuffled. A larger one is joined by shuffle, where AQE splits
+    skewed fact partitions. (Left to AQE alone, the fact would be shuffled by
+    user_id before the tables' sizes are known.)
     """
-    users = first_seen(obs, "user_id", date_col).select(
-        "user_id", F.col("first_date").alias("first_user_date"), F.col("first_week").alias("first_user_week")
-    )
-    taxa = first_seen(obs, "taxon_id", date_col).select(
-        "taxon_id", F.col("first_date").alias("first_taxon_date"), F.col("first_week").alias("first_taxon_week")
-    )
-    return obs.join(users, "user_id", "left").join(taxa, "taxon_id", "left")
+    spark = obs.sparkSession
+    path = scratch_path(spark, "first-seen")
+    first_seen_all(obs, date_col).write.partitionBy("entity").parquet(path)
+    firsts = spark.read.parquet(path)
+    sizes = {r["entity"]: r["n"] for r in firsts.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).collect()}
+    out = obs
+    for name, key in _ENTITIES.items():
+        table = firsts.where(F.col("entity") == name).select(
+            F.col("entity_id").alias(key),
+            F.col("first_date").alias(f"first_{name}_date"),
+            F.col("first_week").alias(f"first_{name}_week"),
+        )
+        if sizes.get(name, 0) <= broadcast_limit:
+            table = F.broadcast(table)
+        out = out.join(table, key, "left")
+    return out
 
 
 def observation_fact(raw: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def entity_rows(
     metric number ``m`` (index into ``metrics``) was observed in ``period``.
     Null dates and null entities take no part, as in a distinct count."""
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    args = ", ".join(f"{i}, `{METRICS[m][0]}`" for i, m in enumerate(metrics))
+    args = ", ".join(f"{i}, CAST(`{METRICS[m][0]}` AS BIGINT)" for i, m in enumerate(metrics))
     d = F.col(date_col)
     return (
         obs.where(d.isNotNull())
@@ -140,9 +140,9 @@ def period_counts(
     items = []
     for i, m in enumerate(metrics):
         col, has_new = METRICS[m]
-        items.append(f"0, {i}, `{col}`")
+        items.append(f"0, {i}, CAST(`{col}` AS BIGINT)")
         if has_new:
-            items.append(f"1, {i}, `{col}`")
+            items.append(f"1, {i}, CAST(`{col}` AS BIGINT)")
     d = F.col(date_col)
     rows = (
         obs.where(d.isNotNull())

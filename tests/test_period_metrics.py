@@ -127,3 +127,24 @@ def test_hot_user_exact_and_combined_map_side(spark):
         assert r.unique_users == len({x.user_id for x in in_week}), r.week
     plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.index("partial_min(") > plan.index("Exchange hashpartitioning(k")
+
+
+def test_first_seen_join_broadcast_or_shuffle_same_rows(spark):
+    """Measured first-seen tables within the limit are broadcast (the fact is
+    never shuffled); over the limit the shuffle join gives the same rows."""
+    from sightline.operators.first_seen import attach_first_seen
+    from sightline.sources import driver_tables
+    from tests.conftest import SMOKE_DIR
+
+    obs = driver_tables.observations(spark, SMOKE_DIR)
+    cols = ["id", "user_id", "taxon_id", "first_user_date", "first_user_week", "first_taxon_date", "first_taxon_week"]
+    small = attach_first_seen(obs).select(*cols)
+    rows = small.collect()
+    plan = small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Exchange hashpartitioning(user_id" not in plan and "SortMergeJoin" not in plan
+    big = attach_first_seen(obs, broadcast_limit=0).select(*cols)
+    assert sorted(big.collect()) == sorted(rows)
+    first_user = {}
+    for r in obs.where("observed_on is not null").collect():
+        first_user[r.user_id] = min(first_user.get(r.user_id, r.observed_on), r.observed_on)
+    assert all(r.first_user_date == first_user[r.user_id] for r in rows)

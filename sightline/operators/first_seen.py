@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import week_start
@@ -78,6 +78,12 @@ def attach_first_seen(
     return out
 
 
+def observed_at_fill(obs: DataFrame, date_col: str = "observed_on") -> Column:
+    """Time of observation, else midnight of the observation date."""
+    ts_type = obs.schema["time_observed_at"].dataType
+    return F.coalesce(F.col("time_observed_at"), F.col(date_col).cast(ts_type))
+
+
 def observation_fact(raw: DataFrame) -> DataFrame:
     """Raw observations -> the enriched fact.
 
@@ -85,11 +91,10 @@ def observation_fact(raw: DataFrame) -> DataFrame:
     a missing time of observation falls back to midnight of the date.
     """
     enriched = attach_first_seen(raw)
-    ts_type = raw.schema["time_observed_at"].dataType
     return enriched.select(
         F.col("observed_on").alias("observed_date"),
         week_start("observed_on").alias("observed_week"),
-        F.coalesce(F.col("time_observed_at"), F.col("observed_on").cast(ts_type)).alias("time_observed_at"),
+        observed_at_fill(raw).alias("time_observed_at"),
         "id",
         "taxon_id",
         "user_id",

@@ -194,7 +194,10 @@ def q_week_of(spark, sf_dir):
 
 @register("observed_at_fill")
 def q_observed_at_fill(spark, sf_dir):
-    return first_seen.observation_fact(_obs(spark, sf_dir, names=True)).select("id", "observed_date", "time_observed_at")
+    obs = _obs(spark, sf_dir)
+    return obs.select(
+        "id", F.col("observed_on").alias("observed_date"), first_seen.observed_at_fill(obs).alias("time_observed_at")
+    )
 
 
 @register("name_in_list")

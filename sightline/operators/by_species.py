@@ -4,30 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.calendar import period_start, week_label, year_start
+from sightline.functions.calendar import PERIOD_COLUMNS, check_grain, period_start, week_label, year_start
 from sightline.functions.text import name_key
 from sightline.operators.calendar import DateLike, as_date_col
-from sightline.operators.period_metrics import upto_cutoff
+from sightline.operators.period_metrics import _check, keyed_counts, keyed_items, upto_cutoff
 
 # Above this many names the membership test becomes a broadcast semi join
 # (the broadcast side is the name list itself, so its size is known here).
 INLINE_NAME_LIMIT = 1000
 
 
+def name_match(df: DataFrame, names: Iterable[str], col: str = "scientific_name") -> Column:
+    """Inline case-insensitive membership test (lists up to
+    ``INLINE_NAME_LIMIT``). On a table that stores the lower-cased name
+    (``<col>_key``, written by the metric build) it is a plain ``IN`` on that
+    column, so it reaches the parquet scan as a pushed filter."""
+    keys = sorted({n.lower() for n in names})
+    if len(keys) > INLINE_NAME_LIMIT:
+        raise ValueError(f"more than {INLINE_NAME_LIMIT} names: use name_in_list")
+    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
+    return key.isin(keys)
+
+
 def name_in_list(df: DataFrame, names: Iterable[str], col: str = "scientific_name") -> DataFrame:
     """Rows whose ``col`` matches one of ``names``, ignoring case.
 
-    When the table stores the lower-cased name (``<col>_key``, written by the
-    metric build) the test is on that plain column, so it reaches the
-    parquet scan as a pushed filter.
+    Up to ``INLINE_NAME_LIMIT`` names an inline ``IN`` (see ``name_match``);
+    above it a broadcast semi join with the name list itself, whose size is
+    known here.
     """
     keys = sorted({n.lower() for n in names})
-    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
     if len(keys) <= INLINE_NAME_LIMIT:
-        return df.where(key.isin(keys))
+        return df.where(name_match(df, keys, col))
+    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
     spark = df.sparkSession
     wanted = spark.createDataFrame([(k,) for k in keys], "_name_key string")
     return df.join(F.broadcast(wanted), key == F.col("_name_key"), "left_semi")
@@ -78,6 +90,23 @@ def weekly_by_species(
     fact-sized one.
     """
     counts = observations_per_period_species(upto_cutoff(obs, "week", as_of, end, date_col), names, "week", date_col)
+    return by_species_from_counts(
+        counts, as_of=as_of, start=start, end=end, reconcile_years=reconcile_years, densify=densify
+    )
+
+
+def by_species_from_counts(
+    counts: DataFrame,
+    *,
+    as_of: DateLike = None,
+    start: DateLike = None,
+    end: DateLike = None,
+    reconcile_years=None,
+    densify: bool = False,
+) -> DataFrame:
+    """Weekly ``(week, taxon_id, scientific_name, common_name, observations)``
+    counts -> the per-species table: weeks cut to [start, min(end, as_of)],
+    optionally densified, with the running total per species."""
     cutoff = as_date_col(as_of) if as_of is not None else F.current_date()
     counts = counts.where(F.col("week") <= cutoff)
     if start is not None:
@@ -120,3 +149,56 @@ def weekly_by_species(
         "observations",
         F.sum("observations").over(w).alias("cumulative_observations"),
     )
+
+
+SPECIES_KEYS = ("taxon_id", "scientific_name")
+
+
+def period_and_species_counts(
+    obs: DataFrame,
+    metrics: Iterable[str],
+    names: Iterable[str],
+    grain: str = "week",
+    date_col: str = "observed_on",
+) -> DataFrame:
+    """The period counts of ``period_counts`` and the tracked-species counts
+    of ``observations_per_period_species`` from one scan and one keyed
+    aggregation.
+
+    Besides the active (kind 0) and first (kind 1) rows, every observation of
+    a tracked name yields a kind 2 row: its id, keyed by period, taxon and
+    name, carrying the common name. The period-level aggregation then keeps
+    ``species`` = false rows (the ``new_``/``unique_`` counts per period) and
+    ``species`` = true rows (distinct ids and the smallest common name per
+    period, taxon and name). Split the two after writing the result once:
+    filtering a shared aggregate by its key would push the filter below it
+    and read the fact twice again.
+    """
+    metrics = _check(metrics)
+    pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
+    items = keyed_items(metrics) + ["2, 0, CASE WHEN `_tracked` THEN CAST(`id` AS BIGINT) END"]
+    d = F.col(date_col)
+    rows = (
+        obs.where(d.isNotNull())
+        .withColumn("_tracked", name_match(obs, names))
+        .select(
+            period_start(d, grain).alias(pcol),
+            *SPECIES_KEYS,
+            "common_name",
+            F.expr(f"stack({len(items)}, {', '.join(items)}) AS (k, m, value)"),
+        )
+        .where(F.col("value").isNotNull())
+    )
+    k = F.col("k")
+    keyed = rows.groupBy(
+        "k",
+        "m",
+        "value",
+        F.when(k != 1, F.col(pcol)).alias("active"),
+        *[F.when(k == 2, F.col(c)).alias(c) for c in SPECIES_KEYS],
+    ).agg(F.min(pcol).alias(pcol), F.min(F.when(k == 2, F.col("common_name"))).alias("common_name"))
+    return keyed.groupBy((k == 2).alias("species"), pcol, *SPECIES_KEYS).agg(
+        *keyed_counts(metrics),
+        F.count_if(k == 2).alias("observations"),
+        F.min("common_name").alias("common_name"),
+    )

@@ -137,12 +137,7 @@ def period_counts(
     """
     metrics = _check(metrics)
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    items = []
-    for i, m in enumerate(metrics):
-        col, has_new = METRICS[m]
-        items.append(f"0, {i}, CAST(`{col}` AS BIGINT)")
-        if has_new:
-            items.append(f"1, {i}, CAST(`{col}` AS BIGINT)")
+    items = keyed_items(metrics)
     d = F.col(date_col)
     rows = (
         obs.where(d.isNotNull())
@@ -152,13 +147,30 @@ def period_counts(
     keyed = rows.groupBy("k", "m", "value", F.when(F.col("k") == 0, F.col(pcol)).alias("active")).agg(
         F.min(pcol).alias(pcol)
     )
+    return keyed.groupBy(pcol).agg(*keyed_counts(metrics))
+
+
+def keyed_items(metrics: Sequence[str]) -> list[str]:
+    """``stack`` arguments: an active row (kind 0) per metric and a first
+    row (kind 1) per metric with a "new" count, as (kind, metric, entity)."""
+    items = []
+    for i, m in enumerate(metrics):
+        col, has_new = METRICS[m]
+        items.append(f"0, {i}, CAST(`{col}` AS BIGINT)")
+        if has_new:
+            items.append(f"1, {i}, CAST(`{col}` AS BIGINT)")
+    return items
+
+
+def keyed_counts(metrics: Sequence[str]) -> list:
+    """Per-period counts over the keyed aggregation's rows."""
     k, m_ = F.col("k"), F.col("m")
     counts = []
     for i, m in enumerate(metrics):
         if METRICS[m][1]:
             counts.append(F.count_if((k == 1) & (m_ == i)).alias(f"new_{m}"))
         counts.append(F.count_if((k == 0) & (m_ == i)).alias(f"unique_{m}"))
-    return keyed.groupBy(pcol).agg(*counts)
+    return counts
 
 
 def upto_cutoff(
@@ -208,13 +220,8 @@ def period_summary(
     cumulative counts stay exact; cumulative observations then sum estimates.
     """
     metrics = _check(metrics)
-    pcol, label = PERIOD_COLUMNS[check_grain(grain)]
-
-    if start is not None and end is not None:
-        bounds = literal_bounds(obs.sparkSession, start, end)
-    else:
-        bounds = override_bounds(date_bounds(obs, date_col), start, end)
-
+    pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
+    bounds = summary_bounds(obs, start, end, date_col)
     kept = upto_cutoff(obs, grain, as_of, end, date_col)
     if approx:
         unique = (
@@ -227,9 +234,31 @@ def period_summary(
             aggregates.append(new_from_rows(entity_rows(kept, metrics, grain, date_col), metrics, pcol))
     else:
         aggregates = [period_counts(kept, metrics, grain, date_col)]
+    return calendar_summary(aggregates, bounds, metrics, grain, as_of, reconcile_years)
+
+
+def summary_bounds(obs: DataFrame, start: DateLike = None, end: DateLike = None, date_col: str = "observed_on"):
+    """One-row calendar bounds: explicit, or whole years around the data."""
+    if start is not None and end is not None:
+        return literal_bounds(obs.sparkSession, start, end)
+    return override_bounds(date_bounds(obs, date_col), start, end)
 
-    # Each aggregate has at most one row per period seen; AQE broadcasts
-    # it onto the calendar from its measured size.
+
+def calendar_summary(
+    aggregates: Sequence[DataFrame],
+    bounds: DataFrame,
+    metrics: Sequence[str],
+    grain: str = "week",
+    as_of: DateLike = None,
+    reconcile_years: Iterable[int] | None = None,
+) -> DataFrame:
+    """Sparse per-period counts -> the gap-free table with running totals.
+
+    Each aggregate has at most one row per period seen; AQE broadcasts it
+    onto the calendar from its measured size. The running sums are a window
+    over the calendar (one row per period), never over facts.
+    """
+    pcol, label = PERIOD_COLUMNS[check_grain(grain)]
     out = period_calendar(bounds, grain, as_of, reconcile_years)
     for agg in aggregates:
         out = out.join(agg, pcol, "left")

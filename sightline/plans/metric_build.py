@@ -2,8 +2,10 @@
 
 The typed fact is written once (parquet, partitioned by year) and read back,
 which cuts the lineage to the raw input and lets every metric scan only the
-columns it needs. All entity metrics of a grain share one fact shuffle
-(``period_summary``); the tracked-species table is a second, filtered pass.
+columns it needs. The weekly tables (users, species, observations and the
+tracked species) come from one scan of the fact and one keyed aggregation,
+written once as per-period counts and split from there; other grains use
+``period_summary`` (also one scan each).
 """
 
 from __future__ import annotations
@@ -15,8 +17,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import name_key
-from sightline.operators.by_species import weekly_by_species
-from sightline.operators.period_metrics import period_summary, split_summary
+from sightline.operators.by_species import (
+    INLINE_NAME_LIMIT,
+    SPECIES_KEYS,
+    by_species_from_counts,
+    period_and_species_counts,
+    weekly_by_species,
+)
+from sightline.operators.period_metrics import (
+    calendar_summary,
+    period_summary,
+    split_summary,
+    summary_bounds,
+    upto_cutoff,
+)
 from sightline.sources.metrics_io import write_metrics
 from sightline.tracked_species import ALL_TRACKED
 
@@ -81,16 +95,31 @@ def build_metrics(
             raise ValueError("no dated observations to build metrics from")
         start = start or bounds[0]
         end = end or bounds[1]
+    names = sorted({n.lower() for n in tracked_names})
     paths: dict[str, str] = {}
     for grain in grains:
         period = _PERIOD_NAMES[grain]
         summary_path = f"{out_root}/{period}_summary"
-        period_summary(fact, _METRICS, grain, as_of=as_of, start=start, end=end).write.mode(
-            "overwrite"
-        ).parquet(summary_path)
+        cal = dict(as_of=as_of, start=start, end=end)
+        if grain == "week" and len(names) <= INLINE_NAME_LIMIT:
+            counts_path = f"{out_root}/{period}_counts"
+            kept = upto_cutoff(fact, grain, as_of, end)
+            period_and_species_counts(kept, _METRICS, names, grain).write.mode("overwrite").parquet(counts_path)
+            counts = spark.read.parquet(counts_path)
+            per_period = counts.where(~F.col("species")).drop("species", *SPECIES_KEYS, "common_name", "observations")
+            summary = calendar_summary([per_period], summary_bounds(fact, start, end), _METRICS, grain, as_of)
+            species = counts.where(F.col("species")).select(
+                F.col("week"), *SPECIES_KEYS, "common_name", "observations"
+            )
+            by_species = by_species_from_counts(species, **cal)
+            paths[f"{period}_counts"] = counts_path
+        else:
+            summary = period_summary(fact, _METRICS, grain, **cal)
+            by_species = weekly_by_species(fact, names, **cal) if grain == "week" else None
+        summary.write.mode("overwrite").parquet(summary_path)
         tables = split_summary(spark.read.parquet(summary_path), grain)
-        if grain == "week":
-            tables["by_species"] = weekly_by_species(fact, tracked_names, as_of=as_of, start=start, end=end)
+        if by_species is not None:
+            tables["by_species"] = by_species
         for name, path in write_metrics(tables, out_root, period, fmt=fmt).items():
             paths[f"{period}_{name}"] = path
         paths[f"{period}_summary"] = summary_path

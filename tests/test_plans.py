@@ -28,6 +28,7 @@ def test_metric_build_then_series(spark, tmp_dir):
     tables = read_metrics(spark, root, "weekly")
     obs = dt.observations(spark, SMOKE_DIR)
     assert _same(tables["users"], pm.weekly_users(obs, **CAL))
+    assert _same(tables["species"], pm.weekly_species(obs, **CAL))
     assert _same(tables["observations"], pm.weekly_observations(obs, **CAL))
     assert _same(tables["by_species"], weekly_by_species(obs, dt.TRACKED_NAMES, **CAL))
     fact = spark.read.parquet(os.path.join(root, "observations_fact"))
@@ -82,3 +83,22 @@ def test_fact_write_rebalanced_by_year(spark, tmp_dir):
         years = {os.path.basename(os.path.dirname(f)) for f in files}
         counts[rebalance] = len(files) / len(years)
     assert counts[True] <= 2 and counts[False] >= 8
+
+
+def test_fused_counts_equal_separate_passes_and_read_once(spark):
+    """Period counts and tracked-species counts from one keyed aggregation
+    equal the two separate aggregations, and read the fact once."""
+    from sightline.operators.by_species import observations_per_period_species, period_and_species_counts
+
+    obs = dt.observations(spark, SMOKE_DIR)
+    metrics = ("users", "species", "observations")
+    fused = period_and_species_counts(obs, metrics, dt.TRACKED_NAMES)
+    rows = fused.collect()
+    plan = fused._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+    cols = [c for c in pm.period_counts(obs, metrics).columns if c != "week"]
+    expected = {r.week: tuple(r[c] for c in cols) for r in pm.period_counts(obs, metrics).collect()}
+    assert {r.week: tuple(r[c] for c in cols) for r in rows if not r.species} == expected
+    keys = ["week", "taxon_id", "scientific_name", "common_name", "observations"]
+    want = sorted(tuple(r[k] for k in keys) for r in observations_per_period_species(obs, dt.TRACKED_NAMES).collect())
+    assert sorted(tuple(r[k] for k in keys) for r in rows if r.species) == want

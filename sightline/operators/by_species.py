@@ -166,17 +166,24 @@ def period_and_species_counts(
     aggregation.
 
     Besides the active (kind 0) and first (kind 1) rows, every observation of
-    a tracked name yields a kind 2 row: its id, keyed by period, taxon and
-    name, carrying the common name. The period-level aggregation then keeps
-    ``species`` = false rows (the ``new_``/``unique_`` counts per period) and
-    ``species`` = true rows (distinct ids and the smallest common name per
-    period, taxon and name). Split the two after writing the result once:
+    a tracked name yields a kind 2 row (its id, keyed by period, taxon and
+    name) and a kind 3 row (its common name as a key). Every aggregation
+    buffer is fixed-width, so both levels stay hash aggregations (a string
+    ``min`` here would turn the fact-sized one into a sort aggregation). The
+    period-level result has ``species`` = false rows (the ``new_``/``unique_``
+    counts per period) and ``species`` = true rows: distinct ids per period,
+    taxon and name (``common_name`` null) and one row per common name seen
+    (``observations`` 0); ``species_counts`` folds the latter into the
+    per-species table. Split the two after writing the result once:
     filtering a shared aggregate by its key would push the filter below it
     and read the fact twice again.
     """
     metrics = _check(metrics)
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    items = keyed_items(metrics) + ["2, 0, CASE WHEN `_tracked` THEN CAST(`id` AS BIGINT) END"]
+    items = keyed_items(metrics) + [
+        "2, 0, CASE WHEN `_tracked` THEN CAST(`id` AS BIGINT) END",
+        "3, 0, CASE WHEN `_tracked` THEN 0L END",
+    ]
     d = F.col(date_col)
     rows = (
         obs.where(d.isNotNull())
@@ -195,10 +202,20 @@ def period_and_species_counts(
         "m",
         "value",
         F.when(k != 1, F.col(pcol)).alias("active"),
-        *[F.when(k == 2, F.col(c)).alias(c) for c in SPECIES_KEYS],
-    ).agg(F.min(pcol).alias(pcol), F.min(F.when(k == 2, F.col("common_name"))).alias("common_name"))
-    return keyed.groupBy((k == 2).alias("species"), pcol, *SPECIES_KEYS).agg(
-        *keyed_counts(metrics),
-        F.count_if(k == 2).alias("observations"),
-        F.min("common_name").alias("common_name"),
+        *[F.when(k >= 2, F.col(c)).alias(c) for c in SPECIES_KEYS],
+        F.when(k == 3, F.col("common_name")).alias("common_name"),
+    ).agg(F.min(pcol).alias(pcol))
+    return keyed.groupBy((k >= 2).alias("species"), pcol, *SPECIES_KEYS, "common_name").agg(
+        *keyed_counts(metrics), F.count_if(k == 2).alias("observations")
+    )
+
+
+def species_counts(counts: DataFrame, pcol: str = "week") -> DataFrame:
+    """Per (period, taxon, name) of the ``species`` rows of
+    ``period_and_species_counts``: distinct ids and the smallest common name
+    (a small aggregation over already counted rows)."""
+    return (
+        counts.where(F.col("species"))
+        .groupBy(pcol, *SPECIES_KEYS)
+        .agg(F.min("common_name").alias("common_name"), F.sum("observations").alias("observations"))
     )

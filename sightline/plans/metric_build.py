@@ -22,6 +22,7 @@ from sightline.operators.by_species import (
     SPECIES_KEYS,
     by_species_from_counts,
     period_and_species_counts,
+    species_counts,
     weekly_by_species,
 )
 from sightline.operators.period_metrics import (
@@ -108,10 +109,7 @@ def build_metrics(
             counts = spark.read.parquet(counts_path)
             per_period = counts.where(~F.col("species")).drop("species", *SPECIES_KEYS, "common_name", "observations")
             summary = calendar_summary([per_period], summary_bounds(fact, start, end), _METRICS, grain, as_of)
-            species = counts.where(F.col("species")).select(
-                F.col("week"), *SPECIES_KEYS, "common_name", "observations"
-            )
-            by_species = by_species_from_counts(species, **cal)
+            by_species = by_species_from_counts(species_counts(counts), **cal)
             paths[f"{period}_counts"] = counts_path
         else:
             summary = period_summary(fact, _METRICS, grain, **cal)

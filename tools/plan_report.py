@@ -3,7 +3,9 @@
 usage: python tools/plan_report.py [sf_dir] [key ...]
 Auto-broadcast is off, so joins show the shape they take when both sides are
 large; explicit broadcasts (bounded sides) still show. Flags cartesian and
-nested-loop joins, and Python evaluation nodes.
+nested-loop joins, Python evaluation nodes, and aggregations that are not
+hash-based (a non-fixed-width buffer such as a string ``min`` makes Spark
+sort instead).
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ PATTERNS = {
     "cartesian": r"CartesianProduct",
     "window": r"\bWindow\b",
     "expand": r"\bExpand\b",
+    "sortagg": r"\bSortAggregate\b",
+    "objagg": r"\bObjectHashAggregate\b",
     "python": r"(ArrowEvalPython|BatchEvalPython|MapInPandas|FlatMapGroupsInPandas)",
 }
 

@@ -57,29 +57,23 @@ def observations_per_period_species(
     ``common_name`` is the smallest name seen for the taxon in that period,
     so two common names in one week give one row, not two.
 
-    Each row yields an id row and a common-name row; the distinct rows are
-    counted per common name (hash aggregations: no string buffer over
-    observation-sized data), and only those small counts are folded into one
-    row per species with the smallest name.
+    ``array_min(collect_set(common_name))`` rather than ``min``: the set
+    holds the few names of a taxon, and the aggregation runs as an object
+    hash aggregation, which sorts only the rows left over once a task's map
+    passes ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``
+    keys; a string ``min`` buffer would make Spark sort every row. The whole
+    metric build instead uses ``period_and_species_counts``, whose
+    fact-sized aggregation keeps only fixed-width buffers.
     """
     df = obs if names is None else name_in_list(obs, names)
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    rows = (
+    return (
         df.where(F.col(date_col).isNotNull())
-        .select(
-            period_start(date_col, grain).alias(pcol),
-            *keys,
-            F.expr(
-                "stack(2, 0, CAST(`id` AS BIGINT), CAST(NULL AS STRING), 1, CAST(NULL AS BIGINT), `common_name`)"
-                " AS (k, id, cn)"
-            ),
+        .groupBy(period_start(date_col, grain).alias(pcol), *keys)
+        .agg(
+            F.array_min(F.collect_set("common_name")).alias("common_name"),
+            F.count_distinct("id").alias("observations"),
         )
-        .where((F.col("k") == 1) | F.col("id").isNotNull())
-        .distinct()
-    )
-    per_name = rows.groupBy(pcol, *keys, "cn").agg(F.count_if(F.col("k") == 0).alias("observations"))
-    return per_name.groupBy(pcol, *keys).agg(
-        F.min("cn").alias("common_name"), F.sum("observations").alias("observations")
     )
 
 

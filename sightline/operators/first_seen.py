@@ -11,6 +11,8 @@ from sightline.session import scratch_path
 _ENTITIES = {"user": "user_id", "taxon": "taxon_id"}
 # First-seen tables with at most this many keys are broadcast to the fact
 # (their row count is measured first); larger ones use a shuffle join.
+# A row is a bigint key and two dates, so the limit keeps each broadcast
+# hash relation to roughly 100 MB on every executor.
 BROADCAST_KEY_LIMIT = 2_000_000
 
 

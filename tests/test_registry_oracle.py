@@ -5,11 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sightline.plans import registry
 from tests.conftest import SMOKE_DIR
 from tools.oracle_check import TABLES, digest
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")

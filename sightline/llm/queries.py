@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import mixing, sharding
-from sightline.llm.tables import read_table
+from sightline.llm import decontam, langid, mixing, quality, sharding, simhash, toxicity, warc
+from sightline.llm.tables import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,11 +25,46 @@ def register(name: str):
     return deco
 
 
+@register("op1_quality_rules")
+def op1_quality_rules(spark, sf_dir):
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality.quality_digest(documents, labels)
+
+
+@register("op2_decontamination")
+def op2_decontamination(spark, sf_dir):
+    documents, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontam.contamination_digest(documents, benchmark)
+
+
+@register("op4_warc")
+def op4_warc(spark, sf_dir):
+    """Writes the archives, then reads every record back."""
+    bundles, _ = materialise(warc.bundles(read_table(spark, sf_dir, "pages")), "warc-bundles", **warc.TABLE_OPTIONS)
+    return warc.read_all(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @register("op5_sharding")
 def op5_sharding(spark, sf_dir):
     return sharding.shard_digest(read_table(spark, sf_dir, "documents"), SHARDS, SEED)
 
 
+@register("op6_simhash")
+def op6_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return toxicity.toxicity_digest(documents, labels)
+
+
+@register("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    return langid.language_digest(read_table(spark, sf_dir, "documents"))
+
+
 @register("op10_mixing")
 def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"), SEED)

@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import decontam, langid, mixing, quality, sharding, simhash, toxicity, warc
+from sightline.llm import (
+    decontam, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc,
+)
 from sightline.llm.tables import materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,11 @@ def op2_decontamination(spark, sf_dir):
     return decontam.contamination_digest(documents, benchmark)
 
 
+@register("op3_pii")
+def op3_pii(spark, sf_dir):
+    return pii.pii_digest(read_table(spark, sf_dir, "documents"))
+
+
 @register("op4_warc")
 def op4_warc(spark, sf_dir):
     """Writes the archives, then reads every record back."""
@@ -54,6 +61,11 @@ def op6_simhash(spark, sf_dir):
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+@register("op7_suffix_dedup")
+def op7_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.dedup_digest(read_table(spark, sf_dir, "documents"))
+
+
 @register("op8_toxicity")
 def op8_toxicity(spark, sf_dir):
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")

@@ -1,13 +1,36 @@
-"""Corpus pipeline: stages over ``documents``, each written and read again."""
+"""Corpus pipeline: five stages over ``documents``, each written and read again.
+
+Each stage works on all rows its predecessor kept and returns the columns of
+``documents``; the last adds ``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import mixing, sharding
+from sightline.llm import decontam, langid, mixing, sharding, simhash
 from sightline.llm.queries import SEED, SHARDS
 from sightline.llm.tables import materialise, read_table
 
+# a text needs a letter, and a language at least this probable
+LEAST_LANGUAGE = 0.4
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and texts of no likely language."""
+    return langid.keep_identified(docs, LEAST_LANGUAGE)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that with the smallest id, of each group of
+    SimHash-linked documents (four-word shingles, four bits)."""
+    return simhash.keep_one(docs, simhash.DISTANCE, simhash.SHINGLE)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold ten consecutive words of a benchmark item."""
+    return decontam.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it."""
@@ -20,11 +43,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
 
-# Trained and randomised stages cannot be written in SQL.
+# Trained, hashed and randomised stages cannot be written in SQL.
 ORACLE_SQL = None
 
 

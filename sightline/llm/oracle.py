@@ -1,3 +1,76 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(column: str) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return f"regexp_extract_all(translate(coalesce({column}, ''), '{_UPPER}', '{_LOWER}'), '{pattern}')"
+
+
+_NEXT = ", ".join(f"lead(word, {j}) OVER w" for j in range(1, 10))
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS bid, item_id, {_words('text')} AS ws FROM benchmark),
+dw AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM d),
+bw AS (SELECT bid, item_id, least(10, len(ws)) AS k, len(ws) AS n,
+              unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM b),
+bg AS (SELECT DISTINCT item_id, k, array_to_string(g[1:k], ' ') AS gram FROM (
+         SELECT item_id, k, n, p, [word, {_NEXT}] AS g FROM bw WINDOW w AS (PARTITION BY bid ORDER BY p))
+       WHERE p + k - 1 <= n),
+sizes AS (SELECT DISTINCT k FROM bg),
+dg AS (SELECT rid, p, k, array_to_string(g[1:k], ' ') AS gram FROM (
+         SELECT rid, p, [word, {_NEXT}] AS g FROM dw WINDOW w AS (PARTITION BY rid ORDER BY p)), sizes
+       WHERE g[k] IS NOT NULL),
+m AS (SELECT rid, p, k, item_id FROM dg JOIN bg USING (k, gram)),
+hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM m) GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+"""
+
+OP4 = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
+                  CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM f
+"""
+
+# strings of 50 bytes are put together from runs of 2, 4, 8, ... bytes (hex)
+OP7 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+b AS (SELECT rid, doc_id, unnest(hs) AS c1, generate_subscripts(hs, 1) AS i
+      FROM (SELECT rid, doc_id, regexp_extract_all(hex(encode(t)), '..') AS hs FROM d)),
+b2 AS (SELECT *, c1 || lead(c1, 1) OVER w AS c2 FROM b WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b4 AS (SELECT *, c2 || lead(c2, 2) OVER w AS c4 FROM b2 WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b8 AS (SELECT * EXCLUDE (c4), c4 || lead(c4, 4) OVER w AS c8 FROM b4 WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b16 AS (SELECT * EXCLUDE (c8), c8 || lead(c8, 8) OVER w AS c16 FROM b8 WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b50 AS (SELECT rid, doc_id, i, c1, c16 || lead(c16, 16) OVER w || lead(c16, 32) OVER w || lead(c2, 48) OVER w AS c50
+        FROM b16 WINDOW w AS (PARTITION BY rid ORDER BY i)),
+first AS (SELECT c50, min(doc_id) AS least FROM b50 WHERE c50 IS NOT NULL GROUP BY c50),
+gone AS (SELECT rid, i, c1, coalesce(max(CASE WHEN least < doc_id THEN 1 ELSE 0 END)
+                OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS g
+         FROM b50 LEFT JOIN first USING (c50)),
+spans AS (SELECT *, CASE WHEN g = 1 AND coalesce(lag(g) OVER (PARTITION BY rid ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS s
+          FROM gone),
+r AS (SELECT rid, sum(g) AS n_removed, sum(s) AS n_spans,
+             coalesce(string_agg(c1, '' ORDER BY i) FILTER (WHERE g = 0), '') AS kept FROM spans GROUP BY rid)
+SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (rid)
+"""
+
+ORACLE: dict[str, str] = {
+    "op2_decontamination": OP2,
+    "op4_warc": OP4,
+    "op7_suffix_dedup": OP7,
+}

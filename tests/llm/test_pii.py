@@ -1,0 +1,109 @@
+import hashlib
+import random
+import re
+
+import duckdb
+import pytest
+
+from sightline.llm import pii
+from tests.conftest import SMOKE_DIR
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def brute(text):
+    digits = lambda m: re.sub("[^0-9]", "", m.group())
+    out = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    out += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 12 <= len(digits(m)) <= 19 and pii.luhn(digits(m))]
+    out += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 9 <= len(digits(m)) <= 15]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_patterns_match_plain_expressions(seed):
+    rng = random.Random(seed)
+    for _ in range(4000):
+        text = "".join(rng.choice("aZ1@.%+- ()25é\n") for _ in range(rng.randint(0, 45)))
+        assert pii.base_spans(text) == brute(text), text
+
+
+def test_long_runs_stay_fast():
+    assert pii.base_spans("a" * 300_000 + "@") == []
+    assert pii.base_spans("1" * 200_000) == []
+    assert pii.base_spans("0." * 100_000)[0][:2] == (0, 1)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    medium = SMOKE_DIR.replace("0.001", "0.1")
+    rows = duckdb.connect().execute(f"SELECT text FROM read_parquet('{medium}/documents.parquet') ORDER BY doc_id").fetchall()
+    return [r[0] for r in rows]
+
+
+@pytest.fixture(scope="module")
+def model(texts):
+    return pii.fit([t for t in texts if re.search("[0-9@]", t)][: pii.TRAIN_ROWS])
+
+
+def test_skip_edges_carry_a_label_to_a_repeated_number(model):
+    text = "Call +1 (766) 555-2373 now. Ask for them, later: (766) 555-2373 again"
+    base = [pii.base_spans(text)]
+    [extra] = pii.added_spans(model, [text], base)
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in extra] == [("phone", "(766) 555-2373")]
+    # the same without the skip potentials is less sure of the repeat
+    graph = pii.build_graph([text], base)
+    repeat = [i for i in range(len(graph.row)) if text[graph.start[i] : graph.end[i]] == "555-2373"][-1]
+    alone = pii.FieldModel(model.unary, model.chain, model.skip * 0)
+    assert pii.marginals(model, graph)[repeat, 4] > pii.marginals(alone, graph)[repeat, 4]
+
+
+def test_messages_match_enumeration_on_a_tree(model):
+    """Without a loop, message passing gives the exact marginals."""
+    text = "a1 b2 x c3"
+    graph = pii.build_graph([text], [[]])
+    assert graph.chain.tolist() == [[0, 1]] and not len(graph.skip)
+    unary = pii._unary(model, graph)
+    import itertools
+
+    import numpy as np
+
+    total = np.zeros((3, pii.LABELS))
+    for y in itertools.product(range(pii.LABELS), repeat=3):
+        weight = np.exp(sum(unary[i, y[i]] for i in range(3)) + model.chain[y[0], y[1]])
+        for i in range(3):
+            total[i, y[i]] += weight
+    exact = total / total.sum(axis=1, keepdims=True)
+    assert pii.marginals(model, graph, rounds=40) == pytest.approx(exact, abs=1e-6)
+
+
+def test_clean_documents_are_left_alone(model, texts):
+    clean = ["Chapter 12, page 3 of 100 (1999-2004).", "v2.0 at 12:30 on 2024-05-01, 3.14 and 100,000 items", "id 7 7 7 7"]
+    for text in clean + [t for t in texts if not re.search("[0-9@]", t)][:200]:
+        assert pii.added_spans(model, [text], [pii.base_spans(text)]) == [[]], text
+
+
+def test_digest(spark, edge_docs, edge_rows):
+    extra = [(50, "mail a.b@c.example or +49 (30) 1234567, 10.0.0.1; é 4111 1111 1111 1111"), (50, None), (51, "@ 1 +")]
+    docs = edge_docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id bigint, text string"))
+    got = pii.pii_digest(docs.selectExpr("*", "'x' as spans")).collect()
+    expected = []
+    for d, t, *_ in [*edge_rows, *extra]:
+        b = brute(t or "")
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in b)
+        expected.append((repr(d), *[sum(k == i for _, k, _ in b) for i in range(4)], hashlib.sha256(joined.encode()).hexdigest()))
+    assert sorted((repr(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(expected)
+    for r in got:
+        if r.doc_id == 50 and r.n_email:
+            assert r.spans.split(",")[:2] == ["email:5:16", "phone:20:36"]
+
+
+def test_extra_columns_and_empty(spark, edge_docs, no_docs):
+    model = pii.train(no_docs)
+    out = pii.find(edge_docs.selectExpr("*", "1 as spans"), model)
+    assert out.columns == edge_docs.columns + ["spans", *pii.RESULT[:5], "spans_1", "n_added"]
+    assert out.count() == edge_docs.count()
+    assert pii.pii_digest(no_docs).count() == 0

@@ -3,7 +3,7 @@
 from sightline.functions.calendar import (  # noqa: F401
     GRAINS,
     PERIOD_COLUMNS,
-    day_label,
+    anchored_year,
     period_end,
     period_label,
     period_start,

@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-GRAINS = ("day", "week", "month", "quarter")
+GRAINS = ("day", "week", "month", "quarter", "year")
 
 # grain -> (period column name, within-year label column name)
 PERIOD_COLUMNS = {
@@ -20,6 +20,7 @@ PERIOD_COLUMNS = {
     "week": ("week", "week_number"),
     "month": ("month", "month_number"),
     "quarter": ("quarter", "quarter_number"),
+    "year": ("year_start", "year_number"),
 }
 
 _STEPS = {
@@ -27,6 +28,7 @@ _STEPS = {
     "week": "INTERVAL 7 DAYS",
     "month": "INTERVAL 1 MONTH",
     "quarter": "INTERVAL 3 MONTHS",
+    "year": "INTERVAL 1 YEAR",
 }
 
 
@@ -71,7 +73,7 @@ def period_end(c: Column | str, grain: str) -> Column:
         return F.date_add(week_start(c), 6)
     if grain == "month":
         return F.last_day(_col(c))
-    return F.date_sub(F.add_months(period_start(c, "quarter"), 3), 1)
+    return F.date_sub(F.add_months(period_start(c, grain), 3 if grain == "quarter" else 12), 1)
 
 
 def period_step(grain: str) -> Column:
@@ -97,12 +99,15 @@ def week_label(week: Column | str, reconcile_years: Iterable[int] | None = None)
     return F.when(wraps, F.lit(53)).otherwise(iso)
 
 
-def day_label(day: Column | str) -> Column:
-    return F.dayofyear(_col(day))
+def anchored_year(day: Column | str, first_month: int = 4) -> Column:
+    """The year that restarts on the first of ``first_month``: days before it
+    belong to the year before."""
+    return F.year(F.add_months(_col(day), 1 - first_month))
 
 
 def period_label(period: Column | str, grain: str, reconcile_years: Iterable[int] | None = None) -> Column:
-    """Position of a period inside its year (day of year, week number, ...)."""
+    """Position of a period inside its year (day of year, week number, ...);
+    for years the year itself."""
     check_grain(grain)
     p = _col(period)
     if grain == "day":
@@ -111,4 +116,4 @@ def period_label(period: Column | str, grain: str, reconcile_years: Iterable[int
         return week_label(p, reconcile_years)
     if grain == "month":
         return F.month(p)
-    return F.quarter(p)
+    return F.quarter(p) if grain == "quarter" else F.year(p)

@@ -62,15 +62,8 @@ API_RECORD = T.StructType(
         T.StructField("time_observed_at", T.StringType()),
         T.StructField("created_at", T.StringType()),
         T.StructField("location", T.StringType()),
-        T.StructField(
-            "geojson",
-            T.StructType(
-                [
-                    T.StructField("type", T.StringType()),
-                    T.StructField("coordinates", T.ArrayType(T.DoubleType())),
-                ]
-            ),
-        ),
+        # any geometry, kept as its JSON text
+        T.StructField("geojson", T.StringType()),
         T.StructField("created_at_details", T.MapType(T.StringType(), T.StringType())),
         T.StructField("place_guess", T.StringType()),
         T.StructField("quality_grade", T.StringType()),
@@ -107,7 +100,7 @@ API_PAGE = T.StructType(
     ]
 )
 
-# Flat, typed ingest row (one per API record).
+# The flat, typed ingest row (one per API record).
 INGEST_COLUMNS = (
     "id",
     "observed_on",
@@ -132,41 +125,47 @@ INGEST_COLUMNS = (
     "quality_grade",
 )
 
-_WEEK_HEAD = [
-    T.StructField("week", T.DateType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("start_of_year", T.DateType()),
-    T.StructField("week_number", T.IntegerType()),
-]
-_DAY_HEAD = [
-    T.StructField("date", T.DateType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("start_of_year", T.DateType()),
-    T.StructField("day_of_year", T.IntegerType()),
-]
+def _head(period: str, label: str) -> list[T.StructField]:
+    return [
+        T.StructField(period, T.DateType()),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("start_of_year", T.DateType()),
+        T.StructField(label, T.IntegerType()),
+    ]
 
 
 def _counts(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
+_HEADS = {
+    "day": _head("date", "day_of_year"),
+    "week": _head("week", "week_number"),
+    "month": _head("month", "month_number"),
+    "quarter": _head("quarter", "quarter_number"),
+    "year": _head("year_start", "year_number"),
+}
+_MEASURES = {
+    "users": ("new_users", "unique_users", "cumulative_users"),
+    "species": ("new_species", "unique_species", "cumulative_species"),
+    "observations": ("unique_observations", "cumulative_observations"),
+}
+
 # Metric tables as written by the metric build (read back with these).
 METRIC_SCHEMAS = {
-    ("week", "users"): T.StructType(_WEEK_HEAD + _counts("new_users", "unique_users", "cumulative_users")),
-    ("week", "species"): T.StructType(_WEEK_HEAD + _counts("new_species", "unique_species", "cumulative_species")),
-    ("week", "observations"): T.StructType(_WEEK_HEAD + _counts("unique_observations", "cumulative_observations")),
+    (grain, metric): T.StructType(head + _counts(*names))
+    for grain, head in _HEADS.items()
+    for metric, names in _MEASURES.items()
+} | {
     ("week", "by_species"): T.StructType(
         [
             T.StructField("taxon_id", T.LongType()),
             T.StructField("scientific_name", T.StringType()),
             T.StructField("common_name", T.StringType()),
         ]
-        + _WEEK_HEAD
+        + _HEADS["week"]
         + _counts("observations", "cumulative_observations")
     ),
-    ("day", "users"): T.StructType(_DAY_HEAD + _counts("new_users", "unique_users", "cumulative_users")),
-    ("day", "species"): T.StructType(_DAY_HEAD + _counts("new_species", "unique_species", "cumulative_species")),
-    ("day", "observations"): T.StructType(_DAY_HEAD + _counts("unique_observations", "cumulative_observations")),
 }
 
 EVENT = T.StructType(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark import SparkConf
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every sightline job relies on. Time zone is pinned so that date
 # truncation and text-to-timestamp parsing do not depend on the machine.
@@ -48,18 +50,96 @@ def build_session(
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session names none (a local test session) is a private
-    folder created and registered, so that later jobs agree on it.
+    Only a local session that names none gets a private folder (registered,
+    so that later jobs agree on it). On a cluster every executor would write
+    to a folder of its own, so a missing setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="sightline-ckpt-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def delete_path(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders through the file system that holds them."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+
+
+_owned: set[str] = set()
+
+
+def _application_scratch(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/sightline/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Called when the
+    process ends; frames that read scratch tables are unusable afterwards."""
+    delete_path(spark, _application_scratch(spark))
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        drop_scratch(spark)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/sightline/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path in this application's part of the shared
+    checkpoint folder (removed when the process ends, or by its owner)."""
+    root = _application_scratch(spark)
+    if root not in _owned:
+        _owned.add(root)
+        atexit.register(_drop_at_exit, spark)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+class Scratch:
+    """Owner of written intermediates: deletes them when it is closed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+        """Write ``df`` once and return it re-read."""
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        writer = df.write.partitionBy(partition_by) if partition_by else df.write
+        writer.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        delete_path(self.spark, *self.paths)
+        self.paths.clear()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def broadcast_rows(spark: SparkSession, row_bytes: int, share: float = 0.05) -> int:
+    """How many rows of ``row_bytes`` (as a hash relation) fit into ``share``
+    of an executor's heap: the measured bound under which a side may be
+    broadcast."""
+    conf = spark.sparkContext.getConf()
+    local = spark.sparkContext.master.startswith("local")
+    text = (conf.get("spark.driver.memory" if local and "local-cluster" not in spark.sparkContext.master
+                     else "spark.executor.memory", "1g")).lower()
+    number, unit = re.match(r"(\d+)\s*([kmgt]?)", text).groups()
+    heap = int(number) * _UNITS.get(unit, 1 << 20)
+    return max(1, int(heap * share / row_bytes))

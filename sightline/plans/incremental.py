@@ -4,18 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from sightline.operators.ingest import (
-    BACKFILL_START,
-    dedupe_by_id,
-    incremental_start,
-    new_rows_for_append,
-    select_increment,
-)
-from sightline.schema import INGEST_COLUMNS
-from sightline.sources.api_pages import flatten_records, read_api_pages
+from sightline.operators.ingest import BACKFILL_START, incremental_start
+from sightline.session import checkpoint_root, delete_path
+from sightline.streaming.ingest_stream import MergeCounts, merge_pages, page_stream
 
 
 def ingest_pages(
@@ -25,34 +18,63 @@ def ingest_pages(
     table_path: str | None = None,
     backfill: bool = False,
     backfill_start: dt.datetime = BACKFILL_START,
+    *,
+    checkpoint_path: str | None = None,
+    rejects_path: str | None = None,
+    most_unreadable: float = 0.0,
+    multi_line: bool = False,
+    counts: MergeCounts | None = None,
 ) -> int:
-    """Append the records of the landed pages whose ids ``table`` lacks.
+    """Append the records of newly landed pages whose ids ``table`` lacks.
 
-    The increment starts one day before the newest ``created_at`` held (or
-    at the backfill date). Only new rows are appended: the table is never
-    overwritten while it is being read. Returns the number of rows appended,
-    observed while writing (no second pass over the batch).
+    Pages are taken as a file stream that runs until nothing is left: its
+    checkpoint remembers the files, so a run reads the files landed since the
+    last one and a run over an unchanged folder reads none. A backfill, or a
+    table that does not exist yet, starts a new checkpoint and reads them all.
+
+    The increment starts one day before the newest ``created_at`` held (or at
+    the backfill date). Only new rows are appended: the table is never
+    overwritten while it is being read. Returns the number of rows appended;
+    ``counts`` also receives pages, unreadable pages and records without id.
     """
     exists = spark.catalog.tableExists(table)
-    existing = spark.table(table) if exists else None
-    if exists:
-        start = incremental_start(existing, backfill=backfill, default=backfill_start)
-    else:
-        start = incremental_start(None, backfill=True, default=backfill_start)
-    records = flatten_records(read_api_pages(spark, pages_path)).select(*INGEST_COLUMNS)
-    # The increment is read once: the id statistics of the append and the
-    # write both use it (a lost cached block is recomputed from the pages).
-    batch = select_increment(records, start).persist()
-    try:
-        new = new_rows_for_append(existing, batch) if exists else dedupe_by_id(batch)
-        seen = Observation("appended")
-        writer = new.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("parquet")
-        if exists:
+    start = incremental_start(
+        spark.table(table) if exists else None, backfill=backfill or not exists, default=backfill_start
+    )
+    start_at = start.first()["start_at"]
+    checkpoint_path = checkpoint_path or f"{checkpoint_root(spark)}/sightline-ingest/{table}"
+    if backfill or not exists:
+        delete_path(spark, checkpoint_path)
+    counts = counts or MergeCounts()
+
+    def append(new: DataFrame) -> None:
+        writer = new.write.format("parquet")
+        if new.sparkSession.catalog.tableExists(table):
             writer.mode("append").saveAsTable(table)
         else:
             if table_path:
                 writer = writer.option("path", table_path)
             writer.mode("overwrite").saveAsTable(table)
-    finally:
-        batch.unpersist()
-    return int(seen.get.get("rows", 0))
+
+    def merge(batch: DataFrame, epoch_id: int) -> None:
+        own = batch.sparkSession
+        existing = own.table(table) if own.catalog.tableExists(table) else None
+        merge_pages(
+            batch,
+            existing,
+            append,
+            counts,
+            start=incremental_start(None, backfill=True, default=start_at),
+            rejects_path=rejects_path,
+            most_unreadable=most_unreadable,
+        )
+
+    query = (
+        page_stream(spark, pages_path, multi_line=multi_line)
+        .writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return counts.appended

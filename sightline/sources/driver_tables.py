@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values for runs over the driver's tables.
@@ -27,9 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def observations(
-    spark: SparkSession, sf_dir: str, with_names: bool = True, with_source: bool = False
+    spark: SparkSession, sf_dir: str, with_names: bool = True, with_source: bool = False, with_location: bool = False
 ) -> DataFrame:
-    """Raw observations (typed export columns plus ``quality_grade``)."""
+    """Raw observations (typed export columns plus ``quality_grade``, and
+    ``location`` as "latitude,longitude" text)."""
     li = table(spark, sf_dir, "lineitem")
     line_cols = [
         "l_orderkey",
@@ -64,19 +65,42 @@ def observations(
         *name_cols,
         F.col("o_orderstatus").alias("quality_grade"),
         *([F.col("source_file")] if with_source else []),
+        *([location(F.col("o_custkey"), F.col("l_partkey")).alias("location")] if with_location else []),
     )
 
 
+def _latitude(user: Column) -> Column:
+    return user % 40 + 20
+
+
+def _longitude(taxon: Column) -> Column:
+    return taxon % 60 - 120
+
+
+def location(user: Column, taxon: Column) -> Column:
+    """A made-up place: whole degrees from the user and the taxon."""
+    return F.concat_ws(",", _latitude(user).cast("string"), _longitude(taxon).cast("string"))
+
+
 def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same observations shaped as nested API records (for landing)."""
+    """The same observations shaped as nested API records (for landing), with
+    every field filled: those the tables lack are made up from the ids."""
     obs = observations(spark, sf_dir)
     iso = "yyyy-MM-dd'T'HH:mm:ss'Z'"
     return obs.select(
         "id",
-        "uuid",
+        F.concat(F.lit("u-"), F.col("id").cast("string")).alias("uuid"),
         F.date_format("observed_on", "yyyy-MM-dd").alias("observed_on"),
         F.date_format("time_observed_at", iso).alias("time_observed_at"),
         F.date_format("created_at", iso).alias("created_at"),
+        location(F.col("user_id"), F.col("taxon_id")).alias("location"),
+        F.struct(
+            F.lit("Point").alias("type"), F.array(_longitude(F.col("taxon_id")), _latitude(F.col("user_id"))).alias("coordinates")
+        ).alias("geojson"),
+        F.struct(F.date_format("created_at", "yyyy-MM-dd").alias("date")).alias("created_at_details"),
+        F.concat(F.lit("Place \""), (F.col("user_id") % 7).cast("string"), F.lit("\", north")).alias("place_guess"),
+        (F.col("id") % 11 == 0).alias("spam"),
+        (F.col("id") % 13 == 0).alias("hidden"),
         F.col("quality_grade"),
         F.struct(F.col("user_id").alias("id")).alias("user"),
         F.struct(
@@ -84,6 +108,11 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("scientific_name").alias("name"),
             F.col("common_name").alias("preferred_common_name"),
             F.col("taxon_kingdom_name").alias("iconic_taxon_name"),
+            F.when(F.col("taxon_id") % 3 == 0, "genus").otherwise("species").alias("rank"),
+            F.concat(F.lit("https://wiki.example/"), F.col("taxon_id").cast("string")).alias("wikipedia_url"),
+            F.when(
+                F.col("taxon_id") % 5 == 0, F.struct(F.lit("endangered").alias("status_name"))
+            ).alias("conservation_status"),
         ).alias("taxon"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.schema import METRIC_SCHEMAS
 
-_PERIOD_NAMES = {"weekly": "week", "daily": "day"}
+_PERIOD_NAMES = {"weekly": "week", "daily": "day", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
 
 
 def metric_path(root: str, period: str, name: str) -> str:
@@ -55,6 +55,15 @@ def read_metrics(
     return out
 
 
+def metric_columns(df: DataFrame, grain: str) -> DataFrame:
+    """The metric tables' columns of a combined table, in their declared types
+    and order; every other column is dropped."""
+    fields = {}
+    for name in ("users", "species", "observations"):
+        fields |= {f.name: f for f in METRIC_SCHEMAS[(_PERIOD_NAMES.get(grain, grain), name)].fields}
+    return df.select(*[F.col(n).cast(f.dataType).alias(n) for n, f in fields.items() if n in df.columns])
+
+
 def typed_metrics(df: DataFrame, grain: str, name: str) -> DataFrame:
     """Text metric columns (e.g. a CSV read without a schema) -> declared
     types; unreadable values become null instead of failing the job."""

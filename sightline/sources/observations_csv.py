@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import csv
+import datetime as dt
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.functions.text import to_date_or_null, to_utc_timestamp_ntz
 from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
 
 _LONGS = ("id", "user_id", "taxon_id")
 _TIMESTAMPS = ("time_observed_at", "created_at")
+_QUOTING = {"quote": '"', "escape": '"'}  # a quote inside quotes is doubled
+EARLIEST_DATE = dt.date(1900, 1, 1)  # dates before it are taken for typing errors
 
 
 def validate_columns(df: DataFrame, required: Iterable[str] = REQUIRED_EXPORT_COLUMNS) -> DataFrame:
@@ -54,41 +60,81 @@ def type_export(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def _first_line(spark: SparkSession, path) -> str:
+    """First line of a file, through the file system that holds it."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        data = codec.createInputStream(stream) if codec is not None else stream
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(data, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return (line or "").removeprefix("\ufeff")
+
+
+def file_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> dict[tuple[str, ...], list[str]]:
+    """header -> its files, of the files under ``path`` that match ``glob``.
+    One short read per file; empty files are left out."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(conf)
+    found = store.globStatus(jvm.org.apache.hadoop.fs.Path(root, glob)) or store.globStatus(root) or []
+    files = [s.getPath() for s in found if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
+    by_header: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    with ThreadPoolExecutor(16) as pool:
+        for file, line in zip(files, pool.map(lambda f: _first_line(spark, f), files)):
+            by_header[tuple(next(csv.reader([line]), ()))].append(file.toString())
+    return dict(by_header)
+
+
+def _header_schema(header: Sequence[str], required: Sequence[str]) -> T.StructType:
+    """Text columns in the file's own order; only the first column of a
+    required name keeps the name."""
+    names = []
+    for i, name in enumerate(header):
+        names.append(name if name in required and name not in names else f"_c{i}")
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
 def read_observations_csv(
     spark: SparkSession, path: str, glob: str = "*.csv", multi_line: bool = True
 ) -> DataFrame:
-    """All export files under ``path`` in one scan -> typed raw observations.
-
-    Columns are taken by header name (an export may carry many more columns,
-    in any order; every file of one export shares the layout). Nothing is
-    listed on the driver. ``multi_line`` accepts quoted line breaks in free
-    text columns but reads each file in one task; exports without them can
-    turn it off so large files are split into blocks.
+    """All export files under ``path`` -> typed raw observations.
+
+    Every file is read by its own header: files are grouped by header, each
+    distinct header is one scan, and the scans are combined by name, so files
+    may order their columns differently or carry more of them. A file that
+    lacks a required column is an error that names it. ``multi_line`` accepts
+    quoted line breaks in free text columns but reads each file in one task;
+    exports without them can turn it off so large files are split into blocks.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("pathGlobFilter", glob)
-    )
-    try:
-        raw = reader.csv(path)
-    except AnalysisException as exc:  # empty folder: no header to read
-        raise FileNotFoundError(f"no observation export files matching {glob!r} under {path}") from exc
-    validate_columns(raw)
-    raw = raw.withColumn("source_file", F.col("_metadata.file_name"))
-    return type_export(project_required(raw))
+    headers = file_headers(spark, path, glob)
+    if not headers:
+        raise FileNotFoundError(f"no observation export files matching {glob!r} under {path}")
+    frames = []
+    for header, files in sorted(headers.items()):
+        schema = _header_schema(header, REQUIRED_EXPORT_COLUMNS)
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+        raw = reader.options(**_QUOTING).csv(files)
+        try:
+            validate_columns(raw)
+        except ValueError as exc:
+            raise ValueError(f"{exc} (in {files[0]})") from None
+        frames.append(project_required(raw.withColumn("source_file", F.col("_metadata.file_name"))))
+    return type_export(union_files(frames))
 
 
 def union_files(frames: Sequence[DataFrame]) -> DataFrame:
-    """Combine frames by column name (columns missing on one side are null)."""
+    """Combine frames by column name; every frame has the same columns."""
     if not frames:
         raise ValueError("nothing to union")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(DataFrame.unionByName, frames)
 
 
 def write_observations_csv(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Write observations in export form: header, ISO dates, ``... UTC`` times."""
+    """Write observations in export form: header, ISO dates, ``... UTC`` times
+    to the microsecond, blanks and quotes kept."""
     out = []
     for name in df.columns:
         dtype = df.schema[name].dataType.typeName()
@@ -96,23 +142,32 @@ def write_observations_csv(df: DataFrame, path: str, mode: str = "error") -> Non
         if dtype == "date":
             c = F.date_format(c, "yyyy-MM-dd")
         elif dtype.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss 'UTC'")
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS 'UTC'")
         out.append(c.cast("string").alias(name))
-    df.select(*out).write.mode(mode).option("header", True).csv(path)
+    keep_blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*out).write.mode(mode).option("header", True).options(**_QUOTING, **keep_blanks).csv(path)
 
 
-def load_audit(df: DataFrame, date_col: str = "observed_on") -> DataFrame:
+def load_audit(
+    df: DataFrame, date_col: str = "observed_on", earliest: dt.date = EARLIEST_DATE, latest: dt.date | None = None
+) -> DataFrame:
     """Rows per source file and in total, in one aggregation job.
 
-    Counts rows, rows whose date is missing or unreadable, rows without a
-    user and rows without a taxon. The total row has ``source_file`` null
-    and ``is_total`` true.
+    Counts rows, rows whose id is missing or unreadable (an ingest rejects
+    them), rows whose date is missing or unreadable, rows dated outside
+    ``earliest`` .. ``latest`` (today when omitted; a mistyped year stretches
+    a calendar that is derived from the data), rows without a user and rows
+    without a taxon. The total row has ``source_file`` null and ``is_total``
+    true.
     """
+    last = F.lit(latest) if latest is not None else F.current_date()
     return (
         df.rollup("source_file")
         .agg(
             F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col("id").isNull()).alias("null_ids"),
             F.count_if(F.col(date_col).isNull()).alias("null_dates"),
+            F.count_if((F.col(date_col) < F.lit(earliest)) | (F.col(date_col) > last)).alias("out_of_range_dates"),
             F.count_if(F.col("user_id").isNull()).alias("null_users"),
             F.count_if(F.col("taxon_id").isNull()).alias("null_taxa"),
             (F.grouping("source_file") == 1).alias("is_total"),

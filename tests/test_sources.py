@@ -72,6 +72,44 @@ def test_quoted_line_break_in_free_text(spark, tmp_dir):
     assert sorted(r.id for r in df.collect()) == [1, 2]
 
 
+def test_files_are_read_by_their_own_headers(spark, tmp_dir):
+    swapped = HEADER.replace("user_id", "X").replace("taxon_id", "user_id").replace("X", "taxon_id")
+    _write(tmp_dir, "a.csv", [HEADER, "1,u1,2019-04-26,,5,,Red Plate,plate,9,Plantae,Red Plate,51.0"])
+    _write(tmp_dir, "b.csv", [swapped, "2,u2,2019-04-26,,99,,Red Plate,plate,7,Plantae,Red Plate,51.0"])
+    _write(tmp_dir, "c.csv", ["note," + HEADER, "extra,3,u3,2019-04-26,,6,,Red Plate,plate,8,Plantae,Red Plate,51.0"])
+    rows = {r.id: r for r in observations_csv.read_observations_csv(spark, tmp_dir).collect()}
+    assert [(rows[i].user_id, rows[i].taxon_id, rows[i].uuid) for i in (1, 2, 3)] == [
+        (5, 9, "u1"), (7, 99, "u2"), (6, 8, "u3")]
+    _write(tmp_dir, "d.csv", ["id,observed_on", "4,2019-04-26"])
+    with pytest.raises(ValueError, match="Missing required columns: uuid.*d.csv"):
+        observations_csv.read_observations_csv(spark, tmp_dir)
+
+
+def test_doubled_quotes_blanks_and_fractions_survive(spark, tmp_dir):
+    _write(tmp_dir, "a.csv", [
+        HEADER, '1,u1,2019-04-26,,5,,"say ""hi"", ok",plate,9,Plantae,Red Plate,51.0'])
+    row = observations_csv.read_observations_csv(spark, tmp_dir).first()
+    assert row.scientific_name == 'say "hi", ok' and row.taxon_id == 9
+    obs = make_obs(spark, [(1, "2020-01-01", 1, 5, ' two  blanks "q", ', "a", dt.datetime(2020, 1, 1, 1, 2, 3, 456789))])
+    out = os.path.join(tmp_dir, "out")
+    observations_csv.write_observations_csv(obs, out)
+    back = observations_csv.read_observations_csv(spark, out).drop("source_file")
+    assert list(map(tuple, back.collect())) == list(map(tuple, obs.collect()))
+
+
+def test_audit_counts_dates_out_of_range_and_missing_ids(spark):
+    obs = make_obs(spark, [(1, "0020-01-01", 1, 5, "a", "a"), (None, "2020-01-01", 1, 5, "a", "a"),
+                           (2, "2031-01-01", 1, 5, "a", "a")]).selectExpr("*", "'f' as source_file")
+    total = [r for r in observations_csv.load_audit(obs, latest=dt.date(2030, 1, 1)).collect() if r.is_total][0]
+    assert (total.rows, total.null_ids, total.out_of_range_dates) == (3, 1, 2)
+
+
+def test_union_is_strict(spark):
+    a = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(Exception):
+        observations_csv.union_files([a, a.select("a")]).count()
+
+
 def test_metric_tables_round_trip_csv_and_parquet(spark, tmp_dir):
     obs = make_obs(spark, BOUNDARY)
     users = pm.weekly_users(obs, as_of="2026-12-31", start="2018-01-01", end="2026-12-31")
@@ -102,7 +140,7 @@ def test_api_pages_null_safe_flatten(spark, tmp_dir):
     recs = api_pages.read_api_pages(spark, tmp_dir)
     flat = {r.id: r for r in api_pages.flatten_records(recs).collect()}
     assert flat[1].time_observed_at == dt.datetime(2024, 4, 27, 16, 0)
-    assert flat[1].status_name == "secure" and flat[1].geojson.coordinates == [-114.0, 51.0]
+    assert flat[1].status_name == "secure" and json.loads(flat[1].geojson)["coordinates"] == [-114.0, 51.0]
     assert flat[1].created_at_details["week"] == "17"
     assert flat[2].taxon_id is None and flat[2].user_id == 8
     assert flat[3].taxon_id is None and flat[3].user_id is None

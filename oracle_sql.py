@@ -273,14 +273,18 @@ SELECT 'all', NULL, count(*), count(DISTINCT id) FROM obs""")
     q["union_files"] = with_obs(f"""SELECT {RAW} FROM obs WHERE observed_on < DATE '1999-01-01'
 UNION ALL
 SELECT {RAW} FROM obs WHERE observed_on >= DATE '1998-01-01'""")
-    audit_cols = """count(*) AS rows,
+    audit_cols = f"""count(*) AS rows,
+       count(*) FILTER (WHERE id IS NULL) AS null_ids,
+       count(*) FILTER (WHERE observed_on < DATE '1900-01-01' OR observed_on > {AS_OF}) AS out_of_range_dates,
        count(*) FILTER (WHERE observed_on IS NULL) AS null_dates,
        count(*) FILTER (WHERE user_id IS NULL) AS null_users,
        count(*) FILTER (WHERE taxon_id IS NULL) AS null_taxa"""
     q["load_audit"] = with_obs(f"""SELECT 'lineitem.parquet' AS source_file, {audit_cols}, false AS is_total FROM obs
 UNION ALL
 SELECT NULL, {audit_cols}, true FROM obs""")
-    q["write_metrics"] = wo
+    q["write_metrics"] = "\nUNION ALL BY NAME\n".join(
+        f"SELECT *, '{name}' AS metric_table FROM ({sql})"
+        for name, sql in (("users", wu), ("species", ws), ("observations", wo), ("by_species", weekly_by_species_sql())))
     q["read_metrics"] = weekly_by_species_sql()
     q["read_api_pages"] = with_obs(
         "SELECT id // 200 AS page, id, strftime(observed_on, '%Y-%m-%d') AS observed_on, user_id, taxon_id FROM obs")
@@ -300,10 +304,14 @@ u AS (SELECT {week_of('observed_on')} AS week, count(DISTINCT user_id) AS n FROM
       WHERE observed_on IS NOT NULL GROUP BY 1)
 SELECT c.week, coalesce(u.n, 0) AS unique_users FROM calx c LEFT JOIN u ON u.week = c.week"""
     q["flatten_record"] = with_obs("""SELECT id, observed_on, time_observed_at, taxon_id, user_id, common_name,
-       created_at, CAST(NULL AS VARCHAR) AS location, scientific_name AS species_name, uuid, scientific_name,
-       taxon_kingdom_name, CAST(NULL AS VARCHAR) AS wikipedia_url, CAST(NULL AS VARCHAR) AS status_name,
-       CAST(NULL AS VARCHAR) AS category, CAST(NULL AS BOOLEAN) AS spam, CAST(NULL AS BOOLEAN) AS hidden,
-       CAST(NULL AS VARCHAR) AS place_guess, quality_grade
+       created_at, (user_id % 40 + 20) || ',' || (taxon_id % 60 - 120) AS location, scientific_name AS species_name,
+       '{"type":"Point","coordinates":[' || (taxon_id % 60 - 120) || ',' || (user_id % 40 + 20) || ']}' AS geojson,
+       'u-' || id AS uuid, scientific_name, taxon_kingdom_name, 'https://wiki.example/' || taxon_id AS wikipedia_url,
+       CASE WHEN taxon_id % 5 = 0 THEN 'endangered' END AS status_name,
+       CASE WHEN taxon_id % 3 = 0 THEN 'genus' ELSE 'species' END AS category,
+       id % 11 = 0 AS spam, id % 13 = 0 AS hidden,
+       '{"date":"' || strftime(created_at, '%Y-%m-%d') || '"}' AS created_at_details,
+       'Place "' || (user_id % 7) || '", north' AS place_guess, quality_grade
 FROM obs""")
     q["year_of_date"] = with_obs(
         "SELECT id, observed_on AS observed_date, CAST(year(observed_on) AS INTEGER) AS year FROM obs")
@@ -314,11 +322,8 @@ s AS (SELECT week, year, cumulative_observations,
       FROM wo)
 SELECT *, cumulative_observations - starting_cumulative_observations AS year_adjusted_cumulative_observations
 FROM s"""
-    ints = ", ".join(
-        f"CAST({c} AS INTEGER) AS {c}"
-        for c in ["new_users", "unique_users", "cumulative_users", "new_species", "unique_species",
-                  "cumulative_species", "unique_observations", "cumulative_observations"])
-    q["drop_helper"] = f"SELECT week, year, week_number, start_of_year, {ints} FROM ({COMBINED})"
+    q["drop_helper"] = f"""SELECT * EXCLUDE (helper) FROM (
+  SELECT *, row_number() OVER (PARTITION BY year ORDER BY week) AS helper FROM ({COMBINED})) WHERE helper > 1"""
     q["attach_first_seen"] = f"""WITH {OBS},
 fu AS (SELECT user_id, min(observed_on) AS d, min({week_of('observed_on')}) AS w FROM obs GROUP BY user_id),
 ft AS (SELECT taxon_id, min(observed_on) AS d, min({week_of('observed_on')}) AS w FROM obs GROUP BY taxon_id)
@@ -391,8 +396,10 @@ WHERE rn = 1"""
     q["week_bounds"] = with_obs(f"""SELECT d AS date, {week_of('d')} AS week_start, {week_of('d')} + 6 AS week_end
 FROM (SELECT DISTINCT observed_on AS d FROM obs WHERE observed_on IS NOT NULL)""")
     q["event_calendar"] = f"WITH {OBS}, {events_cte()} SELECT event, start_date, end_date FROM evx"
-    q["sort_by_period"] = f"SELECT * FROM ({wu}) ORDER BY week"
-    q["sort_desc"] = f"SELECT * FROM ({q['count_audit']}) ORDER BY year DESC NULLS LAST"
+    place = "CAST(row_number() OVER (ORDER BY {}) AS INTEGER) AS place"
+    q["sort_by_period"] = f"SELECT *, {place.format('week')} FROM ({wu}) ORDER BY week"
+    newest = "year DESC NULLS LAST"
+    q["sort_desc"] = f"SELECT *, {place.format(newest)} FROM ({q['count_audit']}) ORDER BY {newest}"
     q["preview_limit"] = f"SELECT * FROM ({wu}) ORDER BY week LIMIT 5"
     q["union_by_name"] = with_obs(f"""SELECT id, user_id, taxon_id, observed_on, created_at FROM obs WHERE created_at < {CUT}
 UNION ALL
@@ -417,6 +424,108 @@ SELECT {OBSCOLS} FROM dedup d WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e
 ORACLE.update(more())
 
 
+# ---------------------------------------------------------------------------
+# Participation and trends (events: the last weekend of April of every year).
+
+EVENTS = f"WITH {OBS}, {events_cte()}"
+PARTICIPANTS = """participants AS (
+  SELECT event, user_id, bool_or(observed_on BETWEEN start_date AND end_date) AS participated
+  FROM obs JOIN evx ON year(observed_on) = year(start_date) WHERE user_id IS NOT NULL GROUP BY 1, 2)"""
+
+
+def segments_sql(what: str, key: str) -> str:
+    def n(column: str, phase: str) -> str:
+        return f"count(DISTINCT {column}) FILTER (WHERE {phase})"
+
+    during, before, after = "observed_on BETWEEN start_date AND end_date", "observed_on < start_date", "observed_on > end_date"
+    return f"""{EVENTS}, activity AS (
+  SELECT event, user_id, {n('id', during)} + {n('taxon_id', during)} > 0 AS participated,
+         {n(key, before)} AS b, {n(key, after)} AS a
+  FROM obs JOIN evx ON year(observed_on) = year(start_date) WHERE user_id IS NOT NULL GROUP BY 1, 2)
+SELECT event, participated, count(*) AS users, avg(b) AS avg_{what}_before, avg(a) AS avg_{what}_after
+FROM activity GROUP BY 1, 2"""
+
+
+YEARLY = """yearly AS (
+  SELECT taxon_id, scientific_name, CAST(year(observed_on) AS INTEGER) AS year, count(DISTINCT id) AS n
+  FROM obs WHERE observed_on IS NOT NULL AND taxon_id IS NOT NULL GROUP BY 1, 2, 3)"""
+
+
+def trends() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["event_metrics"] = f"""{EVENTS}
+SELECT event, start_date, end_date, count(DISTINCT user_id) AS unique_users, count(DISTINCT taxon_id) AS unique_species,
+       count(DISTINCT id) AS unique_observations
+FROM evx LEFT JOIN obs ON observed_on BETWEEN start_date AND end_date GROUP BY 1, 2, 3"""
+    q["event_participants"] = f"{EVENTS}, {PARTICIPANTS} SELECT * FROM participants"
+    q["participation_activity"] = segments_sql("observations", "id")
+    q["participation_species"] = segments_sql("species", "taxon_id")
+    q["event_acquisition"] = f"""{EVENTS}, f AS (
+  SELECT min(observed_on) AS d FROM obs WHERE user_id IS NOT NULL AND observed_on IS NOT NULL GROUP BY user_id)
+SELECT CAST(year(d) AS INTEGER) AS year, event, count(*) AS new_users,
+       count(*) FILTER (WHERE d BETWEEN start_date AND end_date) AS first_during,
+       count(*) FILTER (WHERE d BETWEEN start_date - 7 AND end_date + 7) AS first_near
+FROM f LEFT JOIN evx ON year(d) = year(start_date) GROUP BY 1, 2"""
+    q["event_retention"] = f"""{EVENTS}, {PARTICIPANTS}
+SELECT event, participated, CAST((observed_on - end_date - 1) // 7 AS INTEGER) AS week_after,
+       count(DISTINCT user_id) AS active_users, count(DISTINCT id) AS observations
+FROM obs JOIN evx ON observed_on > end_date AND observed_on <= end_date + 364
+JOIN participants USING (event, user_id) GROUP BY 1, 2, 3"""
+    q["yoy_lift"] = f"""WITH {OBS}, {YEARLY},
+pairs AS (
+  SELECT taxon_id, scientific_name, year, n AS c, 0 AS p FROM yearly
+  UNION ALL SELECT taxon_id, scientific_name, year + 1, 0, n FROM yearly),
+merged AS (SELECT taxon_id, scientific_name, year, CAST(sum(c) AS BIGINT) AS observations,
+                CAST(sum(p) AS BIGINT) AS previous_observations FROM pairs GROUP BY 1, 2, 3)
+SELECT *, observations - previous_observations AS lift,
+       CASE WHEN previous_observations > 0
+            THEN CAST(observations AS DOUBLE) / previous_observations END AS ratio,
+       CAST(row_number() OVER (PARTITION BY year ORDER BY observations - previous_observations DESC, scientific_name,
+                               taxon_id) AS INTEGER) AS lift_rank
+FROM merged WHERE year > (SELECT min(year) FROM yearly) AND year <= (SELECT max(year) FROM yearly)
+  AND greatest(observations, previous_observations) >= 2"""
+    q["species_trend"] = f"""WITH {OBS}, {YEARLY}, fitted AS (
+  SELECT taxon_id, scientific_name, count(*) AS years,
+         round(regr_slope(CAST(n AS DOUBLE), CAST(year AS DOUBLE)), 9) + 0.0 AS slope
+  FROM yearly GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT *, CASE WHEN slope = 0 THEN 'level' WHEN slope > 0 THEN 'increasing' ELSE 'declining' END AS trend FROM fitted"""
+    q["species_share"] = with_obs("""SELECT *, CAST(observations AS DOUBLE) / sum(observations) OVER (PARTITION BY quarter) AS share
+FROM (SELECT CAST(date_trunc('quarter', observed_on) AS DATE) AS quarter, taxon_id, scientific_name,
+             count(DISTINCT id) AS observations
+      FROM obs WHERE observed_on IS NOT NULL AND taxon_id IS NOT NULL GROUP BY 1, 2, 3)""")
+    q["kingdom_totals"] = with_obs("SELECT taxon_kingdom_name, count(DISTINCT id) AS observations FROM obs GROUP BY 1")
+    q["kingdom_by_period"] = with_obs("""SELECT CAST(date_trunc('month', observed_on) AS DATE) AS month, taxon_kingdom_name,
+       count(DISTINCT id) AS observations FROM obs WHERE observed_on IS NOT NULL GROUP BY 1, 2""")
+    q["rarest_species"] = with_obs("""SELECT taxon_id, scientific_name, count(DISTINCT id) AS observations
+FROM obs WHERE taxon_id IS NOT NULL GROUP BY 1, 2 ORDER BY 3, 2, 1""")
+    q["quality_breakdown"] = with_obs("""SELECT *, CAST(100 * observations AS DOUBLE) / sum(observations) OVER () AS percentage
+FROM (SELECT quality_grade, count(DISTINCT id) AS observations FROM obs GROUP BY 1)""")
+    q["range_shift"] = f"""WITH {OBS}, p AS (
+  SELECT taxon_id, scientific_name, CAST(year(observed_on) AS INTEGER) AS year,
+         radians(user_id % 40 + 20) AS la, radians(taxon_id % 60 - 120) AS lo
+  FROM obs WHERE observed_on IS NOT NULL),
+c AS (SELECT taxon_id, scientific_name, year, count(*) AS located, avg(cos(la) * cos(lo)) AS x, avg(cos(la) * sin(lo)) AS y,
+             avg(sin(la)) AS z FROM p GROUP BY 1, 2, 3),
+g AS (SELECT taxon_id, scientific_name, year, located, atan2(z, sqrt(x * x + y * y)) AS la, atan2(y, x) AS lo FROM c),
+l AS (SELECT *, lag(year) OVER w AS y0, lag(la) OVER w AS la0, lag(lo) OVER w AS lo0 FROM g
+      WINDOW w AS (PARTITION BY taxon_id, scientific_name ORDER BY year))
+SELECT taxon_id, scientific_name, year, located, round(degrees(la), 6) AS latitude, round(degrees(lo), 6) AS longitude,
+       round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((la - la0) / 2), 2)
+             + cos(la) * cos(la0) * pow(sin((lo - lo0) / 2), 2)))), 3) AS shift_km
+FROM l WHERE y0 = year - 1"""
+    adjusted = "first_value(cumulative_observations - unique_observations) OVER (PARTITION BY anchored_year ORDER BY week)"
+    q["anchored_year"] = f"""WITH w AS (
+  SELECT week, CAST(year(week - INTERVAL 3 MONTH) AS INTEGER) AS anchored_year, unique_observations, cumulative_observations
+  FROM ({metric_sql('observations', 'week')}))
+SELECT *, {adjusted} AS starting_cumulative_observations,
+       cumulative_observations - {adjusted} AS year_adjusted_cumulative_observations
+FROM w"""
+    return q
+
+
+ORACLE.update(trends())
+
+
 STREAM_ORDER = ", ".join(
     f"{c} DESC NULLS LAST"
     for c in ["created_at", "observed_on", "time_observed_at", "taxon_id", "user_id", "common_name",

@@ -1,9 +1,11 @@
 """Command line for the four jobs.
 
-    python -m sightline build-metrics EXPORT_DIR OUT_ROOT [--as-of D] [--csv] [--single-line]
-    python -m sightline build-charts  OUT_ROOT CHART_ROOT [--min-year Y]
-    python -m sightline check-counts  EXPORT_DIR [--metrics OUT_ROOT]
-    python -m sightline ingest        PAGES_DIR TABLE [--path P] [--backfill]
+    python -m sightline build-metrics EXPORT_DIR OUT_ROOT [--as-of D] [--start D --end D] [--grains week,day]
+                                      [--csv] [--single-line]
+    python -m sightline build-charts  OUT_ROOT CHART_ROOT [--min-year Y] [--csv]
+    python -m sightline check-counts  EXPORT_DIR [--metrics OUT_ROOT] [--csv] [--single-line]
+    python -m sightline ingest        PAGES_DIR TABLE [--path P] [--backfill] [--rejects P] [--most-unreadable S]
+                                      [--multi-line]
 
 On a cluster submit it with spark-submit; the session settings come from
 the cluster (only sightline's defaults that are unset are added).
@@ -19,6 +21,18 @@ from pyspark.sql import SparkSession
 from sightline.session import build_session
 
 
+def _single_line(p: argparse.ArgumentParser) -> None:
+    p.add_argument(
+        "--single-line",
+        action="store_true",
+        help="exports have no quoted line breaks: split large files into blocks instead of one task per file",
+    )
+
+
+def _fmt(args: argparse.Namespace) -> str:
+    return "csv" if args.csv else "parquet"
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="sightline")
     sub = parser.add_subparsers(dest="cmd", required=True)
@@ -27,27 +41,32 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("export_dir")
     p.add_argument("out_root")
     p.add_argument("--as-of", default=None)
+    p.add_argument("--start", default=None, help="first day of the calendar (else derived from the data)")
+    p.add_argument("--end", default=None, help="last day of the calendar (else derived from the data)")
+    p.add_argument("--grains", default="week", help="comma-separated: day, week, month, quarter, year")
     p.add_argument("--csv", action="store_true", help="write metric tables as CSV with header")
-    p.add_argument(
-        "--single-line",
-        action="store_true",
-        help="exports have no quoted line breaks: split large files into blocks instead of one task per file",
-    )
+    _single_line(p)
 
     p = sub.add_parser("build-charts", help="metric tables -> long-form chart series")
     p.add_argument("metrics_root")
     p.add_argument("chart_root")
     p.add_argument("--min-year", type=int, default=2018)
+    p.add_argument("--csv", action="store_true", help="the metric tables were written as CSV")
 
     p = sub.add_parser("check-counts", help="rows vs distinct ids, and metric previews")
     p.add_argument("export_dir")
     p.add_argument("--metrics", default=None)
+    p.add_argument("--csv", action="store_true", help="the metric tables were written as CSV")
+    _single_line(p)
 
     p = sub.add_parser("ingest", help="landed API pages -> insert-only merge into a table")
     p.add_argument("pages_dir")
     p.add_argument("table")
     p.add_argument("--path", default=None, help="location of the table files when it is created")
     p.add_argument("--backfill", action="store_true")
+    p.add_argument("--rejects", default=None, help="folder for unreadable pages and records without an id")
+    p.add_argument("--most-unreadable", type=float, default=0.0, help="share of unreadable pages to accept")
+    p.add_argument("--multi-line", action="store_true", help="each file is one (indented) page")
 
     args = parser.parse_args(argv)
     owned = SparkSession.getActiveSession() is None
@@ -58,26 +77,37 @@ def main(argv: list[str] | None = None) -> None:
         from sightline.sources.observations_csv import read_observations_csv
 
         raw = read_observations_csv(spark, args.export_dir, multi_line=not args.single_line)
-        paths = build_metrics(spark, raw, args.out_root, as_of=args.as_of, fmt="csv" if args.csv else "parquet")
+        paths = build_metrics(
+            spark, raw, args.out_root, as_of=args.as_of, start=args.start, end=args.end,
+            grains=args.grains.split(","), fmt=_fmt(args),
+        )
         print(json.dumps(paths, indent=2))
     elif args.cmd == "build-charts":
         from sightline.plans.chart_series import build_series
 
-        print(json.dumps(build_series(spark, args.metrics_root, args.chart_root, min_year=args.min_year), indent=2))
+        paths = build_series(spark, args.metrics_root, args.chart_root, min_year=args.min_year, fmt=_fmt(args))
+        print(json.dumps(paths, indent=2))
     elif args.cmd == "check-counts":
         from sightline.plans.count_check import count_check
         from sightline.sources.observations_csv import read_observations_csv
 
-        audit_rows, previews = count_check(spark, read_observations_csv(spark, args.export_dir), args.metrics)
+        obs = read_observations_csv(spark, args.export_dir, multi_line=not args.single_line)
+        audit_rows, previews = count_check(spark, obs, args.metrics, fmt=_fmt(args))
         for row in audit_rows:
             print(row.asDict())
         for name, rows in previews.items():
             print(name, [r.asDict() for r in rows])
     elif args.cmd == "ingest":
         from sightline.plans.incremental import ingest_pages
+        from sightline.streaming.ingest_stream import MergeCounts
 
-        appended = ingest_pages(spark, args.pages_dir, args.table, table_path=args.path, backfill=args.backfill)
+        counts = MergeCounts()
+        appended = ingest_pages(
+            spark, args.pages_dir, args.table, table_path=args.path, backfill=args.backfill,
+            rejects_path=args.rejects, most_unreadable=args.most_unreadable, multi_line=args.multi_line, counts=counts,
+        )
         print(f"appended {appended} new records to {args.table}")
+        print(f"pages read {counts.pages}, unreadable {counts.unreadable}, records without id {counts.without_id}")
     if owned:
         spark.stop()
 

@@ -12,74 +12,83 @@ from sightline.functions.text import name_key
 from sightline.operators.calendar import DateLike, as_date_col
 from sightline.operators.period_metrics import _check, keyed_counts, keyed_items, upto_cutoff
 
-# Above this many names the membership test becomes a broadcast semi join
-# (the broadcast side is the name list itself, so its size is known here).
-INLINE_NAME_LIMIT = 1000
+SPECIES_KEYS = ("taxon_id", "scientific_name")
+Names = Iterable[str] | DataFrame
+
 
+def _name_column(df: DataFrame, col: str) -> Column:
+    """Lower-cased name: the stored key of the fact, else computed."""
+    return F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
 
-def name_match(df: DataFrame, names: Iterable[str], col: str = "scientific_name") -> Column:
-    """Inline case-insensitive membership test (lists up to
-    ``INLINE_NAME_LIMIT``). On a table that stores the lower-cased name
-    (``<col>_key``, written by the metric build) it is a plain ``IN`` on that
-    column, so it reaches the parquet scan as a pushed filter."""
-    keys = sorted({n.lower() for n in names})
-    if len(keys) > INLINE_NAME_LIMIT:
-        raise ValueError(f"more than {INLINE_NAME_LIMIT} names: use name_in_list")
-    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
-    return key.isin(keys)
 
+def _name_table(names: DataFrame) -> DataFrame:
+    return names.select(name_key(F.col(names.columns[0])).alias("_name_key")).distinct()
 
-def name_in_list(df: DataFrame, names: Iterable[str], col: str = "scientific_name") -> DataFrame:
-    """Rows whose ``col`` matches one of ``names``, ignoring case.
 
-    Up to ``INLINE_NAME_LIMIT`` names an inline ``IN`` (see ``name_match``);
-    above it a broadcast semi join with the name list itself, whose size is
-    known here.
+def mark_tracked(df: DataFrame, names: Names, col: str = "scientific_name", flag: str = "_tracked") -> DataFrame:
+    """Add ``flag``: the row's name is one of ``names``, ignoring case.
+
+    ``names`` is a list of any length (a membership test, one hash lookup per
+    row) or a table whose first column holds the names (a left join with its
+    distinct names; Spark picks the join from the table's size).
     """
-    keys = sorted({n.lower() for n in names})
-    if len(keys) <= INLINE_NAME_LIMIT:
-        return df.where(name_match(df, keys, col))
-    key = F.col(f"{col}_key") if f"{col}_key" in df.columns else name_key(col)
-    spark = df.sparkSession
-    wanted = spark.createDataFrame([(k,) for k in keys], "_name_key string")
-    return df.join(F.broadcast(wanted), key == F.col("_name_key"), "left_semi")
+    key = _name_column(df, col)
+    if isinstance(names, DataFrame):
+        wanted = _name_table(names).withColumn(flag, F.lit(True))
+        joined = df.join(wanted, key == F.col("_name_key"), "left").drop("_name_key")
+        return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.withColumn(flag, F.coalesce(key.isin(sorted({n.lower() for n in names})), F.lit(False)))
+
+
+def name_in_list(df: DataFrame, names: Names, col: str = "scientific_name") -> DataFrame:
+    """Rows whose ``col`` matches one of ``names``, ignoring case. On a table
+    that stores the lower-cased name (``<col>_key``, written by the metric
+    build) a list is a plain ``IN`` on that column, so it reaches the parquet
+    scan as a pushed filter."""
+    key = _name_column(df, col)
+    if isinstance(names, DataFrame):
+        return df.join(_name_table(names), key == F.col("_name_key"), "left_semi")
+    return df.where(key.isin(sorted({n.lower() for n in names})))
 
 
 def observations_per_period_species(
     obs: DataFrame,
-    names: Iterable[str] | None = None,
+    names: Names | None = None,
     grain: str = "week",
     date_col: str = "observed_on",
-    keys: Sequence[str] = ("taxon_id", "scientific_name"),
+    keys: Sequence[str] = SPECIES_KEYS,
 ) -> DataFrame:
     """Distinct observation ids per (period, taxon_id, scientific_name).
 
     ``common_name`` is the smallest name seen for the taxon in that period,
-    so two common names in one week give one row, not two.
-
-    ``array_min(collect_set(common_name))`` rather than ``min``: the set
-    holds the few names of a taxon, and the aggregation runs as an object
-    hash aggregation, which sorts only the rows left over once a task's map
-    passes ``spark.sql.objectHashAggregate.sortBased.fallbackThreshold``
-    keys; a string ``min`` buffer would make Spark sort every row. The whole
-    metric build instead uses ``period_and_species_counts``, whose
-    fact-sized aggregation keeps only fixed-width buffers.
+    so two common names in one week give one row, not two. Every observation
+    yields an id row and a common-name row; one keyed aggregation makes both
+    distinct with fixed-width buffers (a hash aggregation that combines
+    map-side), the names are minimised over the small counted rows.
     """
     df = obs if names is None else name_in_list(obs, names)
     pcol, _ = PERIOD_COLUMNS[check_grain(grain)]
-    return (
-        df.where(F.col(date_col).isNotNull())
-        .groupBy(period_start(date_col, grain).alias(pcol), *keys)
-        .agg(
-            F.array_min(F.collect_set("common_name")).alias("common_name"),
-            F.count_distinct("id").alias("observations"),
-        )
+    rows = df.where(F.col(date_col).isNotNull()).select(
+        period_start(date_col, grain).alias(pcol),
+        *keys,
+        "common_name",
+        F.expr("stack(2, 2, CAST(`id` AS BIGINT), 3, 0L) AS (k, value)"),
     )
+    counts = _species_level(rows.where(F.col("value").isNotNull()), pcol, keys)
+    return species_counts(counts.withColumn("species", F.lit(True)), pcol, keys)
+
+
+def _species_level(rows: DataFrame, pcol: str, keys: Sequence[str]) -> DataFrame:
+    """Distinct kind 2 (id) and kind 3 (common name) rows, counted per period,
+    key and common name."""
+    k = F.col("k")
+    distinct = rows.select("k", "value", pcol, *keys, F.when(k == 3, F.col("common_name")).alias("common_name")).distinct()
+    return distinct.groupBy(pcol, *keys, "common_name").agg(F.count_if(k == 2).alias("observations"))
 
 
 def weekly_by_species(
     obs: DataFrame,
-    names: Iterable[str],
+    names: Names,
     *,
     as_of: DateLike = None,
     start: DateLike = None,
@@ -162,13 +171,10 @@ def by_species_from_counts(
     )
 
 
-SPECIES_KEYS = ("taxon_id", "scientific_name")
-
-
 def period_and_species_counts(
     obs: DataFrame,
     metrics: Iterable[str],
-    names: Iterable[str],
+    names: Names,
     grain: str = "week",
     date_col: str = "observed_on",
 ) -> DataFrame:
@@ -197,8 +203,7 @@ def period_and_species_counts(
     ]
     d = F.col(date_col)
     rows = (
-        obs.where(d.isNotNull())
-        .withColumn("_tracked", name_match(obs, names))
+        mark_tracked(obs.where(d.isNotNull()), names)
         .select(
             period_start(d, grain).alias(pcol),
             *SPECIES_KEYS,
@@ -221,12 +226,12 @@ def period_and_species_counts(
     )
 
 
-def species_counts(counts: DataFrame, pcol: str = "week") -> DataFrame:
+def species_counts(counts: DataFrame, pcol: str = "week", keys: Sequence[str] = SPECIES_KEYS) -> DataFrame:
     """Per (period, taxon, name) of the ``species`` rows of
     ``period_and_species_counts``: distinct ids and the smallest common name
     (a small aggregation over already counted rows)."""
     return (
         counts.where(F.col("species"))
-        .groupBy(pcol, *SPECIES_KEYS)
+        .groupBy(pcol, *keys)
         .agg(F.min("common_name").alias("common_name"), F.sum("observations").alias("observations"))
     )

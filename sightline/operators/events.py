@@ -43,16 +43,28 @@ def events_for_data_years(obs: DataFrame, date_col: str = "observed_on") -> Data
     return last_weekend_of_april(years)
 
 
+MEASURED_EVENTS = 100_000
+
+
+def measured(events: DataFrame) -> DataFrame:
+    """``events`` as a broadcastable local table if it is counted to hold at
+    most ``MEASURED_EVENTS`` rows (a few MB), else unchanged."""
+    rows = events.limit(MEASURED_EVENTS + 1).collect()
+    if len(rows) > MEASURED_EVENTS:
+        return events
+    return F.broadcast(events.sparkSession.createDataFrame(rows, events.schema))
+
+
 def event_band(periods: DataFrame, events: DataFrame, period_col: str = "week") -> DataFrame:
     """Periods inside each event's band: from the Monday of the event's first
     week to its last day (both inclusive).
 
-    Events are one row per event year, so the side is tiny and bounded by
-    the number of years; a broadcast nested-loop range join suffices.
+    Each band is expanded into its days and joined by equality: a period
+    starts on one of them.
     """
     bands = events.select(
         "event", week_start("start_date").alias("band_start"), F.col("end_date").alias("band_end")
     )
-    cond = (F.col(period_col) >= F.col("band_start")) & (F.col(period_col) <= F.col("band_end"))
-    return periods.join(F.broadcast(bands), cond, "inner")
+    days = measured(bands.withColumn("_day", F.explode(F.sequence("band_start", "band_end", F.expr("INTERVAL 1 DAY")))))
+    return periods.join(days, F.col(period_col) == F.col("_day")).drop("_day")
 

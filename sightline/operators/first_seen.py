@@ -6,14 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import week_start
-from sightline.session import scratch_path
+from sightline.schema import OBSERVATION_FACT_COLUMNS
+from sightline.session import Scratch, broadcast_rows
 
 _ENTITIES = {"user": "user_id", "taxon": "taxon_id"}
-# First-seen tables with at most this many keys are broadcast to the fact
-# (their row count is measured first); larger ones use a shuffle join.
-# A row is a bigint key and two dates, so the limit keeps each broadcast
-# hash relation to roughly 100 MB on every executor.
-BROADCAST_KEY_LIMIT = 2_000_000
+KEY_BYTES = 64  # a bigint key and two dates in a broadcast hash relation
 
 
 def first_seen(obs: DataFrame, key: str, date_col: str = "observed_on") -> DataFrame:
@@ -49,23 +46,26 @@ def first_seen_all(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
     )
 
 
+def store_first_seen(obs: DataFrame, scratch: Scratch, date_col: str = "observed_on") -> DataFrame:
+    """The first-seen table, written once (partitioned by entity) to the
+    caller's scratch."""
+    return scratch.write(first_seen_all(obs, date_col), "first-seen", partition_by="entity")
+
+
 def attach_first_seen(
-    obs: DataFrame, date_col: str = "observed_on", broadcast_limit: int = BROADCAST_KEY_LIMIT
+    obs: DataFrame, firsts: DataFrame, date_col: str = "observed_on", broadcast_limit: int | None = None
 ) -> DataFrame:
     """Left-join the first-seen date and week per user and per taxon.
 
-    Both per-key tables come from one aggregation over the fact, written
-    once to the shared checkpoint folder (partitioned by entity); their row
-    counts are then read back (a small job). A table within
-    ``broadcast_limit`` keys is broadcast, so the fact is read once more and
-    never shuffled. A larger one is joined by shuffle, where AQE splits
-    skewed fact partitions. (Left to AQE alone, the fact would be shuffled by
-    user_id before the tables' sizes are known.)
+    ``firsts`` is the written first-seen table (``store_first_seen``), one
+    aggregation over the fact for both; its row counts are read first (a
+    small job). A side within ``broadcast_limit`` keys (what fits into a
+    share of an executor's heap, when not given) is broadcast, so the fact is
+    read once more and never shuffled. A larger one is joined by shuffle,
+    where AQE splits skewed fact partitions. (Left to AQE alone, the fact
+    would be shuffled by user_id before the tables' sizes are known.)
     """
-    spark = obs.sparkSession
-    path = scratch_path(spark, "first-seen")
-    first_seen_all(obs, date_col).write.partitionBy("entity").parquet(path)
-    firsts = spark.read.parquet(path)
+    limit = broadcast_rows(obs.sparkSession, KEY_BYTES) if broadcast_limit is None else broadcast_limit
     sizes = {r["entity"]: r["n"] for r in firsts.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = obs
     for name, key in _ENTITIES.items():
@@ -74,7 +74,7 @@ def attach_first_seen(
             F.col("first_date").alias(f"first_{name}_date"),
             F.col("first_week").alias(f"first_{name}_week"),
         )
-        if sizes.get(name, 0) <= broadcast_limit:
+        if sizes.get(name, 0) <= limit:
             table = F.broadcast(table)
         out = out.join(table, key, "left")
     return out
@@ -86,24 +86,17 @@ def observed_at_fill(obs: DataFrame, date_col: str = "observed_on") -> Column:
     return F.coalesce(F.col("time_observed_at"), F.col(date_col).cast(ts_type))
 
 
-def observation_fact(raw: DataFrame) -> DataFrame:
-    """Raw observations -> the enriched fact.
+def observation_fact(raw: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Raw observations and their written first-seen table -> the enriched
+    fact.
 
     ``observed_on`` becomes ``observed_date``, its Monday ``observed_week``;
     a missing time of observation falls back to midnight of the date.
     """
-    enriched = attach_first_seen(raw)
-    return enriched.select(
-        F.col("observed_on").alias("observed_date"),
-        week_start("observed_on").alias("observed_week"),
-        observed_at_fill(raw).alias("time_observed_at"),
-        "id",
-        "taxon_id",
-        "user_id",
-        "common_name",
-        "scientific_name",
-        "first_taxon_date",
-        "first_taxon_week",
-        "first_user_date",
-        "first_user_week",
-    )
+    derived = {
+        "observed_date": F.col("observed_on"),
+        "observed_week": week_start("observed_on"),
+        "time_observed_at": observed_at_fill(raw),
+    }
+    enriched = attach_first_seen(raw, firsts)
+    return enriched.select(*[derived.get(c, F.col(c)).alias(c) for c in OBSERVATION_FACT_COLUMNS])

@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from sightline.operators.by_species import name_in_list
 
-# The years the charts draw a line for (one colour each).
-PALETTE_YEARS = tuple(range(2015, 2026))
 DEFAULT_MIN_YEAR = 2018
 
 # (measure, x axis, column pattern) per chart of one metric.
@@ -86,9 +84,9 @@ def species_series(
 
 
 def series_by_year(
-    df: DataFrame, x_col: str, y_col: str, years: Iterable[int] | None = PALETTE_YEARS
+    df: DataFrame, x_col: str, y_col: str, years: Iterable[int] | None = None
 ) -> DataFrame:
-    """One line per year: ``(series_year, x, y)`` with a typed x (date for
+    """One line per year (every year, or the given ones): ``(series_year, x, y)`` with a typed x (date for
     week/date axes, int for week_number/day_of_year)."""
     x = F.col(x_col).cast("date") if x_col in ("week", "date") else F.col(x_col).cast("int")
     out = df.select(F.col("year").cast("int").alias("series_year"), x.alias(x_col), F.col(y_col).alias(y_col))

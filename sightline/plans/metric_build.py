@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 
 from sightline.functions.text import name_key
 from sightline.operators.by_species import (
-    INLINE_NAME_LIMIT,
     SPECIES_KEYS,
+    Names,
     by_species_from_counts,
     period_and_species_counts,
     species_counts,
-    weekly_by_species,
 )
 from sightline.operators.period_metrics import (
     calendar_summary,
@@ -35,7 +34,7 @@ from sightline.operators.period_metrics import (
 from sightline.sources.metrics_io import write_metrics
 from sightline.tracked_species import ALL_TRACKED
 
-_PERIOD_NAMES = {"week": "weekly", "day": "daily"}
+_PERIOD_NAMES = {"week": "weekly", "day": "daily", "month": "monthly", "quarter": "quarterly", "year": "yearly"}
 _METRICS = ("users", "species", "observations")
 
 
@@ -79,7 +78,7 @@ def build_metrics(
     spark: SparkSession,
     raw: DataFrame,
     out_root: str,
-    tracked_names: Iterable[str] = ALL_TRACKED,
+    tracked_names: Names = ALL_TRACKED,
     *,
     as_of=None,
     start=None,
@@ -87,7 +86,8 @@ def build_metrics(
     grains: Iterable[str] = ("week",),
     fmt: str = "parquet",
 ) -> dict[str, str]:
-    """Build and write every metric table; returns name -> path."""
+    """Build and write every metric table; returns name -> path. Grains: day,
+    week, month, quarter, year (the tracked species are weekly)."""
     out_root = out_root.rstrip("/")
     fact = write_fact(raw, f"{out_root}/observations_fact")
     if start is None or end is None:
@@ -96,16 +96,15 @@ def build_metrics(
             raise ValueError("no dated observations to build metrics from")
         start = start or bounds[0]
         end = end or bounds[1]
-    names = sorted({n.lower() for n in tracked_names})
     paths: dict[str, str] = {}
     for grain in grains:
         period = _PERIOD_NAMES[grain]
         summary_path = f"{out_root}/{period}_summary"
         cal = dict(as_of=as_of, start=start, end=end)
-        if grain == "week" and len(names) <= INLINE_NAME_LIMIT:
+        if grain == "week":
             counts_path = f"{out_root}/{period}_counts"
             kept = upto_cutoff(fact, grain, as_of, end)
-            period_and_species_counts(kept, _METRICS, names, grain).write.mode("overwrite").parquet(counts_path)
+            period_and_species_counts(kept, _METRICS, tracked_names, grain).write.mode("overwrite").parquet(counts_path)
             counts = spark.read.parquet(counts_path)
             per_period = counts.where(~F.col("species")).drop("species", *SPECIES_KEYS, "common_name", "observations")
             summary = calendar_summary([per_period], summary_bounds(fact, start, end), _METRICS, grain, as_of)
@@ -113,7 +112,7 @@ def build_metrics(
             paths[f"{period}_counts"] = counts_path
         else:
             summary = period_summary(fact, _METRICS, grain, **cal)
-            by_species = weekly_by_species(fact, names, **cal) if grain == "week" else None
+            by_species = None
         summary.write.mode("overwrite").parquet(summary_path)
         tables = split_summary(spark.read.parquet(summary_path), grain)
         if by_species is not None:

@@ -8,18 +8,30 @@ them back through the operator.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.calendar import week_start
+from sightline.functions.calendar import anchored_year, week_start
 from sightline.functions.text import ntz_literal
-from sightline.operators import audit, by_species, calendar, events, first_seen, ingest, series, yoy
+from sightline.operators import (
+    audit,
+    by_species,
+    calendar,
+    events,
+    first_seen,
+    ingest,
+    participation,
+    series,
+    trends,
+    yoy,
+)
 from sightline.operators import period_metrics as pm
 from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
-from sightline.session import scratch_path
+from sightline.session import Scratch, scratch_path
 from sightline.streaming import ingest_stream
 from sightline.sources import api_pages, catalog, metrics_io, observations_csv
 from sightline.sources import driver_tables as dt
@@ -78,7 +90,8 @@ def q_weekly_by_species(spark, sf_dir):
 
 @register("observation_fact")
 def q_observation_fact(spark, sf_dir):
-    return first_seen.observation_fact(_obs(spark, sf_dir, names=True))
+    obs = _obs(spark, sf_dir, names=True)
+    return first_seen.observation_fact(obs, first_seen.store_first_seen(obs, Scratch(spark)))
 
 
 @register("count_audit")
@@ -97,8 +110,14 @@ def _csv_roundtrip(spark, df, name="export"):
 
 @register("read_observations_csv")
 def q_read_observations_csv(spark, sf_dir):
-    path = _csv_roundtrip(spark, _raw(spark, sf_dir))
-    return observations_csv.read_observations_csv(spark, path).drop("source_file")
+    """Two exports in one folder: one in the export's column order, one with
+    the columns reversed and one more in front."""
+    raw, path = _raw(spark, sf_dir), scratch_path(spark, "export")
+    first = F.col("id") % 2 == 0
+    observations_csv.write_observations_csv(raw.where(first), f"{path}/a")
+    other = raw.where(~first).select(F.lit('say "hi", ok').alias("description"), *reversed(RAW_COLS))
+    observations_csv.write_observations_csv(other, f"{path}/b")
+    return observations_csv.read_observations_csv(spark, f"{path}/*").drop("source_file")
 
 
 @register("project_required")
@@ -123,13 +142,16 @@ def q_union_files(spark, sf_dir):
 
 @register("load_audit")
 def q_load_audit(spark, sf_dir):
-    return observations_csv.load_audit(_obs(spark, sf_dir, source=True))
+    return observations_csv.load_audit(_obs(spark, sf_dir, source=True), latest=dt.AS_OF)
 
 
 @register("write_metrics")
 def q_write_metrics(spark, sf_dir):
+    """All four written tables read back, one after the other."""
     root = _store_weekly(spark, sf_dir, fmt="csv", with_species=True)
-    return metrics_io.read_metrics(spark, root, "weekly", names=("observations",), fmt="csv")["observations"]
+    tables = metrics_io.read_metrics(spark, root, "weekly", fmt="csv")
+    tagged = [df.withColumn("metric_table", F.lit(name)) for name, df in tables.items()]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
 @register("read_metrics")
@@ -139,22 +161,28 @@ def q_read_metrics(spark, sf_dir):
     return metrics_io.read_metrics(spark, root, "weekly", names=("by_species",))["by_species"]
 
 
-def _saved_table(spark, sf_dir):
+def _from_saved_table(spark, sf_dir, read):
+    """Save the observations as a table, read them with ``read`` and take the
+    name out of the catalog again (the files stay in scratch)."""
     name = f"sightline_obs_{uuid.uuid4().hex[:12]}"
     catalog.save_table(_raw(spark, sf_dir), name, path=scratch_path(spark, name))
-    return name
+    df = read(name)
+    spark.sql(f"DROP TABLE {name}")
+    return df
 
 
 @register("save_table")
 def q_save_table(spark, sf_dir):
-    return spark.table(_saved_table(spark, sf_dir))
+    return _from_saved_table(spark, sf_dir, spark.table)
 
 
 @register("table_or_empty")
 def q_table_or_empty(spark, sf_dir):
-    name = _saved_table(spark, sf_dir)
-    missing = catalog.table_or_empty(spark, f"{name}_absent", RAW_OBSERVATION)
-    return catalog.table_or_empty(spark, name, RAW_OBSERVATION).unionByName(missing)
+    def read(name):
+        missing = catalog.table_or_empty(spark, f"{name}_absent", RAW_OBSERVATION)
+        return catalog.table_or_empty(spark, name, RAW_OBSERVATION).unionByName(missing)
+
+    return _from_saved_table(spark, sf_dir, read)
 
 
 def _landed_pages(spark, sf_dir):
@@ -248,7 +276,8 @@ def _flat_records(spark, sf_dir):
 
 @register("flatten_record")
 def q_flatten_record(spark, sf_dir):
-    return _flat_records(spark, sf_dir).drop("page", "source_file", "geojson", "created_at_details")
+    flat = _flat_records(spark, sf_dir).drop("page", "source_file")
+    return flat.withColumn("created_at_details", F.to_json("created_at_details"))
 
 
 @register("year_of_date")
@@ -274,20 +303,11 @@ def q_subtract_baseline(spark, sf_dir):
 
 @register("drop_helper")
 def q_drop_helper(spark, sf_dir):
-    return _weekly_summary(spark, sf_dir).selectExpr(
-        "week",
-        "year",
-        "week_number",
-        "start_of_year",
-        "cast(new_users as int) as new_users",
-        "cast(unique_users as int) as unique_users",
-        "cast(cumulative_users as int) as cumulative_users",
-        "cast(new_species as int) as new_species",
-        "cast(unique_species as int) as unique_species",
-        "cast(cumulative_species as int) as cumulative_species",
-        "cast(unique_observations as int) as unique_observations",
-        "cast(cumulative_observations as int) as cumulative_observations",
-    )
+    """A helper column is added, used and dropped; what stays has the types
+    of the metric tables."""
+    in_year = Window.partitionBy("year").orderBy("week")
+    helped = _weekly_summary(spark, sf_dir).withColumn("row_number", F.row_number().over(in_year))
+    return metrics_io.metric_columns(helped.where("row_number > 1").drop("row_number"), "week")
 
 
 # ------------------------------------------------------------------ joins
@@ -295,7 +315,8 @@ def q_drop_helper(spark, sf_dir):
 
 @register("attach_first_seen")
 def q_attach_first_seen(spark, sf_dir):
-    return first_seen.attach_first_seen(_obs(spark, sf_dir)).select(
+    obs = _obs(spark, sf_dir)
+    return first_seen.attach_first_seen(obs, first_seen.store_first_seen(obs, Scratch(spark))).select(
         "id",
         "user_id",
         "taxon_id",
@@ -422,7 +443,7 @@ def q_high_watermark(spark, sf_dir):
 
 @register("page_stats")
 def q_page_stats(spark, sf_dir):
-    return ingest.page_stats(_flat_records(spark, sf_dir))
+    return ingest.page_stats(_flat_records(spark, sf_dir)).drop("source_file")
 
 
 @register("distinct_rows")
@@ -498,12 +519,16 @@ def q_event_calendar(spark, sf_dir):
 
 @register("sort_by_period")
 def q_sort_by_period(spark, sf_dir):
-    return pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL).orderBy("week")
+    users = pm.period_metrics(_obs(spark, sf_dir), "users", "week", **CAL)
+    place = F.row_number().over(Window.orderBy("week"))
+    return users.withColumn("place", place).orderBy("week")
 
 
 @register("sort_desc")
 def q_sort_desc(spark, sf_dir):
-    return audit.count_audit(_obs(spark, sf_dir)).orderBy(F.col("year").desc_nulls_last())
+    newest_first = F.col("year").desc_nulls_last()
+    counts = audit.count_audit(_obs(spark, sf_dir))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(newest_first))).orderBy(newest_first)
 
 
 @register("preview_limit")
@@ -570,6 +595,106 @@ def q_merge_insert_only(spark, sf_dir):
     return ingest.merge_insert_only(existing, batch)
 
 
+# ------------------------------------------------------------ participation
+
+
+def _events(spark, sf_dir):
+    """The fixture's events: one per year of the data, as a table."""
+    return events.events_for_data_years(_obs(spark, sf_dir))
+
+
+@register("event_metrics")
+def q_event_metrics(spark, sf_dir):
+    return participation.event_metrics(_obs(spark, sf_dir), _events(spark, sf_dir))
+
+
+@register("event_participants")
+def q_event_participants(spark, sf_dir):
+    return participation.event_participants(_obs(spark, sf_dir), _events(spark, sf_dir))
+
+
+def _activity(spark, sf_dir):
+    return participation.event_activity(_obs(spark, sf_dir), _events(spark, sf_dir))
+
+
+@register("participation_activity")
+def q_participation_activity(spark, sf_dir):
+    return participation.participation_activity(_activity(spark, sf_dir))
+
+
+@register("participation_species")
+def q_participation_species(spark, sf_dir):
+    return participation.participation_species(_activity(spark, sf_dir))
+
+
+@register("event_acquisition")
+def q_event_acquisition(spark, sf_dir):
+    firsts = first_seen.first_seen(_obs(spark, sf_dir), "user_id")
+    return participation.event_acquisition(firsts, _events(spark, sf_dir))
+
+
+@register("event_retention")
+def q_event_retention(spark, sf_dir):
+    obs, calendar_events = _obs(spark, sf_dir), _events(spark, sf_dir)
+    participants = participation.event_participants(obs, calendar_events)
+    return participation.event_retention(obs, calendar_events, participants)
+
+
+# ------------------------------------------------------------------- trends
+
+
+@register("yoy_lift")
+def q_yoy_lift(spark, sf_dir):
+    return trends.yoy_lift(trends.yearly_species(_obs(spark, sf_dir, names=True)), min_count=2)
+
+
+@register("species_trend")
+def q_species_trend(spark, sf_dir):
+    return trends.species_trend(trends.yearly_species(_obs(spark, sf_dir, names=True)))
+
+
+@register("species_share")
+def q_species_share(spark, sf_dir):
+    return trends.species_share(_obs(spark, sf_dir, names=True), "quarter")
+
+
+@register("kingdom_totals")
+def q_kingdom_totals(spark, sf_dir):
+    return trends.kingdom_totals(_obs(spark, sf_dir, names=True))
+
+
+@register("kingdom_by_period")
+def q_kingdom_by_period(spark, sf_dir):
+    return trends.kingdom_by_period(_obs(spark, sf_dir, names=True), "month")
+
+
+@register("rarest_species")
+def q_rarest_species(spark, sf_dir):
+    return trends.rarest_species(_obs(spark, sf_dir, names=True))
+
+
+@register("quality_breakdown")
+def q_quality_breakdown(spark, sf_dir):
+    return trends.quality_breakdown(_obs(spark, sf_dir))
+
+
+@register("range_shift")
+def q_range_shift(spark, sf_dir):
+    obs = dt.observations(spark, sf_dir, with_location=True)
+    return trends.range_shift(trends.with_coordinates(obs))
+
+
+@register("anchored_year")
+def q_anchored_year(spark, sf_dir):
+    """Weekly observations of years that restart in April."""
+    weekly = pm.period_metrics(_obs(spark, sf_dir), "observations", "week", **CAL)
+    weekly = weekly.select("week", anchored_year("week").alias("anchored_year"), "unique_observations",
+                           "cumulative_observations")
+    return yoy.year_adjusted(
+        weekly, {"cumulative_observations": "unique_observations"}, "week", ("anchored_year",), "prior"
+    )
+
+
 # --------------------------------------------------------------- streaming
 
 

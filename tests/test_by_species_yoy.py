@@ -25,12 +25,32 @@ def test_two_common_names_one_row(spark):
     assert {r.scientific_name for r in rows} == {"Red Plate", "RED PLATE"}
 
 
-def test_name_list_semi_join_path(spark, monkeypatch):
+def test_name_lists_of_any_size_and_form_agree(spark):
     obs = make_obs(spark, BOUNDARY)
-    small = sorted(r.id for r in by_species.name_in_list(obs, ["red plate", "OLD ROD"]).collect())
-    monkeypatch.setattr(by_species, "INLINE_NAME_LIMIT", 0)
-    big = sorted(r.id for r in by_species.name_in_list(obs, ["red plate", "OLD ROD"]).collect())
-    assert small == big == [1, 2, 3, 4, 5, 8]
+    names = ["red plate", "OLD ROD"]
+    long = names + [f"absent {i}" for i in range(1500)]
+    table = spark.createDataFrame([(n,) for n in long + names], "name string")  # repeats do not multiply rows
+    for form in (names, long, table):
+        assert sorted(r.id for r in by_species.name_in_list(obs, form).collect()) == [1, 2, 3, 4, 5, 8]
+        marked = by_species.mark_tracked(obs, form).collect()
+        assert sorted(r.id for r in marked if r._tracked) == [1, 2, 3, 4, 5, 8] and len(marked) == len(BOUNDARY)
+    assert by_species.name_in_list(obs, []).count() == 0
+
+
+def test_species_counts_use_fixed_width_buffers(spark):
+    """No object or sort aggregation holds a buffer per observation id."""
+    import re
+
+    from sightline.sources import driver_tables
+    from tests.conftest import SMOKE_DIR
+
+    obs = driver_tables.observations(spark, SMOKE_DIR)
+    df = by_species.observations_per_period_species(obs, driver_tables.TRACKED_NAMES)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ObjectHashAggregate" not in plan
+    for line in plan.splitlines():
+        if "SortAggregate" in line:  # only the common name, over counted rows
+            assert "value" not in re.search(r"key=\[(.*?)\]", line).group(1)
 
 
 def test_year_adjusted_first_period_is_zero(spark):
@@ -80,6 +100,8 @@ def test_series_long_form(spark):
     long = series.metric_series(table, 2019)
     weeks_2019_plus = table.where("year >= 2019").count()
     assert long.count() == 16 * weeks_2019_plus
+    every = {r.series_year for r in series.series_by_year(table, "week_number", "cumulative_users").collect()}
+    assert every == {r.year for r in table.select("year").collect()}  # no year is left out by default
     pts = series.series_by_year(table, "week_number", "cumulative_users", years=[2020]).collect()
     assert {p.series_year for p in pts} == {2020} and isinstance(pts[0].week_number, int)
 

@@ -3,7 +3,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from sightline.operators import period_metrics as pm
-from sightline.operators.first_seen import first_seen, observation_fact
+from sightline.operators.first_seen import first_seen, observation_fact, store_first_seen
+from sightline.session import Scratch
 from tests.fixtures import BOUNDARY, make_obs
 
 CAL = dict(as_of="2026-12-31", start="2018-01-01", end="2026-12-31")
@@ -53,7 +54,8 @@ def test_null_keys_and_dates_skipped(spark):
     obs = make_obs(spark, BOUNDARY)
     fs = {r.user_id: r.first_date for r in first_seen(obs, "user_id").collect()}
     assert None not in fs and 17 not in fs  # user 17 has no dated observation
-    fact = observation_fact(obs.withColumn("time_observed_at", F.lit(None).cast("timestamp_ntz")))
+    raw = obs.withColumn("time_observed_at", F.lit(None).cast("timestamp_ntz"))
+    fact = observation_fact(raw, store_first_seen(raw, Scratch(spark)))
     row = fact.where("id = 6").first()
     assert row.first_user_date is None and row.first_taxon_date == dt.date(2020, 12, 31)
     assert row.time_observed_at == dt.datetime(2020, 12, 31)
@@ -132,17 +134,19 @@ def test_hot_user_exact_and_combined_map_side(spark):
 def test_first_seen_join_broadcast_or_shuffle_same_rows(spark):
     """Measured first-seen tables within the limit are broadcast (the fact is
     never shuffled); over the limit the shuffle join gives the same rows."""
-    from sightline.operators.first_seen import attach_first_seen
+    from sightline.operators.first_seen import attach_first_seen, store_first_seen
+    from sightline.session import Scratch
     from sightline.sources import driver_tables
     from tests.conftest import SMOKE_DIR
 
     obs = driver_tables.observations(spark, SMOKE_DIR)
     cols = ["id", "user_id", "taxon_id", "first_user_date", "first_user_week", "first_taxon_date", "first_taxon_week"]
-    small = attach_first_seen(obs).select(*cols)
+    firsts = store_first_seen(obs, Scratch(spark))
+    small = attach_first_seen(obs, firsts).select(*cols)
     rows = small.collect()
     plan = small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "Exchange hashpartitioning(user_id" not in plan and "SortMergeJoin" not in plan
-    big = attach_first_seen(obs, broadcast_limit=0).select(*cols)
+    big = attach_first_seen(obs, firsts, broadcast_limit=0).select(*cols)
     assert sorted(big.collect()) == sorted(rows)
     first_user = {}
     for r in obs.where("observed_on is not null").collect():

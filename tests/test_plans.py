@@ -111,24 +111,80 @@ def test_fused_counts_equal_separate_passes_and_read_once(spark):
     assert sorted(tuple(r[k] for k in keys) for r in species_counts(fused).collect()) == want
 
 
-def test_build_fused_and_two_pass_paths_agree(spark, tmp_dir, monkeypatch):
-    """Above the inline name limit the build counts species in a second,
-    semi-joined pass; both paths write the same weekly tables."""
-    from sightline.operators import by_species
-    from sightline.plans import metric_build
-
+def test_build_writes_the_same_tables_for_any_name_list(spark, tmp_dir):
+    """A short list, a long one and a table of names: the same tables with
+    the same rows."""
     raw = dt.observations(spark, SMOKE_DIR)
-    fused_root = os.path.join(tmp_dir, "fused")
-    fused = build_metrics(spark, raw, fused_root, dt.TRACKED_NAMES, as_of=dt.AS_OF)
-    assert "weekly_counts" in fused
-    monkeypatch.setattr(metric_build, "INLINE_NAME_LIMIT", 0)
-    monkeypatch.setattr(by_species, "INLINE_NAME_LIMIT", 0)
-    split_root = os.path.join(tmp_dir, "split")
-    split = build_metrics(spark, raw, split_root, dt.TRACKED_NAMES, as_of=dt.AS_OF)
-    assert "weekly_counts" not in split
-    a, b = read_metrics(spark, fused_root, "weekly"), read_metrics(spark, split_root, "weekly")
-    for name in ("users", "species", "observations", "by_species"):
-        assert _same(a[name], b[name]), name
+    long = [*dt.TRACKED_NAMES, *(f"absent {i}" for i in range(1500))]
+    built = []
+    for i, names in enumerate((dt.TRACKED_NAMES, long, spark.createDataFrame([(n,) for n in long], "name string"))):
+        root = os.path.join(tmp_dir, str(i))
+        paths = build_metrics(spark, raw, root, names, as_of=dt.AS_OF)
+        built.append((sorted(paths), read_metrics(spark, root, "weekly")))
+    for paths, tables in built[1:]:
+        assert paths == built[0][0] and "weekly_counts" in paths
+        for name in ("users", "species", "observations", "by_species"):
+            assert _same(tables[name], built[0][1][name]), name
+
+
+def test_all_grains_are_built(spark, tmp_dir):
+    raw = dt.observations(spark, SMOKE_DIR, with_names=True)
+    root = os.path.join(tmp_dir, "grains")
+    build_metrics(spark, raw, root, dt.TRACKED_NAMES, as_of=dt.AS_OF, grains=("month", "quarter", "year"), fmt="csv")
+    ids = raw.select("id").distinct().count()
+    for period, key in (("monthly", "month"), ("quarterly", "quarter"), ("yearly", "year_start")):
+        tables = read_metrics(spark, root, period, names=("users", "species", "observations"), fmt="csv")
+        rows = tables["observations"].orderBy(key).collect()
+        assert len({r[key] for r in rows}) == len(rows)
+        assert sum(r.unique_observations for r in rows) >= ids and rows[-1].year == 2002
+    years = {r.year_number: r.unique_observations for r in rows}
+    by_year = raw.groupBy(F.year("observed_on").alias("y")).agg(F.count_distinct("id").alias("n")).collect()
+    assert {r.y: r.n for r in by_year} == {y: n for y, n in years.items() if n}
+
+
+def test_csv_hand_over_between_the_jobs(spark, tmp_dir, capsys):
+    from sightline.__main__ import main
+    from sightline.sources.observations_csv import write_observations_csv
+
+    export, out = os.path.join(tmp_dir, "export"), os.path.join(tmp_dir, "metrics")
+    write_observations_csv(dt.observations(spark, SMOKE_DIR).drop("quality_grade"), export)
+    main(["build-metrics", export, out, "--as-of", "2002-12-31", "--start", "1994-01-01", "--end", "2002-12-31",
+          "--csv", "--single-line"])
+    main(["build-charts", out, os.path.join(tmp_dir, "charts"), "--min-year", "1996", "--csv"])
+    main(["check-counts", export, "--metrics", out, "--csv", "--single-line"])
+    assert "'distinct_id_count': 4599" in capsys.readouterr().out
+    assert spark.read.parquet(os.path.join(tmp_dir, "charts", "metric_series")).count() > 0
+
+
+def test_sorted_results_arrive_in_order(spark):
+    from sightline.plans import registry
+
+    for key in ("sort_by_period", "sort_desc"):
+        places = [r.place for r in registry.QUERIES[key](spark, SMOKE_DIR).collect()]
+        assert places == list(range(1, len(places) + 1)), key
+
+
+def test_checkpoint_folder_is_required_on_a_cluster():
+    import pytest
+
+    from sightline.session import checkpoint_root
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(Session())
 
 
 def test_fact_files_sorted_by_name_key(spark, tmp_dir):

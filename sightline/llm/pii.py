@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.labelled import SAMPLE_CHARS, smallest_hashes
 from sightline.llm.tables import free_name
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is "none"
 TRAIN_ROWS = 3000
-TRAIN_CHARS = 200_000
 BUCKETS = 1 << 14
 ROUNDS = 8
 CONFIDENCE = 0.95
@@ -322,9 +322,10 @@ def _text(spans: list[Span]) -> str:
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS) -> FieldModel:
     """Fit on a bounded sample of the documents that have variables."""
-    usable = documents.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    ranked = usable.select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h", "text").limit(rows)
-    return fit([r.text for r in ranked.collect()])
+    usable = documents.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select(
+        F.xxhash64("doc_id", "text").alias("h"), "text"
+    )
+    return fit([r.text for r in smallest_hashes(usable, rows, usable.count()).collect()])
 
 
 RESULT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"]

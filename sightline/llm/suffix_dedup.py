@@ -11,9 +11,9 @@ bins by the anchor's hash: all equal windows of the corpus meet in one bin,
 while a byte travels about four times, compressed, instead of ``length`` times.
 
 A bin is an index family. Records arrive in batches; identical records are
-folded into one with their least document id, records that share their anchor
-with no other are settled at once, and the windows of the rest get a suffix
-array (sorted by their bytes). A new array is merge-scanned against the levels
+folded into one with their least document id, records that share no half of a
+window around their anchor with another are settled at once, and the windows
+of the rest get a suffix array (sorted by their bytes). A new array is merge-scanned against the levels
 of the family and joins them; two levels of like size merge, so their sizes
 grow geometrically and each window is merged a logarithmic number of times. A
 window's least document id over all levels decides whether it is a repeat.
@@ -46,12 +46,13 @@ from sightline.llm.tables import materialise, release_shuffles
 from sightline.llm.textkit import mix, powers, prefix_sums, span_hash, text_bytes
 
 LENGTH = 50
-ANCHOR = 20
+ANCHOR = 12
 PIECE = 1 << 20
 FLUSH_BYTES = 8 << 20
 BIN_BYTES = 8 << 20
-SPREAD = 5  # bytes of records per byte of text, rounded up
+SPREAD = 4  # bytes of records per byte of text, rounded up
 MIN_BINS = 64
+LEVEL = 3
 LAST_ID = (1 << 63) - 1
 POSITION_BITS = np.uint64(22)
 
@@ -68,7 +69,7 @@ def pack(*arrays: np.ndarray) -> bytes:
         raw = np.ascontiguousarray(a).tobytes()
         head += struct.pack("<4sQ", a.dtype.str[1:].encode().ljust(4), len(raw))
         body += raw
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + body)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -202,7 +203,7 @@ class Outbox:
         if self.settled:
             rows.append((own, "hits", pack(*(np.concatenate(c) for c in zip(*self.settled)))))
         for number, parts in self.bins.items():
-            rows.append((number, "records", pack(*(np.concatenate(c) for c in zip(*parts)))))
+            rows.append((number, "records", _pack_records(*(np.concatenate(c) for c in zip(*parts)))))
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([x[0] for x in rows], pa.int64()),
@@ -214,6 +215,18 @@ class Outbox:
         )
 
 
+def _pack_records(ids, ordinal, start, size, rel, content) -> bytes:
+    """Ids and ordinals as steps, which are small within a slice."""
+    small = start.astype(np.uint32) if len(start) and start.max() < 1 << 32 else start
+    steps = np.diff(ids.view(np.uint64), prepend=np.uint64(0)), np.diff(ordinal.astype(np.int64), prepend=0)
+    return pack(*steps, small, size, rel, content)
+
+
+def _unpack_records(blob: bytes) -> tuple:
+    ids, ordinal, start, size, rel, content = unpack(blob)
+    return np.cumsum(ids).view(np.int64), np.cumsum(ordinal), start.astype(np.int64), size, rel, content
+
+
 def _send_partition(batches: Iterable[pa.RecordBatch], bins: int, length: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -304,9 +317,24 @@ def _fold_key(content: np.ndarray, at: np.ndarray, size: np.ndarray, seed: int)
     return out
 
 
+def _contested(content: np.ndarray, at: np.ndarray, rel: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
+    """Entries that may share a window with another entry. A shared window
+    holds the anchor and, on one side of it at least, half of the rest: the
+    entries then agree on the anchor with that half before or after it."""
+    half = -(-(length - ANCHOR) // 2)
+    out = np.zeros(len(at), bool)
+    for before in (half, 0):
+        able = np.flatnonzero((rel >= before) & (size - rel >= ANCHOR + half - before))
+        start = at[able] + rel[able] - before
+        key = _fold_key(content, start, np.full(len(able), ANCHOR + half), 2)
+        _, group, members = np.unique(key, return_inverse=True, return_counts=True)
+        out[able] |= members[group] > 1
+    return out
+
+
 def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[int, bytes]]:
     """(segment, hits) of all records of a bin."""
-    parts = [(segment, *unpack(blob)) for segment, blob in blobs]
+    parts = [(segment, *_unpack_records(blob)) for segment, blob in blobs]
     segment = np.concatenate([np.full(len(p[1]), p[0], np.int64) for p in parts])
     ids, ordinal, start, size, rel, content = (np.concatenate([p[i] for p in parts]) for i in range(1, 7))
     size, rel = size.astype(np.int64), rel.astype(np.int64)
@@ -317,9 +345,7 @@ def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[in
     _, entry_of_first, entry = np.unique(text, return_index=True, return_inverse=True)
     least = np.full(len(entry_of_first), LAST_ID, np.int64)
     np.minimum.at(least, entry, ids)
-    anchor = _fold_key(content, at[entry_of_first] + rel[entry_of_first], np.full(len(least), ANCHOR), 2)
-    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
-    contested = members[group] > 1
+    contested = _contested(content, at[entry_of_first], rel[entry_of_first], size[entry_of_first], length)
 
     # windows of contested entries go through the family, batch by batch
     rows = np.flatnonzero(contested)
@@ -355,7 +381,7 @@ def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[in
     span = np.concatenate([size[plain], offset[tail] - offset[head] + length])
     for s in np.unique(segment[row]):
         own = segment[row] == s
-        yield int(s), pack(ordinal[row[own]], first[own], span[own].astype(np.int64))
+        yield int(s), pack(ordinal[row[own]].astype(np.uint32), first[own], span[own].astype(np.int64))
 
 
 # --- joining the hits of a document -------------------------------------------
@@ -363,6 +389,8 @@ def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[in
 
 def merge_segment(doc_ids: np.ndarray, keys: np.ndarray, ordinal: np.ndarray, first: np.ndarray, span: np.ndarray) -> tuple:
     """(document number, its maximal removed runs as pairs) of a segment."""
+    if not len(ordinal):
+        return ordinal, np.zeros((0, 2), np.int64)
     order = np.lexsort((first, ordinal))
     ordinal, first, stop = ordinal[order].astype(np.int64), first[order], (first + span)[order]
     # running end within each document

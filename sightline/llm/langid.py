@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.labelled import SAMPLE_CHARS, remainder, smallest_hashes
 from sightline.llm.tables import free_name
 from sightline.llm.textkit import mix, slices
 
@@ -43,8 +44,7 @@ UNKNOWN = "und"
 
 def held_out(column: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
     """crc32 of the id as text, modulo ``parts``, equals ``part``."""
-    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    return (F.crc32(text.cast("binary")) % parts) == part
+    return remainder(column, parts) == part
 
 
 @dataclass
@@ -204,11 +204,11 @@ def score(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarr
 
 def train(documents: DataFrame, rows: int = TRAIN_ROWS, text: str = "text", lang: str = "lang") -> LanguageModel:
     """Fit on a bounded sample of the labelled rows: the ``rows`` with the
-    smallest hash of id and text."""
-    labelled = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.xxhash64("doc_id", text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l")
-    )
-    sample = labelled.orderBy("h", "t", "l").limit(rows).collect()
+    smallest hash of id and text, of at most ``SAMPLE_CHARS`` characters."""
+    labelled = documents.where(
+        F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)
+    ).select(F.xxhash64("doc_id", text).alias("h"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    sample = smallest_hashes(labelled, rows, labelled.count()).collect()
     return fit([r.t.encode() for r in sample], [r.l for r in sample])
 
 

@@ -13,7 +13,7 @@ from sightline.llm.queries import SEED, SHARDS
 from sightline.llm.tables import materialise, read_table
 
 # a text needs a letter, and a language at least this probable
-LEAST_LANGUAGE = 0.4
+LEAST_LANGUAGE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

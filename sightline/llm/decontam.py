@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import ROW_KEY, free_name, materialise
+from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, materialise, same_row
 from sightline.llm.textkit import byte_class, join_rows, prefix_sums, slices, span_hash, tokens
 
 WINDOW = 10
@@ -307,11 +307,13 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = matches(index, benchmark).where("kind = 'phrase'").select("segment", "ordinal").distinct()
     bad, _ = materialise(
         indexed_documents(index).join(marked, ["segment", "ordinal"]).select(
-            F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")
+            F.col("doc_id").alias(ROW_ID), F.col("key").alias(ROW_KEY)
         ).distinct(),
         "contaminated",
     )
-    key = free_name(documents.columns, ROW_KEY)
-    keyed = documents.withColumn(key, F.xxhash64("text"))
-    same = (F.col(key) == F.col("_bad_key")) & F.col("doc_id").eqNullSafe(F.col("_bad_id"))
-    return keyed.join(bad, same, "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])
+    keyed = documents.select(
+        F.xxhash64("text").alias(ROW_KEY),
+        F.col("doc_id").alias(ROW_ID),
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(ROW),
+    )
+    return keyed.alias("r").join(bad.alias("b"), same_row("r", "b"), "left_anti").select(f"{ROW}.*")

@@ -33,7 +33,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import ROW_COUNT, ROW_KEY, distinct_rows, materialise, with_row_key
+from sightline.llm.tables import ROW, ROW_COUNT, ROW_ID, ROW_KEY, distinct_rows, keyed_rows, materialise, same_row
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -149,8 +149,8 @@ def copies(units: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
            most: int = MOST) -> DataFrame:
     """Settle the copies of every unit.
 
-    ``units`` (a written table) has ``_row_key``, ``doc_id``, ``source``,
-    ``size`` and the number of identical rows ``_row_count``. The result adds
+    ``units`` (a written table) has the row's key and id, ``source``, ``size``
+    and the number of identical rows ``_row_count``. The result adds
     ``source_size``, ``target``, ``base`` (copies of every row of the unit)
     and ``extra`` (how many of its rows get one copy more).
     """
@@ -182,7 +182,7 @@ def copies(units: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
 
     is_open = (F.col("_p") > EPSILON) & (F.col("size") > 0)
     items = rated.where(is_open).select(
-        F.col(ROW_KEY).alias("key"), "doc_id", "source", "size", F.col("_p").alias("p")
+        F.col(ROW_KEY).alias("key"), F.col(ROW_ID).alias("doc_id"), "source", "size", F.col("_p").alias("p")
     )
     largest, level = int(bound[1] or 0), 0
     settled, reserve = [], None
@@ -215,39 +215,40 @@ def copies(units: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
     settled.append(items.withColumn("p", drawn.cast("double")))
     decided = functools.reduce(DataFrame.unionByName, settled).select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"), F.col("p").alias("_won"))
 
-    wordless = (F.col("size") <= 0) & (_uniform(ROW_KEY, "doc_id", F.lit(seed), F.lit("empty")) < F.col("_p"))
+    wordless = (F.col("size") <= 0) & (_uniform(ROW_KEY, ROW_ID, F.lit(seed), F.lit("empty")) < F.col("_p"))
     won = F.coalesce(F.col("_won").cast("long"), wordless.cast("long"))
     return (
-        rated.join(decided, (F.col(ROW_KEY) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+        rated.join(decided, (F.col(ROW_KEY) == F.col("_k")) & F.col(ROW_ID).eqNullSafe(F.col("_d")), "left")
         .withColumn("extra", F.col("_whole") + won)
         .drop("_mass", "_whole", "_p", "_k", "_d", "_won")
     )
 
 
+def _units(documents: DataFrame) -> DataFrame:
+    """Distinct rows (by all columns) with source, size and multiplicity."""
+    sized = keyed_rows(documents, ["source", "text"]).select(
+        ROW_KEY, ROW_ID, F.struct(F.col(f"{ROW}.source"), n_words(f"{ROW}.text").alias("size")).alias(ROW)
+    )
+    units = distinct_rows(sized).select(ROW_KEY, ROW_ID, ROW_COUNT, f"{ROW}.source", f"{ROW}.size")
+    return materialise(units, "mix-units")[0]
+
+
 def mix_digest(documents: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
-    keyed = documents.select(
-        "doc_id", "source", n_words().alias("size"), F.xxhash64("doc_id", "source", "text").alias(ROW_KEY)
-    )
-    units, _ = materialise(distinct_rows(keyed), "mix-units")
-    settled = copies(units, seed)
+    settled = copies(_units(documents.select("doc_id", "source", "text")), seed)
     nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col(ROW_COUNT)))
     taken = F.col("size") * (F.col("base") + (F.col("_nth") <= F.col("extra")).cast("long"))
-    return settled.withColumn("_nth", nth).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return settled.withColumn("_nth", nth).select(
+        F.col(ROW_ID).alias("doc_id"), "size", "source_size", "target", taken.alias("taken")
+    )
 
 
 def mix(documents: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
         most: int = MOST) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it."""
-    keyed = with_row_key(documents)
-    sized = keyed.select("doc_id", "source", n_words().alias("size"), ROW_KEY)
-    units, _ = materialise(distinct_rows(sized), "mix-units")
-    settled = copies(units, seed, weights, share, most)
-    total = settled.select(
-        F.col(ROW_KEY).alias("_k"), F.col("doc_id").alias("_d"),
-        (F.col("base") * F.col(ROW_COUNT) + F.col("extra")).cast("int").alias("_copies"),
-    ).where("_copies > 0")
-    rows = distinct_rows(keyed)
-    taken = rows.join(total, (F.col(ROW_KEY) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    settled = copies(_units(documents), seed, weights, share, most)
+    times = (F.col("base") * F.col(ROW_COUNT) + F.col("extra")).cast("int")
+    total = settled.select(ROW_KEY, ROW_ID, times.alias("_copies")).where("_copies > 0")
+    taken = distinct_rows(keyed_rows(documents)).alias("r").join(total.alias("t"), same_row("r", "t"))
     nth = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return taken.withColumn("_nth", nth).select(*[F.col(f"`{c}`") for c in documents.columns])
+    return taken.select(f"r.{ROW}", nth).select(f"{ROW}.*")

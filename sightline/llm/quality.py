@@ -36,7 +36,7 @@ from sightline.llm.textkit import NON_SPACE, byte_class, join_rows, mix, prefix_
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-THRESHOLD = 0.5
+THRESHOLD = 0.2  # a text goes when it is bad with a probability over 0.8
 BUCKET_BITS = 16
 PER_CLASS = 2500
 EPOCHS = 8

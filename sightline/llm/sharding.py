@@ -26,7 +26,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import ROW_COUNT, ROW_KEY, distinct_rows, free_name, materialise, with_row_key
+from sightline.llm.tables import (
+    ROW,
+    ROW_COUNT,
+    ROW_ID,
+    ROW_KEY,
+    distinct_rows,
+    free_name,
+    keyed_rows,
+    materialise,
+    same_row,
+)
 
 BUCKET_BITS = 12
 ROUNDS = 6
@@ -86,77 +96,77 @@ def position(number: Column, n: int, seed: int) -> Column:
     return place(number)
 
 
-def first_numbers(units: DataFrame, key: str, count: str) -> tuple[DataFrame, int]:
-    """Add ``first_number`` to a table of distinct keyed units with
-    multiplicities, so that the units tile 0..N-1; also returns N.
+def first_numbers(units: DataFrame) -> tuple[DataFrame, int]:
+    """Add ``first_number`` to a table of distinct rows with multiplicities,
+    so that the rows tile 0..N-1; also returns N.
 
     ``units`` is read twice (bucket counts, then the numbering), so it should
     be a written table.
     """
-    bucketed = units.withColumn("_bucket", F.shiftrightunsigned(F.col(key), 64 - BUCKET_BITS))
-    counts = bucketed.groupBy("_bucket").agg(F.sum(count).alias("_n"))
+    bucketed = units.withColumn("_bucket", F.shiftrightunsigned(F.col(ROW_KEY), 64 - BUCKET_BITS))
+    counts = bucketed.groupBy("_bucket").agg(F.sum(ROW_COUNT).alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), "_n")
     offsets, _ = materialise(offsets, "shard-offsets")
     total = offsets.agg(F.sum("_n")).first()[0] or 0
-    inside = Window.partitionBy("_bucket").orderBy(key, F.col("doc_id").asc_nulls_first())
-    running = F.sum(count).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    inside = Window.partitionBy("_bucket").orderBy(ROW_KEY, F.col(ROW_ID).asc_nulls_first())
+    running = F.sum(ROW_COUNT).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     numbered = (
         bucketed.withColumn("_running", running)
         # at most 2**BUCKET_BITS rows, whatever the table holds
         .join(F.broadcast(offsets.drop("_n")), "_bucket")
-        .withColumn("first_number", F.col("_offset") + F.col("_running") - F.col(count))
+        .withColumn("first_number", F.col("_offset") + F.col("_running") - F.col(ROW_COUNT))
         .drop("_bucket", "_offset", "_running")
     )
     return numbered, int(total)
 
 
-def _places(numbered: DataFrame, total: int, shards: int, seed: int, shard: str, slot: str) -> DataFrame:
+def _places(numbered: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """Each row of each unit with its ``_shard`` and ``_slot``."""
     number = F.explode(F.sequence("first_number", F.col("first_number") + F.col(ROW_COUNT) - 1))
     return (
         numbered.withColumn("_number", number)
         .withColumn("_position", position(F.col("_number"), max(total, 1), seed))
-        .withColumn(shard, (F.col("_position") % shards).cast("int"))
-        .withColumn(slot, F.expr(f"_position div {int(shards)}"))
-        .drop("_number", "_position", "first_number", ROW_COUNT, ROW_KEY)
+        .withColumn("_shard", (F.col("_position") % shards).cast("int"))
+        .withColumn("_slot", F.expr(f"_position div {int(shards)}"))
     )
 
 
 def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """All columns of ``df`` plus ``shard`` and ``slot``; counts per shard
     differ by at most one. ``df`` needs a ``doc_id`` column."""
-    shard, slot = free_name(df.columns, "shard"), free_name(df.columns, "slot")
-    keyed = with_row_key(df)
-    units, _ = materialise(keyed.groupBy(ROW_KEY, "doc_id").agg(F.count(F.lit(1)).alias(ROW_COUNT)), "shard-units")
-    numbered, total = first_numbers(units, ROW_KEY, ROW_COUNT)
-    rows = distinct_rows(keyed).drop(ROW_COUNT)
-    joined = rows.alias("r").join(
-        numbered.alias("u"),
-        (F.col(f"r.{ROW_KEY}") == F.col(f"u.{ROW_KEY}")) & F.col("r.doc_id").eqNullSafe(F.col("u.doc_id")),
+    keyed = keyed_rows(df)
+    units, _ = materialise(
+        keyed.groupBy(ROW_KEY, ROW_ID).agg(F.count(F.lit(1)).alias(ROW_COUNT)), "shard-units"
+    )
+    numbered, total = first_numbers(units)
+    rows = distinct_rows(keyed).drop(ROW_COUNT).alias("r").join(numbered.alias("u"), same_row("r", "u"))
+    placed = _places(rows.select(f"r.{ROW}", f"u.{ROW_COUNT}", "u.first_number"), total, shards, seed)
+    return placed.select(
+        f"{ROW}.*",
+        F.col("_shard").alias(free_name(df.columns, "shard")),
+        F.col("_slot").alias(free_name(df.columns, "slot")),
     )
-    placed = joined.select(*[F.col(f"r.`{c}`") for c in df.columns], f"u.{ROW_COUNT}", "u.first_number")
-    return _places(placed, total, shards, seed, shard, slot)
 
 
 def shard_digest(documents: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     """doc_id, size, CRC, shard and slot of every document; only the keys are
     shuffled, never the texts."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    size = (F.octet_length(raw) + F.lit(8)).cast("long")
     keyed = documents.select(
-        "doc_id",
-        (F.octet_length(raw) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(raw).alias("text_crc32"),
         F.xxhash64("doc_id", "text").alias(ROW_KEY),
+        F.col("doc_id").alias(ROW_ID),
+        F.struct(size.alias("size"), F.crc32(raw).alias("crc")).alias(ROW),
     )
     units, _ = materialise(distinct_rows(keyed), "shard-units")
-    numbered, total = first_numbers(units, ROW_KEY, ROW_COUNT)
-    placed = _places(numbered, total, shards, seed, "shard", "slot")
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
+    numbered, total = first_numbers(units)
+    return _places(numbered, total, shards, seed).select(
+        F.col(ROW_ID).alias("doc_id"),
+        F.col(f"{ROW}.size").alias("size"),
+        F.col(f"{ROW}.crc").alias("text_crc32"),
         F.lit("rows").alias("law"),
-        "shard",
-        "slot",
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )

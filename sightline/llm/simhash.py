@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.components import components
-from sightline.llm.tables import ROW_KEY, distinct_rows, free_name, materialise, with_row_key
+from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, distinct_rows, keyed_rows, materialise, same_row
 from sightline.llm.textkit import slices
 
 BITS = 64
@@ -243,18 +243,19 @@ def keep_one(documents: DataFrame, distance: int = DISTANCE, width: int = SHINGL
     """The rows of ``documents``, one per component: that of the smallest
     doc_id (null last; of rows that share it, that of the smallest row hash).
     Only keys are shuffled to decide; the kept rows meet the texts by key."""
-    key = free_name(documents.columns, ROW_KEY)
-    keyed = with_row_key(documents, key)
-    prints, _ = materialise(with_fingerprint(keyed.select("doc_id", "text", key), width=width), "simhash-prints")
+    keyed = keyed_rows(documents)
+    texts = keyed.select(ROW_KEY, F.col(ROW_ID).alias("doc_id"), F.col(f"{ROW}.text").alias("text"))
+    prints, _ = materialise(with_fingerprint(texts, width=width), "simhash-prints")
     ids = component_ids(prints.select("doc_id", "fp"), distance)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(key).alias("k")))
+    first = F.min(
+        F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(ROW_KEY).alias("k"))
+    )
     kept = (
         prints.join(ids, "fp")
         .groupBy("root")
         .agg(first.alias("_first"))
-        .select(F.col("_first.d").alias("_d"), F.col("_first.k").alias("_k"))
+        .select(F.col("_first.d").alias(ROW_ID), F.col("_first.k").alias(ROW_KEY))
     )
     kept, _ = materialise(kept, "simhash-kept")
-    same = (F.col(key) == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    survivors = keyed.join(kept, same, "left_semi")
-    return distinct_rows(survivors, key).select(*[F.col(f"`{c}`") for c in documents.columns])
+    survivors = keyed.alias("r").join(kept.alias("k"), same_row("r", "k"), "left_semi")
+    return distinct_rows(survivors).select(f"{ROW}.*")

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.session import scratch_path
 
-ROW_KEY = "_row_key"
-ROW_COUNT = "_row_count"
+ROW_KEY, ROW_ID, ROW, ROW_COUNT = "_row_key", "_row_id", "_row", "_row_count"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,19 +43,29 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def with_row_key(df: DataFrame, name: str = ROW_KEY) -> DataFrame:
-    """Add a 64-bit hash over every column. Rows that agree on it (and on
-    ``doc_id``, which always accompanies it as a key) are identical rows."""
-    return df.withColumn(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+def keyed_rows(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """``_row_key`` (a 64-bit hash over every column), ``_row_id`` (the
+    doc_id) and ``_row`` (a struct of the columns, or of those in ``kept``, so
+    that no column name can clash). Rows that agree on key and id are
+    identical rows."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    inside = columns if kept is None else [F.col(f"`{c}`") for c in kept]
+    return df.select(
+        F.xxhash64(*columns).alias(ROW_KEY), F.col("doc_id").alias(ROW_ID), F.struct(*inside).alias(ROW)
+    )
 
 
-def distinct_rows(df: DataFrame, key: str = ROW_KEY) -> DataFrame:
+def distinct_rows(keyed: DataFrame) -> DataFrame:
     """One row per identical row, with its multiplicity. Combines map-side,
     so a row that makes up a third of the table is one row per task before
     the shuffle."""
-    rest = [c for c in df.columns if c not in (key, "doc_id")]
-    return df.groupBy(key, "doc_id").agg(
-        F.count(F.lit(1)).alias(ROW_COUNT), *[F.first(F.col(f"`{c}`")).alias(c) for c in rest]
+    return keyed.groupBy(ROW_KEY, ROW_ID).agg(F.count(F.lit(1)).alias(ROW_COUNT), F.first(ROW).alias(ROW))
+
+
+def same_row(left: str, right: str):
+    """Join condition on key and id of two aliased frames."""
+    return (F.col(f"{left}.{ROW_KEY}") == F.col(f"{right}.{ROW_KEY}")) & F.col(f"{left}.{ROW_ID}").eqNullSafe(
+        F.col(f"{right}.{ROW_ID}")
     )
 
 

@@ -84,7 +84,7 @@ def test_quality_held_out(rows):
 
 def test_quality_without_labels(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, None, None)], "doc_id bigint, quality int, toxic int")
-    assert quality.quality_digest(edge_docs, labels).where("kept <> not base_failed").count() == 0
+    assert quality.quality_digest(edge_docs, labels).where("kept = base_failed").count() == 0
     assert quality.quality_digest(no_docs, labels).count() == 0
 
 

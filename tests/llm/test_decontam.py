@@ -32,7 +32,7 @@ def contaminated(spark, edge_rows):
     extra = [
         (20, "say ALPHA, Beta-gamma delta!", "en", "a", 0),
         (21, "alpha beta gamma x delta", "en", "a", 0),
-        (22, "und É ünï wörd.", "de", "a", 0),
+        (22, "und É Ünï Wörd.", "de", "a", 0),
         (23, "the null item words are here", "en", "a", 0),
         (24, prose(12, 1, 6) + " " + prose(30, 1, 2), "en", "a", 0),
         (25, "alpha beta gamma", "en", "a", 0),

@@ -93,10 +93,10 @@ def test_edge_rows(edge_docs, edge_rows):
     rows = mixing.mix_digest(edge_docs, 1).collect()
     assert len(rows) == len(edge_rows)
     assert sorted(r["size"] for r in rows) == sorted(len((t or "").split()) for _, t, *_ in edge_rows)
-    mixed = mixing.mix(edge_docs.selectExpr("*", "1 as _copies", "2 as size"), 1)
-    assert mixed.columns == edge_docs.columns + ["_copies", "size"]
+    mixed = mixing.mix(edge_docs.selectExpr("*", "1 as _copies", "2 as size", "3 as _row"), 1)
+    assert mixed.columns == edge_docs.columns + ["_copies", "size", "_row"]
     words = sum(len((r.text or "").split()) for r in mixed.collect())
-    assert words == sum(r.taken for r in rows) or abs(words - 1.5 * sum(r["size"] for r in rows)) < 40_000
+    assert abs(words - 1.5 * sum(r["size"] for r in rows)) < 30_000  # within the longest document
 
 
 def test_only_dataframe_operations(mixed_docs):

@@ -98,7 +98,7 @@ def test_digest(spark, edge_docs, edge_rows):
     assert sorted((repr(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == sorted(expected)
     for r in got:
         if r.doc_id == 50 and r.n_email:
-            assert r.spans.split(",")[:2] == ["email:5:16", "phone:20:36"]
+            assert r.spans.split(",")[:2] == ["email:5:18", "phone:22:38"]
 
 
 def test_extra_columns_and_empty(spark, edge_docs, no_docs):

@@ -50,10 +50,11 @@ def test_decontamination_stage(spark, stages):
 
 
 def test_mixing_stage(stages):
-    words = lambda f: f.assign(n=f.text.str.encode("utf-8").map(lambda b: len(b.split()))).groupby("source").n.sum()
-    before, after = words(stages[3]), words(stages[4])
-    for source, target in brute_targets(before.to_dict()).items():
-        assert abs(after.get(source, 0) - target) <= 0.2 * target + 50
+    words = lambda f: f.assign(n=f.text.str.encode("utf-8").map(lambda b: len(b.split()))).groupby("source").n
+    before, after = words(stages[3]), words(stages[4]).sum()
+    for source, target in brute_targets(before.sum().to_dict()).items():
+        # ten documents a source: within the last open one
+        assert abs(after.get(source, 0) - target) < before.max()[source]
     assert stages[4].groupby("doc_id").size().max() <= 2
     assert set(stages[4].doc_id) <= set(stages[3].doc_id)
 

@@ -52,7 +52,7 @@ def test_places_do_not_depend_on_files(edge_docs):
 
 
 def test_whole_rows_keep_clashing_columns_and_repeats(spark, edge_docs, edge_rows):
-    docs = edge_docs.selectExpr("*", "'mine' as shard", "cast(null as int) as SLOT")
+    docs = edge_docs.selectExpr("*", "'mine' as shard", "cast(null as int) as SLOT", "1 as _row_key")
     out = sharding.shard_rows(docs, 3)
     assert out.columns == docs.columns + ["shard_1", "slot_1"]
     rows = out.collect()

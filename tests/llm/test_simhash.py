@@ -103,7 +103,7 @@ def test_edge_rows(edge_docs, edge_rows):
 
 
 def test_keep_one(edge_docs, edge_rows):
-    docs = edge_docs.selectExpr("*", "'x' as fp", "1 as _row_key", "doc_id as component_id")
+    docs = edge_docs.selectExpr("*", "'x' as fp", "1 as _row_key", "2 as _row", "doc_id as component_id")
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     fps = [brute_fingerprint(t) for _, t, *_ in edge_rows]

@@ -76,8 +76,8 @@ def _letters(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)), offsets
 
 
-# letters by code point; those past the table (rare scripts) count as letters
-_ALPHA = np.array([chr(c).isalpha() for c in range(0x30000)] + [True])
+# letters by code point; past the table (0x323AF is the last) there are none
+_ALPHA = np.array([chr(c).isalpha() for c in range(0x323B0)] + [False])
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -189,3 +189,5 @@ def test_ngrams_stay_in_their_text():
         alone = langid.ngrams([text])[1]
         assert sorted(together[1][together[0] == i].tolist()) == sorted(alone.tolist())
     assert len(langid.ngrams([b"12 ,."])[1]) == 0
+    assert len(langid.ngrams(["\U000E0041\U000F0000 1".encode()])[1]) == 0  # tags and private use are no letters
+    assert len(langid.ngrams(["\U00020000".encode()])[1]) > 0

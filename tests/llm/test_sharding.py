@@ -44,6 +44,21 @@ def test_digest_of_edge_rows(edge_docs, edge_rows):
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
 
 
+def test_digest_matches_brute_force(spark, edge_docs):
+    """Row numbers, permutation, shard and slot worked out row by row."""
+    from pyspark.sql import functions as F
+
+    docs = edge_docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    rows.sort(key=lambda r: ((r.h % (1 << 64)) >> (64 - sharding.BUCKET_BITS), r.h, r.doc_id or -1))
+    places = sharding.permute(np.arange(len(rows)), len(rows), 9)
+    expected = [
+        (str(r.doc_id), len((r.text or "").encode()) + 8, int(p) % 5, int(p) // 5) for r, p in zip(rows, places)
+    ]
+    got = [(str(r.doc_id), r["size"], r.shard, r.slot) for r in sharding.shard_digest(docs, 5, 9).collect()]
+    assert sorted(got) == sorted(expected)
+
+
 def test_places_do_not_depend_on_files(edge_docs):
     key = lambda r: (r.doc_id or -1, r["size"], r.shard, r.slot)
     a = sorted(map(key, sharding.shard_digest(edge_docs, 5, 1).collect()))

@@ -33,15 +33,15 @@ def yoy_lift(yearly: DataFrame, min_count: int = 1) -> DataFrame:
     that vanishes shows its drop; the first year of the data has no change,
     the year after the last none. ``ratio`` is null where the year before is
     zero. Only changes with at least ``min_count`` observations in either
-    year are kept.
+    year are kept. ``yearly`` is read twice (its span, the changes): give a
+    written table.
     """
-    now = yearly.select(*SPECIES, "year", F.col("observations").alias("current"), F.lit(0).cast("bigint").alias("previous"))
-    then = yearly.select(
-        *SPECIES, (F.col("year") + 1).alias("year"), F.lit(0).cast("bigint").alias("current"),
-        F.col("observations").alias("previous"),
-    )
     span = yearly.agg(F.min("year").alias("first"), F.max("year").alias("last"))
-    both = now.unionByName(then).groupBy(*SPECIES, "year").agg(
+    # each count stands for its own year and as the count before the next one
+    sides = yearly.select(
+        *SPECIES, F.expr("stack(2, year, observations, 0L, year + 1, 0L, observations) AS (year, current, previous)")
+    )
+    both = sides.groupBy(*SPECIES, "year").agg(
         F.sum("current").alias("observations"), F.sum("previous").alias("previous_observations")
     )
     inside = both.where(

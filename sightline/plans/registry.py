@@ -645,7 +645,8 @@ def q_event_retention(spark, sf_dir):
 
 @register("yoy_lift")
 def q_yoy_lift(spark, sf_dir):
-    return trends.yoy_lift(trends.yearly_species(_obs(spark, sf_dir, names=True)), min_count=2)
+    yearly = Scratch(spark).write(trends.yearly_species(_obs(spark, sf_dir, names=True)), "yearly-species")
+    return trends.yoy_lift(yearly, min_count=2)
 
 
 @register("species_trend")

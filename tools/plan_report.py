@@ -16,7 +16,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as entry  # noqa: E402
+from sightline.plans import registry  # noqa: E402
 from sightline.session import build_session  # noqa: E402
 
 PATTERNS = {
@@ -48,7 +48,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    qs = entry.queries()
+    qs = registry.QUERIES
     print(f"{'query':34s} " + " ".join(f"{k:>9s}" for k in PATTERNS))
     for key in keys or list(qs):
         plan = qs[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

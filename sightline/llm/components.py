@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import drop, materialise
+from sightline.llm.tables import materialise
+from sightline.session import delete_path
 
 MAX_ROUNDS = 60
 
@@ -35,7 +36,7 @@ def _star(edges: DataFrame, large: bool, name: str) -> DataFrame:
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     result, _ = materialise(out.where("u <> v").distinct(), name)
-    drop(spark, least_path)
+    delete_path(spark, least_path)
     return result
 
 

@@ -28,14 +28,6 @@ def materialise(df: DataFrame, name: str, **options) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete written intermediates that no later step reads."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished jobs now: they
     are freed when the driver's references to them are collected."""

@@ -29,6 +29,7 @@ do not matter, the document output has the input columns only.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,34 +83,57 @@ def _uniform(*cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) * F.lit(2.0**-53)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once (lambda bodies are
+    interpreted, repeated subexpressions would be evaluated again and again)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _entry(x: Column, p: Column) -> Column:
+    return F.struct(*[x[c].alias(c) for c in ("key", "doc_id", "source", "size")], p.alias("p"))
+
+
+def _settled(p: Column) -> Column:
+    return F.when(p < EPSILON, F.lit(0.0)).when(p > 1 - EPSILON, F.lit(1.0)).otherwise(p)
+
+
+def _transfer(a: Column, b: Column, seed: int) -> Column:
+    """Moves word mass between two open documents: struct (a, b) with their
+    new probabilities, at least one of them 0 or 1."""
+    wa, wb = a["size"].cast("double"), b["size"].cast("double")
+    bounds = F.struct(
+        F.least(F.lit(1.0) - a["p"], b["p"] * wb / wa).alias("up"),
+        F.least(a["p"], (F.lit(1.0) - b["p"]) * wb / wa).alias("down"),
+        _uniform(a["key"], b["key"], a["doc_id"], b["doc_id"], F.lit(seed)).alias("draw"),
+    )
+    # up with probability down / (up + down): the expected words do not change
+    shift = _let(
+        bounds, lambda t: F.when(t["draw"] * (t["up"] + t["down"]) < t["down"], t["up"]).otherwise(-t["down"])
+    )
+    return _let(
+        shift,
+        lambda d: F.struct(_settled(a["p"] + d).alias("a"), _settled(b["p"] - d * wa / wb).alias("b")),
+    )
+
+
 def _meet(state: Column, item: Column, seed: int) -> Column:
     """One pivotal step: the open document of ``state`` meets ``item``."""
     a, b = state["open"], item
-    wa, wb, pa, pb = a["size"].cast("double"), b["size"].cast("double"), a["p"], b["p"]
-    up = F.least(F.lit(1.0) - pa, pb * wb / wa)
-    down = F.least(pa, (F.lit(1.0) - pb) * wb / wa)
-    rises = _uniform(a["key"], b["key"], a["doc_id"], b["doc_id"], F.lit(seed)) * (up + down) < down
 
-    def settled(p: Column) -> Column:
-        return F.when(p < EPSILON, F.lit(0.0)).when(p > 1 - EPSILON, F.lit(1.0)).otherwise(p)
-
-    def entry(x: Column, p: Column) -> Column:
-        return F.struct(
-            x["key"].alias("key"), x["doc_id"].alias("doc_id"), x["source"].alias("source"),
-            x["size"].alias("size"), p.alias("p"),
+    def after(p: Column) -> Column:
+        a_done = (p["a"] == 0.0) | (p["a"] == 1.0)
+        return _let(
+            F.struct(_entry(a, p["a"]).alias("a"), _entry(b, p["b"]).alias("b"), a_done.alias("done")),
+            lambda t: F.struct(
+                F.when(t["done"], t["b"]).otherwise(t["a"]).alias("open"),
+                F.concat(state["done"], F.array(F.when(t["done"], t["a"]).otherwise(t["b"]))).alias("done"),
+            ),
         )
 
-    new_a = settled(F.when(rises, pa + up).otherwise(pa - down))
-    new_b = settled(F.when(rises, pb - up * wa / wb).otherwise(pb + down * wa / wb))
-    a_done = (new_a == 0.0) | (new_a == 1.0)
-    first = F.struct(
-        F.when(a_done, entry(b, new_b)).otherwise(entry(a, new_a)).alias("open"),
-        F.concat(state["done"], F.array(F.when(a_done, entry(a, new_a)).otherwise(entry(b, new_b)))).alias("done"),
-    )
     alone = F.struct(b.alias("open"), state["done"].alias("done"))
     closed = F.struct(b.alias("open"), F.concat(state["done"], F.array(a)).alias("done"))
-    a_closed = (pa <= 0.0) | (pa >= 1.0)
-    return F.when(a.isNull(), alone).when(a_closed, closed).otherwise(first)
+    a_closed = (a["p"] <= 0.0) | (a["p"] >= 1.0)
+    return F.when(a.isNull(), alone).when(a_closed, closed).otherwise(_let(_transfer(a, b, seed), after))
 
 
 def _group(groups: Column, level: int, seed: int) -> Column:
@@ -160,7 +184,7 @@ def copies(units: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
     )
     stats, _ = materialise(stats, "mix-sources")
     bound = stats.agg(F.count(F.lit(1)), F.max("_units")).first()
-    targets, _ = materialise(source_targets(stats.select("source", "source_size"), weights, share, most), "mix-targets")
+    targets = source_targets(stats.select("source", "source_size"), weights, share, most)
     if bound[0] <= BROADCAST_SOURCES:  # counted: one short row per source
         targets = F.broadcast(targets)
 
@@ -200,7 +224,6 @@ def copies(units: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS,
         elif reserve is None:
             # one group of each source waits for the last fold, so that what is
             # open there still meets enough short documents
-            grouped, _ = materialise(grouped, "mix-grouped")
             reserve = grouped.where("_group = 0")
             grouped = grouped.where("_group > 0")
         folded, _ = materialise(_fold(grouped, level, seed), f"mix-level{level}")

@@ -40,6 +40,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 BATCH = 32
 EPOCHS = 4
 UNKNOWN = "und"
+SLICE = 256 << 10
 
 
 def held_out(column: str = "doc_id", parts: int = 4, part: int = 2) -> Column:
@@ -225,7 +226,7 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", kee
             if not batch.num_rows:
                 continue
             langs, probs = [], []
-            for _, texts in slices(batch.column(text)):
+            for _, texts in slices(batch.column(text), SLICE):
                 found, p = score(shared.value, texts)
                 langs += found
                 probs.append(p)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -27,9 +28,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def slices(column: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) pieces of about ``target`` bytes."""
     n = len(column)
-    lengths = np.zeros(n, np.int64)
-    if n:
-        lengths = np.nan_to_num(column.cast(pa.large_binary()).to_pandas().str.len().to_numpy(float)).astype(np.int64)
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     start, total = 0, 0
     for i in range(n):
         if i > start and total + lengths[i] > target:

@@ -196,8 +196,9 @@ class Outbox:
 
     def send(self) -> pa.RecordBatch:
         rows = []
-        # rows for the segment itself pass through the bins' shuffle unread
-        own = -1 - self.segment % MIN_BINS
+        # rows for the segment itself pass through the bins' shuffle unread, as
+        # a group of their own: its size is bounded by the segment's
+        own = -1 - self.segment
         docs = pack(np.array(self.doc_ids, np.int64), np.array(self.keys, np.int64))
         rows.append((own, "docs", docs))
         if self.settled:

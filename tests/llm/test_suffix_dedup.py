@@ -117,3 +117,16 @@ def test_kept_bytes(spark):
 def test_empty(spark, no_docs, size):
     docs = no_docs if not size else spark.createDataFrame([(None, None)], "doc_id bigint, text string")
     assert s.dedup_digest(docs).count() == size
+
+
+def test_segments_rows_for_themselves_share_no_group(spark):
+    """Small input partitions: every segment is the first of its partition."""
+    passage = "".join(chr(97 + i * i % 26) + str(i) for i in range(60))
+    rows = [(i, f"{i} {passage} {i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, key_text string").repartition(12).selectExpr(
+        "doc_id", "xxhash64(key_text) as key", "key_text as text")
+    sent = docs.mapInArrow(lambda b: s._send_partition(b, 64, 50), s.SENT_SCHEMA).where("kind <> 'records'").collect()
+    segments = {r.segment for r in sent}
+    assert len(segments) == 12 and {r.kind for r in sent} == {"docs", "hits"}
+    assert len({r.bin for r in sent}) == len(segments)
+    assert found(s.dedup_digest(docs.select("doc_id", "text"))) == brute(rows)

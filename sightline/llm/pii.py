@@ -6,9 +6,13 @@ numbers. The field then labels every token that holds a digit or an at sign
 neighbouring variables share chain potentials, and repeated or similar tokens
 anywhere in a document (equal, or equal in their last seven digits) share skip
 potentials, so what is a phone number in one place tends to be one in all.
-Tokens inside pattern matches are held at their kind; loopy message passing
-spreads that over the document, and tokens whose marginal reaches
-``CONFIDENCE`` become added spans (neighbouring tokens of one kind form one).
+Tokens inside pattern matches are held at their kind. Every other occurrence of
+a held token shares a skip potential with each held one, however far away (a
+held variable sends the same to all, so counts per kind stand for these edges);
+the others are linked from one occurrence to the next. Loopy message passing
+runs until no message of a document changes by ``TOLERANCE``, and tokens whose
+marginal reaches ``CONFIDENCE`` become added spans (neighbouring tokens of one
+kind form one).
 A pattern match is never changed and an added span never overlaps one.
 
 The potentials are fitted piecewise (edges by label association, unary weights
@@ -43,7 +47,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is "none"
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 14
-ROUNDS = 8
+TOLERANCE = 1e-7
+MOST_ROUNDS = 1000  # for messages that would swing for ever
 CONFIDENCE = 0.95
 HOLD = 30.0
 
@@ -121,7 +126,8 @@ class Graph:
     label: np.ndarray  # from the patterns
     bucket: list[np.ndarray]  # feature buckets of each variable
     chain: np.ndarray  # edges x 2
-    skip: np.ndarray
+    skip: np.ndarray  # edges x 2, an occurrence and the next
+    told: np.ndarray  # variables x labels: occurrences of its token held at each
 
 
 def _shape(token: str) -> str:
@@ -155,6 +161,8 @@ def _similar(token: str) -> str:
 
 def build_graph(texts: list[str], spans: list[list[Span]]) -> Graph:
     row, start, end, label, bucket, chain, skip = [], [], [], [], [], [], []
+    entry: list[int] = []  # number of each variable's document and token
+    entry_of: dict[tuple[int, str], int] = {}
     for r, text in enumerate(texts):
         if not _ANY.search(text):
             continue
@@ -183,9 +191,13 @@ def build_graph(texts: list[str], spans: list[list[Span]]) -> Graph:
             if key in last_seen:
                 skip.append((last_seen[key], node))
             last_seen[key] = node
+            entry.append(entry_of.setdefault((r, key), len(entry_of)))
     edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
     ints = [np.array(x, np.int64) for x in (row, start, end, label)]
-    return Graph(*ints, bucket, *edges)
+    held = ints[3] > 0
+    told = np.zeros((len(entry_of), LABELS))
+    np.add.at(told, (np.array(entry, np.int64)[held], ints[3][held]), 1)
+    return Graph(*ints, bucket, *edges, np.where(held[:, None], 0, told[entry]) if entry else told)
 
 
 @dataclass
@@ -246,23 +258,27 @@ def fit(texts: list[str], steps: int = 120, rate: float = 0.2, l2: float = 1e-4)
     return model
 
 
-def marginals(model: FieldModel, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
-    """Label marginals by loopy sum-product message passing (damped)."""
+def marginals(model: FieldModel, graph: Graph, rounds: int = MOST_ROUNDS) -> np.ndarray:
+    """Label marginals by loopy sum-product message passing (damped), each
+    document until its messages rest."""
     belief = _unary(model, graph)
     held = graph.label > 0
     belief[held, graph.label[held]] += HOLD
-    edges = np.concatenate([graph.chain, graph.skip])
+    belief += graph.told @ model.skip
+    skip = graph.skip[~held[graph.skip].any(axis=1)]  # held ends are in told
+    edges = np.concatenate([graph.chain, skip])
     if not len(edges):
         return _softmax(belief) if len(belief) else belief
     tables = np.concatenate([
         np.broadcast_to(model.chain, (len(graph.chain), LABELS, LABELS)),
-        np.broadcast_to(model.skip, (len(graph.skip), LABELS, LABELS)),
+        np.broadcast_to(model.skip, (len(skip), LABELS, LABELS)),
     ])
     source = np.concatenate([edges[:, 0], edges[:, 1]])
     target = np.concatenate([edges[:, 1], edges[:, 0]])
     potential = np.concatenate([tables, tables.transpose(0, 2, 1)])
     reverse = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), LABELS))
+    out = belief.copy()
     for _ in range(rounds):
         total = belief.copy()
         np.add.at(total, target, message)
@@ -270,9 +286,20 @@ def marginals(model: FieldModel, graph: Graph, rounds: int = ROUNDS) -> np.ndarr
         top = sent.max(axis=1, keepdims=True)
         new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0, :]
         new -= new.max(axis=1, keepdims=True)
-        message = 0.5 * message + 0.5 * new
-    np.add.at(belief, target, message)
-    return _softmax(belief)
+        step = 0.5 * (new - message)
+        message += step
+        moving = np.zeros(graph.row[-1] + 1, bool)
+        moving[graph.row[source[np.abs(step).max(axis=1) > TOLERANCE]]] = True
+        live = moving[graph.row[source]]
+        if not live.all():
+            # documents at rest leave with all their edges
+            np.add.at(out, target[~live], message[~live])
+            reverse = (np.cumsum(live) - 1)[reverse[live]]
+            source, target, potential, message = source[live], target[live], potential[live], message[live]
+            if not len(source):
+                break
+    np.add.at(out, target, message)
+    return _softmax(out)
 
 
 def added_spans(model: FieldModel, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:

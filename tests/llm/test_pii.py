@@ -107,3 +107,35 @@ def test_extra_columns_and_empty(spark, edge_docs, no_docs):
     assert out.columns == edge_docs.columns + ["spans", *pii.RESULT[:5], "spans_1", "n_added"]
     assert out.count() == edge_docs.count()
     assert pii.pii_digest(no_docs).count() == 0
+
+
+def test_a_pattern_reaches_every_repeat(model):
+    """One match, then fifty bare repeats of its number far from each other."""
+    filler = " and then they talked about the weather for a while"
+    text = "Call +1 (766) 555-2373 now." + (filler + ". Ask for them, later: (766) 555-2373 again") * 50
+    [extra] = pii.added_spans(model, [text], [pii.base_spans(text)])
+    assert [(pii.KINDS[k], text[a:b]) for a, k, b in extra] == [("phone", "(766) 555-2373")] * 50
+    # also where the repeats' own places say nothing: only the skip potentials
+    import numpy as np
+
+    graph = pii.build_graph([text], [pii.base_spans(text)])
+    neutral = pii.FieldModel(model.unary * 0, model.chain * 0, 3 * np.eye(pii.LABELS))
+    repeats = [i for i in range(len(graph.row)) if text[graph.start[i] : graph.end[i]] == "555-2373" and not graph.label[i]]
+    assert len(repeats) == 50 and pii.marginals(neutral, graph)[repeats, 4].min() > 0.83
+
+
+def test_messages_run_until_they_rest():
+    """A label given at one end of a long chain reaches the other end, and
+    documents that rest early do not stop the others."""
+    import numpy as np
+
+    strong = np.log(np.full((pii.LABELS, pii.LABELS), 0.001) + np.eye(pii.LABELS))
+    field = pii.FieldModel(np.zeros((pii.BUCKETS, pii.LABELS)), strong, strong * 0)
+    texts = ["x@y.example " + " ".join(f"{i}" for i in range(40)), "1 2", "x@y.example 3"]
+    graph = pii.build_graph(texts, [pii.base_spans(t) for t in texts])
+    p = pii.marginals(field, graph)
+    move = np.exp(strong) / np.exp(strong).sum(axis=1, keepdims=True)
+    exact = np.linalg.matrix_power(move, 40)[1]
+    assert p[40] == pytest.approx(exact, abs=1e-4) and p[40, 1] > 0.8
+    assert p[41:43] == pytest.approx(np.full((2, pii.LABELS), 0.2), abs=1e-6)
+    assert p[44] == pytest.approx(move[1], abs=1e-4)

@@ -101,7 +101,8 @@ def base_spans(text: str) -> list[Span]:
         return found
     found += [(a, 0, b) for a, b in _emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        # leading zeros go first: int() refuses very long digit strings
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m.group().split("."))):
             found.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = _digits(m.group())

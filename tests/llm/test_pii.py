@@ -139,3 +139,8 @@ def test_messages_run_until_they_rest():
     assert p[40] == pytest.approx(exact, abs=1e-4) and p[40, 1] > 0.8
     assert p[41:43] == pytest.approx(np.full((2, pii.LABELS), 0.2), abs=1e-6)
     assert p[44] == pytest.approx(move[1], abs=1e-4)
+
+
+def test_leading_zeros_of_an_address_may_be_very_many():
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)]
+    assert pii.base_spans("0" * 5000 + "256.1.1.1") == []

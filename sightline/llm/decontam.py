@@ -9,8 +9,12 @@ starting with its rarest term, all queries at once. An exact occurrence has
 every term at its offset; a proximity match has every term within ``slop``
 words of it.
 
-The queries are windows of consecutive benchmark words. The benchmark is sent
-to the segments in blocks of bounded size; every block meets all segments.
+The queries are windows of consecutive benchmark words. A Spark job hashes the
+words of the distinct benchmark rows, cut into pieces; blocks of pieces whose
+windows stay within ``BLOCK_BYTES`` are sent to the segments one after the
+other. Every block meets all segments, and its matches are written before the
+next is read. Matches that cross the pieces of one long item are several
+overlapping runs; hits count each word once.
 
 Defined cases: null text has no words and matches nothing; items of fewer
 words than a window are one window, items without words none; several items
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,7 @@ from sightline.llm.textkit import byte_class, join_rows, prefix_sums, slices, sp
 WINDOW = 10
 GAP = 64  # positions between documents; larger than a window plus any slop
 SEGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 32 << 20  # of the windows of a block; its words are a tenth of them
 
 _WORD = byte_class({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
 
@@ -179,31 +184,76 @@ def indexed_documents(index: DataFrame) -> DataFrame:
     )
 
 
-def windows(items: list[tuple[int, bytes]], width: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """length -> (item of each window, matrix of term hashes)."""
-    found: dict[int, tuple[list, list]] = {}
-    for item, text in items:
-        terms, _ = terms_of([text])
-        if len(terms):
+PIECE_SCHEMA = "chunk bigint, bytes bigint, item_id bigint, size int, terms binary"
+
+
+def _piece_partition(batches: Iterable[pa.RecordBatch], width: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of items whose windows take at most ``limit`` bytes; a chunk
+    numbers the pieces that stay within it together."""
+    from pyspark import TaskContext
+
+    chunk, filled, rows = TaskContext.get().partitionId() << 32, 0, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            item = batch.column("item_id")[i].as_py()
+            terms, _ = terms_of([batch.column("text")[i].as_py().encode()])
             size = min(width, len(terms))
-            owners, rows = found.setdefault(size, ([], []))
-            view = np.lib.stride_tricks.sliding_window_view(terms, size)
-            rows.append(view)
-            owners.append(np.full(len(view), item, np.int64))
-    return {size: (np.concatenate(o), np.concatenate(r)) for size, (o, r) in found.items()}
+            if not size:
+                continue
+            # consecutive pieces overlap by all but one word of a window
+            step = max(1, limit // (8 * size))
+            for at in range(0, len(terms) - size + 1, step):
+                piece = terms[at : at + step + size - 1]
+                used = 8 * size * (len(piece) - size + 1)
+                if rows and filled + used > limit:
+                    yield _pieces(rows)
+                    chunk, filled, rows = chunk + 1, 0, []
+                rows.append((chunk, used, item, size, piece.tobytes()))
+                filled += used
+    if rows:
+        yield _pieces(rows)
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "bytes", "item_id", "size", "terms"]
+    )
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
-    """(item_id, text) rows in blocks of about ``block_bytes`` of text."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    for i in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
-        yield part.collect()
+def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
+    """(item_id, size, terms) pieces of the distinct items, in blocks whose
+    windows take at most ``block_bytes`` (or are one window)."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
+    limit = max(1, block_bytes // 8)
+    pieces, _ = materialise(
+        items.mapInArrow(lambda b: _piece_partition(b, width, limit), PIECE_SCHEMA), "benchmark-pieces"
+    )
+    # a row for each chunk, which is an eighth of a block or a task's last
+    sizes = pieces.groupBy("chunk").agg(F.sum("bytes").alias("n")).orderBy("chunk").collect()
+    cuts, filled = [], 0
+    for r in sizes:
+        if cuts and filled + r["n"] <= block_bytes:
+            cuts[-1][1], filled = r["chunk"], filled + r["n"]
+        else:
+            cuts.append([r["chunk"], r["chunk"]])
+            filled = r["n"]
+    for first, last in cuts:
+        yield pieces.where(F.col("chunk").between(first, last)).select("item_id", "size", "terms").collect()
+
+
+def windows(pieces: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (number of the piece of each window, matrix of term hashes)."""
+    found: dict[int, tuple[list, list]] = {}
+    for number, (size, terms) in enumerate(pieces):
+        owners, rows = found.setdefault(size, ([], []))
+        view = np.lib.stride_tricks.sliding_window_view(np.frombuffer(terms, np.uint64), size)
+        rows.append(view)
+        owners.append(np.full(len(view), number, np.int64))
+    return {size: (np.concatenate(o), np.concatenate(r)) for size, (o, r) in found.items()}
 
 
-MATCH_SCHEMA = "segment bigint, ordinal int, item bigint, start bigint, stop bigint, kind string"
+MATCH_SCHEMA = "segment bigint, ordinal int, item_id bigint, start bigint, stop bigint, kind string"
 
 
 def _runs(query_item: np.ndarray, start: np.ndarray, size: int, doc_start: np.ndarray) -> tuple:
@@ -219,21 +269,21 @@ def _runs(query_item: np.ndarray, start: np.ndarray, size: int, doc_start: np.nd
     return ordinal[head], item[head], local[head], local[tail] + size
 
 
-def match(index: DataFrame, items: list, width: int = WINDOW, slop: int = 0) -> DataFrame:
-    """Matches of one block of benchmark rows: segment, ordinal, item (number
-    in the block), first and last word (exclusive) and kind: ``phrase``, or
-    ``proximity`` for windows that only match within ``slop``."""
-    numbered = [(i, r["text"].encode()) for i, r in enumerate(items)]
-    shared = index.sparkSession.sparkContext.broadcast(windows(numbered, width))  # one bounded block
+def match(index: DataFrame, shared: Broadcast, slop: int = 0) -> DataFrame:
+    """Matches of one block of benchmark pieces: segment, ordinal, item_id,
+    first and last word (exclusive) and kind: ``phrase``, or ``proximity`` for
+    windows that only match within ``slop``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = [item for item, _, _ in shared.value]
+        queries = windows([(size, terms) for _, size, terms in shared.value])
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
                 segment = Segment.decode(*(row[c].as_buffer() for c in ("terms", "counts", "steps")))
                 n = row["n_words"].values.to_numpy().astype(np.int64)
                 doc_start = GAP + np.cumsum(n + GAP) - (n + GAP)
-                for size, (owner, matrix) in shared.value.items():
+                for size, (owner, matrix) in queries.items():
                     query, start, exact = search(segment, matrix, slop)
                     for kind, which in (("phrase", exact), ("proximity", ~exact)):
                         if which.any():
@@ -241,10 +291,11 @@ def match(index: DataFrame, items: list, width: int = WINDOW, slop: int = 0) ->
                             yield pa.RecordBatch.from_arrays(
                                 [
                                     pa.array(np.full(len(o), row["segment"].as_py(), np.int64)),
-                                    pa.array(o.astype(np.int32)), pa.array(item), pa.array(a), pa.array(b),
+                                    pa.array(o.astype(np.int32)), pa.array([ids[x] for x in item], pa.int64()),
+                                    pa.array(a), pa.array(b),
                                     pa.array([kind] * len(o), pa.string()),
                                 ],
-                                names=["segment", "ordinal", "item", "start", "stop", "kind"],
+                                names=["segment", "ordinal", "item_id", "start", "stop", "kind"],
                             )
 
     return index.select("segment", "n_words", "terms", "counts", "steps").mapInArrow(run, MATCH_SCHEMA)
@@ -253,14 +304,15 @@ def match(index: DataFrame, items: list, width: int = WINDOW, slop: int = 0) ->
 def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
     """segment, ordinal, item_id, start, stop, kind of all matches of all
     benchmark blocks."""
-    spark, found = index.sparkSession, None
-    for block in benchmark_blocks(benchmark):
-        part = match(index, block, width, slop)
-        names = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(block)], "item bigint, item_id bigint")
-        # one bounded block of item ids
-        part = part.join(F.broadcast(names), "item").drop("item")
-        found = part if found is None else found.unionByName(part)
-    return found
+    spark, paths = index.sparkSession, []
+    for block in benchmark_blocks(benchmark, width):
+        pieces = [(r["item_id"], r["size"], bytes(r["terms"])) for r in block]
+        shared = spark.sparkContext.broadcast(pieces)  # one bounded block
+        paths.append(materialise(match(index, shared, slop), "benchmark-matches")[1])
+        shared.destroy()
+    if not paths:
+        return spark.createDataFrame([], MATCH_SCHEMA)
+    return spark.read.schema(MATCH_SCHEMA).parquet(*paths)
 
 
 def _covered(runs: str):

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import duckdb
@@ -136,3 +137,18 @@ def test_empty(spark, no_docs, contaminated, benchmark):
     assert decontam.contamination_digest(no_docs, benchmark).count() == 0
     assert decontam.contamination_digest(contaminated, none).where("contaminated").count() == 0
     assert decontam.clean(contaminated, none).count() == contaminated.count()
+
+
+def test_blocks_are_bounded_for_long_and_repeated_items(spark, monkeypatch):
+    words = [f"w{i}" for i in range(2000)]
+    items = [(1, " ".join(words))] + [(2, " ".join(words[5:40]))] * 300
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = [(1, " ".join(["x", *words, "y"])), (2, " ".join(words[600:609])), (3, " ".join(words[600:610]))]
+    monkeypatch.setattr(decontam.benchmark_blocks, "__defaults__", (40_000,))
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(
+        spark.sparkContext, "broadcast", lambda v: (sent.append(len(pickle.dumps(v))), broadcast(v))[1]
+    )
+    got = decontam.contamination_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 2000, 2), (2, 0, 0), (3, 10, 1)]
+    assert len(sent) > 3 and max(sent) < 40_000 and sum(sent) < 80_000

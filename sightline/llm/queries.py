@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import (
-    decontam, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc,
+    decontam, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc, whitening,
 )
 from sightline.llm.tables import materialise, read_table
 
@@ -80,3 +80,8 @@ def op9_language_id(spark, sf_dir):
 @register("op10_mixing")
 def op10_mixing(spark, sf_dir):
     return mixing.mix_digest(read_table(spark, sf_dir, "documents"), SEED)
+
+
+@register("op11_whitening")
+def op11_whitening(spark, sf_dir):
+    return whitening.whitening_digest(read_table(spark, sf_dir, "embeddings"))

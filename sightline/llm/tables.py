@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.session import scratch_path
 
@@ -35,15 +36,44 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _unhashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _unhashable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_unhashable(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def hashable(column: Column, kind: T.DataType) -> Column:
+    """``column`` in a form that Spark can hash: maps as lists of entries (in
+    their stored order), variants as text, also inside arrays and structs."""
+    if not _unhashable(kind):
+        return column
+    if isinstance(kind, T.VariantType):
+        return column.cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])
+        return hashable(F.map_entries(column), T.ArrayType(entry)) if _unhashable(entry) else F.map_entries(column)
+    fields = [hashable(column.getField(f.name), f.dataType).alias(f"_{i}") for i, f in enumerate(kind)]
+    return F.when(column.isNotNull(), F.struct(*fields))
+
+
 def keyed_rows(df: DataFrame, kept: list[str] | None = None) -> DataFrame:
     """``_row_key`` (a 64-bit hash over every column), ``_row_id`` (the
     doc_id) and ``_row`` (a struct of the columns, or of those in ``kept``, so
     that no column name can clash). Rows that agree on key and id are
     identical rows."""
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    inside = columns if kept is None else [F.col(f"`{c}`") for c in kept]
+    inside = [quoted(c) for c in (df.columns if kept is None else kept)]
+    hashed = [hashable(quoted(f.name), f.dataType) for f in df.schema]
     return df.select(
-        F.xxhash64(*columns).alias(ROW_KEY), F.col("doc_id").alias(ROW_ID), F.struct(*inside).alias(ROW)
+        F.xxhash64(*hashed).alias(ROW_KEY), F.col("doc_id").alias(ROW_ID), F.struct(*inside).alias(ROW)
     )
 
 

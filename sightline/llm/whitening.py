@@ -34,7 +34,8 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,18 +170,32 @@ class Whitening:
         return np.array(whole, np.int64), np.array(part)
 
 
-def integer_vector(vector: str = "embedding") -> Column:
-    """The integers of a vector; null for a row that is dropped."""
-    entry = lambda c: c.cast("double")
-    bad = F.exists(
-        F.col(vector), lambda c: c.isNull() | F.isnan(entry(c)) | (F.abs(entry(c)) == float("inf"))
-    )
+def integer_cells(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column: which rows remain, the length of each row, and the
+    integers of all rows one after the other."""
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # null entries become nan
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    good = np.isfinite(values)
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    remains = column.is_valid().to_numpy(zero_copy_only=False) & (bad[ends] == bad[ends - lengths])
     bound = MOST / SCALE
-    cell = F.transform(
-        F.col(vector),
-        lambda c: F.floor(F.greatest(F.least(entry(c), F.lit(bound)), F.lit(-bound)) * SCALE).cast("long") + OFFSET,
-    )
-    return F.when(F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True)), cell)
+    clipped = np.clip(np.where(good, values, 0.0), -bound, bound)
+    return remains, lengths, np.floor(clipped * SCALE).astype(np.int64) + OFFSET
+
+
+def integer_vectors(embeddings: DataFrame, vector: str = "embedding") -> DataFrame:
+    """The integer vector ``x`` of every remaining row."""
+
+    def convert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            remains, lengths, cells = integer_cells(batch.column(0))
+            kept = lengths[remains]
+            offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            x = pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells[np.repeat(remains, lengths)]))
+            yield pa.RecordBatch.from_arrays([x], names=["x"])
+
+    return embeddings.select(vector).mapInArrow(convert, "x array<bigint>")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
@@ -251,9 +266,8 @@ def _centre(mean: tuple[np.ndarray, np.ndarray]):
 
 def fit_whitening(embeddings: DataFrame, components: int = COMPONENTS, vector: str = "embedding") -> Whitening | None:
     """Fit on the distinct integer vectors; None without a row to fit on."""
-    rows = embeddings.select(integer_vector(vector).alias("x")).where("x is not null")
     # combines map-side: a vector that makes up a third of all rows is one row of each task
-    fit, _ = materialise(rows.distinct(), "whitening-fit")
+    fit, _ = materialise(integer_vectors(embeddings, vector).distinct(), "whitening-fit")
     sizes = fit.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     if sizes is None:
         return None
@@ -294,9 +308,11 @@ def exact_deviation(x: np.ndarray, n: int, sums: list[int]) -> list[Decimal | No
     return [Decimal(t) if t < 10**38 else None for t in totals]
 
 
-def whiten(embeddings: DataFrame, model: Whitening | None, vector: str = "embedding", name: str = "whitened") -> DataFrame:
-    """All columns of the remaining rows plus ``name``: a struct of
-    ``deviation`` (exact) and ``components`` (the whitened values)."""
+def whiten(embeddings: DataFrame, model: Whitening | None, vector: str = "embedding", name: str = "whitened",
+           keep_vector: bool = True) -> DataFrame:
+    """All columns of the remaining rows (without the vector itself unless
+    ``keep_vector``) plus ``name``: a struct of ``deviation`` (exact) and
+    ``components`` (the whitened values)."""
     spark = embeddings.sparkSession
     struct = T.StructType([
         T.StructField("deviation", T.DecimalType(38, 0)),
@@ -314,7 +330,11 @@ def whiten(embeddings: DataFrame, model: Whitening | None, vector: str = "embedd
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK_ROWS):
                 piece = batch.slice(at, BLOCK_ROWS)
-                x = _matrix(piece.column("x"), width)
+                remains, lengths, cells = integer_cells(piece.column("x"))
+                remains &= lengths == width
+                x = cells[np.repeat(remains, lengths)].reshape(-1, width)
+                if not len(x):
+                    continue
                 values = centre(x) @ weights
                 offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * values.shape[1])
                 out = pa.StructArray.from_arrays(
@@ -324,10 +344,13 @@ def whiten(embeddings: DataFrame, model: Whitening | None, vector: str = "embedd
                     ],
                     names=["deviation", "components"],
                 )
-                yield pa.RecordBatch.from_arrays([piece.column("row"), out], names=["row", "out"])
+                row = piece.column("row").filter(pa.array(remains))
+                yield pa.RecordBatch.from_arrays([row, out], names=["row", "out"])
 
-    rows = embeddings.select(F.struct(*[quoted(c) for c in embeddings.columns]).alias("row"), integer_vector(vector).alias("x"))
-    rows = rows.where((F.size("x") == width) & F.col("x").isNotNull())
+    rows = embeddings.select(
+        F.struct(*[quoted(c) for c in embeddings.columns if c != vector or keep_vector]).alias("row"),
+        quoted(vector).alias("x"),
+    )
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("out", struct)])
     return rows.mapInArrow(project, schema).select("row.*", F.col("out").alias(new))
 
@@ -339,7 +362,7 @@ def whitening_digest(embeddings: DataFrame, components: int = COMPONENTS) -> Dat
     explained = [] if model is None else [float(v / model.trace) for v in model.values]
     shares = F.array(*[F.lit(v) for v in explained]).cast("array<double>")
     return (
-        whiten(rows, model)
+        whiten(rows, model, keep_vector=False)
         .select("vec_id", "whitened.deviation", F.posexplode("whitened.components").alias("at", "whitened"))
         .select(
             "vec_id",

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import (
-    decontam, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc, whitening,
+    decontam, fingerprints, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc, whitening,
 )
 from sightline.llm.tables import materialise, read_table
 
@@ -85,3 +85,8 @@ def op10_mixing(spark, sf_dir):
 @register("op11_whitening")
 def op11_whitening(spark, sf_dir):
     return whitening.whitening_digest(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_fingerprints")
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprint_digest(read_table(spark, sf_dir, "documents"))

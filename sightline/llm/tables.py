@@ -84,6 +84,32 @@ def distinct_rows(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy(ROW_KEY, ROW_ID).agg(F.count(F.lit(1)).alias(ROW_COUNT), F.first(ROW).alias(ROW))
 
 
+REPEAT_RANGE = 1 << 20
+
+
+def repeat_rows(df: DataFrame, count: str, number: str, most: int, limit: int = REPEAT_RANGE) -> DataFrame:
+    """Every row as often as its column ``count`` (long) says, null or below
+    one: never; the new column ``number`` counts the copies of a row from 0.
+    ``most`` is the largest count there is.
+
+    Beyond ``limit`` copies a row is dealt out as ranges of at most ``limit``
+    which are shuffled before they are expanded, so that no array holds more
+    than ``limit`` elements and no task writes all copies of one row. In that
+    case ``df`` is read twice and should be a written table."""
+    at = free_name(df.columns, "_range_at")
+
+    def expand(part: DataFrame) -> DataFrame:
+        last = F.least(F.col(at) + limit, F.col(count)) - 1
+        return part.withColumn(number, F.explode(F.sequence(F.col(at), last))).drop(at)
+
+    few = expand(df.where(F.col(count).between(1, limit)).withColumn(at, F.lit(0).cast("long")))
+    if most <= limit:
+        return few
+    starts = F.sequence(F.lit(0).cast("long"), F.col(count) - 1, F.lit(limit).cast("long"))
+    ranges = df.where(F.col(count) > limit).withColumn(at, F.explode(starts))
+    return few.unionByName(expand(ranges.repartition(F.xxhash64(count, at))))
+
+
 def same_row(left: str, right: str):
     """Join condition on key and id of two aliased frames."""
     return (F.col(f"{left}.{ROW_KEY}") == F.col(f"{right}.{ROW_KEY}")) & F.col(f"{left}.{ROW_ID}").eqNullSafe(

@@ -69,8 +69,81 @@ SELECT doc_id, CAST(strlen(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0)
 FROM d LEFT JOIN r USING (rid)
 """
 
+# CRC-32 of the decimal id in steps of four bits; the table of a step follows
+# from the polynomial
+_LEVELS = 8  # 8 ** 8 leaves of a group
+
+
+def _nibble(i: int) -> int:
+    for _ in range(4):
+        i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+_TABLE = "[" + ", ".join(f"{_nibble(i)}::BIGINT" for i in range(16)) + "]"
+_NIBBLES = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> [ascii(c) & 15, ascii(c) >> 4]))"
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {_NIBBLES}),
+          (acc, nib) -> xor(acc >> 4, ({_TABLE})[CAST((xor(acc, nib) & 15) + 1 AS BIGINT)])), 4294967295::BIGINT)"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Levels ``name``0.. of the trees over ``leaves`` (tree, i, d, n): each
+    node with its siblings before and after it (none in a finished tree)."""
+    steps = [f"{name}n0 AS ({leaves})"]
+    for k in range(_LEVELS + 1):
+        run = "PARTITION BY tree, i // 8 ORDER BY i ROWS BETWEEN"
+        steps.append(
+            f"{name}{k} AS (SELECT tree, i, d, n, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,"
+            f" coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a FROM {name}n{k})"
+        )
+        steps.append(
+            f"{name}n{k + 1} AS (SELECT tree, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i))"
+            f" ELSE any_value(d) END AS d, (any_value(n) + 7) // 8 AS n FROM {name}n{k} GROUP BY tree, i // 8)"
+        )
+    return ",\n".join(steps)
+
+
+def _climb(name: str, out: str, source: str) -> str:
+    """Folds ``source`` (tree, i, acc, proof, ...) up the levels of a tree."""
+    steps, before = [], source
+    for k in range(_LEVELS + 1):
+        steps.append(
+            f"{out}{k} AS (SELECT s.* REPLACE (CASE WHEN t.n > 1 THEN sha256(t.b || s.acc || t.a) ELSE s.acc END AS acc,"
+            f" s.proof || t.b || t.a AS proof, s.i // 8 AS i) FROM {before} s JOIN {name}{k} t ON s.tree = t.tree AND s.i = t.i)"
+        )
+        before = f"{out}{k}"
+    return ",\n".join(steps)
+
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, lang, {_field('lang')} AS tree, {_leaf('text')} AS leaf,
+                  CASE WHEN doc_id IS NOT NULL AND {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")}
+                       ELSE {_leaf('text')} END AS shown FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY tree) AS n FROM d),
+{_tree('g', 'SELECT tree, i, leaf AS d, n FROM p')},
+s AS (SELECT tree, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS gi, count(*) OVER () AS gn
+      FROM gn{_LEVELS} JOIN (SELECT DISTINCT tree, lang FROM d) USING (tree)),
+{_tree('r', "SELECT 'root' AS tree, gi AS i, subroot AS d, gn AS n FROM s")},
+f AS (SELECT tree, tree AS own, doc_id, leaf, i, shown AS acc, '' AS proof FROM p),
+{_climb('g', 'f', 'f')},
+h AS (SELECT 'root' AS tree, own, doc_id, leaf, s.gi AS i, acc, proof, subroot FROM f{_LEVELS} JOIN s ON own = s.tree),
+{_climb('r', 'h', 'h')}
+SELECT doc_id, leaf, subroot, x.d AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = x.d AS verified
+FROM h{_LEVELS} CROSS JOIN (SELECT d FROM rn{_LEVELS}) x
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": OP2,
     "op4_warc": OP4,
     "op7_suffix_dedup": OP7,
+    "op13_merkle": OP13,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.llm import (
-    decontam, fingerprints, langid, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc, whitening,
+    decontam, fingerprints, langid, merkle, mixing, pii, quality, sharding, simhash, suffix_dedup, toxicity, warc, whitening,
 )
 from sightline.llm.tables import materialise, read_table
 
@@ -90,3 +90,8 @@ def op11_whitening(spark, sf_dir):
 @register("op12_fingerprints")
 def op12_fingerprints(spark, sf_dir):
     return fingerprints.fingerprint_digest(read_table(spark, sf_dir, "documents"))
+
+
+@register("op13_merkle")
+def op13_merkle(spark, sf_dir):
+    return merkle.manifest_digest(read_table(spark, sf_dir, "documents"))

@@ -325,10 +325,10 @@ def with_edited(documents: DataFrame, run_rows: int = RUN_ROWS) -> tuple[DataFra
     placed = rows.withColumn("p", place("o1", "o2")).withColumn(
         "at", F.explode(F.when(F.col("p.first"), F.array(own, ahead)).otherwise(F.array(own)))
     )
-    parts = min(len(starts), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = len(starts)  # a task holds one run, however many there are
     walked = (
         placed.select("doc_id", "text", "m", "o1", "o2", "at.run", "at.peek")
-        .repartitionById(parts, F.col("run") % parts)
+        .repartitionById(parts, F.col("run"))
         .sortWithinPartitions("run", "peek", "o1", "o2")
         .select("doc_id", "text", "m", "peek")
         .mapInArrow(_walk_runs, EDITED_SCHEMA)

@@ -81,9 +81,9 @@ def _nibble(i: int) -> int:
 
 
 _TABLE = "[" + ", ".join(f"{_nibble(i)}::BIGINT" for i in range(16)) + "]"
-_NIBBLES = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> [ascii(c) & 15, ascii(c) >> 4]))"
+_NIBBLES = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))"
 _CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, {_NIBBLES}),
-          (acc, nib) -> xor(acc >> 4, ({_TABLE})[CAST((xor(acc, nib) & 15) + 1 AS BIGINT)])), 4294967295::BIGINT)"""
+          lambda acc, nib: xor(acc >> 4, ({_TABLE})[CAST((xor(acc, nib) & 15) + 1 AS BIGINT)])), 4294967295::BIGINT)"""
 
 
 def _field(value: str) -> str:

@@ -533,3 +533,4 @@ STREAM_ORDER = ", ".join(
 )
 ORACLE["stream_ingest"] = with_obs(f"""SELECT id, observed_on, user_id, taxon_id, created_at, scientific_name, quality_grade
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {STREAM_ORDER}) AS rn FROM obs) WHERE rn = 1""")
+ORACLE["stream_latest"] = ORACLE["stream_ingest"]

@@ -64,7 +64,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("table")
     p.add_argument("--path", default=None, help="location of the table files when it is created")
     p.add_argument("--backfill", action="store_true")
-    p.add_argument("--rejects", default=None, help="folder for unreadable pages and records without an id")
+    p.add_argument("--rejects", default=None, help="folder for unreadable pages, records without an id and unreadable dates")
+    p.add_argument("--outside", choices=["append", "reject"], default="append", help="what becomes of late and undated records")
     p.add_argument("--most-unreadable", type=float, default=0.0, help="share of unreadable pages to accept")
     p.add_argument("--multi-line", action="store_true", help="each file is one (indented) page")
 
@@ -104,10 +105,12 @@ def main(argv: list[str] | None = None) -> None:
         counts = MergeCounts()
         appended = ingest_pages(
             spark, args.pages_dir, args.table, table_path=args.path, backfill=args.backfill,
-            rejects_path=args.rejects, most_unreadable=args.most_unreadable, multi_line=args.multi_line, counts=counts,
+            rejects_path=args.rejects, most_unreadable=args.most_unreadable, multi_line=args.multi_line,
+            outside=args.outside, counts=counts,
         )
         print(f"appended {appended} new records to {args.table}")
-        print(f"pages read {counts.pages}, unreadable {counts.unreadable}, records without id {counts.without_id}")
+        print(f"pages read {counts.pages}, unreadable {counts.unreadable}, with gaps in their ids {counts.with_gaps}")
+        print(f"records without id {counts.without_id}, late {counts.late}, undated {counts.undated}")
     if owned:
         spark.stop()
 

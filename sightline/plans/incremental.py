@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.operators.ingest import BACKFILL_START, incremental_start
 from sightline.session import checkpoint_root, delete_path
-from sightline.streaming.ingest_stream import MergeCounts, merge_pages, page_stream
+from sightline.streaming.ingest_stream import MergeCounts, batch_folder, merge_pages, page_stream
 
 
 def ingest_pages(
@@ -23,6 +23,7 @@ def ingest_pages(
     rejects_path: str | None = None,
     most_unreadable: float = 0.0,
     multi_line: bool = False,
+    outside: str = "append",
     counts: MergeCounts | None = None,
 ) -> int:
     """Append the records of newly landed pages whose ids ``table`` lacks.
@@ -32,12 +33,19 @@ def ingest_pages(
     last one and a run over an unchanged folder reads none. A backfill, or a
     table that does not exist yet, starts a new checkpoint and reads them all.
 
-    The increment starts one day before the newest ``created_at`` held (or at
-    the backfill date). Only new rows are appended: the table is never
-    overwritten while it is being read. Returns the number of rows appended;
-    ``counts`` also receives pages, unreadable pages and records without id.
+    The files are the increment: every record of a newly landed file whose id
+    is new is appended, however old it is. Records created more than a day
+    before the newest one held when the run started (or before the backfill
+    date) count as late, those without a readable ``created_at`` as undated;
+    with ``outside="reject"`` both go to the reject table instead. Only new
+    rows are appended: the table is never overwritten while it is being read.
+    Returns the number of rows appended; ``counts`` also receives pages,
+    unreadable pages, pages with gaps in their ids, and records without id,
+    late and undated. The caller's session sees the appended rows.
     """
     exists = spark.catalog.tableExists(table)
+    if exists:
+        spark.catalog.refreshTable(table)  # another session may have appended to it
     start = incremental_start(
         spark.table(table) if exists else None, backfill=backfill or not exists, default=backfill_start
     )
@@ -64,8 +72,9 @@ def ingest_pages(
             existing,
             append,
             counts,
-            start=incremental_start(None, backfill=True, default=start_at),
-            rejects_path=rejects_path,
+            start_at=start_at,
+            outside=outside,
+            rejects_path=batch_folder(own, rejects_path, checkpoint_path, epoch_id),
             most_unreadable=most_unreadable,
         )
 
@@ -76,5 +85,10 @@ def ingest_pages(
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        # batches append in the stream's own session
+        if spark.catalog.tableExists(table):
+            spark.catalog.refreshTable(table)
     return counts.appended

@@ -32,7 +32,7 @@ from sightline.operators import (
 from sightline.operators import period_metrics as pm
 from sightline.schema import RAW_OBSERVATION, REQUIRED_EXPORT_COLUMNS
 from sightline.session import Scratch, scratch_path
-from sightline.streaming import ingest_stream
+from sightline.streaming import ingest_stream, latest_stream
 from sightline.sources import api_pages, catalog, metrics_io, observations_csv
 from sightline.sources import driver_tables as dt
 
@@ -699,12 +699,23 @@ def q_anchored_year(spark, sf_dir):
 # --------------------------------------------------------------- streaming
 
 
+STREAM_COLS = ("id", "observed_on", "user_id", "taxon_id", "created_at", "scientific_name", "quality_grade")
+
+
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     pages = scratch_path(spark, "stream-pages")
-    api_pages.write_api_pages(dt.api_records(spark, sf_dir), pages, files=4)
+    api_pages.write_api_pages(dt.api_records(spark, sf_dir), pages)
     table = scratch_path(spark, "stream-table")
-    ingest_stream.run_ingest_stream(spark, pages, table, max_files_per_trigger=1)
-    return spark.read.parquet(table).select(
-        "id", "observed_on", "user_id", "taxon_id", "created_at", "scientific_name", "quality_grade"
-    )
+    ingest_stream.run_ingest_stream(spark, pages, table, max_files_per_trigger=1000)
+    return spark.read.parquet(table).select(*STREAM_COLS)
+
+
+@register("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    """The same pages through the stream that keeps the latest copy in state."""
+    pages = scratch_path(spark, "latest-pages")
+    api_pages.write_api_pages(dt.api_records(spark, sf_dir), pages)
+    table = scratch_path(spark, "latest-table")
+    latest_stream.run_latest_stream(spark, pages, table, max_files_per_trigger=1000)
+    return spark.read.parquet(table).select(*STREAM_COLS)

@@ -534,3 +534,17 @@ STREAM_ORDER = ", ".join(
 ORACLE["stream_ingest"] = with_obs(f"""SELECT id, observed_on, user_id, taxon_id, created_at, scientific_name, quality_grade
 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {STREAM_ORDER}) AS rn FROM obs) WHERE rn = 1""")
 ORACLE["stream_latest"] = ORACLE["stream_ingest"]
+
+ORACLE["species_refresh"] = ORACLE["weekly_by_species"]
+ORACLE["metric_refresh"] = f"""SELECT * FROM ({ORACLE['weekly_users']}) JOIN ({ORACLE['weekly_species']})
+USING (week, year, start_of_year, week_number) JOIN ({ORACLE['weekly_observations']}) USING (week, year, start_of_year, week_number)"""
+
+
+def _rollup(grain: str) -> str:
+    return f"""SELECT '{grain}' AS "grain", CAST(date_trunc('{grain}', observed_on) AS DATE) AS period,
+       count(DISTINCT user_id) AS unique_users, count(DISTINCT taxon_id) AS unique_species,
+       count(DISTINCT id) AS unique_observations, TRUE AS users_near, TRUE AS species_near, TRUE AS observations_near
+FROM obs WHERE observed_on IS NOT NULL GROUP BY 2"""
+
+
+ORACLE["rollup_uniques"] = with_obs(f"{_rollup('month')} UNION ALL {_rollup('year')}")

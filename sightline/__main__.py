@@ -66,6 +66,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--backfill", action="store_true")
     p.add_argument("--rejects", default=None, help="folder for unreadable pages, records without an id and unreadable dates")
     p.add_argument("--outside", choices=["append", "reject"], default="append", help="what becomes of late and undated records")
+    p.add_argument("--metric-store", default=None, help="folder of a metric store to keep up to date with the table")
     p.add_argument("--most-unreadable", type=float, default=0.0, help="share of unreadable pages to accept")
     p.add_argument("--multi-line", action="store_true", help="each file is one (indented) page")
 
@@ -100,13 +101,16 @@ def main(argv: list[str] | None = None) -> None:
             print(name, [r.asDict() for r in rows])
     elif args.cmd == "ingest":
         from sightline.plans.incremental import ingest_pages
+        from sightline.plans.metric_store import MetricStore
         from sightline.streaming.ingest_stream import MergeCounts
+        from sightline.tracked_species import ALL_TRACKED
 
         counts = MergeCounts()
+        store = MetricStore(spark, args.metric_store, tracked=ALL_TRACKED) if args.metric_store else None
         appended = ingest_pages(
             spark, args.pages_dir, args.table, table_path=args.path, backfill=args.backfill,
             rejects_path=args.rejects, most_unreadable=args.most_unreadable, multi_line=args.multi_line,
-            outside=args.outside, counts=counts,
+            outside=args.outside, counts=counts, metrics=store,
         )
         print(f"appended {appended} new records to {args.table}")
         print(f"pages read {counts.pages}, unreadable {counts.unreadable}, with gaps in their ids {counts.with_gaps}")

@@ -7,8 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from sightline.operators.ingest import BACKFILL_START, incremental_start
+from sightline.plans.metric_store import MetricStore
 from sightline.session import checkpoint_root, delete_path
-from sightline.streaming.ingest_stream import MergeCounts, batch_folder, merge_pages, page_stream
+from sightline.streaming.ingest_stream import MergeCounts, batch_folder, batch_name, merge_pages, page_stream
 
 
 def ingest_pages(
@@ -25,6 +26,7 @@ def ingest_pages(
     multi_line: bool = False,
     outside: str = "append",
     counts: MergeCounts | None = None,
+    metrics: MetricStore | None = None,
 ) -> int:
     """Append the records of newly landed pages whose ids ``table`` lacks.
 
@@ -42,6 +44,10 @@ def ingest_pages(
     Returns the number of rows appended; ``counts`` also receives pages,
     unreadable pages, pages with gaps in their ids, and records without id,
     late and undated. The caller's session sees the appended rows.
+
+    With ``metrics`` the metric store takes each batch's new records, so that
+    its tables follow the table without reading it; a batch that fails half
+    way is taken once.
     """
     exists = spark.catalog.tableExists(table)
     if exists:
@@ -66,6 +72,14 @@ def ingest_pages(
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         own = batch.sparkSession
+        stage, on_new = None, None
+        if metrics is not None:
+            name = batch_name(own, checkpoint_path, epoch_id)
+            stage = f"{metrics.root}/staged/{name}"
+            # the batch before this one is committed
+            delete_path(own, f"{metrics.root}/staged/{batch_name(own, checkpoint_path, epoch_id - 1)}")
+            store = MetricStore(own, metrics.root, metrics.grains, metrics.tracked)
+            on_new = lambda new: store.apply_increment(new, name)
         existing = own.table(table) if own.catalog.tableExists(table) else None
         merge_pages(
             batch,
@@ -76,6 +90,8 @@ def ingest_pages(
             outside=outside,
             rejects_path=batch_folder(own, rejects_path, checkpoint_path, epoch_id),
             most_unreadable=most_unreadable,
+            stage_path=stage,
+            on_new=on_new,
         )
 
     query = (

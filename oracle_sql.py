@@ -496,8 +496,9 @@ FROM (SELECT CAST(date_trunc('quarter', observed_on) AS DATE) AS quarter, taxon_
     q["kingdom_totals"] = with_obs("SELECT taxon_kingdom_name, count(DISTINCT id) AS observations FROM obs GROUP BY 1")
     q["kingdom_by_period"] = with_obs("""SELECT CAST(date_trunc('month', observed_on) AS DATE) AS month, taxon_kingdom_name,
        count(DISTINCT id) AS observations FROM obs WHERE observed_on IS NOT NULL GROUP BY 1, 2""")
-    q["rarest_species"] = with_obs("""SELECT taxon_id, scientific_name, count(DISTINCT id) AS observations
-FROM obs WHERE taxon_id IS NOT NULL GROUP BY 1, 2 ORDER BY 3, 2, 1""")
+    q["rarest_species"] = with_obs("""SELECT *, rank() OVER (ORDER BY observations) AS rank
+FROM (SELECT taxon_id, scientific_name, count(DISTINCT id) AS observations
+FROM obs WHERE taxon_id IS NOT NULL GROUP BY 1, 2) ORDER BY 3, 2, 1""")
     q["quality_breakdown"] = with_obs("""SELECT *, CAST(100 * observations AS DOUBLE) / sum(observations) OVER () AS percentage
 FROM (SELECT quality_grade, count(DISTINCT id) AS observations FROM obs GROUP BY 1)""")
     q["range_shift"] = f"""WITH {OBS}, p AS (

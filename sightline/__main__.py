@@ -25,7 +25,7 @@ def _single_line(p: argparse.ArgumentParser) -> None:
     p.add_argument(
         "--single-line",
         action="store_true",
-        help="exports have no quoted line breaks: split large files into blocks instead of one task per file",
+        help="exports have no quoted line breaks: do not look for them (files that have any are read by one task each)",
     )
 
 
@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None) -> None:
         from sightline.plans.metric_build import build_metrics
         from sightline.sources.observations_csv import read_observations_csv
 
-        raw = read_observations_csv(spark, args.export_dir, multi_line=not args.single_line)
+        raw = read_observations_csv(spark, args.export_dir, multi_line=False if args.single_line else None)
         paths = build_metrics(
             spark, raw, args.out_root, as_of=args.as_of, start=args.start, end=args.end,
             grains=args.grains.split(","), fmt=_fmt(args),
@@ -93,7 +93,7 @@ def main(argv: list[str] | None = None) -> None:
         from sightline.plans.count_check import count_check
         from sightline.sources.observations_csv import read_observations_csv
 
-        obs = read_observations_csv(spark, args.export_dir, multi_line=not args.single_line)
+        obs = read_observations_csv(spark, args.export_dir, multi_line=False if args.single_line else None)
         audit_rows, previews = count_check(spark, obs, args.metrics, fmt=_fmt(args))
         for row in audit_rows:
             print(row.asDict())

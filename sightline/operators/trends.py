@@ -98,11 +98,21 @@ def kingdom_by_period(obs: DataFrame, grain: str = "month", date_col: str = "obs
 
 def rarest_species(obs: DataFrame, limit: int | None = None) -> DataFrame:
     """Species by all-time distinct observations, rarest first (ties by name,
-    then taxon), with their rank; the first ``limit`` when given."""
+    then taxon); the first ``limit`` when given. ``rank`` is one more than the
+    number of species with fewer observations, so ties share it: it comes from
+    a histogram (a row per number of observations), not from a window over
+    all species.
+    """
     counts = (
         obs.where(F.col("taxon_id").isNotNull()).groupBy(*SPECIES).agg(F.count_distinct("id").alias("observations"))
     )
-    ordered = counts.orderBy("observations", "scientific_name", "taxon_id")
+    fewer = Window.orderBy("observations").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.groupBy("observations").agg(F.count(F.lit(1)).alias("species")).select(
+        "observations", (F.coalesce(F.sum("species").over(fewer), F.lit(0)) + 1).alias("rank")
+    )
+    ordered = counts.join(ranks, "observations").select(*SPECIES, "observations", "rank").orderBy(
+        "observations", "scientific_name", "taxon_id"
+    )
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -115,6 +125,7 @@ def quality_breakdown(obs: DataFrame) -> DataFrame:
 
 
 EARTH_KM = 6371.0088
+CANCELLED = 1e-9  # a mean vector shorter than this is rounding error
 
 
 def with_coordinates(obs: DataFrame, col: str = "location") -> DataFrame:
@@ -132,7 +143,9 @@ def range_shift(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
 
     A mean location is the mean of unit-sphere vectors, which has no seam at
     the date line; the distance is the great-circle distance between the two
-    directions. Needs ``latitude`` and ``longitude``.
+    directions. Vectors that cancel out (antipodal places) have no mean
+    location: it and the distances from and to it are null. Needs
+    ``latitude`` and ``longitude``.
     """
     lat, lon = F.radians("latitude"), F.radians("longitude")
     centres = (
@@ -144,8 +157,9 @@ def range_shift(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
             F.avg(F.cos(lat) * F.sin(lon)).alias("y"),
             F.avg(F.sin(lat)).alias("z"),
         )
-        .withColumn("_lat", F.atan2("z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)))
-        .withColumn("_lon", F.atan2("y", "x"))
+        .withColumn("_some", F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2 > CANCELLED**2)
+        .withColumn("_lat", F.when(F.col("_some"), F.atan2("z", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))))
+        .withColumn("_lon", F.when(F.col("_some"), F.atan2("y", "x")))
         .select(*SPECIES, "year", "located", "_lat", "_lon")
     )
     before = Window.partitionBy(*SPECIES).orderBy("year")
@@ -155,7 +169,8 @@ def range_shift(obs: DataFrame, date_col: str = "observed_on") -> DataFrame:
         F.sin((F.col("_lat") - F.col("_lat0")) / 2) ** 2
         + F.cos("_lat") * F.cos("_lat0") * F.sin((F.col("_lon") - F.col("_lon0")) / 2) ** 2
     )
-    km = F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    # least() skips nulls: a missing place must stay missing
+    km = F.when(half.isNotNull(), F.lit(2 * EARTH_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(half))))
     return paired.where(F.col("_y0") == F.col("year") - 1).select(
         *SPECIES,
         "year",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import csv
 import datetime as dt
+import re
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,34 +99,63 @@ def _header_schema(header: Sequence[str], required: Sequence[str]) -> T.StructTy
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def unbalanced_lines(spark: SparkSession, files: Sequence[str]) -> dict[str, int]:
+    """file -> number of its lines with an odd number of quotes, of the files
+    that have any: a quoted field goes on after the end of such a line. One
+    scan that splits large files into blocks."""
+    text = spark.read.text(list(files)).select("value", F.col("_metadata.file_path").alias("file"))
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = text.groupBy("file").agg(F.count_if(odd % 2 == 1).alias("n")).where("n > 0").collect()
+    return {_plain_path(r.file): r.n for r in found}
+
+
+def _plain_path(path: str) -> str:
+    """One spelling of a file's address, as listings and scans differ in it."""
+    return re.sub(r"^file:/+", "/", unquote(path))
+
+
 def read_observations_csv(
-    spark: SparkSession, path: str, glob: str = "*.csv", multi_line: bool = True
+    spark: SparkSession, path: str, glob: str = "*.csv", multi_line: bool | None = None
 ) -> DataFrame:
     """All export files under ``path`` -> typed raw observations.
 
     Every file is read by its own header: files are grouped by header, each
     distinct header is one scan, and the scans are combined by name, so files
     may order their columns differently or carry more of them. A file that
-    lacks a required column is an error that names it. ``multi_line`` accepts
-    quoted line breaks in free text columns but reads each file in one task;
-    exports without them can turn it off so large files are split into blocks.
+    lacks a required column is an error that names it.
+
+    Large files are split into blocks. Only a file in which a quoted field
+    goes on over a line break (``unbalanced_lines``, one more scan) is read by
+    one task. ``multi_line=False`` leaves out that scan for exports known to
+    have no such fields, ``True`` reads every file by one task.
     """
     headers = file_headers(spark, path, glob)
     if not headers:
         raise FileNotFoundError(f"no observation export files matching {glob!r} under {path}")
+    listed = [f for files in headers.values() for f in files]
+    broken = unbalanced_lines(spark, listed) if multi_line is None else {}
+    whole = {f: bool(multi_line) or _plain_path(f) in broken for f in listed}
     frames = []
     for header, files in sorted(headers.items()):
-        schema = _header_schema(header, REQUIRED_EXPORT_COLUMNS)
-        reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
-        raw = reader.options(**_QUOTING).csv(files)
-        try:
-            validate_columns(raw)
-        except ValueError as exc:
-            raise ValueError(f"{exc} (in {files[0]})") from None
-        frames.append(project_required(raw.withColumn("source_file", F.col("_metadata.file_name"))))
+        for together in (False, True):
+            part = [f for f in files if whole[f] is together]
+            if part:
+                frames.append(_read_files(spark, header, part, together))
     return type_export(union_files(frames))
 
 
+def _read_files(spark: SparkSession, header: Sequence[str], files: list[str], multi_line: bool) -> DataFrame:
+    """The required columns of files that share a header."""
+    schema = _header_schema(header, REQUIRED_EXPORT_COLUMNS)
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+    raw = reader.options(**_QUOTING).csv(files)
+    try:
+        validate_columns(raw)
+    except ValueError as exc:
+        raise ValueError(f"{exc} (in {files[0]})") from None
+    return project_required(raw.withColumn("source_file", F.col("_metadata.file_name")))
+
+
 def union_files(frames: Sequence[DataFrame]) -> DataFrame:
     """Combine frames by column name; every frame has the same columns."""
     if not frames:

@@ -114,6 +114,9 @@ def test_shares_and_totals(obs):
     rare = [(r.scientific_name, r.observations) for r in trends.rarest_species(obs).collect()]
     assert rare == [("b", 1), ("c", 2), ("a", 8)]
     assert [r.scientific_name for r in trends.rarest_species(obs, 1).collect()] == ["b"]
+    more = obs.unionByName(make_obs(obs.sparkSession, [(800, "2020-01-01", 1, 77, "t", "t"), (801, None, 1, 78, None, "t")]))
+    ranks = [(r.scientific_name, r.rank) for r in trends.rarest_species(more).collect()]
+    assert ranks == [(None, 1), ("b", 1), ("t", 1), ("c", 4), ("a", 5)]  # ties share a rank
 
 
 def test_quality_percentages(obs):
@@ -132,6 +135,15 @@ def test_range_shift_over_the_date_line(spark):
     assert got[0].shift_km == pytest.approx(math.radians(1) * trends.EARTH_KM, abs=0.01)
 
 
+def test_places_that_cancel_out_have_no_mean(spark):
+    rows = [(1, "2020-05-01", 1, 5, "a", "a"), (2, "2020-06-01", 1, 5, "a", "a"), (3, "2021-05-01", 1, 5, "a", "a"),
+            (4, "2022-05-01", 1, 5, "a", "a")]
+    places = {1: "0,0", 2: "0,180", 3: "0,10", 4: "0,11"}
+    table = make_obs(spark, rows).join(spark.createDataFrame(list(places.items()), "id bigint, location string"), "id")
+    got = {r.year: r.shift_km for r in trends.range_shift(trends.with_coordinates(table)).collect()}
+    assert got[2021] is None and got[2022] == pytest.approx(math.radians(1) * trends.EARTH_KM, abs=0.01)
+
+
 def test_anchored_year(spark):
     days = spark.createDataFrame([(dt.date(2020, 3, 31),), (dt.date(2020, 4, 1),), (dt.date(2021, 1, 1),)], "d date")
     assert [r[0] for r in days.select(anchored_year("d")).collect()] == [2019, 2020, 2020]

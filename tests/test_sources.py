@@ -3,6 +3,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.schema import RAW_OBSERVATION
 from sightline.sources import api_pages, metrics_io, observations_csv
@@ -56,7 +57,7 @@ def test_csv_round_trip(spark, tmp_dir):
     obs = make_obs(spark, BOUNDARY)
     out = os.path.join(tmp_dir, "export")
     observations_csv.write_observations_csv(obs, out)
-    for multi_line in (True, False):
+    for multi_line in (True, False, None):
         back = observations_csv.read_observations_csv(spark, out, multi_line=multi_line).drop("source_file")
         assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, obs.collect()), key=repr)
 
@@ -68,8 +69,22 @@ def test_quoted_line_break_in_free_text(spark, tmp_dir):
         'second line"',
         "2,u2,2019-04-27,,6,,old rod,,10,Plantae,,51.1,plain",
     ])
-    df = observations_csv.read_observations_csv(spark, tmp_dir)
-    assert sorted(r.id for r in df.collect()) == [1, 2]
+    os.makedirs(os.path.join(tmp_dir, "sub dir"))
+    plain = [f"{i},u,2019-04-27,,6,,\"old \"\"rod\"\", long\",,10,Plantae,,51.1" for i in range(3, 400)]
+    _write(os.path.join(tmp_dir, "sub dir"), "b c.csv", [HEADER, *plain])
+    files = [os.path.join(tmp_dir, "a.csv"), os.path.join(tmp_dir, "sub dir", "b c.csv")]
+    assert observations_csv.unbalanced_lines(spark, files) == {files[0]: 2}
+    df = observations_csv.read_observations_csv(spark, tmp_dir, "{*.csv,*/*.csv}")
+    assert sorted(r.id for r in df.collect()) == list(range(1, 400))
+    # only the file with the break is read by one task
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        parts = df.select("id", F.spark_partition_id().alias("p"), "source_file").groupBy("source_file").agg(
+            F.count_distinct("p").alias("tasks"))
+        tasks = {r.source_file: r.tasks for r in parts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks["a.csv"] == 1 and len(tasks) == 2 and max(tasks.values()) > 1
 
 
 def test_files_are_read_by_their_own_headers(spark, tmp_dir):

@@ -10,16 +10,24 @@ record (their bytes, the anchor's place in them), and records are shuffled to
 bins by the anchor's hash: all equal windows of the corpus meet in one bin,
 while a byte travels about four times, compressed, instead of ``length`` times.
 
-A bin is an index family. Records arrive in batches; identical records are
-folded into one with their least document id, records that share no half of a
-window around their anchor with another are settled at once, and the windows
-of the rest get a suffix array (sorted by their bytes). A new array is merge-scanned against the levels
-of the family and joins them; two levels of like size merge, so their sizes
-grow geometrically and each window is merged a logarithmic number of times. A
-window's least document id over all levels decides whether it is a repeat.
+A bin is an index family. Identical records are folded into one with their
+least document id, records that share no half of a window around their anchor
+with another are settled at once, and the rest arrive in batches in order of
+that id. Each batch gets a suffix array of its windows (sorted by their bytes),
+is merge-scanned against the levels of the family, which tells the least id of
+each window for good, and joins them; two levels of like size merge, so their
+sizes grow geometrically and each window is merged a logarithmic number of
+times.
 
 Equal records within one slice of a task are folded before the shuffle: a
-passage that a third of all documents share is sent once per slice.
+passage that a third of all documents share is sent once per slice. Anchors
+that a sample shows to be frequent do not make one group: their records are
+split in two and go to groups by the anchor and half a window before or after
+it (``split_heavy``).
+
+``SuffixIndex`` keeps the records of batches of documents as tables, one per
+level, so that a later batch is settled against all earlier ones without
+indexing them again; levels of like size are merged there too.
 
 Defined cases: null text is the empty text; a null id is larger than every
 other (it removes nothing from others, null ids do not remove each other);
@@ -33,17 +41,19 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm.tables import materialise, release_shuffles
 from sightline.llm.textkit import mix, powers, prefix_sums, span_hash, text_bytes
+from sightline.session import delete_path, path_exists
 
 LENGTH = 50
 ANCHOR = 12
@@ -54,6 +64,10 @@ SPREAD = 4  # bytes of records per byte of text, rounded up
 MIN_BINS = 64
 LEVEL = 3
 LAST_ID = (1 << 63) - 1
+BATCH_RECORDS = 4096
+SAMPLE_BYTES = 64 << 20
+MOST_HEAVY = 1 << 16
+INDEXED = -(1 << 62)  # the segment of records that are in an index already
 POSITION_BITS = np.uint64(22)
 
 SENT_SCHEMA = "bin bigint, segment bigint, kind string, content binary"
@@ -111,6 +125,9 @@ class Records:
     anchor: np.ndarray
     at: np.ndarray  # first byte in the slice's buffer
 
+    def rows(self, chosen: np.ndarray) -> Records:
+        return Records(*(getattr(self, f)[chosen] for f in ("ordinal", "start", "size", "rel", "anchor", "at")))
+
 
 def records(buf: np.ndarray, sums: np.ndarray, piece_at: np.ndarray, piece_len: np.ndarray, length: int) -> Records:
     """Records of the pieces of a buffer (ordinal: piece number, start: within
@@ -144,6 +161,39 @@ def records(buf: np.ndarray, sums: np.ndarray, piece_at: np.ndarray, piece_len:
     )
 
 
+def half_window(length: int) -> int:
+    """Any window holds its anchor and, before or after it, so many bytes."""
+    return -(-(length - ANCHOR) // 2)
+
+
+def split_heavy(
+    r: Records, group: np.ndarray, sums: np.ndarray, heavy: np.ndarray, length: int
+) -> tuple[Records, np.ndarray, np.ndarray]:
+    """Records of heavy anchors in two: the windows with half of their other
+    bytes before the anchor, and the rest, which have half of them after it.
+    Either part goes to the group of the anchor with that half, so an anchor
+    that is everywhere is spread over its contexts, and equal windows still
+    meet. Returns the records, their groups and which record each comes from."""
+    half = half_window(length)
+    is_heavy = np.isin(r.anchor, heavy)
+    first = np.where(is_heavy, np.clip(r.rel - half + 1, 0, r.size - length + 1), 0)
+    before = np.flatnonzero(is_heavy & (first > 0))
+    after = np.flatnonzero(is_heavy & (first < r.size - length + 1))
+    light = np.flatnonzero(~is_heavy)
+    parent = np.concatenate([light, before, after])
+    skipped = np.concatenate([np.zeros(len(light) + len(before), np.int64), first[after]])
+    size = np.concatenate([r.size[light], first[before] + length - 1, r.size[after] - first[after]])
+    middle = r.at + r.rel
+    spread = np.concatenate([
+        group[light],
+        span_hash(sums, middle[before] - half, middle[before] + ANCHOR),
+        span_hash(sums, middle[after], middle[after] + ANCHOR + half),
+    ])
+    parts = r.rows(parent)
+    parts = Records(parts.ordinal, parts.start + skipped, size, parts.rel - skipped, parts.anchor, parts.at + skipped)
+    return parts, spread, parent
+
+
 @dataclass
 class Outbox:
     """Records of one segment, by bin, until it is sent."""
@@ -154,6 +204,7 @@ class Outbox:
     bins: dict[int, list[tuple]] = field(default_factory=dict)
     settled: list[tuple] = field(default_factory=list)
     size: int = 0
+    heavy: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
     def add(self, docs: list[tuple[int, int, bytes]], bins: int, length: int) -> None:
         """``docs``: (document's ordinal, offset of the piece in it, bytes)."""
@@ -169,8 +220,14 @@ class Outbox:
         start = r.start + np.array([d[1] for d in docs], np.int64)[r.ordinal]
         ids = np.array(self.doc_ids, np.int64)[ordinal]
         sent = self._fold(r, sums, ids, ordinal, start)
-        target = (mix(r.anchor) % np.uint64(bins)).astype(np.int64)
-        order = sent[np.argsort(target[sent], kind="stable")]
+        r, ids, ordinal, start = r.rows(sent), ids[sent], ordinal[sent], start[sent]
+        group = mix(r.anchor)
+        if len(self.heavy):
+            whole = r.at
+            r, group, parent = split_heavy(r, group, sums, self.heavy, length)
+            ids, ordinal, start = ids[parent], ordinal[parent], start[parent] + r.at - whole[parent]
+        target = (group % np.uint64(bins)).astype(np.int64)
+        order = np.argsort(target, kind="stable")
         content = buf[_ragged(r.at[order], r.size[order])]
         edge = np.concatenate([[0], np.cumsum(r.size[order])])
         cut = np.flatnonzero(np.diff(target[order], prepend=-1))
@@ -228,7 +285,12 @@ def _unpack_records(blob: bytes) -> tuple:
     return np.cumsum(ids).view(np.int64), np.cumsum(ordinal), start.astype(np.int64), size, rel, content
 
 
-def _send_partition(batches: Iterable[pa.RecordBatch], bins: int, length: int) -> Iterator[pa.RecordBatch]:
+NO_ANCHORS = np.zeros(0, np.uint64)
+
+
+def _send_partition(
+    batches: Iterable[pa.RecordBatch], bins: int, length: int, heavy: np.ndarray = NO_ANCHORS
+) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     serial, box, waiting, waiting_bytes = TaskContext.get().partitionId() << 24, None, [], 0
@@ -236,7 +298,7 @@ def _send_partition(batches: Iterable[pa.RecordBatch], bins: int, length: int) -
         ids, keys, column = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("text")
         for i in range(batch.num_rows):
             if box is None:
-                box = Outbox(serial)
+                box = Outbox(serial, heavy=heavy)
                 serial += 1
             text = text_bytes(column.slice(i, 1))[0]
             box.doc_ids.append(LAST_ID if ids[i] is None else ids[i])
@@ -271,7 +333,9 @@ def suffix_array(windows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Family:
-    """Levels of sorted windows whose sizes grow geometrically."""
+    """Levels of sorted windows whose sizes grow geometrically. Batches are
+    taken in order of their document ids, so the least id of a window is known
+    when its batch has been scanned against the levels."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
@@ -285,14 +349,19 @@ class Family:
             np.minimum(least, np.where(level[at] == windows, ids[at], LAST_ID), out=least)
         return least
 
-    def add(self, windows: np.ndarray, ids: np.ndarray) -> None:
-        """A new batch: its suffix array joins the levels, like sizes merge."""
+    def take(self, windows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A new batch: gets its suffix array, is merge-scanned against the
+        levels and joins them; like sizes merge. Returns the least id of each
+        of its windows over the batch and all before it."""
         if not len(windows):
-            return
-        self.levels.append(suffix_array(windows, ids))
+            return np.zeros(0, np.int64)
+        array, own = suffix_array(windows, ids)
+        least = np.minimum(own, self.scan(array))
+        self.levels.append((array, least))
         while len(self.levels) > 1 and len(self.levels[-2][0]) <= 2 * len(self.levels[-1][0]):
             (a, x), (b, y) = self.levels.pop(), self.levels.pop()
             self.levels.append(suffix_array(np.concatenate([b, a]), np.concatenate([y, x])))
+        return least[np.searchsorted(array, windows)]
 
 
 def _windows(content: np.ndarray, at: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
@@ -322,7 +391,7 @@ def _contested(content: np.ndarray, at: np.ndarray, rel: np.ndarray, size: np.nd
     """Entries that may share a window with another entry. A shared window
     holds the anchor and, on one side of it at least, half of the rest: the
     entries then agree on the anchor with that half before or after it."""
-    half = -(-(length - ANCHOR) // 2)
+    half = half_window(length)
     out = np.zeros(len(at), bool)
     for before in (half, 0):
         able = np.flatnonzero((rel >= before) & (size - rel >= ANCHOR + half - before))
@@ -348,22 +417,19 @@ def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[in
     np.minimum.at(least, entry, ids)
     contested = _contested(content, at[entry_of_first], rel[entry_of_first], size[entry_of_first], length)
 
-    # windows of contested entries go through the family, batch by batch
+    # windows of contested entries go through the family, batch by batch, in
+    # order of their ids
     rows = np.flatnonzero(contested)
+    rows = rows[np.argsort(least[rows], kind="stable")]
     count = size[entry_of_first] - length + 1
-    family, batches = Family(), []
-    for a in range(0, len(rows), 4096):
-        e = rows[a : a + 4096]
-        windows = _windows(content, at[entry_of_first[e]], count[e], length)
-        family.add(windows, np.repeat(least[e], count[e]))
-        batches.append((e, count[e]))
+    family, window_least, total = Family(), [], 0
     window_at = np.zeros(len(least), np.int64)
-    window_least, total = [], 0
-    for e, n in batches:
-        windows = _windows(content, at[entry_of_first[e]], n, length)
-        window_least.append(family.scan(windows))
-        window_at[e] = total + np.cumsum(n) - n
-        total += int(n.sum())
+    for a in range(0, len(rows), BATCH_RECORDS):
+        e = rows[a : a + BATCH_RECORDS]
+        windows = _windows(content, at[entry_of_first[e]], count[e], length)
+        window_least.append(family.take(windows, np.repeat(least[e], count[e])))
+        window_at[e] = total + np.cumsum(count[e]) - count[e]
+        total += len(windows)
     all_least = np.concatenate(window_least) if window_least else np.zeros(0, np.int64)
 
     plain = np.flatnonzero(~contested[entry] & (least[entry] < ids))
@@ -381,6 +447,8 @@ def settle_bin(blobs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[in
     first = np.concatenate([start[plain], start[owner[head]] + offset[head]])
     span = np.concatenate([size[plain], offset[tail] - offset[head] + length])
     for s in np.unique(segment[row]):
+        if s == INDEXED:  # of a batch that was settled when it came
+            continue
         own = segment[row] == s
         yield int(s), pack(ordinal[row[own]].astype(np.uint32), first[own], span[own].astype(np.int64))
 
@@ -403,6 +471,51 @@ def merge_segment(doc_ids: np.ndarray, keys: np.ndarray, ordinal: np.ndarray, fi
     return ordinal[head], np.stack([first[head], reach[tail]], axis=1)
 
 
+def heavy_anchors(source: DataFrame, total: int, length: int) -> np.ndarray:
+    """Anchors whose records would fill more than half a bin, as far as a
+    sample of about ``SAMPLE_BYTES`` of text tells, at most ``MOST_HEAVY`` of
+    them. Which anchors count as heavy decides where their records go, never
+    the result."""
+    if total * SPREAD <= BIN_BYTES // 2:
+        return NO_ANCHORS
+    share = min(1.0, SAMPLE_BYTES / total)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 11) * F.lit(2.0**-53)
+    sample = source.where(place < share) if share < 1 else source
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text = text_bytes(batch.column("text").slice(i, 1))[0]
+                for offset in range(0, max(len(text) - length + 1, 0), PIECE):
+                    piece = text[offset : offset + PIECE + length - 1]
+                    buf = np.frombuffer(piece + b"\n", np.uint8)
+                    r = records(buf, prefix_sums(buf), np.zeros(1, np.int64), np.array([len(piece)]), length)
+                    seen.append((r.anchor, r.size))
+                    held += len(r.anchor)
+                    if held > 1 << 20:
+                        yield _anchor_sizes(seen)
+                        seen, held = [], 0
+        if held:
+            yield _anchor_sizes(seen)
+
+    counted = sample.mapInArrow(count, "anchor bigint, bytes bigint").groupBy("anchor").agg(F.sum("bytes").alias("bytes"))
+    least = share * BIN_BYTES / 2
+    rows = counted.where(F.col("bytes") > least).orderBy(F.desc("bytes"), "anchor").limit(MOST_HEAVY).collect()
+    return np.sort(np.array([r.anchor for r in rows], np.int64).view(np.uint64))
+
+
+def _anchor_sizes(seen: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    anchor, size = (np.concatenate(c) for c in zip(*seen))
+    unique, entry = np.unique(anchor, return_inverse=True)
+    sizes = np.bincount(entry, weights=size).astype(np.int64)
+    often = np.bincount(entry) > 1  # one record in about 70 MB of text makes no anchor heavy
+    return pa.RecordBatch.from_arrays(
+        [pa.array(unique[often].view(np.int64)), pa.array(sizes[often])], names=["anchor", "bytes"]
+    )
+
+
 def _settle(key: tuple, table: pa.Table, length: int) -> pa.Table:
     kinds = table.column("kind").to_pylist()
     segments, contents = table.column("segment").to_pylist(), table.column("content").to_pylist()
@@ -438,6 +551,11 @@ def _merge(key: tuple, table: pa.Table) -> pa.Table:
     })
 
 
+def bins_for(total: int) -> int:
+    """Bins for so many bytes of text."""
+    return max(MIN_BINS, -(-total * SPREAD // BIN_BYTES))
+
+
 def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, key, runs) of every document that loses bytes; ``key`` is the
     text's xxhash64, ``runs`` packed little-endian (start, stop) int64 pairs.
@@ -445,8 +563,9 @@ def repeated_runs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = documents.sparkSession
     source = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bins = max(MIN_BINS, -(-total * SPREAD // BIN_BYTES))
-    sent = source.mapInArrow(lambda b: _send_partition(b, bins, length), SENT_SCHEMA)
+    bins = bins_for(total)
+    heavy = spark.sparkContext.broadcast(heavy_anchors(source, total, length))
+    sent = source.mapInArrow(lambda b: _send_partition(b, bins, length, heavy.value), SENT_SCHEMA)
     found = sent.groupBy("bin").applyInArrow(lambda k, t: _settle(k, t, length), FOUND_SCHEMA)
     found, _ = materialise(found, "suffix-hits", compression="none")
     release_shuffles(spark)
@@ -513,3 +632,89 @@ def kept_bytes(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 def dedup_digest(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the hash of what is kept."""
     return with_runs(documents, length).mapInArrow(_digest_partition, DIGEST_SCHEMA)
+
+
+# --- an index that outlives a batch --------------------------------------------
+
+
+LEVEL_SCHEMA = "bin bigint, content binary"
+
+
+def _merge_levels(key: tuple, table: pa.Table) -> pa.Table:
+    """One blob of the distinct records of a bin, each with its least id."""
+    parts = [_unpack_records(blob) for blob in table.column("content").to_pylist()]
+    ids, _, _, size, rel, content = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    wide = size.astype(np.int64)
+    at = np.cumsum(wide) - wide
+    text = _fold_key(content, at, wide, 1) + rel.astype(np.uint64)
+    order = np.lexsort((ids, text))
+    kept = np.sort(order[np.concatenate([[True], text[order[1:]] != text[order[:-1]]])])
+    none = np.zeros(len(kept), np.int64)
+    blob = _pack_records(ids[kept], none, none, size[kept], rel[kept], content[_ragged(at[kept], wide[kept])])
+    return pa.table({"bin": pa.array([key[0].as_py()], pa.int64()), "content": pa.array([blob], pa.binary())})
+
+
+class SuffixIndex:
+    """Records of earlier batches below a folder, in levels whose sizes grow
+    geometrically. The number of bins is fixed when the index is made, for
+    about ``expected_bytes`` of text."""
+
+    def __init__(self, spark: SparkSession, root: str, expected_bytes: int = 0, length: int = LENGTH):
+        self.spark, self.root, self.length = spark, root.rstrip("/"), length
+        self.bins, self.levels, self.version = bins_for(expected_bytes), [], 0
+        if path_exists(spark, f"{self.root}/manifest"):
+            rows = spark.read.parquet(f"{self.root}/manifest")
+            self.version = rows.agg(F.max("version")).first()[0]
+            rows = rows.where(F.col("version") == self.version).orderBy("place").collect()
+            self.bins, self.length = rows[0].bins, rows[0].length
+            self.levels = [(r.path, r.bytes) for r in rows if r.path is not None]
+
+    def _commit(self) -> None:
+        """The manifest of a version names all its levels, oldest first; the
+        newest version counts, so a batch that fails half way leaves the index
+        as it was."""
+        self.version += 1
+        rows = [(i, p, n, self.bins, self.length) for i, (p, n) in enumerate(self.levels)] or [(0, None, 0, self.bins, self.length)]
+        kinds = "place int, path string, bytes bigint, bins bigint, length int"
+        self.spark.createDataFrame(rows, kinds).coalesce(1).write.mode("overwrite").parquet(
+            f"{self.root}/manifest/version={self.version}"
+        )
+
+    def _write_level(self, rows: DataFrame) -> tuple[str, int]:
+        path = f"{self.root}/level-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path, self.spark.read.parquet(path).agg(F.sum(F.octet_length("content"))).first()[0] or 0
+
+    def add_batch(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, key, runs) of the batch's documents that lose bytes: those
+        covered by a string that an indexed document, or one of the batch with
+        a smaller id, holds. Then the batch is part of the index; what earlier
+        batches lost stays as it was. Ids should grow from batch to batch; a
+        string held by a larger indexed id is not removed."""
+        source = documents.select("doc_id", F.xxhash64("text").alias("key"), "text")
+        bins, length = self.bins, self.length
+        sent, sent_path = materialise(
+            source.mapInArrow(lambda b: _send_partition(b, bins, length), SENT_SCHEMA), "suffix-batch"
+        )
+        rows = sent
+        for path, _ in self.levels:
+            held = self.spark.read.schema(LEVEL_SCHEMA).parquet(path)
+            rows = rows.unionByName(held.select(
+                "bin", F.lit(INDEXED).cast("long").alias("segment"), F.lit("records").alias("kind"), "content"
+            ))
+        found, found_path = materialise(
+            rows.groupBy("bin").applyInArrow(lambda k, t: _settle(k, t, length), FOUND_SCHEMA), "suffix-batch-hits"
+        )
+        runs, _ = materialise(
+            found.groupBy("segment").applyInArrow(_merge, RUNS_SCHEMA).dropDuplicates(["doc_id", "key"]), "suffix-batch-runs"
+        )
+        old = []
+        self.levels.append(self._write_level(sent.where("kind = 'records'").select("bin", "content")))
+        while len(self.levels) > 1 and self.levels[-2][1] <= 2 * self.levels[-1][1]:
+            newer, older = self.levels.pop(), self.levels.pop()
+            both = self.spark.read.schema(LEVEL_SCHEMA).parquet(newer[0], older[0])
+            self.levels.append(self._write_level(both.groupBy("bin").applyInArrow(_merge_levels, LEVEL_SCHEMA)))
+            old += [newer[0], older[0]]
+        self._commit()
+        delete_path(self.spark, sent_path, found_path, *old)
+        return runs

@@ -90,23 +90,101 @@ def test_matches_brute_force_on_small_alphabet(spark, monkeypatch):
     assert sorted(got) == brute(rows)
 
 
-def test_levels_grow_geometrically_and_keep_least_ids():
+def test_batches_are_scanned_before_they_join_geometric_levels():
+    """Batches in order of their ids: what a batch is told is the least id of
+    each window over all batches, also those to come."""
     rng = np.random.default_rng(0)
-    family, truth = s.Family(), {}
-    for _ in range(40):
-        words = np.array([f"w{v:04d}" for v in rng.integers(0, 3000, 50)], "S5")
-        ids = rng.integers(0, 10_000, 50)
-        for w, i in zip(words, ids):
-            truth[w] = min(i, truth.get(w, i))
-        family.add(words, ids)
+    ids = np.sort(rng.integers(0, 10_000, 2000))
+    words = np.array([f"w{v:04d}" for v in rng.integers(0, 3000, 2000)], "S5")
+    truth = {}
+    for w, i in zip(words, ids):
+        truth.setdefault(w, i)
+    family, scanned = s.Family(), []
+    plain = family.scan
+    family.scan = lambda windows: scanned.append([len(level) for level, _ in family.levels]) or plain(windows)
+    for a in range(0, 2000, 50):
+        told = family.take(words[a : a + 50], ids[a : a + 50])
+        assert told.tolist() == [truth[w] for w in words[a : a + 50]]
         sizes = [len(level) for level, _ in family.levels]
-        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
-    probe = np.array(sorted(truth), "S5")
-    assert family.scan(probe).tolist() == [truth[w] for w in probe]
-    assert family.scan(np.array([b"none"], "S5"))[0] == s.LAST_ID
+        assert all(x > 2 * y for x, y in zip(sizes, sizes[1:]))
+    assert scanned[0] == [] and len(scanned) == 40  # each batch once, before it joins
+    assert plain(np.array([b"none"], "S5"))[0] == s.LAST_ID
     assert len(family.levels) <= 12
 
 
+def heavy_rows(n=240):
+    """One phrase in every document, between words that differ, and passages
+    shared by some around the same phrase."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    shared = [f"{word()} {word()} {word()} the same old phrase {word()} {word()} {word()}" for _ in range(12)]
+    rows = []
+    for i in range(n):
+        parts = [f"{word()} {word()} the same old phrase {word()} {word()}" for _ in range(6)]
+        parts.insert(rng.randrange(6), rng.choice(shared))
+        rows.append((rng.randint(0, 5000), " ".join(parts)))
+    return rows
+
+
+def test_heavy_anchors_spread_over_their_contexts(spark, monkeypatch):
+    """A third of all records has one of a few anchors: no bin holds more than
+    a small part of them, and the result is that of brute force."""
+    rows = heavy_rows()
+    text = "\n".join(t for _, t in rows).encode()
+    buf = np.frombuffer(text + b"\n", np.uint8)
+    sums = s.prefix_sums(buf)
+    r = s.records(buf, sums, np.zeros(1, np.int64), np.array([len(text)]), 50)
+    anchors, counts = np.unique(r.anchor, return_counts=True)
+    heavy = anchors[counts > 100]
+    share = np.isin(r.anchor, heavy).mean()
+    assert share > 1 / 3
+    parts, group, parent = s.split_heavy(r, s.mix(r.anchor), sums, heavy, 50)
+    assert (np.bincount(parent, weights=parts.size - 49) == r.size - 49).all()  # every window once
+    most = np.unique(group, return_counts=True)[1].max()
+    assert most < counts.max() / 5
+    # equal windows of different records are in one group
+    where = {}
+    for at, size, g in zip(parts.at, parts.size, group):
+        for i in range(at, at + size - 49):
+            assert where.setdefault(text[i : i + 50], g) == g
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    monkeypatch.setattr(s, "heavy_anchors", lambda *args: np.sort(heavy))
+    assert found(s.dedup_digest(df)) == brute(rows)
+
+
+def test_heavy_anchors_are_found_in_a_sample(spark, monkeypatch):
+    rows = heavy_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) as key", "text")
+    total = sum(len(t) for _, t in rows)
+    assert len(s.heavy_anchors(df, total, 50)) == 0  # all records fit into half a bin
+    monkeypatch.setattr(s, "BIN_BYTES", 40_000)
+    for sample in (s.SAMPLE_BYTES, total // 2):
+        monkeypatch.setattr(s, "SAMPLE_BYTES", sample)
+        got = s.heavy_anchors(df, total, 50)
+        assert 0 < len(got) < 20 and (np.diff(got.view(np.int64).astype(object)) != 0).all()
+    monkeypatch.setattr(s, "MOST_HEAVY", 1)
+    assert len(s.heavy_anchors(df, total, 50)) == 1
+
+
+def test_index_settles_later_batches_against_all_before(spark, tmp_dir):
+    """Four batches of growing ids, the index opened anew for each: the runs of
+    all batches are those of one corpus; levels merge geometrically."""
+    rows = sorted(set(heavy_rows(200)))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(1000, None), (1001, ""), (1002, rows[0][1] + " tail"), (1003, "x" * 500)]
+    expected = {d: tuple(v) for d, *v in brute(rows)}
+    got = {}
+    for a in range(0, len(rows), 55):
+        batch = spark.createDataFrame(rows[a : a + 55], "doc_id bigint, text string").repartition(3)
+        index = s.SuffixIndex(spark, f"{tmp_dir}/index", 100_000)
+        runs = {r.doc_id: bytes(r.runs) for r in index.add_batch(batch).collect()}
+        for d, t in rows[a : a + 55]:
+            kept, pairs = s._keep((t or "").encode(), runs.get(d))
+            got[d] = (len((t or "").encode()), len((t or "").encode()) - len(kept), len(pairs), hashlib.sha256(kept).hexdigest())
+    assert got == expected
+    sizes = [n for _, n in s.SuffixIndex(spark, f"{tmp_dir}/index").levels]
+    assert 1 <= len(sizes) <= 3 and all(x > 2 * y for x, y in zip(sizes, sizes[1:]))
+
+
 def test_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "x" * 60), (2, "head " + "x" * 60 + " tail")], "doc_id bigint, text string")
     kept = {r.doc_id: bytes(r.kept) for r in s.kept_bytes(docs).collect()}

@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, materialise, same_row
+from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, materialise, quoted, same_row
 from sightline.llm.textkit import byte_class, join_rows, prefix_sums, slices, span_hash, tokens
 
 WINDOW = 10
@@ -366,6 +366,6 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     keyed = documents.select(
         F.xxhash64("text").alias(ROW_KEY),
         F.col("doc_id").alias(ROW_ID),
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias(ROW),
+        F.struct(*[quoted(c) for c in documents.columns]).alias(ROW),
     )
     return keyed.alias("r").join(bad.alias("b"), same_row("r", "b"), "left_anti").select(f"{ROW}.*")

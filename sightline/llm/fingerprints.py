@@ -38,9 +38,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sightline.llm.tables import REPEAT_RANGE, free_name, materialise, quoted, repeat_rows
+from sightline.llm.tables import REPEAT_RANGE, map_text, materialise, repeat_rows
 from sightline.llm.textkit import BASE, NON_SPACE, SLICE_BYTES, join_rows, mix, prefix_sums, row_of, slices, span_hash, tokens
 
 BINS = 512
@@ -176,19 +175,12 @@ def likeness(left: Column, right: Column) -> Column:
 
 def with_fingerprint(df: DataFrame, name: str = "fingerprint", text: str = "text") -> DataFrame:
     """All columns of ``df`` plus the fingerprint of its text column."""
-    new = free_name(df.columns, name)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            for start, texts in slices(batch.column(at)):
-                prints = pa.array(pack(fingerprints(texts)))
-                row = batch.column("row").slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([row, prints], names=["row", "print"])
-
-    rows = df.select(F.struct(*[quoted(c) for c in df.columns]).alias("row"), quoted(text).alias("text"))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("print", T.StringType())])
-    return rows.mapInArrow(run, schema).select("row.*", F.col("print").alias(new))
+
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for _, texts in slices(column):
+            yield [pa.array(pack(fingerprints(texts)))]
+
+    return map_text(df, text, [(name, "string")], work)
 
 
 # ---- neighbours ------------------------------------------------------------

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.labelled import SAMPLE_CHARS, remainder, smallest_hashes
-from sightline.llm.tables import free_name
+from sightline.llm.tables import map_text, quoted
 from sightline.llm.textkit import mix, slices
 
 BUCKETS = 1 << 15
@@ -217,24 +217,13 @@ def identify(documents: DataFrame, model: LanguageModel, text: str = "text", kee
     """All columns of ``documents`` plus ``lang_pred`` and ``score``."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(model)  # buckets x languages floats
-    kept = [f for f in documents.schema if keep_text or f.name != text]
-    pred, prob = free_name([f.name for f in kept], "lang_pred"), free_name([f.name for f in kept], "score")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs, probs = [], []
-            for _, texts in slices(batch.column(text), SLICE):
-                found, p = score(shared.value, texts)
-                langs += found
-                probs.append(p)
-            arrays = [batch.column(f.name) for f in kept]
-            arrays += [pa.array(langs, pa.string()), pa.array(np.concatenate(probs) if probs else np.zeros(0))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [pred, prob])
-
-    return documents.mapInArrow(run, f"{schema}, `{pred}` string, `{prob}` double")
+
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for _, texts in slices(column, SLICE):
+            langs, probs = score(shared.value, texts)
+            yield [pa.array(langs, pa.string()), pa.array(probs, pa.float64())]
+
+    return map_text(documents, text, [("lang_pred", "string"), ("score", "double")], work, keep_text)
 
 
 def language_digest(documents: DataFrame) -> DataFrame:
@@ -250,5 +239,5 @@ def keep_identified(documents: DataFrame, least: float) -> DataFrame:
     scored = identify(documents, model)
     pred, prob = scored.columns[-2:]
     return scored.where((F.col(pred) != UNKNOWN) & (F.col(prob) >= least)).select(
-        *[F.col(f"`{c}`") for c in documents.columns]
+        *[quoted(c) for c in documents.columns]
     )

@@ -17,9 +17,18 @@ A pattern match is never changed and an added span never overlaps one.
 
 The potentials are fitted piecewise (edges by label association, unary weights
 by pseudo-likelihood) on at most ``TRAIN_ROWS`` documents, those with the
-smallest hash among the documents that have a variable, with the pattern
-matches as labels. Every document is scanned whole, in Arrow
-batches.
+smallest hash among the documents that have a variable. The pattern matches
+are the labels, but a share ``HIDE`` of them is hidden: the tokens of a hidden
+match tell their neighbours nothing, so a token must be known by itself, by
+other matches or by other occurrences, as those that the patterns miss have to
+be. ``evaluate`` hides matches that were not learned from and reports how many
+of them the field finds and how much else it adds.
+
+Every document is scanned whole, in slices of about ``SLICE_CHARS``
+characters (a longer text is a slice of its own). Messages are kept as one row
+of five numbers for each directed edge and sent in blocks of edges, so a text
+dense in digits takes about half a kilobyte per token. A document whose
+messages still swing after ``MOST_ROUNDS`` damped rounds is read as it stands.
 
 Defined cases: null is the empty text, which has no spans; without training
 documents only the patterns count; repeated rows get equal results; an empty
@@ -29,19 +38,23 @@ free names.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.labelled import SAMPLE_CHARS, smallest_hashes
-from sightline.llm.tables import free_name
+from sightline.llm.tables import map_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + len(KINDS)  # 0 is "none"
@@ -49,7 +62,12 @@ TRAIN_ROWS = 3000
 BUCKETS = 1 << 14
 TOLERANCE = 1e-7
 MOST_ROUNDS = 1000  # for messages that would swing for ever
-CONFIDENCE = 0.95
+HIDE = 0.5
+SLICE_CHARS = 1 << 18
+SLICE_ROWS = 256
+BLOCK = 1 << 15
+FEATURES = 12
+CONFIDENCE = 0.9
 HOLD = 30.0
 
 _ANY = re.compile(r"[0-9@]")
@@ -125,10 +143,11 @@ class Graph:
     start: np.ndarray
     end: np.ndarray
     label: np.ndarray  # from the patterns
-    bucket: list[np.ndarray]  # feature buckets of each variable
+    match: np.ndarray  # number of the pattern match a variable is in, or -1
+    bucket: np.ndarray  # variables x FEATURES
+    entry: np.ndarray  # number of each variable's document and token
     chain: np.ndarray  # edges x 2
     skip: np.ndarray  # edges x 2, an occurrence and the next
-    told: np.ndarray  # variables x labels: occurrences of its token held at each
 
 
 def _shape(token: str) -> str:
@@ -160,45 +179,61 @@ def _similar(token: str) -> str:
     return digits[-7:] if len(digits) >= 7 and "@" not in core else core
 
 
+def _tokens(text: str) -> Iterator[tuple[int, int, int, str, str, str]]:
+    """(number, start, end, token, token before, token after) of each token
+    with a digit or an at sign."""
+    before, held, number = "", None, 0
+    for m in _TOKEN.finditer(text):
+        token = m.group()
+        if held is not None:
+            yield (*held, token)
+            held = None
+        if _ANY.search(token):
+            held = (number, m.start(), m.end(), token, before)
+        before, number = token, number + 1
+    if held is not None:
+        yield (*held, "")
+
+
 def build_graph(texts: list[str], spans: list[list[Span]]) -> Graph:
-    row, start, end, label, bucket, chain, skip = [], [], [], [], [], [], []
-    entry: list[int] = []  # number of each variable's document and token
-    entry_of: dict[tuple[int, str], int] = {}
+    row, start, end, label, match, entry = (array("i") for _ in range(6))
+    bucket, chain, skip = array("i"), array("i"), array("i")
+    matches, entries = 0, 0
     for r, text in enumerate(texts):
         if not _ANY.search(text):
             continue
-        tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
-        active = [i for i, (a, b) in enumerate(tokens) if _ANY.search(text, a, b)]
-        last_seen: dict[str, int] = {}
-        own, at = spans[r], 0
-        for n, i in enumerate(active):
-            a, b = tokens[i]
+        seen: dict[int, list[int]] = {}  # hash of the token -> its entry and last occurrence
+        own, at, last = spans[r], 0, -2
+        for number, a, b, token, before, after in _tokens(text):
             node = len(row)
             while at < len(own) and own[at][2] <= a:
                 at += 1
             # a token may touch the few spans around this place
-            kind = next((k + 1 for s, k, e in own[max(0, at - 4) : at + 8] if s < b and e > a), 0)
-            token = text[a:b]
-            before = text[slice(*tokens[i - 1])] if i else ""
-            after = text[slice(*tokens[i + 1])] if i + 1 < len(tokens) else ""
+            near = range(max(0, at - 4), min(len(own), at + 8))
+            found = next((i for i in near if own[i][0] < b and own[i][2] > a), None)
             row.append(r)
             start.append(a)
             end.append(b)
-            label.append(kind)
-            bucket.append(np.array(_features(token, before, after)))
-            if n and active[n - 1] == i - 1:
-                chain.append((node - 1, node))
-            key = _similar(token)
-            if key in last_seen:
-                skip.append((last_seen[key], node))
-            last_seen[key] = node
-            entry.append(entry_of.setdefault((r, key), len(entry_of)))
-    edges = [np.array(e, np.int64).reshape(-1, 2) for e in (chain, skip)]
-    ints = [np.array(x, np.int64) for x in (row, start, end, label)]
-    held = ints[3] > 0
-    told = np.zeros((len(entry_of), LABELS))
-    np.add.at(told, (np.array(entry, np.int64)[held], ints[3][held]), 1)
-    return Graph(*ints, bucket, *edges, np.where(held[:, None], 0, told[entry]) if entry else told)
+            label.append(0 if found is None else own[found][1] + 1)
+            match.append(-1 if found is None else matches + found)
+            bucket.extend(_features(token, before, after))
+            if number == last + 1:
+                chain.extend((node - 1, node))
+            last = number
+            key = xxhash.xxh64_intdigest(_similar(token).encode())
+            known = seen.get(key)
+            if known is None:
+                seen[key] = known = array("i", (entries, node))
+                entries += 1
+            else:
+                skip.extend((known[1], node))
+                known[1] = node
+            entry.append(known[0])
+        matches += len(own)
+    ints = [np.array(x, np.int32) for x in (row, start, end, label, match)]
+    wide = np.array(bucket, np.int32).reshape(-1, FEATURES)
+    pairs = [np.array(e, np.int32).reshape(-1, 2) for e in (chain, skip)]
+    return Graph(*ints, wide, np.array(entry, np.int32), *pairs)
 
 
 @dataclass
@@ -209,9 +244,10 @@ class FieldModel:
 
 
 def _unary(model: FieldModel, graph: Graph) -> np.ndarray:
-    if not graph.bucket:
-        return np.zeros((0, LABELS))
-    return model.unary[np.stack(graph.bucket)].sum(axis=1)
+    out = np.empty((len(graph.row), LABELS))
+    for a in range(0, len(out), BLOCK):
+        out[a : a + BLOCK] = model.unary[graph.bucket[a : a + BLOCK]].sum(axis=1)
+    return out
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -230,91 +266,118 @@ def _association(a: np.ndarray, b: np.ndarray, labels: np.ndarray, symmetric: bo
     return np.log((met + 0.5) / (chance + 0.5))
 
 
-def fit(texts: list[str], steps: int = 120, rate: float = 0.2, l2: float = 1e-4) -> FieldModel:
+def fit(texts: list[str], steps: int = 300, rate: float = 0.2, l2: float = 1e-4, hide: float = HIDE) -> FieldModel:
     """Piecewise: the edge potentials are label associations over all edges,
-    then the unary weights maximise each variable's likelihood given its
-    neighbours' labels."""
+    then the unary weights maximise each variable's likelihood given the
+    labels of its neighbours that are not hidden."""
     model = FieldModel(np.zeros((BUCKETS, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS)))
     graph = build_graph(texts, [base_spans(t) for t in texts])
     n = len(graph.row)
     if not n:
         return model
-    features, y = np.stack(graph.bucket), graph.label
+    y = graph.label
     seen = np.full(model.unary.shape, 1e-8)
     (ca, cb), (sa, sb) = graph.chain.T, graph.skip.T
     model.chain = _association(ca, cb, y, False)
     model.skip = _association(sa, sb, y, True)
+    shown = ~_hidden(graph, hide)
     around = np.zeros((n, LABELS))
-    np.add.at(around, cb, model.chain[y[ca]])
-    np.add.at(around, ca, model.chain[:, y[cb]].T)
-    np.add.at(around, sb, model.skip[y[sa]])
-    np.add.at(around, sa, model.skip[y[sb]])
+    for source, target, table in ((ca, cb, model.chain), (cb, ca, model.chain.T), (sa, sb, model.skip), (sb, sa, model.skip)):
+        tells = shown[source]
+        np.add.at(around, target[tells], table[y[source[tells]]])
     for _ in range(steps):
         wrong = _softmax(_unary(model, graph) + around)
         wrong[np.arange(n), y] -= 1
         grad = l2 * model.unary
-        np.add.at(grad, features, wrong[:, None, :] / n)
+        for a in range(0, n, BLOCK):
+            np.add.at(grad, graph.bucket[a : a + BLOCK], wrong[a : a + BLOCK, None, :] / n)
         seen += grad**2
         model.unary -= rate * grad / np.sqrt(seen)
     return model
 
 
+def _hidden(graph: Graph, share: float, seed: int = 0) -> np.ndarray:
+    """Variables of a random share of the pattern matches."""
+    draw = np.random.default_rng(seed).random(int(graph.match.max(initial=-1)) + 1) < share
+    return (graph.match >= 0) & draw[graph.match] if len(draw) else np.zeros(len(graph.row), bool)
+
+
+def _send(total: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sum-product message of each row of beliefs through a potential."""
+    top = total.max(axis=1, keepdims=True)
+    out = np.log(np.exp(total - top) @ np.exp(table))
+    return out - out.max(axis=1, keepdims=True)
+
+
 def marginals(model: FieldModel, graph: Graph, rounds: int = MOST_ROUNDS) -> np.ndarray:
     """Label marginals by loopy sum-product message passing (damped), each
     document until its messages rest."""
     belief = _unary(model, graph)
+    if not len(belief):
+        return belief
     held = graph.label > 0
     belief[held, graph.label[held]] += HOLD
-    belief += graph.told @ model.skip
-    skip = graph.skip[~held[graph.skip].any(axis=1)]  # held ends are in told
-    edges = np.concatenate([graph.chain, skip])
-    if not len(edges):
-        return _softmax(belief) if len(belief) else belief
-    tables = np.concatenate([
-        np.broadcast_to(model.chain, (len(graph.chain), LABELS, LABELS)),
-        np.broadcast_to(model.skip, (len(skip), LABELS, LABELS)),
-    ])
-    source = np.concatenate([edges[:, 0], edges[:, 1]])
-    target = np.concatenate([edges[:, 1], edges[:, 0]])
-    potential = np.concatenate([tables, tables.transpose(0, 2, 1)])
-    reverse = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    message = np.zeros((len(source), LABELS))
-    out = belief.copy()
+    if held.any():  # every other occurrence hears each held one directly
+        told = np.zeros((int(graph.entry.max()) + 1, LABELS))
+        np.add.at(told, (graph.entry[held], graph.label[held]), 1)
+        heard = np.flatnonzero(~held & told.any(axis=1)[graph.entry])
+        belief[heard] += told[graph.entry[heard]] @ model.skip
+    skip = graph.skip[~held[graph.skip].any(axis=1)]
+    ends = np.concatenate([graph.chain, skip])
+    if not len(ends):
+        return _softmax(belief)
+    # directed edges: all in one direction, then all in the other
+    source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+    half = len(ends)
+    reverse = np.concatenate([np.arange(half, 2 * half, dtype=np.int32), np.arange(half, dtype=np.int32)])
+    kind = np.concatenate([np.zeros(len(graph.chain), np.int8), np.full(len(skip), 2, np.int8)])
+    kind = np.concatenate([kind, np.where(kind == 0, 1, 2).astype(np.int8)])
+    tables = (model.chain, model.chain.T, model.skip)
+    message = np.zeros((2 * half, LABELS))
     for _ in range(rounds):
         total = belief.copy()
-        np.add.at(total, target, message)
-        sent = (total[source] - message[reverse])[:, :, None] + potential
-        top = sent.max(axis=1, keepdims=True)
-        new = np.log(np.exp(sent - top).sum(axis=1)) + top[:, 0, :]
-        new -= new.max(axis=1, keepdims=True)
-        step = 0.5 * (new - message)
+        for a in range(0, len(source), BLOCK):
+            np.add.at(total, target[a : a + BLOCK], message[a : a + BLOCK])
+        moving = np.zeros(int(graph.row[-1]) + 1, bool)
+        step = np.empty_like(message)
+        for a in range(0, len(source), BLOCK):
+            own = slice(a, a + BLOCK)
+            asked = total[source[own]] - message[reverse[own]]
+            for k, table in enumerate(tables):
+                chosen = np.flatnonzero(kind[own] == k)
+                if len(chosen):
+                    asked[chosen] = _send(asked[chosen], table)
+            step[own] = 0.5 * (asked - message[own])
+            moving[graph.row[source[own][np.abs(step[own]).max(axis=1) > TOLERANCE]]] = True
         message += step
-        moving = np.zeros(graph.row[-1] + 1, bool)
-        moving[graph.row[source[np.abs(step).max(axis=1) > TOLERANCE]]] = True
         live = moving[graph.row[source]]
         if not live.all():
             # documents at rest leave with all their edges
-            np.add.at(out, target[~live], message[~live])
-            reverse = (np.cumsum(live) - 1)[reverse[live]]
-            source, target, potential, message = source[live], target[live], potential[live], message[live]
+            np.add.at(belief, target[~live], message[~live])
+            reverse = (np.cumsum(live, dtype=np.int32) - 1)[reverse[live]]
+            source, target, kind, message = source[live], target[live], kind[live], message[live]
             if not len(source):
                 break
-    np.add.at(out, target, message)
-    return _softmax(out)
+    np.add.at(belief, target, message)
+    return _softmax(belief)
 
 
 def added_spans(model: FieldModel, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans the field adds to the pattern matches of each text."""
+    return _spans_of(model, build_graph(texts, base), texts, base)
+
+
+def _spans_of(model: FieldModel, graph: Graph, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
-    graph = build_graph(texts, base)
     if not len(graph.row):
         return out
     p = marginals(model, graph)
     label = np.where(p.max(axis=1) >= CONFIDENCE, p.argmax(axis=1), 0)
     label[graph.label > 0] = 0
-    joined = {int(b): int(a) for a, b in graph.chain}
+    found = np.flatnonzero(label)
+    joined = {int(b): int(a) for a, b in graph.chain[np.isin(graph.chain[:, 1], found)]}
     open_span: dict[int, list[int]] = {}
-    for node in np.flatnonzero(label):
+    for node in found:
         r, kind, text = graph.row[node], int(label[node]), texts[graph.row[node]]
         a, b = int(graph.start[node]), int(graph.end[node])
         while a < b and text[a] in _EDGE and text[a] != "(":
@@ -344,6 +407,42 @@ def _admit(spans: list, base: list[Span], text: str) -> list[Span]:
     return kept
 
 
+def evaluate(model: FieldModel, texts: list[str], share: float = 0.5, seed: int = 1) -> dict[str, int]:
+    """Hides a share of the pattern matches of ``texts`` (which should not
+    have been learned from) and lets the field look for them: how many are
+    ``hidden``, of them ``found`` (every token of the match in an added span of
+    its kind) and ``found_repeats`` of ``repeats`` (matches with a token that a
+    match still shown has too), spans ``added`` in all and those of them that
+    touch no match (``elsewhere``)."""
+    base = [base_spans(t) for t in texts]
+    graph = build_graph(texts, base)
+    hidden = _hidden(graph, share, seed)
+    shown = {int(e) for e in graph.entry[(graph.label > 0) & ~hidden]}
+    masked = dataclasses.replace(graph, label=np.where(hidden, 0, graph.label))
+    lost = {int(m) for m in graph.match[hidden]}
+    visible, at = [], 0
+    for spans in base:
+        visible.append([s for i, s in enumerate(spans, at) if i not in lost])
+        at += len(spans)
+    added = _spans_of(model, masked, texts, visible)
+    out = dict.fromkeys(("hidden", "found", "repeats", "found_repeats", "added", "elsewhere"), 0)
+    tokens: dict[int, list[int]] = {}
+    for node in np.flatnonzero(hidden):
+        tokens.setdefault(int(graph.match[node]), []).append(int(node))
+    for nodes in tokens.values():
+        r, kind = int(graph.row[nodes[0]]), int(graph.label[nodes[0]]) - 1
+        hit = all(any(k == kind and a < graph.end[v] and b > graph.start[v] for a, k, b in added[r]) for v in nodes)
+        repeat = any(int(graph.entry[v]) in shown for v in nodes)
+        out["hidden"] += 1
+        out["found"] += hit
+        out["repeats"] += repeat
+        out["found_repeats"] += hit and repeat
+    for spans, all_spans in zip(added, base):
+        out["added"] += len(spans)
+        out["elsewhere"] += sum(not any(s < b and e > a for s, _, e in all_spans) for a, _, b in spans)
+    return out
+
+
 def _text(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
@@ -364,29 +463,31 @@ def find(documents: DataFrame, model: FieldModel, text: str = "text", keep_text:
     """All columns of ``documents`` plus pattern counts (``n_<kind>``), the
     hash of the pattern spans, all spans, and how many the field added."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x labels floats
-    kept = [f for f in documents.schema if keep_text or f.name != text]
-    names = [free_name([f.name for f in kept], n) for n in RESULT]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in zip(names, TYPES)]
-    )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for texts in _slices(column):
             rows: list[tuple] = []
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(text).slice(at, 256).to_pylist()]
-                base = [base_spans(t) for t in texts]
-                for b, extra in zip(base, added_spans(shared.value, texts, base)):
-                    counts = [sum(k == kind for _, k, _ in b) for kind in range(len(KINDS))]
-                    digest = hashlib.sha256(_text(b).encode()).hexdigest()
-                    rows.append((*counts, digest, _text(b + extra), len(extra)))
-            arrays = [batch.column(f.name) for f in kept]
-            arrays += [pa.array(c, pa.int64() if t == "bigint" else pa.string()) for c, t in zip(zip(*rows), TYPES)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)
-
-    return documents.mapInArrow(run, schema)
+            base = [base_spans(t) for t in texts]
+            for b, extra in zip(base, added_spans(shared.value, texts, base)):
+                counts = [sum(k == kind for _, k, _ in b) for kind in range(len(KINDS))]
+                digest = hashlib.sha256(_text(b).encode()).hexdigest()
+                rows.append((*counts, digest, _text(b + extra), len(extra)))
+            yield [pa.array(c, pa.int64() if t == "bigint" else pa.string()) for c, t in zip(zip(*rows), TYPES)]
+
+    return map_text(documents, text, list(zip(RESULT, TYPES)), work, keep_text)
+
+
+def _slices(column: pa.Array) -> Iterator[list[str]]:
+    """Texts of about SLICE_CHARS characters and at most SLICE_ROWS rows."""
+    lengths = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
+    at, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > at and (total + n > SLICE_CHARS or i - at >= SLICE_ROWS):
+            yield [t or "" for t in column.slice(at, i - at).to_pylist()]
+            at, total = i, 0
+        total += n
+    if at < len(lengths):
+        yield [t or "" for t in column.slice(at).to_pylist()]
 
 
 def pii_digest(documents: DataFrame) -> DataFrame:

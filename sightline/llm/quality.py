@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.labelled import sample
-from sightline.llm.tables import free_name
+from sightline.llm.tables import map_text
 from sightline.llm.textkit import NON_SPACE, byte_class, join_rows, mix, prefix_sums, slices, span_hash, tokens
 
 MIN_WORDS = 20
@@ -232,23 +232,12 @@ TYPES = ["bigint"] * 5 + ["boolean", "boolean", "double"]
 def judge(documents: DataFrame, model: QualityModel, text: str = "text", keep_text: bool = True) -> DataFrame:
     """All columns of ``documents`` plus the counts and the verdict."""
     shared = documents.sparkSession.sparkContext.broadcast(model)  # families x buckets floats
-    kept = [f for f in documents.schema if keep_text or f.name != text]
-    names = [free_name([f.name for f in kept], n) for n in RESULT]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` {t}" for n, t in zip(names, TYPES)]
-    )
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = [_verdicts(shared.value, texts) for _, texts in slices(batch.column(text), SLICE)]
-            arrays = [batch.column(f.name) for f in kept]
-            for i in range(len(RESULT)):
-                arrays.append(pa.array(np.concatenate([part[i] for part in parts]) if parts else np.zeros(0, bool)))
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)
-
-    return documents.mapInArrow(run, schema)
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for _, texts in slices(column, SLICE):
+            yield [pa.array(values) for values in _verdicts(shared.value, texts)]
+
+    return map_text(documents, text, list(zip(RESULT, TYPES)), work, keep_text)
 
 
 def _verdicts(model: QualityModel, texts: list[bytes]) -> list[np.ndarray]:

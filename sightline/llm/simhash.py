@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.components import components
-from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, distinct_rows, keyed_rows, materialise, same_row
+from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, distinct_rows, keyed_rows, map_text, materialise, same_row
 from sightline.llm.textkit import slices
 
 BITS = 64
@@ -83,20 +83,12 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 def with_fingerprint(df: DataFrame, name: str = "fp", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """``df`` without its text column plus the fingerprint as a signed long."""
-    kept = [c for c in df.columns if c != text]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(text)
-            parts = [fingerprints(texts, width) for _, texts in slices(column)]
-            fps = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            arrays = [batch.column(c) for c in kept] + [pa.array(fps.view(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, name])
-
-    return df.mapInArrow(run, f"{schema}, `{name}` bigint")
+
+    def work(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for _, texts in slices(column):
+            yield [pa.array(fingerprints(texts, width).view(np.int64))]
+
+    return map_text(df, text, [(name, "bigint")], work, keep_text=False)
 
 
 def block_bits(n: int, radius: int) -> int:

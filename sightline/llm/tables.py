@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +43,40 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_SIMPLE = {"bigint": T.LongType, "double": T.DoubleType, "boolean": T.BooleanType, "string": T.StringType}
+
+
+def map_text(
+    df: DataFrame,
+    text: str,
+    new: list[tuple[str, str]],
+    work: Callable[[pa.Array], Iterator[list[pa.Array]]],
+    keep_text: bool = True,
+) -> DataFrame:
+    """All columns of ``df`` (without its text column unless ``keep_text``)
+    plus ``new`` (name, type) columns under free names. ``work`` turns the
+    texts of a batch into these columns, in pieces, in order. The other columns
+    pass through in a struct, so their names and types do not matter."""
+    kept = [f for f in df.schema if keep_text or f.name != text]
+    names = [free_name([f.name for f in kept], n) for n, _ in new]
+    row = F.struct(*[quoted(f.name) for f in kept]) if kept else F.struct(F.lit(True).alias("_"))
+    packed = df.select(row.alias("row"), quoted(text).alias("text"))
+    places = [f"n{i}" for i in range(len(new))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for arrays in work(batch.column(1)) if batch.num_rows else ():
+                size = len(arrays[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, size), *arrays], names=["row", *places])
+                at += size
+
+    fields = [T.StructField("row", packed.schema["row"].dataType)]
+    fields += [T.StructField(p, _SIMPLE[kind]()) for p, (_, kind) in zip(places, new)]
+    out = packed.mapInArrow(run, T.StructType(fields))
+    return out.select(*(["row.*"] if kept else []), *[F.col(p).alias(n) for p, n in zip(places, names)])
+
+
 def _unhashable(kind: T.DataType) -> bool:
     if isinstance(kind, T.ArrayType):
         return _unhashable(kind.elementType)

@@ -34,7 +34,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.tables import ROW, ROW_COUNT, ROW_ID, ROW_KEY, distinct_rows, keyed_rows, materialise, same_row
+from sightline.llm.tables import (
+    REPEAT_RANGE,
+    ROW,
+    ROW_COUNT,
+    ROW_ID,
+    ROW_KEY,
+    distinct_rows,
+    keyed_rows,
+    materialise,
+    repeat_rows,
+    same_row,
+)
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -256,22 +267,31 @@ def _units(documents: DataFrame) -> DataFrame:
     return materialise(units, "mix-units")[0]
 
 
-def mix_digest(documents: DataFrame, seed: int = 0) -> DataFrame:
+def _most_copies(units: DataFrame) -> int:
+    return int(units.agg(F.max(ROW_COUNT)).first()[0] or 0)
+
+
+def mix_digest(documents: DataFrame, seed: int = 0, limit: int = REPEAT_RANGE) -> DataFrame:
     """doc_id, size, source_size, target and taken words of every document."""
-    settled = copies(_units(documents.select("doc_id", "source", "text")), seed)
-    nth = F.explode(F.sequence(F.lit(1).cast("long"), F.col(ROW_COUNT)))
-    taken = F.col("size") * (F.col("base") + (F.col("_nth") <= F.col("extra")).cast("long"))
-    return settled.withColumn("_nth", nth).select(
+    units = _units(documents.select("doc_id", "source", "text"))
+    settled, most = copies(units, seed), _most_copies(units)
+    if most > limit:  # then it is read twice
+        settled, _ = materialise(settled, "mix-settled")
+    taken = F.col("size") * (F.col("base") + (F.col("_nth") < F.col("extra")).cast("long"))
+    return repeat_rows(settled, ROW_COUNT, "_nth", most, limit).select(
         F.col(ROW_ID).alias("doc_id"), "size", "source_size", "target", taken.alias("taken")
     )
 
 
 def mix(documents: DataFrame, seed: int = 0, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-        most: int = MOST) -> DataFrame:
+        most: int = MOST, limit: int = REPEAT_RANGE) -> DataFrame:
     """The mixed documents: every row as often as the mix takes it."""
-    settled = copies(_units(documents), seed, weights, share, most)
-    times = (F.col("base") * F.col(ROW_COUNT) + F.col("extra")).cast("int")
-    total = settled.select(ROW_KEY, ROW_ID, times.alias("_copies")).where("_copies > 0")
+    units = _units(documents)
+    times = F.col("base") * F.col(ROW_COUNT) + F.col("extra")
+    total = copies(units, seed, weights, share, most).select(ROW_KEY, ROW_ID, times.alias("_copies")).where("_copies > 0")
     taken = distinct_rows(keyed_rows(documents)).alias("r").join(total.alias("t"), same_row("r", "t"))
-    nth = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return taken.select(f"r.{ROW}", nth).select(f"{ROW}.*")
+    taken = taken.select(f"r.{ROW}", "t._copies")
+    largest = most * _most_copies(units)  # no row is taken more than ``most`` times
+    if largest > limit:  # then it is read twice
+        taken, _ = materialise(taken, "mix-taken")
+    return repeat_rows(taken, "_copies", "_nth", largest, limit).select(f"{ROW}.*")

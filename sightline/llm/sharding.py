@@ -11,7 +11,7 @@ Numbers are made without a global sort: rows are counted per hash bucket
 (a fixed number of buckets, one small table), each bucket is numbered by a
 window, and the bucket's offset is added. Identical rows are counted first
 and numbered as a block, so a row that repeats for a third of the table is
-one entry.
+one entry; its copies are written out by ranges in many tasks.
 
 Defined cases: null text has size 8 (no bytes) and CRC 0; null doc_ids and
 repeated rows are rows like any other and get places of their own; an empty
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.tables import (
+    REPEAT_RANGE,
     ROW,
     ROW_COUNT,
     ROW_ID,
@@ -35,6 +36,7 @@ from sightline.llm.tables import (
     free_name,
     keyed_rows,
     materialise,
+    repeat_rows,
     same_row,
 )
 
@@ -96,52 +98,53 @@ def position(number: Column, n: int, seed: int) -> Column:
     return place(number)
 
 
-def first_numbers(units: DataFrame) -> tuple[DataFrame, int]:
+def first_numbers(units: DataFrame) -> tuple[DataFrame, int, int]:
     """Add ``first_number`` to a table of distinct rows with multiplicities,
-    so that the rows tile 0..N-1; also returns N.
+    so that the rows tile 0..N-1; also returns N and the largest multiplicity.
 
     ``units`` is read twice (bucket counts, then the numbering), so it should
     be a written table.
     """
     bucketed = units.withColumn("_bucket", F.shiftrightunsigned(F.col(ROW_KEY), 64 - BUCKET_BITS))
-    counts = bucketed.groupBy("_bucket").agg(F.sum(ROW_COUNT).alias("_n"))
+    counts = bucketed.groupBy("_bucket").agg(F.sum(ROW_COUNT).alias("_n"), F.max(ROW_COUNT).alias("_most"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), "_n")
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), "_n", "_most")
     offsets, _ = materialise(offsets, "shard-offsets")
-    total = offsets.agg(F.sum("_n")).first()[0] or 0
+    total, most = offsets.agg(F.sum("_n"), F.max("_most")).first()
     inside = Window.partitionBy("_bucket").orderBy(ROW_KEY, F.col(ROW_ID).asc_nulls_first())
     running = F.sum(ROW_COUNT).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     numbered = (
         bucketed.withColumn("_running", running)
         # at most 2**BUCKET_BITS rows, whatever the table holds
-        .join(F.broadcast(offsets.drop("_n")), "_bucket")
+        .join(F.broadcast(offsets.drop("_n", "_most")), "_bucket")
         .withColumn("first_number", F.col("_offset") + F.col("_running") - F.col(ROW_COUNT))
         .drop("_bucket", "_offset", "_running")
     )
-    return numbered, int(total)
+    return numbered, int(total or 0), int(most or 0)
 
 
-def _places(numbered: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+def _places(numbered: DataFrame, total: int, most: int, shards: int, seed: int, limit: int) -> DataFrame:
     """Each row of each unit with its ``_shard`` and ``_slot``."""
-    number = F.explode(F.sequence("first_number", F.col("first_number") + F.col(ROW_COUNT) - 1))
+    if most > limit:  # then it is read twice
+        numbered, _ = materialise(numbered, "shard-numbered")
     return (
-        numbered.withColumn("_number", number)
-        .withColumn("_position", position(F.col("_number"), max(total, 1), seed))
+        repeat_rows(numbered, ROW_COUNT, "_copy", most, limit)
+        .withColumn("_position", position(F.col("first_number") + F.col("_copy"), max(total, 1), seed))
         .withColumn("_shard", (F.col("_position") % shards).cast("int"))
         .withColumn("_slot", F.expr(f"_position div {int(shards)}"))
     )
 
 
-def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+def shard_rows(df: DataFrame, shards: int, seed: int = 0, limit: int = REPEAT_RANGE) -> DataFrame:
     """All columns of ``df`` plus ``shard`` and ``slot``; counts per shard
     differ by at most one. ``df`` needs a ``doc_id`` column."""
     keyed = keyed_rows(df)
     units, _ = materialise(
         keyed.groupBy(ROW_KEY, ROW_ID).agg(F.count(F.lit(1)).alias(ROW_COUNT)), "shard-units"
     )
-    numbered, total = first_numbers(units)
+    numbered, total, most = first_numbers(units)
     rows = distinct_rows(keyed).drop(ROW_COUNT).alias("r").join(numbered.alias("u"), same_row("r", "u"))
-    placed = _places(rows.select(f"r.{ROW}", f"u.{ROW_COUNT}", "u.first_number"), total, shards, seed)
+    placed = _places(rows.select(f"r.{ROW}", f"u.{ROW_COUNT}", "u.first_number"), total, most, shards, seed, limit)
     return placed.select(
         f"{ROW}.*",
         F.col("_shard").alias(free_name(df.columns, "shard")),
@@ -149,7 +152,7 @@ def shard_rows(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     )
 
 
-def shard_digest(documents: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+def shard_digest(documents: DataFrame, shards: int, seed: int = 0, limit: int = REPEAT_RANGE) -> DataFrame:
     """doc_id, size, CRC, shard and slot of every document; only the keys are
     shuffled, never the texts."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -160,8 +163,8 @@ def shard_digest(documents: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         F.struct(size.alias("size"), F.crc32(raw).alias("crc")).alias(ROW),
     )
     units, _ = materialise(distinct_rows(keyed), "shard-units")
-    numbered, total = first_numbers(units)
-    return _places(numbered, total, shards, seed).select(
+    numbered, total, most = first_numbers(units)
+    return _places(numbered, total, most, shards, seed, limit).select(
         F.col(ROW_ID).alias("doc_id"),
         F.col(f"{ROW}.size").alias("size"),
         F.col(f"{ROW}.crc").alias("text_crc32"),

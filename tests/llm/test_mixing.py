@@ -99,6 +99,17 @@ def test_edge_rows(edge_docs, edge_rows):
     assert abs(words - 1.5 * sum(r["size"] for r in rows)) < 30_000  # within the longest document
 
 
+def test_one_row_repeated_many_times(spark):
+    """Copies dealt out in ranges are taken alike."""
+    docs = spark.createDataFrame([(1, "a b c", "s")] * 700 + [(2, "d e", "t"), (3, "f", "s")], "doc_id bigint, text string, source string")
+    rows = sorted(map(tuple, mixing.mix_digest(docs, 4).collect()))
+    assert len(rows) == 702
+    assert sorted(map(tuple, mixing.mix_digest(docs, 4, limit=7).collect())) == rows
+    mixed = sorted(map(tuple, mixing.mix(docs, 4).collect()))
+    assert sorted(map(tuple, mixing.mix(docs, 4, limit=7).collect())) == mixed
+    assert abs(sum(len(t.split()) for _, t, _ in mixed) - sum(r[4] for r in rows)) <= 10  # other draws
+
+
 def test_only_dataframe_operations(mixed_docs):
     plan = plan_of(mixing.mix_digest(mixed_docs, 5))
     assert "Python" not in plan and "Arrow" not in plan

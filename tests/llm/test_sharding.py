@@ -81,6 +81,13 @@ def test_one_row_repeated_many_times(spark):
     rows = sharding.shard_digest(docs, 24).collect()
     assert len(rows) == 901
     _check_law(rows, 24)
+    # copies dealt out in ranges get the same places; no array is longer than the range
+    place = lambda r: (r.doc_id, r.shard, r.slot)
+    ranged = sharding.shard_digest(docs, 24, limit=7)
+    assert sorted(map(place, ranged.collect())) == sorted(map(place, rows))
+    whole = sharding.shard_rows(docs, 24, limit=7).collect()
+    assert sorted((r.doc_id, r.text) for r in whole) == [(1, "same")] * 900 + [(2, "other")]
+    _check_law(whole, 24)
 
 
 def test_empty(no_docs):

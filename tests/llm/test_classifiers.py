@@ -148,7 +148,7 @@ def test_sample_is_bounded_and_needs_no_text_shuffle(spark, edge_docs):
 
 
 def test_language_held_out(rows):
-    train = [r for r in rows if crc(r[0], 4) != 2][: langid.TRAIN_ROWS]
+    train = [r for r in rows if crc(r[0], 4) != 2][:2400]
     test = [r for r in rows if crc(r[0], 4) == 2][:1500]
     model = langid.fit([r[1].encode() for r in train], [r[2] for r in train])
     pred, p = [], []
@@ -178,6 +178,61 @@ def test_language_of_edges(spark, edge_docs, no_docs):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(map(repr, [1, 2, 2, None, 5, 7, 8]))
 
 
+FOREIGN = [
+    "Tämä on suomenkielinen lause jossa kerrotaan säästä ja ihmisistä kaupungissa",
+    "Ez egy magyar mondat az időjárásról és az emberekről a városban",
+    "Αυτή είναι μια ελληνική πρόταση για τον καιρό",
+    "xkcd qwrtz plmkj bvcxz ghjklm zzxq wqrt pplk jhgf dsrt",
+    "To jest polskie zdanie o pogodzie i ludziach w mieście",
+]
+
+
+def test_languages_never_learned_are_unfamiliar(rows):
+    train = [r for r in rows if crc(r[0], 4) != 2][:2400]
+    test = [r for r in rows if crc(r[0], 4) == 2][:1500]
+    model = langid.fit([r[1].encode() for r in train], [r[2] for r in train])
+    z = np.concatenate([x[2] for x in in_pieces(lambda t: langid.score_all(model, t), [r[1].encode() for r in test])])
+    assert (z < model.least_familiar).mean() <= 0.001  # texts in the learned languages stay
+    _, p, foreign = langid.score_all(model, [t.encode() for t in FOREIGN])
+    assert (foreign < model.least_familiar).all() and p.max() > 0.8  # though some look like one of them
+
+
+def _made_up(spark, rare):
+    """Three common languages of their own letters, and one of ``rare`` rows."""
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdefgh", "bb": "ijklmnop", "cc": "qrstuvwx", "rr": "αβγδεζηθ"}
+    word = lambda l: "".join(rng.choice(list(letters[l]), 5))
+    langs = ["aa", "bb", "cc"] * 1000 + ["rr"] * rare
+    rows = [(i, " ".join(word(l) for _ in range(12)), l, "s", 0) for i, l in enumerate(langs)]
+    return rows, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_a_language_with_few_rows_is_learned(spark):
+    rows, docs = _made_up(spark, 8)
+    assert sum(crc(r[0], 4) != 2 for r in rows if r[2] == "rr") >= 3
+    got = {r.doc_id: r.lang_pred for r in langid.language_digest(docs).collect()}
+    assert all(got[r[0]] == r[2] for r in rows if r[2] == "rr")
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.99
+
+
+def test_training_rows_and_document_frequencies(spark, edge_docs):
+    rows, docs = _made_up(spark, 8)
+    labelled = docs.selectExpr("xxhash64(doc_id, text) as h", "text as t", "lang as l")
+    taken = langid.training_rows(labelled, 50)
+    by = {}
+    for r in labelled.collect():
+        by.setdefault(r.l, []).append((r.h % (1 << 64), r.t))
+    for lang, own in by.items():
+        assert [(r.h % (1 << 64), r.t) for r in taken if r.l == lang] == sorted(own)[:50]
+    texts = [r.text for r in edge_docs.where("text is not null").collect()] + [rows[0][1]]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    n, counts = langid.document_frequencies(frame)
+    expected = np.zeros(langid.BUCKETS, int)
+    for t in texts:
+        expected[np.unique(langid.ngrams([t.encode()])[1])] += 1
+    assert (counts == expected).all() and n == sum(bool(langid.ngrams([t.encode()])[1].size) for t in texts)
+
+
 def test_no_labelled_language(spark):
     docs = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
     assert langid.language_digest(docs).collect()[0].lang_pred == "und"

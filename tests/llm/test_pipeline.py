@@ -6,6 +6,7 @@ from sightline.llm import decontam, langid, simhash
 from sightline.llm.oracle import ORACLE
 from sightline.llm.queries import QUERIES
 from tests.conftest import SMOKE_DIR
+from tests.llm.test_classifiers import FOREIGN
 from tests.llm.test_mixing import brute_targets
 
 
@@ -31,11 +32,38 @@ def test_columns(stages):
 
 def test_language_stage(spark, stages):
     docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
-    seen = {r.doc_id: (r.lang_pred, r.score) for r in langid.language_digest(docs).collect()}
-    expected = {d for d, (lang, p) in seen.items() if lang != "und" and p >= corpus_pipeline.LEAST_LANGUAGE}
+    model = langid.train(docs.where(~langid.held_out()))
+    seen = langid.identify(docs, model).collect()
+    expected = {r.doc_id for r in seen if r.lang_pred != "und" and r.familiarity >= model.least_familiar}
     assert set(stages[1].doc_id) == expected and len(expected) > 190
 
 
+def test_language_stage_rejects_what_was_never_learned(spark):
+    docs = spark.read.parquet(SMOKE_DIR.replace("0.001", "0.01") + "/documents.parquet")
+    foreign = [(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(FOREIGN)]
+    more = docs.unionByName(spark.createDataFrame(foreign, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, more, SMOKE_DIR).select("doc_id").collect()}
+    assert not kept & {d for d, *_ in foreign}
+    lettered = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert len(lettered - kept) <= 0.002 * len(lettered)
+
+
+def test_stages_on_edge_rows(spark, edge_docs, edge_rows, no_docs):
+    """Nulls, empty and long texts, repeated rows, odd columns, no rows."""
+    odd = edge_docs.selectExpr("*", "named_struct('a b', 1) as `x ``y`", "map(1, 2) as m", "0.5 as score", "'s' as shard")
+    frame = odd
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, SMOKE_DIR)
+        extra = ["shard_1", "slot"] if name == "sharding" else []
+        assert out.columns == odd.columns + extra, name
+        rows = out.collect()
+        assert rows or not frame.count(), name
+        frame = spark.createDataFrame(rows, out.schema)
+    assert {r["x `y"]["a b"] for r in rows} == {1}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, SMOKE_DIR).count() == 0, name
+
+
 def test_near_copy_stage(spark, stages):
     ids = simhash.near_duplicates(spark.createDataFrame(stages[1])).toPandas()
     assert set(stages[2].doc_id) == set(ids.component_id)
@@ -77,5 +105,5 @@ def test_run_applies_all_stages(spark, stages):
 def test_registered():
     names = set(entry.queries())
     assert set(QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) and set(ORACLE) <= set(entry.oracle_sql())

@@ -1,7 +1,27 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again.
 
 Each stage works on all rows its predecessor kept and returns the columns of
-``documents``; the last adds ``shard`` and ``slot``.
+``documents``; the last adds ``shard`` and ``slot`` (under the next free name
+where the table has such columns). Its other columns may have any name and type.
+
+Defined cases, stage by stage:
+
+=================  ==========================================================
+language           a null text, or one without a letter, goes; a null ``lang``
+                   is not learned from; with no labelled row every text goes
+near copies        null, empty and wordless texts are copies of one another;
+                   of a group the smallest doc_id stays (null last), of rows
+                   that share it the one with the smallest row hash, so
+                   repeated rows become one
+decontamination    a null or empty text holds no benchmark words and stays; so
+                   does every text if the benchmark is empty
+mixing             a null ``source`` is a source; a text without words counts
+                   nothing and is drawn like the others; repeated rows are
+                   taken one by one
+sharding           every row, also a repeated one, gets a place of its own
+=================  ==========================================================
+
+Very long texts are read whole everywhere; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -12,13 +32,11 @@ from sightline.llm import decontam, langid, mixing, sharding, simhash
 from sightline.llm.queries import SEED, SHARDS
 from sightline.llm.tables import materialise, read_table
 
-# a text needs a letter, and a language at least this probable
-LEAST_LANGUAGE = 0.3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts of no likely language."""
-    return langid.keep_identified(docs, LEAST_LANGUAGE)
+    """Drops texts without a letter and texts in no learned language (see
+    ``langid``: their n-grams are much rarer than in any text learned from)."""
+    return langid.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

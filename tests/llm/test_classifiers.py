@@ -194,7 +194,7 @@ def test_languages_never_learned_are_unfamiliar(rows):
     z = np.concatenate([x[2] for x in in_pieces(lambda t: langid.score_all(model, t), [r[1].encode() for r in test])])
     assert (z < model.least_familiar).mean() <= 0.001  # texts in the learned languages stay
     _, p, foreign = langid.score_all(model, [t.encode() for t in FOREIGN])
-    assert (foreign < model.least_familiar).all() and p.max() > 0.8  # though some look like one of them
+    assert (foreign < model.least_familiar).all() and p.max() > 0.5  # though some look like one of them
 
 
 def _made_up(spark, rare):

@@ -6,14 +6,17 @@ positions. Positions number the words of all documents of the segment, with a
 gap between documents, so a phrase never crosses one. Each segment answers
 phrase queries by itself: a query's offset-adjusted lists are intersected
 starting with its rarest term, all queries at once. An exact occurrence has
-every term at its offset; a proximity match has every term within ``slop``
-words of it.
+every term at its offset; a proximity match has its first term at its start
+and every other term within ``slop`` words of its offset.
 
 The queries are windows of consecutive benchmark words. A Spark job hashes the
-words of the distinct benchmark rows, cut into pieces; blocks of pieces whose
-windows stay within ``BLOCK_BYTES`` are sent to the segments one after the
-other. Every block meets all segments, and its matches are written before the
-next is read. Matches that cross the pieces of one long item are several
+words of the distinct benchmark rows and cuts them into pieces of at most
+``PIECE_WINDOWS`` windows. Pieces whose windows all fit into
+``BROADCAST_BYTES`` (counted first) are broadcast to the segments. More of
+them are routed: a piece goes to the segments that hold the corpus-rarest term
+of one of its windows, and a segment's pieces stream past it after it was
+decoded. Either way every segment is decoded once, in one job, whatever the
+size of the benchmark. Matches that cross pieces of one long item are several
 overlapping runs; hits count each word once.
 
 Defined cases: null text has no words and matches nothing; items of fewer
@@ -39,9 +42,13 @@ from sightline.llm.tables import ROW, ROW_ID, ROW_KEY, materialise, quoted, same
 from sightline.llm.textkit import byte_class, join_rows, prefix_sums, slices, span_hash, tokens
 
 WINDOW = 10
-GAP = 64  # positions between documents; larger than a window plus any slop
+SLOP = 1
+GAP = 64  # positions between documents; larger than a window plus twice any slop
 SEGMENT_BYTES = 4 << 20
-BLOCK_BYTES = 32 << 20  # of the windows of a block; its words are a tenth of them
+PIECE_WINDOWS = 64
+BROADCAST_BYTES = 32 << 20  # of the windows of all pieces; their words are a tenth of them
+SEARCH_BYTES = 8 << 20  # of the windows searched at a time
+CANDIDATES = 1 << 20  # postings looked at together (or those of one query)
 
 _WORD = byte_class({*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)})
 
@@ -94,36 +101,56 @@ def search(segment: Segment, queries: np.ndarray, slop: int = 0) -> tuple[np.nda
     """(query, start, exact) of the matches of equally long queries.
 
     ``queries`` is a matrix of term hashes. Candidates come from the list of
-    each query's rarest term and are narrowed term by term, rarest first.
+    each query's rarest term and are narrowed term by term, rarest first, a
+    bounded number of them at a time.
     """
     nothing = np.zeros(0, np.int64)
     if not len(segment.terms) or not len(queries):
         return nothing, nothing, nothing.astype(bool)
     number = np.searchsorted(segment.terms, queries)
     number = np.minimum(number, len(segment.terms) - 1)
-    present = (segment.terms[number] == queries).all(axis=1)
-    live = np.flatnonzero(present)
+    live = np.flatnonzero((segment.terms[number] == queries).all(axis=1))
     number = number[live]
     order = np.argsort(segment.counts[number], axis=1, kind="stable")
-    rarest = number[np.arange(len(live)), order[:, 0]] if len(live) else nothing
+    rarest = number[np.arange(len(live)), order[:, 0]]
+    share = np.cumsum(segment.counts[rarest]) // CANDIDATES
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(share)) + 1, [len(live)]])
+    parts = [
+        _search_some(segment, number[i:j], order[i:j], rarest[i:j], live[i:j], slop) for i, j in zip(cuts[:-1], cuts[1:])
+    ]
+    return tuple(np.concatenate(column) for column in zip(*parts))
+
+
+def _search_some(segment: Segment, number, order, rarest, names, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def within(query, offset, at, reach):
+        """Whether the term at ``offset`` occurs within ``reach`` of ``at``."""
+        base = number[query, offset] << 32
+        here = np.searchsorted(segment.keys, base | np.maximum(at - reach, 0))
+        value = segment.keys[np.minimum(here, len(segment.keys) - 1)]
+        return (here < len(segment.keys)) & (value >= base) & (value <= (base | np.maximum(at + reach, 0)))
+
     n = segment.counts[rarest]
-    query = np.repeat(np.arange(len(live)), n)
+    query = np.repeat(np.arange(len(rarest)), n)
     nth = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
-    found = segment.keys[segment.first[rarest][query] + nth] & 0xFFFFFFFF
-    start = found - order[query, 0]
-    exact = np.ones(len(query), bool)
-    for rank in range(1, queries.shape[1]):
+    start = (segment.keys[segment.first[rarest][query] + nth] & 0xFFFFFFFF) - order[query, 0]
+    # the rarest term may itself be out of its place by the slop
+    for rank in range(1, order.shape[1]):
         offset = order[query, rank]
-        base = number[query, offset] << 32
-        at = start + offset
-        here = np.searchsorted(segment.keys, base | np.maximum(at - slop, 0))
-        value = segment.keys[np.minimum(here, len(segment.keys) - 1)]
-        ok = (here < len(segment.keys)) & (value >= base) & (value <= (base | (at + slop)))
-        if slop:
-            spot = np.searchsorted(segment.keys, base | np.maximum(at, 0))
-            exact &= (spot < len(segment.keys)) & (segment.keys[np.minimum(spot, len(segment.keys) - 1)] == (base | at))
-        query, start, exact = query[ok], start[ok], exact[ok]
-    return live[query], start, exact
+        ok = within(query, offset, start + offset, 2 * slop)
+        query, start = query[ok], start[ok]
+    exact = np.ones(len(query), bool)
+    if slop:
+        shifts = np.arange(-slop, slop + 1)
+        query, start = np.repeat(query, len(shifts)), (start[:, None] + shifts).ravel()
+        ok = (start >= 0) & within(query, 0, start, 0)
+        pairs = np.unique(np.stack([query[ok], start[ok]]), axis=1)
+        query, start = pairs
+        exact = np.ones(len(query), bool)
+        for offset in range(1, order.shape[1]):
+            ok = within(query, offset, start + offset, slop)
+            query, start, exact = query[ok], start[ok], exact[ok]
+            exact &= within(query, offset, start + offset, 0)
+    return names[query], start, exact
 
 
 def _index_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,62 +211,40 @@ def indexed_documents(index: DataFrame) -> DataFrame:
     )
 
 
-PIECE_SCHEMA = "chunk bigint, bytes bigint, item_id bigint, size int, terms binary"
+PIECE_SCHEMA = "piece bigint, bytes bigint, item_id bigint, size int, terms binary"
 
 
-def _piece_partition(batches: Iterable[pa.RecordBatch], width: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of items whose windows take at most ``limit`` bytes; a chunk
-    numbers the pieces that stay within it together."""
+def _piece_partition(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Numbered pieces of at most ``PIECE_WINDOWS`` windows."""
     from pyspark import TaskContext
 
-    chunk, filled, rows = TaskContext.get().partitionId() << 32, 0, []
+    number, types = TaskContext.get().partitionId() << 40, [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        names = ["piece", "bytes", "item_id", "size", "terms"]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
     for batch in batches:
-        for i in range(batch.num_rows):
-            item = batch.column("item_id")[i].as_py()
-            terms, _ = terms_of([batch.column("text")[i].as_py().encode()])
+        rows = []
+        for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text")):
+            terms, _ = terms_of([text.as_py().encode()])
             size = min(width, len(terms))
-            if not size:
-                continue
             # consecutive pieces overlap by all but one word of a window
-            step = max(1, limit // (8 * size))
-            for at in range(0, len(terms) - size + 1, step):
-                piece = terms[at : at + step + size - 1]
-                used = 8 * size * (len(piece) - size + 1)
-                if rows and filled + used > limit:
-                    yield _pieces(rows)
-                    chunk, filled, rows = chunk + 1, 0, []
-                rows.append((chunk, used, item, size, piece.tobytes()))
-                filled += used
-    if rows:
-        yield _pieces(rows)
-
-
-def _pieces(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["chunk", "bytes", "item_id", "size", "terms"]
-    )
-
-
-def benchmark_blocks(benchmark: DataFrame, width: int, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
-    """(item_id, size, terms) pieces of the distinct items, in blocks whose
-    windows take at most ``block_bytes`` (or are one window)."""
+            for at in range(0, len(terms) - size + 1 if size else 0, PIECE_WINDOWS):
+                piece = terms[at : at + PIECE_WINDOWS + size - 1]
+                rows.append((number, 8 * size * (len(piece) - size + 1), item, size, piece.tobytes()))
+                number += 1
+                if len(rows) == 10_000:
+                    yield close(rows)
+                    rows = []
+        if rows:
+            yield close(rows)
+
+
+def benchmark_pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """The written pieces of the distinct items."""
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct()
-    limit = max(1, block_bytes // 8)
-    pieces, _ = materialise(
-        items.mapInArrow(lambda b: _piece_partition(b, width, limit), PIECE_SCHEMA), "benchmark-pieces"
-    )
-    # a row for each chunk, which is an eighth of a block or a task's last
-    sizes = pieces.groupBy("chunk").agg(F.sum("bytes").alias("n")).orderBy("chunk").collect()
-    cuts, filled = [], 0
-    for r in sizes:
-        if cuts and filled + r["n"] <= block_bytes:
-            cuts[-1][1], filled = r["chunk"], filled + r["n"]
-        else:
-            cuts.append([r["chunk"], r["chunk"]])
-            filled = r["n"]
-    for first, last in cuts:
-        yield pieces.where(F.col("chunk").between(first, last)).select("item_id", "size", "terms").collect()
+    return materialise(items.mapInArrow(lambda b: _piece_partition(b, width), PIECE_SCHEMA), "benchmark-pieces")[0]
 
 
 def windows(pieces: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -253,10 +258,10 @@ def windows(pieces: list[tuple[int, bytes]]) -> dict[int, tuple[np.ndarray, np.n
     return {size: (np.concatenate(o), np.concatenate(r)) for size, (o, r) in found.items()}
 
 
-MATCH_SCHEMA = "segment bigint, ordinal int, item_id bigint, start bigint, stop bigint, kind string"
+MATCH_SCHEMA = "segment bigint, ordinal int, item_id bigint, size int, start bigint, stop bigint, kind string"
 
 
-def _runs(query_item: np.ndarray, start: np.ndarray, size: int, doc_start: np.ndarray) -> tuple:
+def _runs(query_item: np.ndarray, start: np.ndarray, size: int, doc_start: np.ndarray, n_words: np.ndarray) -> tuple:
     """Merge overlapping matches of an item in a document into word runs."""
     ordinal = np.searchsorted(doc_start, start, side="right") - 1
     local = start - doc_start[ordinal]
@@ -266,53 +271,161 @@ def _runs(query_item: np.ndarray, start: np.ndarray, size: int, doc_start: np.nd
     new[1:] = (ordinal[1:] != ordinal[:-1]) | (item[1:] != item[:-1]) | (local[1:] > local[:-1] + size)
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(local)) - 1
-    return ordinal[head], item[head], local[head], local[tail] + size
+    return ordinal[head], item[head], local[head], np.minimum(local[tail] + size, n_words[ordinal[head]])
+
+
+@dataclass
+class _Open:
+    """A decoded segment and where its documents start."""
+
+    number: int
+    postings: Segment
+    n_words: np.ndarray
+    doc_start: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch, i: int) -> _Open:
+        row = {c: batch.column(c)[i] for c in ("segment", "n_words", "terms", "counts", "steps")}
+        n = row["n_words"].values.to_numpy().astype(np.int64)
+        postings = Segment.decode(*(row[c].as_buffer() for c in ("terms", "counts", "steps")))
+        return cls(row["segment"].as_py(), postings, n, GAP + np.cumsum(n + GAP) - (n + GAP))
+
+    def matches(self, ids: list, queries: dict, slop: int) -> Iterator[pa.RecordBatch]:
+        for size, (owner, matrix) in queries.items():
+            query, start, exact = search(self.postings, matrix, slop)
+            for kind, which in (("phrase", exact), ("proximity", ~exact)):
+                if not which.any():
+                    continue
+                o, item, a, b = _runs(owner[query[which]], start[which], size, self.doc_start, self.n_words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(o), self.number, np.int64)), pa.array(o.astype(np.int32)),
+                        pa.array([ids[x] for x in item], pa.int64()), pa.array(np.full(len(o), size, np.int32)),
+                        pa.array(a), pa.array(b), pa.array([kind] * len(o), pa.string()),
+                    ],
+                    names=["segment", "ordinal", "item_id", "size", "start", "stop", "kind"],
+                )
 
 
 def match(index: DataFrame, shared: Broadcast, slop: int = 0) -> DataFrame:
-    """Matches of one block of benchmark pieces: segment, ordinal, item_id,
-    first and last word (exclusive) and kind: ``phrase``, or ``proximity`` for
-    windows that only match within ``slop``."""
+    """Matches of broadcast benchmark pieces: segment, ordinal, item_id, words
+    of a window, first and last word (exclusive) and kind: ``phrase``, or
+    ``proximity`` for windows that only match within ``slop``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = [item for item, _, _ in shared.value]
-        queries = windows([(size, terms) for _, size, terms in shared.value])
+        ids, queries = [item for item, _, _ in shared.value], None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                segment = Segment.decode(*(row[c].as_buffer() for c in ("terms", "counts", "steps")))
-                n = row["n_words"].values.to_numpy().astype(np.int64)
-                doc_start = GAP + np.cumsum(n + GAP) - (n + GAP)
-                for size, (owner, matrix) in queries.items():
-                    query, start, exact = search(segment, matrix, slop)
-                    for kind, which in (("phrase", exact), ("proximity", ~exact)):
-                        if which.any():
-                            o, item, a, b = _runs(owner[query[which]], start[which], size, doc_start)
-                            yield pa.RecordBatch.from_arrays(
-                                [
-                                    pa.array(np.full(len(o), row["segment"].as_py(), np.int64)),
-                                    pa.array(o.astype(np.int32)), pa.array([ids[x] for x in item], pa.int64()),
-                                    pa.array(a), pa.array(b),
-                                    pa.array([kind] * len(o), pa.string()),
-                                ],
-                                names=["segment", "ordinal", "item_id", "start", "stop", "kind"],
-                            )
+                queries = queries or windows([(size, terms) for _, size, terms in shared.value])
+                yield from _Open.read(batch, i).matches(ids, queries, slop)
 
     return index.select("segment", "n_words", "terms", "counts", "steps").mapInArrow(run, MATCH_SCHEMA)
 
 
-def matches(index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0) -> DataFrame:
-    """segment, ordinal, item_id, start, stop, kind of all matches of all
-    benchmark blocks."""
-    spark, paths = index.sparkSession, []
-    for block in benchmark_blocks(benchmark, width):
-        pieces = [(r["item_id"], r["size"], bytes(r["terms"])) for r in block]
-        shared = spark.sparkContext.broadcast(pieces)  # one bounded block
-        paths.append(materialise(match(index, shared, slop), "benchmark-matches")[1])
-        shared.destroy()
-    if not paths:
-        return spark.createDataFrame([], MATCH_SCHEMA)
-    return spark.read.schema(MATCH_SCHEMA).parquet(*paths)
+def _dictionary_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.int64)
+            counts = np.frombuffer(batch.column("counts")[i].as_buffer(), np.uint32).astype(np.int64)
+            segment = np.full(len(terms), batch.column("segment")[i].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(segment), pa.array(counts)], names=["term", "segment", "n"])
+
+
+def _term_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            terms = np.unique(np.frombuffer(batch.column("terms")[i].as_buffer(), np.int64))
+            piece = np.full(len(terms), batch.column("piece")[i].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(terms)], names=["piece", "term"])
+
+
+def _rarest_partition(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, term) of the corpus-rarest terms of the windows of a piece;
+    ``known`` are the piece's terms that the corpus has, with their counts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            known = batch.column("known")[i].values
+            term, n = (known.field(c).to_numpy(zero_copy_only=False) for c in ("term", "n"))
+            order = np.argsort(term)
+            term, n = term[order], n[order]
+            terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.int64)
+            rows = np.lib.stride_tricks.sliding_window_view(terms, batch.column("size")[i].as_py())
+            at = np.minimum(np.searchsorted(term, rows), len(term) - 1)
+            at = at[(term[at] == rows).all(axis=1)]
+            if not len(at):
+                continue
+            rare = np.unique(term[at[np.arange(len(at)), np.argmin(n[at], axis=1)]])
+            piece = np.full(len(rare), batch.column("piece")[i].as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(rare)], names=["piece", "term"])
+
+
+def routes(index: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Distinct (segment, piece) of the segments that hold the corpus-rarest
+    term of a window of a piece, all of whose terms the corpus has. No other
+    segment can hold a match of the piece."""
+    dictionary = index.select("segment", "terms", "counts").mapInArrow(
+        _dictionary_partition, "term bigint, segment bigint, n bigint"
+    )
+    wanted = pieces.select("piece", "terms").mapInArrow(_term_partition, "piece bigint, term bigint")
+    frequency = dictionary.groupBy("term").agg(F.sum("n").alias("n"))
+    known = wanted.join(frequency, "term").groupBy("piece").agg(F.collect_list(F.struct("term", "n")).alias("known"))
+    rarest = pieces.join(known, "piece").select("piece", "size", "terms", "known").mapInArrow(
+        _rarest_partition, "piece bigint, term bigint"
+    )
+    return dictionary.join(rarest, "term").select("segment", "piece").distinct()
+
+
+def match_routed(index: DataFrame, pieces: DataFrame, slop: int = 0) -> DataFrame:
+    """The matches of ``match`` for pieces of any number: each segment is
+    followed, in one sorted partition, by the pieces routed to it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, ids, waiting, filled = None, [], [], 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            if waiting:
+                yield from here.matches(ids, windows(waiting), slop)
+
+        for batch in batches:
+            after = batch.column("piece").to_pylist()
+            for i, piece in enumerate(after):
+                if piece is None or filled >= SEARCH_BYTES:
+                    yield from answer()
+                    ids, waiting, filled = [], [], 0
+                if piece is None:
+                    here = _Open.read(batch, i)
+                    continue
+                ids.append(batch.column("item_id")[i].as_py())
+                waiting.append((batch.column("size")[i].as_py(), batch.column("terms")[i].as_py()))
+                filled += batch.column("bytes")[i].as_py()
+        yield from answer()
+
+    none = {"piece": "bigint", "bytes": "bigint", "item_id": "bigint", "size": "int"}
+    segments = index.select(
+        "segment", "n_words", "terms", "counts", "steps", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]
+    )
+    routed = routes(index, pieces).join(pieces, "piece")
+    rows = segments.unionByName(routed, allowMissingColumns=True)
+    return rows.repartition("segment").sortWithinPartitions("segment", F.col("piece").asc_nulls_first()).mapInArrow(
+        run, MATCH_SCHEMA
+    )
+
+
+def matches(
+    index: DataFrame, benchmark: DataFrame, width: int = WINDOW, slop: int = 0, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """The written matches of all benchmark windows: segment, ordinal,
+    item_id, size, start, stop, kind."""
+    if width + 2 * slop >= GAP:
+        raise ValueError(f"a window and twice the slop must stay below {GAP} words")
+    pieces = benchmark_pieces(benchmark, width)
+    if (pieces.agg(F.sum("bytes").alias("n")).first()["n"] or 0) > broadcast_bytes:
+        return materialise(match_routed(index, pieces, slop), "benchmark-matches")[0]
+    rows = [(r["item_id"], r["size"], bytes(r["terms"])) for r in pieces.select("item_id", "size", "terms").collect()]
+    shared = index.sparkSession.sparkContext.broadcast(rows)  # counted above
+    found, _ = materialise(match(index, shared, slop), "benchmark-matches")
+    shared.destroy()
+    return found
 
 
 def _covered(runs: str):
@@ -327,21 +440,26 @@ def _covered(runs: str):
 
 
 def hits(found: DataFrame) -> DataFrame:
-    """Per document with a phrase match: n_hit words and the items."""
-    grouped = found.where("kind = 'phrase'").groupBy("segment", "ordinal").agg(
-        F.collect_set(F.struct("start", "stop")).alias("_runs"),
-        F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+    """Per document with a match: n_hit words in phrases and their items, and
+    n_near words in windows of ``WINDOW`` words that match as a phrase or by
+    proximity."""
+    phrase, near = F.col("kind") == "phrase", F.col("size") == WINDOW
+    grouped = found.groupBy("segment", "ordinal").agg(
+        F.collect_set(F.when(phrase, F.struct("start", "stop"))).alias("_runs"),
+        F.collect_set(F.when(near, F.struct("start", "stop"))).alias("_near"),
+        F.array_sort(F.collect_set(F.when(phrase, F.col("item_id").cast("string")))).alias("items"),
     )
-    return grouped.select("segment", "ordinal", _covered("_runs").alias("n_hit"), "items")
+    return grouped.select("segment", "ordinal", _covered("_runs").alias("n_hit"), _covered("_near").alias("n_near"), "items")
 
 
-def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def contamination_digest(documents: DataFrame, benchmark: DataFrame, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; n_near:
+    words in a phrase or proximity match of a whole window."""
     index = build_index(documents)
-    found = hits(matches(index, benchmark))
+    found = hits(matches(index, benchmark, slop=slop))
     joined = indexed_documents(index).join(found, ["segment", "ordinal"], "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
+    n_hit, n_near = (F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_hit", "n_near"))
     return joined.select(
         "doc_id",
         "n_words",
@@ -349,6 +467,7 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame) -> DataFram
         F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        n_near.alias("n_near"),
     )
 
 

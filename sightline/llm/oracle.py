@@ -12,6 +12,8 @@ def _words(column: str) -> str:
 
 _NEXT = ", ".join(f"lead(word, {j}) OVER w" for j in range(1, 10))
 
+_NEAR = " AND ".join(f"list_contains(ws[greatest(s + {j - 1}, 1):s + {j + 1}], g[{j + 1}])" for j in range(1, 10))
+
 OP2 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('text')} AS ws FROM documents),
 b AS (SELECT row_number() OVER () AS bid, item_id, {_words('text')} AS ws FROM benchmark),
@@ -28,11 +30,22 @@ dg AS (SELECT rid, p, k, array_to_string(g[1:k], ' ') AS gram FROM (
 m AS (SELECT rid, p, k, item_id FROM dg JOIN bg USING (k, gram)),
 hit AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + k)) AS q FROM m) GROUP BY rid),
 it AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY rid)
+       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY rid),
+q AS (SELECT row_number() OVER () AS qid, string_split(gram, ' ') AS g
+      FROM (SELECT DISTINCT gram FROM bg WHERE k = 10)),
+freq AS (SELECT word, count(*) AS f FROM dw GROUP BY word),
+seed AS (SELECT qid, arg_min(j, f) AS j, arg_min(word, f) AS word
+         FROM (SELECT qid, unnest(g) AS word, generate_subscripts(g, 1) AS j FROM q) JOIN freq USING (word)
+         GROUP BY qid HAVING count(*) = 10),
+c AS (SELECT DISTINCT rid, qid, p - j + 1 + o AS s FROM seed JOIN dw USING (word), (VALUES (-1), (0), (1)) AS t(o)),
+near AS (SELECT rid, s, len(ws) AS n FROM c JOIN d USING (rid) JOIN q USING (qid)
+         WHERE s BETWEEN 1 AND len(ws) AND ws[s] = g[1] AND {_NEAR}),
+nh AS (SELECT rid, count(DISTINCT x) AS n_near
+       FROM (SELECT rid, unnest(range(s, least(s + 10, n + 1))) AS x FROM near) GROUP BY rid)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid)
+       coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN it USING (rid) LEFT JOIN nh USING (rid)
 """
 
 OP4 = """

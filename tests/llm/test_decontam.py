@@ -55,14 +55,29 @@ def test_digest_matches_sql(contaminated, benchmark):
     got = decontam.contamination_digest(docs.repartition(3), benchmark)
     cols, rows = oracle(contaminated, benchmark)
     assert digest(got.columns, [tuple(r) for r in got.collect()])[1] == digest(cols, rows)[1]
-    assert {r[0] for r in rows if r[-1]} >= {20, 21, 22, 23, 24, 25}
+    assert {r[0] for r in rows if r[cols.index("contaminated")]} >= {20, 21, 22, 23, 24, 25}
 
 
-def test_blocks_of_the_benchmark_give_the_same(contaminated, benchmark, monkeypatch):
+def test_routed_pieces_give_the_same(contaminated, benchmark, monkeypatch):
     whole = sorted(map(repr, decontam.contamination_digest(contaminated, benchmark).collect()))
-    monkeypatch.setattr(decontam.benchmark_blocks, "__defaults__", (40,))
-    split = sorted(map(repr, decontam.contamination_digest(contaminated, benchmark).collect()))
-    assert whole == split
+    monkeypatch.setattr(decontam.matches, "__defaults__", (decontam.WINDOW, 0, 0))
+    monkeypatch.setattr(decontam, "match", None)
+    for width in (64, 3):
+        monkeypatch.setattr(decontam, "PIECE_WINDOWS", width)
+        routed = decontam.contamination_digest(contaminated.repartition(3), benchmark)
+        assert whole == sorted(map(repr, routed.collect()))
+
+
+def test_pieces_go_only_where_their_rarest_terms_are(spark, monkeypatch):
+    docs = [(i, f"common words number{i} follow here") for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8, "doc_id")
+    items = [(i, f"common words number{i}") for i in range(0, 80, 2)] + [(100, "common words")]
+    items = spark.createDataFrame(items, "item_id bigint, text string")
+    index, pieces = decontam.build_index(docs), decontam.benchmark_pieces(items, 3)
+    n_segments = index.count()
+    sent = decontam.routes(index, pieces).join(pieces, "piece").groupBy("item_id").count()
+    by_item = {r["item_id"]: r["count"] for r in sent.collect()}
+    assert by_item == {i: 1 for i in range(0, 40, 2)} | {100: n_segments} and n_segments > 3
 
 
 def test_clean_keeps_the_other_rows(contaminated, benchmark, edge_rows):
@@ -80,37 +95,29 @@ def test_clean_keeps_the_other_rows(contaminated, benchmark, edge_rows):
 def brute_matches(terms, queries, slop):
     out = set()
     for q, query in enumerate(queries):
-        rare = min(range(len(query)), key=lambda j: (terms.count(query[j]), j))
-        for p in range(len(terms)):
-            start = p - rare
-            if terms[p] != query[rare]:
-                continue
+        for start in range(len(terms)):
             near = all(
-                any(0 <= start + j + d < len(terms) and terms[start + j + d] == t for d in range(-slop, slop + 1))
-                for j, t in enumerate(query) if j != rare
+                t in terms[max(start + j - slop, 0) : start + j + slop + 1] if j else t == terms[start]
+                for j, t in enumerate(query)
             )
             if near:
-                out.add((q, start, terms[max(start, 0) : start + len(query)] == list(query) and start >= 0))
+                out.add((q, start, terms[start : start + len(query)] == list(query)))
     return out
 
 
+@pytest.mark.parametrize("candidates", [7, 1 << 20])
 @pytest.mark.parametrize("slop", [0, 1, 3])
-def test_phrase_and_proximity_search(slop):
+def test_phrase_and_proximity_search(slop, candidates, monkeypatch):
+    monkeypatch.setattr(decontam, "CANDIDATES", candidates)
     rng = random.Random(slop)
     terms = [rng.randint(1, 6) for _ in range(300)]
     queries = [[rng.randint(1, 6) for _ in range(4)] for _ in range(30)] + [[1, 2, 3, 99]]
     t, counts, steps = decontam.invert(np.array(terms, np.uint64), np.arange(300) + decontam.GAP)
     segment = decontam.Segment.decode(t.tobytes(), counts.tobytes(), steps.tobytes())
     query, start, exact = decontam.search(segment, np.array(queries, np.uint64), slop)
-    got = {(int(q), int(p) - decontam.GAP, bool(e)) for q, p, e in zip(query, start, exact)}
-    # ties among equally rare terms may pick another anchor: compare on the exact ones, and on phrases found
-    expected = brute_matches(terms, queries, slop)
-    assert {g for g in got if g[2]} == {e for e in expected if e[2]}
-    if slop == 0:
-        assert got == expected
-    else:
-        assert {g[0] for g in got} >= {e[0] for e in expected if e[2]}
-        assert any(not e for *_, e in got)
+    got = [(int(q), int(p) - decontam.GAP, bool(e)) for q, p, e in zip(query, start, exact)]
+    assert len(got) == len(set(got)) and set(got) == brute_matches(terms, queries, slop)
+    assert any(e for *_, e in got) and (slop == 0 or any(not e for *_, e in got))
 
 
 def test_proximity_rows(spark):
@@ -139,16 +146,39 @@ def test_empty(spark, no_docs, contaminated, benchmark):
     assert decontam.clean(contaminated, none).count() == contaminated.count()
 
 
-def test_blocks_are_bounded_for_long_and_repeated_items(spark, monkeypatch):
+def test_the_broadcast_is_bounded_and_jobs_do_not_grow(spark, monkeypatch):
     words = [f"w{i}" for i in range(2000)]
     items = [(1, " ".join(words))] + [(2, " ".join(words[5:40]))] * 300
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
     docs = [(1, " ".join(["x", *words, "y"])), (2, " ".join(words[600:609])), (3, " ".join(words[600:610]))]
-    monkeypatch.setattr(decontam.benchmark_blocks, "__defaults__", (40_000,))
-    sent, broadcast = [], spark.sparkContext.broadcast
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sent, broadcast, written, materialise = [], spark.sparkContext.broadcast, [], decontam.materialise
     monkeypatch.setattr(
         spark.sparkContext, "broadcast", lambda v: (sent.append(len(pickle.dumps(v))), broadcast(v))[1]
     )
-    got = decontam.contamination_digest(spark.createDataFrame(docs, "doc_id bigint, text string"), benchmark).collect()
-    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == [(1, 2000, 2), (2, 0, 0), (3, 10, 1)]
-    assert len(sent) > 3 and max(sent) < 40_000 and sum(sent) < 80_000
+    monkeypatch.setattr(decontam, "materialise", lambda df, name, **o: (written.append(name), materialise(df, name, **o))[1])
+    expected = [(1, 2000, 2), (2, 0, 0), (3, 10, 1)]
+    for limit in (1 << 20, 40_000):
+        monkeypatch.setattr(decontam.matches, "__defaults__", (decontam.WINDOW, 0, limit))
+        got = decontam.contamination_digest(docs, benchmark).collect()
+        assert sorted((r.doc_id, r.n_hit, r.n_items) for r in got) == expected
+        assert written == ["positional-index", "benchmark-pieces", "benchmark-matches"]
+        written.clear()
+    assert len(sent) == 1 and sent[0] < 1 << 20
+
+
+def test_words_moved_by_one_count_as_near(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = [
+        (1, "one two three extra four five six seven eight nine ten"),
+        (2, "x one two four three five six seven eight nine ten"),
+        (3, "one two three extra extra four five six seven eight nine ten"),
+        (4, f"y {item} z"),
+        (5, "one two three four five six seven eight ten"),
+    ]
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = decontam.contamination_digest(docs, items).collect()
+    assert {r.doc_id: (r.n_hit, r.n_near) for r in got} == {1: (0, 10), 2: (0, 10), 3: (0, 0), 4: (10, 10), 5: (0, 0)}
+    cols, rows = oracle(docs, items)
+    assert digest(list(got[0].asDict()), [tuple(r) for r in got])[1] == digest(cols, rows)[1]

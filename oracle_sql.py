@@ -312,6 +312,11 @@ SELECT c.week, coalesce(u.n, 0) AS unique_users FROM calx c LEFT JOIN u ON u.wee
        id % 11 = 0 AS spam, id % 13 = 0 AS hidden,
        '{"date":"' || strftime(created_at, '%Y-%m-%d') || '"}' AS created_at_details,
        'Place "' || (user_id % 7) || '", north' AS place_guess, quality_grade
+FROM obs""")
+    q["geometry_fields"] = with_obs("""SELECT id, 'Point' AS geometry_type,
+       CAST(taxon_id % 60 - 120 AS DOUBLE) AS west, CAST(user_id % 40 + 20 AS DOUBLE) AS south,
+       CAST(taxon_id % 60 - 120 AS DOUBLE) AS east, CAST(user_id % 40 + 20 AS DOUBLE) AS north,
+       CAST(1 AS BIGINT) AS vertices
 FROM obs""")
     q["year_of_date"] = with_obs(
         "SELECT id, observed_on AS observed_date, CAST(year(observed_on) AS INTEGER) AS year FROM obs")
@@ -457,6 +462,12 @@ def trends() -> dict[str, str]:
 SELECT event, start_date, end_date, count(DISTINCT user_id) AS unique_users, count(DISTINCT taxon_id) AS unique_species,
        count(DISTINCT id) AS unique_observations
 FROM evx LEFT JOIN obs ON observed_on BETWEEN start_date AND end_date GROUP BY 1, 2, 3"""
+    q["interval_hits"] = f"""{EVENTS}, spans AS (
+  SELECT event, 'days' AS span, CAST(start_date AS TIMESTAMP) AS since, end_date + INTERVAL '23:59:59' AS until FROM evx
+  UNION ALL SELECT event, 'season', start_date - INTERVAL 28 DAY + INTERVAL 12 HOUR, end_date + INTERVAL 28 DAY + INTERVAL 12 HOUR FROM evx
+  UNION ALL SELECT event, 'after', CAST(end_date AS TIMESTAMP), end_date + INTERVAL 3 YEAR FROM evx)
+SELECT event, span, count(*) AS observations, min(created_at) AS first_at, max(id) AS max_id
+FROM obs JOIN spans ON created_at BETWEEN since AND until GROUP BY 1, 2"""
     q["event_participants"] = f"{EVENTS}, {PARTICIPANTS} SELECT * FROM participants"
     q["participation_activity"] = segments_sql("observations", "id")
     q["participation_species"] = segments_sql("species", "taxon_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.calendar import week_start
+from sightline.operators.intervals import interval_join
 
 # The reference's event dates (event year, first day, last day).
 REFERENCE_EVENTS = (
@@ -47,24 +48,20 @@ MEASURED_EVENTS = 100_000
 
 
 def measured(events: DataFrame) -> DataFrame:
-    """``events`` as a broadcastable local table if it is counted to hold at
-    most ``MEASURED_EVENTS`` rows (a few MB), else unchanged."""
-    rows = events.limit(MEASURED_EVENTS + 1).collect()
-    if len(rows) > MEASURED_EVENTS:
-        return events
-    return F.broadcast(events.sparkSession.createDataFrame(rows, events.schema))
+    """``events`` marked for broadcast if they are counted to be at most
+    ``MEASURED_EVENTS`` rows (a few MB), else unchanged. Events that are
+    derived from large data should be written first: they are read twice."""
+    return F.broadcast(events) if events.count() <= MEASURED_EVENTS else events
 
 
 def event_band(periods: DataFrame, events: DataFrame, period_col: str = "week") -> DataFrame:
     """Periods inside each event's band: from the Monday of the event's first
     week to its last day (both inclusive).
 
-    Each band is expanded into its days and joined by equality: a period
-    starts on one of them.
+    A binned interval join: bands may overlap and be of any length.
     """
     bands = events.select(
         "event", week_start("start_date").alias("band_start"), F.col("end_date").alias("band_end")
     )
-    days = measured(bands.withColumn("_day", F.explode(F.sequence("band_start", "band_end", F.expr("INTERVAL 1 DAY")))))
-    return periods.join(days, F.col(period_col) == F.col("_day")).drop("_day")
+    return interval_join(periods, bands, period_col, "band_start", "band_end")
 

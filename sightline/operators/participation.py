@@ -4,8 +4,8 @@ before and after it.
 All operators take the events as a table (event, start_date, end_date). An
 observation belongs to an event when its date lies between the event's first
 and last day, both included; "before" and "after" mean the same calendar year.
-Events join observations by equality (on the day or the year) with a measured,
-broadcast events side, so the observations are scanned, never shuffled, until
+Events join observations by equality (on the year, the day or the bin of an
+interval join) with a measured, broadcast events side, so the observations are scanned, never shuffled, until
 they are aggregated per user; per-user counts come from one keyed aggregation
 with fixed-width buffers.
 """
@@ -16,20 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.operators.events import measured
+from sightline.operators.intervals import interval_join
 
 BEFORE, DURING, AFTER = 0, 1, 2
 _PHASES = {"before": BEFORE, "during": DURING, "after": AFTER}
 
 
-def _event_days(events: DataFrame) -> DataFrame:
-    days = F.explode(F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY")))
-    return measured(events.select("event", days.alias("_day")))
-
-
 def event_metrics(obs: DataFrame, events: DataFrame, date_col: str = "observed_on") -> DataFrame:
     """Distinct users, species (taxa) and observations per event (an event
     without observations has zeros)."""
-    hits = obs.join(_event_days(events), F.col(date_col) == F.col("_day"))
+    spans = events.select("event", "start_date", "end_date")
+    hits = interval_join(obs.select(date_col, "user_id", "taxon_id", "id"), spans, date_col, "start_date", "end_date")
     items = "stack(3, 0, CAST(user_id AS BIGINT), 1, CAST(taxon_id AS BIGINT), 2, CAST(id AS BIGINT)) AS (k, value)"
     distinct = hits.select("event", F.expr(items)).where("value IS NOT NULL").distinct()
     counts = distinct.groupBy("event").agg(

@@ -24,6 +24,7 @@ from sightline.operators import (
     events,
     first_seen,
     ingest,
+    intervals,
     participation,
     series,
     sketches,
@@ -282,6 +283,13 @@ def q_flatten_record(spark, sf_dir):
     return flat.withColumn("created_at_details", F.to_json("created_at_details"))
 
 
+@register("geometry_fields")
+def q_geometry_fields(spark, sf_dir):
+    """The landed geometry as typed columns."""
+    shapes = api_pages.geometry_fields(_flat_records(spark, sf_dir))
+    return shapes.select("id", *api_pages.GEOMETRY)
+
+
 @register("year_of_date")
 def q_year_of_date(spark, sf_dir):
     return _obs(spark, sf_dir).select("id", F.col("observed_on").alias("observed_date"), F.year("observed_on").alias("year"))
@@ -394,7 +402,7 @@ def q_anti_new(spark, sf_dir):
 def q_event_band(spark, sf_dir):
     obs = _obs(spark, sf_dir)
     wo = pm.period_metrics(obs, "observations", "week", **CAL)
-    return events.event_band(wo, events.events_for_data_years(obs)).select(
+    return events.event_band(wo, _events(spark, sf_dir)).select(
         "event", "band_start", "band_end", "week", "unique_observations"
     )
 
@@ -649,8 +657,10 @@ def q_rollup_uniques(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    """The fixture's events: one per year of the data, as a table."""
-    return events.events_for_data_years(_obs(spark, sf_dir))
+    """The fixture's events: one per year of the data, as a written table."""
+    path = scratch_path(spark, "events")
+    events.events_for_data_years(_obs(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("event_metrics")
@@ -658,6 +668,25 @@ def q_event_metrics(spark, sf_dir):
     return participation.event_metrics(_obs(spark, sf_dir), _events(spark, sf_dir))
 
 
+@register("interval_hits")
+def q_interval_hits(spark, sf_dir):
+    """Observations by creation time in overlapping spans around each event:
+    its days, the eight weeks around it and the three years after it."""
+    first, last = F.col("start_date").cast("timestamp_ntz"), F.col("end_date").cast("timestamp_ntz")
+    ago = lambda text: F.expr(f"INTERVAL {text}")
+    spans = {
+        "days": (first, last + ago("'23:59:59' HOUR TO SECOND")),
+        "season": (first - ago("28 DAYS") + ago("12 HOURS"), last + ago("28 DAYS") + ago("12 HOURS")),
+        "after": (last, last + ago("3 YEARS")),
+    }
+    rows = [F.struct(F.lit(k).alias("span"), a.alias("since"), b.alias("until")) for k, (a, b) in spans.items()]
+    table = _events(spark, sf_dir).select("event", F.explode(F.array(*rows)).alias("s")).select("event", "s.*")
+    hits = intervals.interval_join(_obs(spark, sf_dir).select("id", "created_at"), table, "created_at", "since", "until")
+    return hits.groupBy("event", "span").agg(
+        F.count(F.lit(1)).alias("observations"), F.min("created_at").alias("first_at"), F.max("id").alias("max_id")
+    )
+
+
 @register("event_participants")
 def q_event_participants(spark, sf_dir):
     return participation.event_participants(_obs(spark, sf_dir), _events(spark, sf_dir))

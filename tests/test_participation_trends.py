@@ -79,10 +79,16 @@ def test_retention_by_week_after(obs, table):
     assert {r.week_after for r in short} == {0}
 
 
-def test_events_side_is_measured(spark, obs, table, monkeypatch):
-    few = participation.event_metrics(obs, table).collect()
+def test_events_side_is_measured(obs, table, monkeypatch):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    few = participation.event_participants(obs, table)
+    assert "broadcast" in plan(few) and "LocalRelation" not in plan(events.measured(table.where("event > ''")))
     monkeypatch.setattr(events, "MEASURED_EVENTS", 1)
-    assert sorted(map(tuple, participation.event_metrics(obs, table).collect())) == sorted(map(tuple, few))
+    many = participation.event_participants(obs, table)
+    assert "broadcast" not in plan(many)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
 
 
 def test_lift_drop_and_vanishing_species(spark):

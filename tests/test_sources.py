@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.schema import RAW_OBSERVATION
-from sightline.sources import api_pages, metrics_io, observations_csv
+from sightline.sources import api_pages, catalog, metrics_io, observations_csv
+from sightline.operators import ingest
 from sightline.operators import period_metrics as pm
 from tests.fixtures import BOUNDARY, make_obs
 
@@ -161,3 +162,47 @@ def test_api_pages_null_safe_flatten(spark, tmp_dir):
     assert flat[3].taxon_id is None and flat[3].user_id is None
     assert flat[4].taxon_id == 10 and flat[4].status_name is None
     assert len(api_pages.flatten_records(recs).columns) == 2 + 21
+
+
+def test_geometry_of_every_kind(spark):
+    shapes = {
+        "Point": [-114.0, 51.5],
+        "LineString": [[0, 1], [2, -3], [1, 1]],
+        "MultiPoint": [[5, 6, 700]],
+        "Polygon": [[[0, 0], [4, 0], [4, 3], [0, 0]], [[1, 1], [2, 1], [1, 1]]],
+        "MultiPolygon": [[[[0, 0], [1, 0], [0, 0]]], [[[-7, 8], [-6, 9], [-7, 8]]]],
+        "GeometryCollection": None,
+    }
+    texts = [json.dumps({"type": k, "coordinates": c}) for k, c in shapes.items()]
+    texts += [None, "", "{broken", "[]", '{"type": "Point"}', '{"type": "Point", "coordinates": "x"}']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, geojson string")
+    got = [tuple(r)[2:] for r in api_pages.geometry_fields(rows).orderBy("id").collect()]
+    assert got[:5] == [
+        ("Point", -114.0, 51.5, -114.0, 51.5, 1),
+        ("LineString", 0.0, -3.0, 2.0, 1.0, 3),
+        ("MultiPoint", 5.0, 6.0, 5.0, 6.0, 1),
+        ("Polygon", 0.0, 0.0, 4.0, 3.0, 7),
+        ("MultiPolygon", -7.0, 0.0, 1.0, 9.0, 6),
+    ]
+    assert all(r[1:5] == (None,) * 4 for r in got[5:]) and got[5][0] == "GeometryCollection"
+
+
+def test_bucketed_table_is_not_shuffled_by_an_anti_join(spark, tmp_dir):
+    rows = spark.range(2000).selectExpr("id", "id % 7 AS user_id")
+    catalog.save_table(rows, "bucketed_obs", os.path.join(tmp_dir, "t"), buckets=(8, "id"))
+    more = spark.range(5000, 5100).selectExpr("id", "id % 7 AS user_id")
+    catalog.save_table(more, "bucketed_obs", os.path.join(tmp_dir, "t"), mode="append", buckets=(8, "id"))
+    batch = spark.range(1900, 5200, 3).selectExpr("id", "0 AS user_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = ingest.anti_new(batch, spark.table("bucketed_obs"))
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        held = {r.id for r in spark.table("bucketed_obs").collect()}
+        assert sorted(r.id for r in new.collect()) == [i for i in range(1900, 5200, 3) if i not in held]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE bucketed_obs")
+    # the one exchange is the batch's
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert len(held) == 2100

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 import os
 
@@ -206,3 +207,24 @@ def test_bucketed_table_is_not_shuffled_by_an_anti_join(spark, tmp_dir):
     # the one exchange is the batch's
     assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
     assert len(held) == 2100
+
+
+def test_landed_pages_are_compressed_and_whole(spark, tmp_dir):
+    """Repeated ids, a null id and quotes survive; the files are gzipped and a
+    fraction of their text."""
+    records = spark.range(1000).select(
+        F.when(F.col("id") != 7, F.col("id") % 900).alias("id"),
+        F.concat(F.lit('Place "'), F.col("id").cast("string"), F.lit('", north')).alias("place_guess"),
+        F.struct((F.col("id") % 5).alias("id")).alias("user"),
+    )
+    path = os.path.join(tmp_dir, "pages")
+    api_pages.write_api_pages(records, path, files=2)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.startswith("part-")]
+    assert files and all(f.endswith(".gz") for f in files)
+    pages = [json.loads(line) for f in files for line in gzip.open(f, "rt")]
+    assert sum(map(os.path.getsize, files)) * 4 < sum(len(json.dumps(p)) for p in pages)
+    assert all(list(p) == ["total_results", "page", "per_page", "results"] for p in pages if "page" in p)
+    assert all(p["total_results"] == len(p["results"]) <= 200 == p["per_page"] for p in pages)
+    assert [len(p["results"]) for p in pages if "page" not in p] == [1]
+    back = api_pages.read_api_pages(spark, path).select("record.id", "record.place_guess", "record.user")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, records.collect()))

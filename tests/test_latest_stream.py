@@ -62,3 +62,16 @@ def test_batch_frame_and_empty_folder(spark, tmp_dir):
     flat = spark.createDataFrame([], "id bigint").selectExpr(
         "id", *[f"cast(null as string) as {c}" for c in INGEST_COLUMNS if c != "id"])
     assert ls.latest_copies(flat).columns == list(INGEST_COLUMNS) and ls.latest_copies(flat).count() == 0
+
+
+def test_state_is_kept_on_disk(spark, tmp_dir):
+    """The stream's state is RocksDB's; the session's own setting stays."""
+    pages, table = os.path.join(tmp_dir, "pages"), os.path.join(tmp_dir, "table")
+    land(pages, "a.json", [record(i, 5, "x") for i in range(10)])
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    query = ls.run_latest_stream(spark, pages, table, os.path.join(tmp_dir, "ckpt"))
+    stored = [o["customMetrics"] for p in query.recentProgress for o in p["stateOperators"]]
+    assert stored and all(any(k.startswith("rocksdb") for k in m) for m in stored)
+    assert spark.conf.get(provider, None) == before
+    assert spark.read.parquet(table).count() == 10

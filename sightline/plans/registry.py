@@ -609,7 +609,8 @@ def _stored(spark, sf_dir, grains=("week",), tracked=None):
     """A metric store that took the existing rows, then those created later in
     two batches, the older of them last (its rows come late)."""
     store = MetricStore(spark, scratch_path(spark, "metric-store"), grains, tracked)
-    obs = _obs(spark, sf_dir, names=True)
+    # joined once, for all batches
+    obs = Scratch(spark).write(_obs(spark, sf_dir, names=True), "observations")
     created, later = F.col("created_at"), ntz_literal(dt.INGEST_CUT) + F.expr("INTERVAL 1 YEAR")
     cut = ntz_literal(dt.INGEST_CUT)
     store.apply_increment(obs.where(created < cut), "base")

@@ -246,3 +246,20 @@ def test_ngrams_stay_in_their_text():
     assert len(langid.ngrams([b"12 ,."])[1]) == 0
     assert len(langid.ngrams(["\U000E0041\U000F0000 1".encode()])[1]) == 0  # tags and private use are no letters
     assert len(langid.ngrams(["\U00020000".encode()])[1]) > 0
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """Several groups, one round of words each: every labelled text is counted,
+    and words that only one group knows are learned."""
+    monkeypatch.setattr(toxicity, "GROUP_ROWS", 40)
+    seen = []
+    calibrated = toxicity._set_thresholds
+    monkeypatch.setattr(toxicity, "_set_thresholds",
+                        lambda *a: (seen.append((a[-1].sum(), a[-1][a[-2]].sum())), calibrated(*a)))
+    texts = [f"plain words number {i % 9} here" + (" vile insult" if i % 3 == 0 else " kind remark") for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert seen[0][0] == 240 and 0 < seen[0][1] < 240
+    score = toxicity.score(model, [t.encode() for t in texts])
+    assert ((score >= toxicity.DECISION) == [i % 3 == 0 for i in range(240)]).all()

@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import labelled, langid, quality, toxicity
 from tests.conftest import SMOKE_DIR
@@ -263,3 +264,23 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert seen[0][0] == 240 and 0 < seen[0][1] < 240
     score = toxicity.score(model, [t.encode() for t in texts])
     assert ((score >= toxicity.DECISION) == [i % 3 == 0 for i in range(240)]).all()
+
+
+def test_toxicity_trains_as_long_in_several_groups(spark, monkeypatch):
+    """However many groups there are, every text is trained on EPOCHS times;
+    both classes are learned though one of them is in the held quarter only."""
+    passes = []
+    one_round = toxicity._train_round
+    monkeypatch.setattr(toxicity, "_train_round", lambda *a: (passes.append(a[-1]), one_round(*a)))
+    texts = [f"plain words number {i % 9} here" + (" vile insult" if i % 3 == 0 else " kind remark") for i in range(240)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    for group_rows in (5000, 40):
+        monkeypatch.setattr(toxicity, "GROUP_ROWS", group_rows)
+        passes.clear()
+        toxicity.train(docs, labels)
+        assert sum(passes) == toxicity.EPOCHS and len(passes) == toxicity.ROUNDS
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
+    one_class = labels.withColumn("toxic", (held & (F.col("toxic") == 1)).cast("int"))
+    model = toxicity.train(docs, one_class)
+    assert model.thresholds is not None

@@ -228,3 +228,16 @@ def test_landed_pages_are_compressed_and_whole(spark, tmp_dir):
     assert [len(p["results"]) for p in pages if "page" not in p] == [1]
     back = api_pages.read_api_pages(spark, path).select("record.id", "record.place_guess", "record.user")
     assert sorted(map(repr, back.collect())) == sorted(map(repr, records.collect()))
+
+
+def test_landing_shuffles_only_what_records_are_made_from(spark, tmp_dir):
+    """Fields made after the shuffle give the same pages, from narrower rows."""
+    records = spark.range(3000).selectExpr("id % 2500 as id", "id as user_id")
+    fields = [F.col("id"), F.concat(F.repeat(F.lit("wide "), 40), F.col("user_id").cast("string")).alias("place_guess")]
+    back = []
+    for name, given, made in (("wide", records.select(*fields), None), ("narrow", records, fields)):
+        path = os.path.join(tmp_dir, name)
+        api_pages.write_api_pages(given, path, files=2, fields=made)
+        pages = api_pages.read_api_pages(spark, path)
+        back.append(sorted(map(repr, pages.select("page", "record.id", "record.place_guess").collect())))
+    assert back[0] == back[1] and len(back[0]) == 3000

@@ -3,6 +3,7 @@ import os
 
 from sightline.operators import ingest
 from sightline.schema import INGEST_COLUMNS
+from sightline.session import path_exists
 from sightline.sources import api_pages
 from sightline.streaming import latest_stream as ls
 
@@ -75,3 +76,26 @@ def test_state_is_kept_on_disk(spark, tmp_dir):
     assert stored and all(any(k.startswith("rocksdb") for k in m) for m in stored)
     assert spark.conf.get(provider, None) == before
     assert spark.read.parquet(table).count() == 10
+
+
+def test_held_rows_are_appended_without_a_copy(spark, tmp_dir, monkeypatch):
+    """No shuffle or scratch copy of held records when no id repeats; a private
+    checkpoint goes once it is drained; the state's changes are logged."""
+    pages, table = os.path.join(tmp_dir, "pages"), os.path.join(tmp_dir, "table")
+    land(pages, "a.json", [record(i, 5, "x") for i in range(20)] + [record(3, 9, "better")])
+    copies, roots = [], []
+    monkeypatch.setattr(ls, "new_rows_for_append", lambda *a, **k: copies.append(a) or ingest.new_rows_for_append(*a, **k))
+    named = ls.scratch_path
+    monkeypatch.setattr(ls, "scratch_path", lambda *a: roots.append(named(*a)) or roots[-1])
+    query = ls.run_latest_stream(spark, pages, table)
+    got = {r.id: r.place_guess for r in spark.read.parquet(table).collect()}
+    assert not copies and len(got) == 20 and got[3] == "better"
+    assert roots and not any(path_exists(spark, r) for r in roots)
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain") == "100" and query is not None
+    # ids of two sessions: the better copy of those held
+    again = spark.createDataFrame([(1, "b"), (1, "a"), (50, "c")], "id bigint, place_guess string")
+    again = again.selectExpr(*[c if c in ("id", "place_guess") else f"cast(null as {t}) as {c}"
+                               for c, t in spark.read.parquet(table).select(*INGEST_COLUMNS).dtypes])
+    monkeypatch.setattr(ls, "held_copies", lambda *a: again)
+    ls.append_held(again, "", os.path.join(tmp_dir, "other"))
+    assert rows(spark.read.parquet(os.path.join(tmp_dir, "other"))) == rows(ingest.dedupe_by_id(again))
